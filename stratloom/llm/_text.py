@@ -97,8 +97,8 @@ def _block_words(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words of lower-cased documents."""
+def words(raw: np.ndarray, offsets: np.ndarray, hashed: bool = True, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words of (lower-cased) documents."""
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, U)
@@ -118,7 +118,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> tuple[np
                 later = offsets[np.searchsorted(offsets, at, "right") :]
                 cut = min(cut, int(later[0])) if len(later) and later[0] > at else cut
             to = cut
-        part = LOWER[raw[at:to]]
+        part = LOWER[raw[at:to]] if lower else raw[at:to]
         lo, hi = np.searchsorted(offsets, [at, to])
         inner = offsets[lo:hi] - at
         s, e = _block_words(part, inner)
@@ -151,3 +151,10 @@ def unsigned_crc(texts) -> np.ndarray:
     import zlib
 
     return np.array([zlib.crc32(t) for t in texts], np.int64)
+
+
+def per_doc(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of values over [offsets[i], offsets[i + 1])."""
+    total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    np.cumsum(values, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]

@@ -25,3 +25,17 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import hilbert_shards
+
+    return hilbert_shards(table(spark, sf_dir, "documents"), shards=8)
