@@ -39,3 +39,16 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import hilbert_shards
 
     return hilbert_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op5_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path("word_bpe_49k.json"), capacity=2048, end=0)
