@@ -59,3 +59,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secret_spans
 
     return secret_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
