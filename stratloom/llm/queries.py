@@ -66,3 +66,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_model import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_spans
+
+    return personal_spans(table(spark, sf_dir, "documents"))
