@@ -73,3 +73,17 @@ def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_spans
 
     return personal_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_diff import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
