@@ -97,8 +97,8 @@ def _block_words(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, hashed: bool = True, lower: bool = True, cut=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words of (lower-cased) documents; ``cut`` gives
+def words(raw: np.ndarray, offsets: np.ndarray, hashed: bool = True, lower: bool = True, also=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words of (lower-cased) documents; ``also`` gives
     further places in a block at which words end."""
     if not len(raw):
         none = np.zeros(0, np.int64)
@@ -122,7 +122,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, hashed: bool = True, lower: bool
         part = LOWER[raw[at:to]] if lower else raw[at:to]
         lo, hi = np.searchsorted(offsets, [at, to])
         inner = offsets[lo:hi] - at
-        s, e = _block_words(part, inner if cut is None else np.concatenate([inner, cut(part)]))
+        s, e = _block_words(part, inner if also is None else np.concatenate([inner, also(part)]))
         h = np.zeros(len(s), U)
         if hashed and len(s):
             table, _, _ = _tables()

@@ -172,7 +172,7 @@ class WordTokens:
     def __call__(self, raw: np.ndarray, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all documents, each followed by ``end``, and where each begins."""
         whole = raw.tobytes()
-        starts, ends, h = X.words(raw, offsets, lower=b"<|" not in whole, cut=_cuts)
+        starts, ends, h = X.words(raw, offsets, lower=b"<|" not in whole, also=_cuts)
         bounds = X.word_bounds(starts, offsets)
         if len(self.keys) > self.most:
             self._clear()

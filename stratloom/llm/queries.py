@@ -87,3 +87,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import leaks
 
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
