@@ -13,11 +13,19 @@ rarest to the commonest, two similar documents share one among all but the last
 (sets not larger than 0.8 k are compared in full and the bound is exact).  Common
 passages stand at the end of that order and don't put their documents together.
 
-How long lists are handled.  Each list links its members with the list's smallest one.
-After these links have made components, only members outside of the component that holds
-most of the list are compared with the rest of it; members of one component never are.
-So a large group of near copies costs its size, and no link between components is lost.
-No list is cut.
+How long lists are handled.  Each list links its members with its hub, the member with
+the commonest sketch.  These links make components; members of one are not compared with
+each other any more.  What is left are pairs of one list in different components, of which
+one, C, stands outside of the component that most of the list is in.  C has a hub P that it
+was compared with and isn't linked to.  A document A that is linked to C has
+|A & C| >= t * (|A| + |C|) for t = s / (1 + s); so if |A| > |C & P| / t - |C|, then A and C
+share more than C & P and A contains a value of C - P.  The lists of those values, which are
+what sets C apart, propose A; only documents not larger than that bound, or a C without
+such a P, go over the first lists again.  A pair is proposed only if 512 parity bits of
+each set allow it: every value flips one bit, so two sets differ in as many values as in
+bits at least, and linked sets differ in (1 - s) / (1 + s) of their values at most.  So a
+large group of near copies doesn't make the pairs of its square, no list is cut, and no link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -54,6 +62,16 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np
             yield grams[:0]
 
 
+SIGNS = 8  # 64 parity bits each
+
+
+def parity(values: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the number of values that it stands for."""
+    at = (values.view(X.U) >> X.U(20)) % X.U(64 * SIGNS)
+    bits = np.bincount(at.astype(np.int64), minlength=64 * SIGNS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,16 +92,17 @@ def _sketches(size: int, k: int):
             offsets, raw = X.buffers(batch.column(1))
             for i, j in X.slices(offsets):
                 part = raw[offsets[i] : offsets[j]]
-                n, marks, sketches = [], [], []
+                n, marks, sketches, signs = [], [], [], []
                 for s in shingle_sets(part, offsets[i : j + 1] - offsets[i], size):
                     n.append(len(s))
                     marks.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
                     sketches.append(s[:k])
+                    signs.append(parity(s))
                 marks = np.array(marks).reshape(-1, 2)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches)))],
-                    ["id", "n", "m1", "m2", "sketch"],
+                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches))), pa.ListArray.from_arrays(pa.array(np.arange(0, SIGNS * len(n) + 1, SIGNS, dtype=np.int32)), pa.array(np.concatenate(signs)))],
+                    ["id", "n", "m1", "m2", "sketch", "sign"],
                 )
 
     return run
@@ -134,66 +153,80 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     ws = Workspace(spark, "minhash")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    base = ws.save(rows.mapInArrow(_sketches(shingle, k), "id long, n long, m1 long, m2 long, sketch array<long>"), "sketches")
+    base = ws.save(rows.mapInArrow(_sketches(shingle, k), "id long, n long, m1 long, m2 long, sketch array<long>, sign array<long>"), "sketches")
     classes = ws.save(base.filter("n > 0 and id is not null").groupBy("m1", "m2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = base.select("id", "n", "sketch").join(classes.select(F.col("rep").alias("id"), "n"), ["id", "n"])
 
     # inverted lists: the values that two classes or more have retained, for each class the rarest first
     postings = reps.select("id", "n", F.explode("sketch").alias("h"))
     shared = postings.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    s, c = F.least(F.col("n"), F.lit(k)), F.when(F.col("n") <= k * 8 // 10, F.expr("(n * 4 + 4) div 5")).otherwise(F.expr(f"(least(n, {k}) + 1) div 2"))
+    c = F.when(F.col("n") <= k * 8 // 10, F.expr("(n * 4 + 4) div 5")).otherwise(F.expr(f"(least(n, {k}) + 1) div 2"))
     own = W.partitionBy("id", "n")
     lists = (
         postings.join(shared, "h")
-        .withColumn("held", F.count("*").over(own))
+        .withColumns({"held": F.count("*").over(own), "common": F.sum(F.log2("df")).over(own)})
         .filter(F.col("held") >= c)
         .withColumn("at", F.row_number().over(own.orderBy("df", "h")))
         .filter(F.col("at") <= F.col("held") - c + 1)
-        .select("id", "n", "h")
+        .select("id", "n", "h", F.round("common", 6).alias("common"))
     )
     lists = ws.save(lists, "lists")
-    hubs = lists.groupBy("h").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), F.count("*").alias("len")).filter("len > 1")
+    hubs = lists.groupBy("h").agg(F.max(F.struct("common", F.negative("id").alias("id"))).alias("x"), F.count("*").alias("len")).filter("len > 1").select("h", F.negative("x.id").alias("hub"))
+    lists = ws.save(lists.join(hubs, "h").select("h", "id", "n", "hub"), "hubs")
+    sets = ws.save(rows.join(lists.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(shingle), "id long, grams array<long>"), "sets")
     near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    stars = lists.join(hubs, "h").filter((F.col("hub") != F.col("id")) & near(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-
-    sets: list[DataFrame] = []
 
-    def verified(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        """The pairs that the sketch of the union leaves and the full sets confirm."""
+    def checked(pairs: DataFrame) -> DataFrame:
+        """(a, b, both, na, nb, linked) of the pairs that the sketch of the union leaves, by the full sets."""
         sk = base.select("id", "sketch", "n").filter("n > 0")
         pairs = pairs.join(sk.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a").join(sk.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb")), "b")
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
         both = F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb")))
-        pairs = ws.save(pairs.filter(2 * both >= F.size(union)).select("a", "b", "na", "nb").distinct(), "pairs")
-        need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        if known is not None:
-            need = need.join(known.select("id"), "id", "left_anti")
-        full = ws.save(rows.join(need, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(shingle), "id long, grams array<long>"), "sets")
-        sets.append(full)
-        if known is not None:
-            full = full.union(known)
-        hold = pairs.join(full.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(full.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-        both = F.size(F.array_intersect("ga", "gb"))
-        links = hold.withColumn("both", both).filter(100 * F.col("both") >= percent * (F.size("ga") + F.size("gb") - F.col("both")))
-        links = ws.save(links.select("a", "b"), "links")
+        pairs = ws.save(pairs.filter((2 * both >= F.size(union)) & near(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb").distinct(), "pairs")
+        hold = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+        out = hold.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("both"))
+        out = ws.save(out.withColumn("linked", 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))), "checked")
         ws.drop(pairs)
-        return links
-
-    links = verified(stars, None)
-    first = connected_components(links, ws)
-
-    # what the stars leave open: members of one list in different components
-    member = lists.join(hubs.select("h", "hub"), "h").filter("hub <> id").join(first.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("c"))
-    member = ws.save(member, "members")
-    part = member.groupBy("h", "c").agg(F.count("*").alias("k"))
-    main = part.groupBy("h").agg(F.max(F.struct("k", "c")).alias("x"), F.count("*").alias("parts")).filter("parts > 1").select("h", F.col("x.c").alias("main"))
-    live = member.join(main, "h")
-    left = live.filter("c <> main").select("h", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("c").alias("c1"))
-    right = live.select("h", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("c").alias("c2"), "main")
-    rest = left.join(right, "h").filter((F.col("c1") != F.col("c2")) & near(F.col("n1"), F.col("n2")) & ((F.col("c2") == F.col("main")) | (F.col("a") < F.col("b"))))
-    more = verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets[0])
+        return out
+
+    star = checked(lists.filter("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    first = connected_components(star.filter("linked").select("a", "b"), ws)
+
+    # pairs of one list in different components
+    member = lists.join(first.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("c"))
+    part = member.groupBy("h", "c").agg(F.count("*").alias("m"))
+    main = part.groupBy("h").agg(F.max(F.struct("m", "c")).alias("x"), F.count("*").alias("parts")).filter("parts > 1").select("h", F.col("x.c").alias("main"))
+    live = ws.save(member.join(main, "h"), "live")
+    apart = star.filter("not linked")
+    hub_of = (
+        apart.select(F.col("b").alias("id"), F.col("a").alias("p"), "both", F.col("nb").alias("n"))
+        .union(apart.select("a", "b", "both", "na"))
+        .groupBy("id")
+        .agg(F.max(F.struct("both", "p", "n")).alias("x"))
+        .select("id", F.col("x.p").alias("p"), F.floor(F.col("x.both") * (100 + percent) / percent - F.col("x.n")).cast("long").alias("bound"))
+    )
+    whom = live.select("id", "c", "n").distinct().join(base.select("id", "n", "sign"), ["id", "n"])
+    whom = ws.save(whom.join(hub_of, "id", "left"), "whom")
+    outside = live.filter("c <> main").select("id").distinct().join(whom, "id")
+    outside = ws.save(outside, "outside")
+
+    def may(one: str, other: str):
+        """Whether sets of these rows can be linked, in different components."""
+        apart = sum((F.bit_count(F.col(f"{one}.sign")[i].bitwiseXOR(F.col(f"{other}.sign")[i])) for i in range(SIGNS)), F.lit(0))
+        n1, n2 = F.col(f"{one}.n"), F.col(f"{other}.n")
+        return (F.col(f"{one}.c") != F.col(f"{other}.c")) & near(n1, n2) & ((100 + percent) * apart <= (100 - percent) * (n1 + n2))
+
+    differ = outside.filter("p is not null").join(sets, "id").join(sets.select(F.col("id").alias("p"), F.col("grams").alias("hub_grams")), "p")
+    differ = ws.save(differ.select("id", F.explode(F.array_except("grams", "hub_grams")).alias("v")), "differ")
+    around = whom.select("id").join(sets, "id").select("id", F.explode("grams").alias("v")).join(differ.select("v").distinct(), "v", "left_semi")
+    apart_pairs = differ.join(outside, "id").alias("x").join(around.join(whom, "id").alias("y"), F.col("x.v") == F.col("y.v")).filter(may("x", "y"))
+    held = live.select("h", "id", "main")
+    again = held.join(outside, "id").filter("c <> main").alias("x").join(held.join(whom, "id").alias("y"), F.col("x.h") == F.col("y.h")).filter((F.col("y.n") <= F.coalesce("x.bound", "y.n")) & may("x", "y"))
+    apart_pairs, again = (t.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")) for t in (apart_pairs, again))
+    rest = apart_pairs.union(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = checked(rest).filter("linked").select("a", "b")
     final = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), ws)
-    ws.drop(*sets, member, lists)
+    ws.drop(sets, live, lists, outside, whom, differ)
 
     names = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("m1", "m2", "n", F.coalesce("component", "rep").alias("component"))
     whole = base.select("id", "n", "m1", "m2").join(names, ["m1", "m2", "n"], "left")
