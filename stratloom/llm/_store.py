@@ -48,3 +48,36 @@ class Workspace:
                 jvm = self.spark._jvm
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+ROWS_A_BATCH = 1000
+
+
+def mapped(fn, schema: str):
+    """``DataFrame.transform`` by ``fn`` over Arrow batches.  Batches have 1000 rows where the
+    session names no other number, since texts make them large, and a worker that has done its
+    partition gives memory back before it waits for the next one."""
+
+    def run(batches):
+        yield from fn(batches)
+        _release()
+
+    def apply(df: DataFrame) -> DataFrame:
+        conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if conf.get(key, None) is None:
+            conf.set(key, str(ROWS_A_BATCH))
+        return df.mapInArrow(run, schema)
+
+    return apply
+
+
+def _release() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a glibc
+        pass

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
+from ._store import mapped
 
 Q = 10
 WINDOW = 96
@@ -226,5 +227,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, start long, end long, edits long"
-    parts = [rows.mapInArrow(_search(spark.sparkContext.broadcast(ix)), schema) for ix in _blocks(benchmark, item_col, item_text_col)]
+    parts = [rows.transform(mapped(_search(spark.sparkContext.broadcast(ix)), schema)) for ix in _blocks(benchmark, item_col, item_text_col)]
     return reduce(DataFrame.union, parts)

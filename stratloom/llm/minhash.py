@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import _text as X
-from ._store import Workspace
+from ._store import Workspace, mapped
 
 _FACTORS = np.random.default_rng(77).integers(1 << 62, 1 << 63, 64, dtype=X.U) | X.U(1)
 
@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     ws = Workspace(spark, "minhash")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    base = ws.save(rows.mapInArrow(_sketches(shingle, k), "id long, n long, m1 long, m2 long, sketch array<long>, sign array<long>"), "sketches")
+    base = ws.save(rows.transform(mapped(_sketches(shingle, k), "id long, n long, m1 long, m2 long, sketch array<long>, sign array<long>")), "sketches")
     classes = ws.save(base.filter("n > 0 and id is not null").groupBy("m1", "m2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = base.select("id", "n", "sketch").join(classes.select(F.col("rep").alias("id"), "n"), ["id", "n"])
 
@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lists = ws.save(lists, "lists")
     hubs = lists.groupBy("h").agg(F.max(F.struct("common", F.negative("id").alias("id"))).alias("x"), F.count("*").alias("len")).filter("len > 1").select("h", F.negative("x.id").alias("hub"))
     lists = ws.save(lists.join(hubs, "h").select("h", "id", "n", "hub"), "hubs")
-    sets = ws.save(rows.join(lists.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(shingle), "id long, grams array<long>"), "sets")
+    sets = ws.save(rows.join(lists.select("id").distinct(), "id", "left_semi").transform(mapped(_sets(shingle), "id long, grams array<long>")), "sets")
     near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
     def checked(pairs: DataFrame) -> DataFrame:

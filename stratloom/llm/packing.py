@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import _text as X
-from ._store import Workspace
+from ._store import Workspace, mapped
 
 BUCKETS = 16
 
@@ -249,7 +249,7 @@ def pack(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, end: int = 0,
     spark = docs.sparkSession
     ws = Workspace(spark, "packing")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    pieces = rows.mapInArrow(_pieces(tokenizer, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    pieces = rows.transform(mapped(_pieces(tokenizer, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     # the bucket comes from the written row, so that counts and ranks agree whatever runs again
     bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")
     pieces = ws.save(pieces.withColumn("bucket", bucket), "pieces")
@@ -264,4 +264,4 @@ def pack(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, end: int = 0,
     ranked = pieces.withColumn("own", F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")))
     ranked = ranked.join(F.broadcast(base), ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("own") - 1)
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return ranked.mapInArrow(_place(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.transform(mapped(_place(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._boost import Trees
+from ._store import mapped
 from ._spans import digest, joined
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -258,7 +259,7 @@ def personal_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.transform(mapped(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -282,4 +283,4 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
             new = pa.array([clean(v.as_py()) for v in batch.column(at)], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at).name, new)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped(run, docs.schema))

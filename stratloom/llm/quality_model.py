@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import _text as X
 from ._boost import Trees
-from ._store import Workspace
+from ._store import Workspace, mapped
 from .quality_rules import rule_counts
 
 _GROUPS = {
@@ -134,9 +134,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     spark = docs.sparkSession
     ws = Workspace(spark, "quality")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    stats = ws.save(rows.mapInArrow(_stats, "id long, x array<double>"), "stats").withColumn("held_out", held_out(F.col("id")))
+    stats = ws.save(rows.transform(mapped(_stats, "id long, x array<double>")), "stats").withColumn("held_out", held_out(F.col("id")))
     marks = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     known = stats.filter("not held_out").join(marks, "id").orderBy(F.xxhash64("id"), "id").limit(max_rows).select("x", "y").toArrow()
     x = known["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(STATS)) if len(known) else np.zeros((0, len(STATS)))
     model = spark.sparkContext.broadcast(fit(x, known["y"].to_numpy().astype(float)))
-    return stats.select("id", "held_out", "x").mapInArrow(_predict(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
+    return stats.select("id", "held_out", "x").transform(mapped(_predict(model, threshold), "doc_id long, held_out boolean, score double, predicted int"))

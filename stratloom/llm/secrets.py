@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import mapped
 from ._spans import digest, joined
 
 KINDS = ("assign", "access", "hex")
@@ -226,7 +227,7 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     equal results; other columns aren't read; no rows give none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.transform(mapped(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"))
 
 
 def redacted(text: str | None, spans, mark: str = "[SECRET]") -> str | None:
@@ -255,4 +256,4 @@ def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]") -
             new = pa.array([redacted(t, scan(t)[1], mark) for t in (v.as_py() for v in batch.column(at))], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at).name, new)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped(run, docs.schema))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import Workspace
+from ._store import Workspace, mapped
 
 CONTEXT = 3e-5
 PAIR = 1e-5
@@ -286,7 +286,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ws = Workspace(spark, "suffix")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "kind int, key long, n long"
-    vocab = ws.save(rows.mapInArrow(_count_words(folds, fold), schema).groupBy("key").agg(F.sum("n").alias("n")), "words")
+    vocab = ws.save(rows.transform(mapped(_count_words(folds, fold), schema)).groupBy("key").agg(F.sum("n").alias("n")), "words")
     head = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types"), *(F.coalesce(F.sum((F.col("n") == k).cast("long")), F.lit(0)).alias(f"n{k}") for k in range(1, 5))).first()
     total, types = int(head["tokens"]), int(head["types"])
     root = Root(total, [head[f"n{k}"] for k in range(1, 5)], types)
@@ -302,7 +302,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def counted(pairs: np.ndarray | None, level: int, size: int) -> DataFrame:
         """Grows a level of the tree; gives its counts."""
         held = spark.sparkContext.broadcast((tree.symbols, pairs))
-        counts = rows.mapInArrow(_count_next(folds, fold, held), schema).groupBy("key").agg(F.sum("n").alias("n")).withColumn("ctx", F.shiftright("key", SHIFT))
+        counts = rows.transform(mapped(_count_next(folds, fold, held), schema)).groupBy("key").agg(F.sum("n").alias("n")).withColumn("ctx", F.shiftright("key", SHIFT))
         counts = ws.save(counts, f"level{level}")
         sums = counts.groupBy("ctx").agg(F.sum("n").alias("n")).toArrow()
         totals = np.zeros(size, np.float64)
@@ -321,7 +321,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         ws.drop(counted(tree.pairs, 1, len(pairs)))
 
     model = spark.sparkContext.broadcast((tree, words, np.log10(n + 1.0), root.log(n)))
-    scored = ws.save(rows.mapInArrow(_score(model), "row long, id long, h long, n long, known long, base double, score double"), "scored")
+    scored = ws.save(rows.transform(mapped(_score(model), "row long, id long, h long, n long, known long, base double, score double")), "scored")
     rare = scored.filter("h is not null").select("row", "h", "n").join(vocab.filter(F.col("n") <= bound).select(F.col("key").alias("h"), F.col("n").alias("c")), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rare = rare.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
