@@ -162,7 +162,7 @@ class SuffixTree:
         mass = np.clip(np.bincount(ctx, 10.0**below, len(total)), 0, 1 - 1e-9)
         rest, t = total - named, np.maximum(total, 1)
         gain = np.bincount(ctx, n * (np.log(n / t[ctx]) - np.log(10) * below), len(total))
-        gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / t / (1 - mass)), 0)
+        gain = gain + np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / t / (1 - mass)), 0)
         keep = (kinds > 0) & (gain > 0.5 * (kinds + 1) * np.log(np.maximum(total, 2)))
         if level == 1:
             keep &= self.state[0][self.pairs & ((1 << SHIFT) - 1)]
