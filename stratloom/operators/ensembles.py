@@ -34,7 +34,7 @@ def predict_folds(samples: DataFrame, features: Sequence[str], folds: int, kind:
     folds.  Medians for missing values come from the training rows; ``x, north, z`` are appended for
     RF_XYZ only."""
     cols = [*features, *(("x", "north", "z") if kind == "RF_XYZ" else ())]
-    data = samples
+    data = samples.select("node_id", "fold", "y", *cols).persist()  # read by every fit; an executor's loss costs a new scan
     parts = []
     for f in range(folds):
         train = F.col("fold") != f

@@ -7,6 +7,7 @@ driver and enters the plan as literal arrays; patterns are transformed by array
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -118,3 +119,19 @@ def design(df: DataFrame, base: str, static: Sequence[str], oriented: Sequence[s
 
 def feature_names(k: int, covariates: Sequence[str], oriented: Sequence[str] = ()) -> list[str]:
     return [f"{c}@({a},{b},{d})" for a, b, d in cube_offsets(k) for c in (*covariates, "mask")] + list(oriented)
+
+
+@dataclass(frozen=True)
+class Variant:
+    """Which parts a pattern design has: rotated copies in training, oriented statistics, window."""
+
+    kernel: int = 3
+    rotations: bool = True
+    oriented: bool = True
+
+    @property
+    def name(self) -> str:
+        return f"K{self.kernel}" + "_ROT" * self.rotations + "_ORI" * self.oriented
+
+    def turns(self) -> list[list[int]] | None:
+        return feature_rotations(self.kernel) if self.rotations else None

@@ -184,6 +184,17 @@ def inner_splits(role_rows: DataFrame, least_train: int = 10, least_valid: int =
     return ok.withColumn("_s", F.count("*").over(W.partitionBy("outer"))).filter(F.col("_s") >= least_splits).select("outer", "inner", "n_train", "n_valid")
 
 
+def inner_subfolds(blocks: np.ndarray, folds: int, outer: int, seed: int = 777) -> np.ndarray:
+    """Sub-fold of each training sample of an outer fold: whole blocks to the lightest sub-fold, or
+    rows at random if there are fewer blocks than sub-folds."""
+    rng = np.random.default_rng(seed + 1000 * outer)
+    names, n = np.unique(blocks, return_counts=True)
+    if len(names) < folds:
+        return rng.permutation(np.arange(len(blocks)) % folds)
+    fold = greedy_folds(dict(zip(names.tolist(), n.tolist(), strict=True)), folds, rng)
+    return np.array([fold[b] for b in blocks.tolist()])
+
+
 def random_split(df: DataFrame, key: str, share: float = 0.2, seed: int = 0) -> DataFrame:
     """Adds ``test`` for the share of rows with the smallest hash of key and seed."""
     return df.withColumn("test", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000)) < int(share * 10_000))

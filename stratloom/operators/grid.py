@@ -63,6 +63,13 @@ def index_axis(df: DataFrame, coord: str, out: str, digits: int | None = None) -
     return df.join(planes, "_v", "left").drop("_v")
 
 
+def unique_cells(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ("i", "j", "k")) -> DataFrame:
+    """One row per cell: of several the last in the given order; ``n_rows`` tells how many there were."""
+    rest = [c for c in df.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(*order))
+    return df.groupBy(*keys).agg(last.alias("_x"), F.count("*").alias("n_rows")).select(*keys, "_x.*", "n_rows")
+
+
 def scatter(df: DataFrame, offsets: Sequence[Offset], values: dict[str, Column], index: str | None = None) -> DataFrame:
     """Every cell once per offset, under the key of the cell that sees it there.  ``index`` names
     a column with the place of the offset (as the receiving cell counts it)."""

@@ -24,6 +24,20 @@ def rank_configs(scores: DataFrame, keys: Sequence[str], score: str = "score", i
     return scores.withColumn("rank", rank).withColumn("selected", F.col("rank") == 1)
 
 
+def dual_selection(scores: DataFrame, keys: Sequence[str], criteria: Sequence[str], id_col: str = "config_id") -> DataFrame:
+    """For each criterion (such as cross-validated and out-of-bag scores) its rank and whether it
+    selects the row; ties by id, failed rows last."""
+    for c in criteria:
+        rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.col(c).desc_nulls_last(), F.col(id_col)))
+        scores = scores.withColumn(f"rank_{c}", rank).withColumn(f"selected_{c}", F.col(f"rank_{c}") == 1)
+    return scores
+
+
+def fixed_design(scores: DataFrame, keys: Sequence[str], where: Column, score: str = "score", id_col: str = "config_id") -> DataFrame:
+    """The best row of each group among the configurations of one design."""
+    return best(scores.filter(where), keys, score, id_col)
+
+
 def best(df: DataFrame, keys: Sequence[str], score: str, id_col: str) -> DataFrame:
     """The row with the largest score of each group, the smallest id on ties."""
     first = F.row_number().over(W.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), F.col(id_col)))

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ensembles, features, forest, grid, kriging, metrics, reports
+from ..operators import boosting, ensembles, features, forest, grid, kriging, metrics, reports
 from ..sources import synthetic
 from . import lattice as L
 from .queries import COV, MODEL, query
@@ -155,3 +155,11 @@ def deploy_gls(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = kriging.GlsForest(MODEL, trees=6, depth=3).fit(s[list(COV)].to_numpy(float), s["dtr"].to_numpy(float), s[["x", "y", "z"]].to_numpy(float))
     nodes = L.cells(spark, sf_dir).filter("valid").select("node_id", "x", "y", "z", *COV)
     return kriging.deploy_gls(nodes, f, list(COV))
+
+
+@query()
+def xgb_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold accuracy of regularised second-order boosting."""
+    s = _support(spark, sf_dir).withColumnRenamed("y", "north").withColumnRenamed("dtr", "y")
+    p = boosting.predict_folds(s, COV, L.FOLDS, rounds=40, depth=3)
+    return metrics.scored(p.withColumn("method", F.lit("XGB")), ["method"])

@@ -632,6 +632,43 @@ def data_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.fingerprint(L.cells(spark, sf_dir), ["node_id"], ["n", "block"])
 
 
+@query(
+    with_(
+        L.SCORES + ", two AS (SELECT target, fold, config_id, score AS cv, CASE WHEN config_id % 5 = 0 THEN NULL ELSE round(-score * (config_id % 4), 6) END AS oob FROM scores)",
+        "SELECT *, rank_cv = 1 AS selected_cv, rank_oob = 1 AS selected_oob FROM (SELECT *, CAST(row_number() OVER (PARTITION BY target, fold ORDER BY cv DESC NULLS LAST, config_id) AS INT) AS rank_cv, CAST(row_number() OVER (PARTITION BY target, fold ORDER BY oob DESC NULLS LAST, config_id) AS INT) AS rank_oob FROM two)",
+    )
+)
+def dual_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    oob = F.when(F.col("config_id") % 5 != 0, F.round(-F.col("score") * (F.col("config_id") % 4), 6))
+    s = L.scores(spark, sf_dir).select("target", "fold", "config_id", F.col("score").alias("cv"), oob.alias("oob"))
+    return reports.dual_selection(s, ["target", "fold"], ["cv", "oob"])
+
+
+@query(with_(L.SCORES, "SELECT target, fold, config_id, a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY target, fold ORDER BY score DESC, config_id) AS r FROM scores WHERE a = 1) WHERE r = 1"))
+def fixed_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.fixed_design(L.scores(spark, sf_dir), ["target", "fold"], F.col("a") == 1)
+
+
+@query(with_(L.LONG + ", thin AS (SELECT * FROM long WHERE NOT (method = 'COL' AND node_id % 3 = 0) AND NOT (method = 'NBR' AND node_id % 5 = 0)), com AS (SELECT target, node_id FROM thin GROUP BY 1, 2 HAVING count(*) = 3)", f"SELECT 'native' AS support, target, method, {_ACC} FROM thin GROUP BY 2, 3 UNION ALL SELECT 'common', target, method, {_ACC} FROM thin SEMI JOIN com USING (target, node_id) GROUP BY 2, 3"))
+def support_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    thin = L.long(spark, sf_dir).filter("not (method = 'COL' and node_id % 3 = 0) and not (method = 'NBR' and node_id % 5 = 0)")
+    both = thin.groupBy("target", "node_id").agg(F.count("*").alias("c")).filter("c = 3").select("target", "node_id")
+    native = metrics.scored(thin, KEYS).withColumn("support", F.lit("native"))
+    common = metrics.scored(thin.join(both, ["target", "node_id"], "left_semi"), KEYS).withColumn("support", F.lit("common"))
+    return rounded(native.unionByName(common))
+
+
+@query(
+    """WITH t AS (SELECT CAST(l_partkey % 24 AS INT) AS i, CAST(CAST(l_quantity AS INT) % 20 AS INT) AS j, CAST(l_linenumber AS INT) AS k, l_orderkey AS o, l_suppkey AS p, l_extendedprice AS v FROM lineitem)
+    SELECT i, j, k, o, p, v, n_rows FROM (SELECT *, row_number() OVER (PARTITION BY i, j, k ORDER BY o DESC, p DESC, v DESC) AS r, count(*) OVER (PARTITION BY i, j, k) AS n_rows FROM t) WHERE r = 1"""
+)
+def unique_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        (F.col("l_partkey") % 24).cast("int").alias("i"), (F.col("l_quantity").cast("int") % 20).cast("int").alias("j"), F.col("l_linenumber").cast("int").alias("k"), F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("p"), F.col("l_extendedprice").alias("v")
+    )
+    return grid.unique_cells(t, ["o", "p", "v"])
+
+
 # --- coherence -------------------------------------------------------------------------------
 
 _NEAR = ", nb AS (SELECT f.target, f.node_id, f.v, g.v AS w FROM fields f, offsets o, fields g WHERE o.o <> 13 AND g.target = f.target AND g.i = f.i + o.a AND g.j = f.j + o.b AND g.k = f.k + o.c)"

@@ -237,3 +237,32 @@ def test_speck(spark):
 def test_isolated_cells_survive(spark):
     df = spark.createDataFrame([(1, 0, 0, 0, 1.0), (1, 9, 9, 9, 1.0)], "g int, i int, j int, k int, v double")
     assert sorted((r.support, r.n_near) for r in coherence.class_support(df, ["g"]).collect()) == [(1, 0), (1, 0)]
+
+
+def test_last_write_wins(spark):
+    df = spark.createDataFrame([(0, 0, 0, 1, 5.0), (0, 0, 0, 2, 7.0), (1, 0, 0, 1, 9.0)], "i int, j int, k int, t int, v double")
+    assert sorted((r.i, r.v, r.n_rows) for r in grid.unique_cells(df, ["t"]).collect()) == [(0, 7.0, 2), (1, 9.0, 1)]
+
+
+def test_inner_subfolds():
+    b = np.repeat([0, 1, 2, 3], 5)
+    f = folds.inner_subfolds(b, 2, 0)
+    assert all(len(set(f[b == x])) == 1 for x in range(4)) and np.bincount(f).tolist() == [10, 10]
+    assert np.bincount(folds.inner_subfolds(np.zeros(9, int), 3, 1)).tolist() == [3, 3, 3]
+
+
+def test_design_and_rotation_of_features(spark):
+    df = spark.createDataFrame([([float(v) for v in range(27)], 5.0)], "f array<double>, s double")
+    turned = {r.turn: r.f for r in features.rotate(df, "f", 3, 1).collect()}
+    assert turned[0] == [float(v) for v in range(27)] and sorted(turned[1]) == turned[0] and turned[1][13] == 13.0
+    assert features.design(df, "f", ["s"], []).first().x == [*map(float, range(27)), 5.0]
+
+
+def test_fidelity_measures(spark):
+    df = spark.createDataFrame([("m", i, float(i), float(i) / 2) for i in range(101)], "method string, node_id int, y_true double, y_pred double")
+    s = metrics.smoothing(df, ["method"]).first()
+    assert s.smoothing_ratio == pytest.approx(0.25) and s.slope == pytest.approx(2) and s.intercept == pytest.approx(0, abs=1e-9)
+    q = {r.q: r.error for r in metrics.quantile_errors(df, ["method"], (0.5, 0.9)).collect()}
+    assert q[0.5] == pytest.approx(-25) and q[0.9] == pytest.approx(-45)
+    sel = metrics.selectivity(df, ["method"], 5).orderBy("step").collect()
+    assert sel[0].cutoff == pytest.approx(2) and sel[-1].cutoff == pytest.approx(98) and sel[-1].share_true == pytest.approx(3 / 101) and sel[-1].mean_pred is None

@@ -137,3 +137,34 @@ def test_failed_configurations_rank_last(spark):
     out = forest.tune_folds(df, [{"trees_n": 3, "depth": 3, "least": 2, "mtry": "all"}, {"trees_n": 3, "depth": 3, "least": 2, "mtry": "what"}], 3).collect()
     assert {(r.config_id, r.status == "ok") for r in out} == {(0, True), (1, False)}
     assert all(r.score is None for r in out if r.config_id == 1)
+
+
+def test_boosting_fits_and_regularises():
+    from stratloom.operators.boosting import Boosted
+
+    rng = np.random.default_rng(6)
+    x = rng.random((400, 4))
+    y = np.sin(6 * x[:, 1]) + x[:, 3]
+    b = Boosted(rounds=80).fit(x[:300], y[:300])
+    assert forest.r2(y[300:], b.predict(x[300:])) > 0.9
+    flat = Boosted(rounds=80, gamma=1e9).fit(x, y)
+    assert all(len(t.feature) == 1 for t in flat.trees)
+    assert np.ptp(Boosted(rounds=5, l2=1e9).fit(x, y).predict(x)) < 1e-3
+
+
+def test_models_survive_a_table(spark, tmp_path):
+    from stratloom.sources import models
+
+    rng = np.random.default_rng(7)
+    x = rng.random((50, 135))
+    f = forest.VoxelForest(trees_n=4, depth=4, turns=features.feature_rotations(3)).fit(x, x[:, 3])
+    models.save(spark, str(tmp_path / "m"), {"a": f, "b": f})
+    back = models.from_table(spark.read.parquet(str(tmp_path / "m")), "a")
+    assert np.allclose(back.predict(x), f.predict(x))
+    with pytest.raises(KeyError):
+        models.from_table(spark.read.parquet(str(tmp_path / "m")), "c")
+
+
+def test_variants():
+    assert features.Variant().name == "K3_ROT_ORI" and features.Variant(rotations=False).turns() is None
+    assert len(features.feature_names(3, ("a",), ("s",))) == 55
