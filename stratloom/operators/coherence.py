@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import digitize
 from .grid import Offset, cube_offsets, face_offsets, scatter
 
 ALL = cube_offsets(3, centre=False)
@@ -45,7 +46,7 @@ def discordance(field: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def classes(v: Column, cuts: Sequence[Column]) -> Column:
     """Number of cuts at or below the value: right-open classes."""
-    return sum((F.when(v >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    return digitize(v, cuts)
 
 
 def class_support(field: DataFrame, keys: Sequence[str]) -> DataFrame:

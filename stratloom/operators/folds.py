@@ -8,7 +8,6 @@ layout and not by the data.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.scalars import digitize
+
 
 def block_edges(lo: float, hi: float, n: int, cell: float) -> list[float]:
     """n + 1 edges over [lo, hi]; inner ones at half cells, outer ones half a cell beyond."""
@@ -34,7 +35,7 @@ def auto_divisions(extents: Sequence[float], buffers: Sequence[float], folds: in
 
 def bin_of(col: Column, edges: Sequence[float]) -> Column:
     """Number of inner edges at or below the value, as right-open bins."""
-    return reduce(lambda a, e: a + F.when(col >= e, 1).otherwise(0), edges[1:-1], F.lit(0))
+    return digitize(col, edges[1:-1])
 
 
 def block_id(axes: Sequence[tuple[str, Sequence[float]]]) -> Column:

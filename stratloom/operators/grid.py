@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.scalars import nan_to_null
+
 Offset = tuple[int, int, int]
 
 
@@ -32,8 +34,7 @@ def missing_to_null(df: DataFrame, cols: Sequence[str], tokens: Sequence[str] =
 
     def one(c: str) -> Column:
         v = F.trim(F.col(c).cast("string"))
-        number = F.when(~F.lower(v).isin(*tokens), v).try_cast("double")
-        return F.when(~F.isnan(number), number)
+        return nan_to_null(F.when(~F.lower(v).isin(*tokens), v).try_cast("double"))
 
     return df.withColumns({c: one(c) for c in cols})
 

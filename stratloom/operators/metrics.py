@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.scalars import clip, erfc
+
 TINY = 1e-300
 
 
@@ -61,7 +63,7 @@ def balanced_error(df: DataFrame, keys: Sequence[str], truth: str, guess: str) -
 
 def entropy(probs: Column) -> Column:
     """Entropy of an array of probabilities over that of the uniform one; 0 for under two."""
-    h = F.aggregate(F.transform(probs, lambda p: F.least(F.greatest(p, F.lit(1e-12)), F.lit(1.0))), F.lit(0.0), lambda acc, p: acc - p * F.ln(p))
+    h = F.aggregate(F.transform(probs, lambda p: clip(p, 1e-12, 1.0)), F.lit(0.0), lambda acc, p: acc - p * F.ln(p))
     return F.when(F.size(probs) < 2, F.lit(0.0)).otherwise(h / F.ln(F.size(probs).cast("double")))
 
 
@@ -131,15 +133,8 @@ def signed_rank(pairs: DataFrame, keys: Sequence[str], diff: Column) -> DataFram
 
 
 def p_value(z: Column) -> Column:
-    """Two-sided p of a standard normal z by a rational approximation of erfc (error under 1.2e-7)."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.5 * x)
-    #: fixed values of the Chebyshev fit of erfc
-    c = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    poly = F.lit(c[-1])
-    for a in reversed(c[:-1]):
-        poly = a + t * poly
-    return t * F.exp(-x * x + poly)
+    """Two-sided p of a standard normal z."""
+    return erfc(F.abs(z) / F.sqrt(F.lit(2.0)))
 
 
 def exact_signed_rank_p(w: float, n: int) -> float:

@@ -23,7 +23,11 @@ BLOCKS = (3, 4, 2)
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per cell that has lines: indices, node_id, coordinates, raw values, covariates (null
     in voids and outside of the envelope) and responses (null off the drill traces)."""
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return cells_of(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def cells_of(line: DataFrame) -> DataFrame:
+    """The cells of a table or a stream of lines."""
     exact = lambda c: F.col(c).cast("decimal(18,2)")
     back = F.col("l_returnflag") == "R"
     grid = line.groupBy(
