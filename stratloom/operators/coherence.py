@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import digitize
 from .grid import Offset, cube_offsets, face_offsets, scatter
+from .lineage import settle
 
 ALL = cube_offsets(3, centre=False)
 
@@ -107,7 +108,8 @@ def components_of(cells: np.ndarray, offsets: Sequence[Offset]) -> np.ndarray:
 
 def connectivity(cells: DataFrame, keys: Sequence[str], connect: int = 6) -> DataFrame:
     """(keys, component, size) of the cells above a cut-off; one field and cut-off is one task, as
-    fields are independent and each is a grid that a model was deployed on."""
+    fields are independent and each is a grid that a model was deployed on.  Fields that outgrow
+    a task go through ``connectivity_tiled``."""
     offsets = face_offsets() if connect == 6 else ALL
     schema = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in keys) + ", component long, size long"
 
@@ -122,6 +124,45 @@ def connectivity(cells: DataFrame, keys: Sequence[str], connect: int = 6) -> Dat
     return cells.groupBy(*keys).applyInPandas(run, schema)
 
 
+def connectivity_tiled(cells: DataFrame, keys: Sequence[str], connect: int = 6, tile: int = 32) -> DataFrame:
+    """The same for fields of any size, as (keys, component, size) with components named by their
+    least cell.  Each tile of ``tile`` ** 3 cells is labelled in a task of its own; only cells at
+    the faces of tiles meet across them, and the graph of tile components, far smaller than the
+    field, is solved by rounds of stars."""
+    keys = list(keys)
+    offsets = face_offsets() if connect == 6 else ALL
+    tiles = [F.floor(F.col(a) / tile).alias(f"t{a}") for a in "ijk"]
+    typed = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in keys)
+
+    def local(part: pd.DataFrame) -> pd.DataFrame:
+        at = part[["i", "j", "k"]].to_numpy(np.int64)
+        label = components_of(at, offsets)
+        order = np.lexsort((at[:, 2], at[:, 1], at[:, 0]))
+        first = pd.Series(order).groupby(label[order]).first()
+        least = at[first.loc[label].to_numpy()]
+        return part[[*keys, "i", "j", "k"]].assign(label=[f"{a:010d}_{b:010d}_{c:010d}" for a, b, c in least + (1 << 30)])
+
+    marked = settle(cells.select(*keys, "i", "j", "k", *tiles).groupBy(*keys, "ti", "tj", "tk").applyInPandas(local, f"{typed}, i int, j int, k int, label string"))
+    inside = [F.pmod(F.col(a), F.lit(tile)) for a in "ijk"]
+    rim = marked.filter(F.greatest(*inside) == tile - 1).union(marked.filter((F.least(*inside) == 0) & (F.greatest(*inside) != tile - 1)))
+    sent = scatter(rim, offsets, {**{c: F.col(c) for c in keys}, "label": F.col("label")}).withColumnRenamed("label", "other")
+    edges = sent.join(rim, [*keys, "i", "j", "k"]).filter("label <> other").select(*keys, F.greatest("label", "other").alias("a"), F.least("label", "other").alias("b")).distinct()
+    now, seen = settle(edges), None
+    while True:
+        both = now.select(*keys, F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(*keys, "b", "a"))
+        least = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.filter("v > u").join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+        small = large.join(low, [*keys, "u"]).filter("v <> m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).union(low)
+        now = settle(small.select(*keys, F.col("u").alias("a"), F.col("v").alias("b")).distinct())
+        mark = now.agg(F.count("*"), F.expr(f"bit_xor(xxhash64({', '.join([*keys, 'a', 'b'])}))")).first()
+        if mark == seen:
+            break
+        seen = mark
+    sizes = marked.groupBy(*keys, "label").agg(F.count("*").alias("n"))
+    return sizes.join(now.withColumnRenamed("a", "label"), [*keys, "label"], "left").groupBy(*keys, F.coalesce("b", "label").alias("component")).agg(F.sum("n").alias("size"))
+
+
 def connectivity_stats(sizes: DataFrame, keys: Sequence[str], viable: int = 12) -> DataFrame:
     s = F.col("size")
     return sizes.groupBy(*keys).agg(

@@ -760,6 +760,12 @@ def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(coherence.connectivity_stats(coherence.connectivity(_above(spark, sf_dir, _LEVELS), keys), keys))
 
 
+@query(ORACLES["connectivity"])
+def connectivity_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["target", "level"]
+    return rounded(coherence.connectivity_stats(coherence.connectivity_tiled(_above(spark, sf_dir, _LEVELS), keys, tile=8), keys))
+
+
 @query("WITH RECURSIVE " + L.FIELDS + _components_sql(_cut_sql((0.8, 0.9)), False) + " SELECT target, level, least, count(*) FILTER (size >= least) AS n_viable, round(coalesce(sum(size) FILTER (size < least), 0) / sum(size), 6) AS frac_in_small FROM sizes, (SELECT unnest([2, 5, 12, 20]) AS least) GROUP BY 1, 2, 3")
 def size_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["target", "level"]

@@ -266,3 +266,12 @@ def test_fidelity_measures(spark):
     assert q[0.5] == pytest.approx(-25) and q[0.9] == pytest.approx(-45)
     sel = metrics.selectivity(df, ["method"], 5).orderBy("step").collect()
     assert sel[0].cutoff == pytest.approx(2) and sel[-1].cutoff == pytest.approx(98) and sel[-1].share_true == pytest.approx(3 / 101) and sel[-1].mean_pred is None
+
+
+@pytest.mark.parametrize("connect", [6, 26])
+def test_tiles_give_the_same_components(spark, connect):
+    rng = np.random.default_rng(connect)
+    at = np.argwhere(rng.random((14, 13, 12)) < (0.33 if connect == 6 else 0.1)) - 3
+    df = spark.createDataFrame([("f", *map(int, a)) for a in at], "g string, i int, j int, k int")
+    one = sorted(r.size for r in coherence.connectivity(df, ["g"], connect).collect())
+    assert sorted(r.size for r in coherence.connectivity_tiled(df, ["g"], connect, tile=4).collect()) == one and len(one) > 3
