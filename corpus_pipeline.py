@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratloom.llm._store import Workspace
+from stratloom.llm._store import Workspace, ids_side
 from stratloom.llm.decontaminate import leaks
 from stratloom.llm.minhash import near_duplicates
 from stratloom.llm.packing import pack
@@ -23,7 +23,8 @@ ORACLE_SQL = None
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose doc_id isn't among ids; a null id stays."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = Workspace(docs.sparkSession, "dropped").save(ids.select("doc_id").distinct(), "ids")
+    return docs.join(ids_side(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -51,6 +52,14 @@ class Workspace:
 
 
 ROWS_A_BATCH = 1000
+MOST_IDS = 2_000_000
+
+
+def ids_side(ids: DataFrame) -> DataFrame:
+    """One column of ids as a side of a join with texts: counted (so let it be a written table), and
+    broadcast up to MOST_IDS, some tens of MB, which spares the shuffle of the texts; beyond
+    that the join shuffles."""
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
 
 
 def mapped(fn, schema: str):

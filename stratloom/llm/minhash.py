@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import _text as X
-from ._store import Workspace, mapped
+from ._store import Workspace, ids_side, mapped
 
 _FACTORS = np.random.default_rng(77).integers(1 << 62, 1 << 63, 64, dtype=X.U) | X.U(1)
 
@@ -173,7 +173,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lists = ws.save(lists, "lists")
     hubs = lists.groupBy("h").agg(F.max(F.struct("common", F.negative("id").alias("id"))).alias("x"), F.count("*").alias("len")).filter("len > 1").select("h", F.negative("x.id").alias("hub"))
     lists = ws.save(lists.join(hubs, "h").select("h", "id", "n", "hub"), "hubs")
-    sets = ws.save(rows.join(lists.select("id").distinct(), "id", "left_semi").transform(mapped(_sets(shingle), "id long, grams array<long>")), "sets")
+    members = ws.save(lists.select("id").distinct(), "ids")
+    sets = ws.save(rows.join(ids_side(members), "id", "left_semi").transform(mapped(_sets(shingle), "id long, grams array<long>")), "sets")
     near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -226,7 +227,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = apart_pairs.union(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = checked(rest).filter("linked").select("a", "b")
     final = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), ws)
-    ws.drop(sets, live, lists, outside, whom, differ)
+    ws.drop(sets, live, lists, outside, whom, differ, members)
 
     names = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("m1", "m2", "n", F.coalesce("component", "rep").alias("component"))
     whole = base.select("id", "n", "m1", "m2").join(names, ["m1", "m2", "n"], "left")
