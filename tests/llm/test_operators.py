@@ -457,6 +457,8 @@ def test_structure():
     assert (lines, marked) == (["T", "ab c <d> © e", "f"], True)
     assert html_diff.lines('<nav>never closed <ul><li>x<article><p>text</article>') == (["text"], True)
     assert html_diff.lines("plain & simple") == (["plain & simple"], False)
+    assert html_diff.lines('<p class="ad">buy<b>now</b><p>one<ul class="x"><li class="promo">p<li>two</ul>') == (["one", "two"], False)
+    assert html_diff.lines('<div class="page no-sidebar"><p>kept</p><ol class="commentlist"><li>out</ol><div class="commentary">in</div></div>') == (["kept", "in"], False)
 
 
 def test_differencing_takes_the_frame(spark):
