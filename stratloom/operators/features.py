@@ -75,24 +75,24 @@ def decay_pack(k: int, cell: Sequence[float], axes: np.ndarray, ranges: Sequence
     return weights, masks
 
 
-def oriented_stats(values: Column, pack: tuple[list[float], list[list[int]]], name: str) -> dict[str, Column]:
-    """Weighted mean and variance of the voxel values, and those along each axis: eight columns.
-    ``values`` is an array of doubles in window order; variances subtract the mean first."""
+def oriented_stats(df: DataFrame, values: Column, pack: tuple[list[float], list[list[int]]], name: str) -> DataFrame:
+    """Adds the weighted mean and variance of the voxel values, and those along each axis: eight
+    columns.  ``values`` is an array of doubles in window order.  Means are columns before the
+    variances use them, so they are computed once a row."""
     weights, masks = pack
-
-    def moments(places: Sequence[int]) -> tuple[Column, Column]:
-        w = F.array(*(F.lit(weights[p]) for p in places))
-        at = F.array(*(F.lit(p) for p in places))
-        x = F.transform(at, lambda p: F.get(values, p))
-        total = float(sum(weights[p] for p in places))
-        mean = F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) / total
-        var = F.aggregate(F.zip_with(x, w, lambda a, b: (a - mean) * (a - mean) * b), F.lit(0.0), lambda s, v: s + v) / total
-        return mean, var
-
-    out = {}
-    for part, places in zip(("all", "major", "semi", "minor"), (range(len(weights)), *masks), strict=True):
-        out[f"{name}_{part}_mean"], out[f"{name}_{part}_var"] = moments(list(places))
-    return out
+    parts = dict(zip(("all", "major", "semi", "minor"), (list(range(len(weights))), *masks), strict=True))
+    total = {p: float(sum(weights[v] for v in places)) for p, places in parts.items()}
+    w = {p: F.array(*(F.lit(weights[v]) for v in places)) for p, places in parts.items()}
+    df = df.withColumn("_all", values)
+    df = df.withColumns({f"_{p}": F.transform(F.array(*(F.lit(v) for v in places)), lambda v: F.get(F.col("_all"), v)) for p, places in parts.items() if p != "all"})
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    df = df.withColumns({f"{name}_{p}_mean": add(F.zip_with(f"_{p}", w[p], lambda a, b: a * b)) / total[p] for p in parts})
+
+    def variance(p: str) -> Column:
+        mean = F.col(f"{name}_{p}_mean")
+        return add(F.zip_with(f"_{p}", w[p], lambda a, b: (a - mean) * (a - mean) * b)) / total[p]
+
+    return df.withColumns({f"{name}_{p}_var": variance(p) for p in parts}).drop(*(f"_{p}" for p in parts))
 
 
 def log_standardise(df: DataFrame, cols: Sequence[str], train: Column) -> DataFrame:

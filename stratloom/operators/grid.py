@@ -8,10 +8,13 @@ offsets are a literal array of k ** 3 structs, so no join and no densified box i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.scalars import nan_to_null
@@ -132,28 +135,36 @@ def idw_weights(k: int, cell: tuple[float, float, float], power: float = 2.0, ep
 
 def fill_idw(patterns: DataFrame, covariates: Sequence[str], k: int, cell: tuple[float, float, float]) -> DataFrame:
     """Adds ``filled``: for each of the k ** 3 voxels a struct (o, missing, covariates), those of
-    missing voxels interpolated from the valid ones of the window by inverse distance."""
-    weights = F.array(*(F.array(*(F.lit(w) for w in row)) for row in idw_weights(k, cell)))
-    good = F.filter("vox", lambda v: v["valid"])
-    df = patterns.withColumns({"_good": good, "_w": weights})
-    df = df.withColumn("_at", F.transform(F.col("_good"), lambda v: v["o"]))
-
-    def voxel(o: Column) -> Column:
-        place = F.array_position(F.col("_at"), o).cast("int")
-
-        def mean(c: str) -> Column:
-            pair = F.aggregate(
-                F.col("_good"),
-                F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")),
-                lambda acc, v: F.struct((acc["s"] + F.element_at(F.element_at(F.col("_w"), o + 1), v["o"] + 1) * v[c]).alias("s"), (acc["w"] + F.element_at(F.element_at(F.col("_w"), o + 1), v["o"] + 1)).alias("w")),
-                lambda acc: acc["s"] / F.greatest(acc["w"], F.lit(1e-12)),
-            )
-            return F.when(place > 0, F.get(F.col("_good"), place - 1)[c]).otherwise(pair).alias(c)
-
-        return F.struct(o.alias("o"), (place == 0).cast("int").alias("missing"), *(mean(c) for c in covariates))
-
-    places = F.sequence(F.lit(0), F.lit(k**3 - 1))
-    return df.withColumn("filled", F.transform(places, voxel)).drop("_good", "_w", "_at")
+    missing voxels interpolated from the valid ones of the window by inverse distance.
+
+    A window is a product with the k ** 3 by k ** 3 weights, which array functions would evaluate
+    pair by pair without generated code; so this runs over Arrow batches."""
+    weights = np.array(idw_weights(k, cell))
+    names, size = list(covariates), k**3
+    voxel = T.StructType([T.StructField("o", T.IntegerType()), T.StructField("missing", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in names)])
+    schema = T.StructType([*patterns.schema.fields, T.StructField("filled", T.ArrayType(voxel))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vox = batch.column(batch.schema.get_field_index("vox"))
+            n, inner = len(batch), vox.flatten()
+            row = np.repeat(np.arange(n), np.diff(vox.offsets.to_numpy()))
+            place, good = inner.field("o").to_numpy(), inner.field("valid").to_numpy(zero_copy_only=False)
+            row, place = row[good], place[good]
+            there = np.zeros((n, size))
+            there[row, place] = 1
+            total = np.maximum(there @ weights.T, 1e-12)
+            cols = []
+            for c in names:
+                own = np.zeros((n, size))
+                own[row, place] = inner.field(c).to_numpy(zero_copy_only=False)[good]
+                cols.append(pa.array(np.where(there == 1, own, own @ weights.T / total).ravel()))
+            parts = [pa.array(np.tile(np.arange(size, dtype=np.int32), n)), pa.array((there == 0).ravel().astype(np.int32)), *cols]
+            ends = pa.array(np.arange(0, n * size + 1, size, dtype=np.int32))
+            filled = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, ["o", "missing", *names]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, filled], [*batch.schema.names, "filled"])
+
+    return patterns.mapInArrow(run, schema)
 
 
 def flatten_patterns(filled: DataFrame, covariates: Sequence[str]) -> DataFrame:

@@ -196,7 +196,7 @@ _STAT_NAMES = [f"fe_{p}_{m}" for p in ("all", "major", "semi", "minor") for m in
 
 def _oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = F.transform("filled", lambda v: v["fe"])
-    return _filled(spark, sf_dir).select("i", "j", "k", *(c.alias(n) for n, c in features.oriented_stats(values, _PACK, "fe").items()))
+    return features.oriented_stats(_filled(spark, sf_dir), values, _PACK, "fe").select("i", "j", "k", *_STAT_NAMES)
 
 
 @query(with_(_FILL + _PACK_SQL + _STATS_SQL, "SELECT i, j, k, " + ", ".join(f"round({n}, 6) AS {n}" for n in _STAT_NAMES) + " FROM stats"))
