@@ -21,12 +21,14 @@ def clip(c: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
 
 
+#: Fixed values of a Chebyshev fit of the complementary error function, within 1.2e-7.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
 def erfc(x: Column) -> Column:
-    """Complementary error function of a non-negative value, within 1.2e-7."""
+    """Complementary error function of a non-negative value."""
     t = 1 / (1 + 0.5 * x)
-    #: fixed values of the Chebyshev fit
-    c = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    poly = F.lit(c[-1])
-    for a in reversed(c[:-1]):
+    poly = F.lit(ERFC[-1])
+    for a in reversed(ERFC[:-1]):
         poly = a + t * poly
     return t * F.exp(-x * x + poly)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ERFC
 from ..operators import coherence, features, folds, grid, joins, kriging, metrics, reports
 from ..sources import readers
 from . import lattice as L
@@ -486,12 +487,25 @@ def wilcoxon_w(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_wilcoxon(spark, sf_dir))
 
 
-@query()
+def _erfc_sql(x: str) -> str:
+    t = f"(1 / (1 + 0.5 * {x}))"
+    poly = f"CAST({ERFC[-1]!r} AS DOUBLE)"
+    for a in reversed(ERFC[:-1]):
+        poly = f"(CAST({a!r} AS DOUBLE) + {t} * {poly})"
+    return f"{t} * exp(-{x} * {x} + {poly})"
+
+
+@query(
+    with_(
+        L.LONG + _WILC + ", zs AS (SELECT *, (least(w_plus, w_minus) - n_diff * (n_diff + 1.0) / 4) / sqrt(n_diff * (n_diff + 1.0) * (2 * n_diff + 1.0) / 24 - t / 48) AS z FROM w), xs AS (SELECT *, abs(z) / sqrt(2) AS x FROM zs), ps AS (SELECT *, " + _erfc_sql("x") + " AS p FROM xs)",
+        "SELECT target, method_a, method_b, n_diff, w_plus, w_minus, round(z, 6) AS z, round(p, 6) AS p, CASE WHEN p < 0.05 THEN CASE WHEN w_plus < w_minus THEN method_a ELSE method_b END END AS better FROM ps",
+    )
+)
 def wilcoxon_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sided p and the method with the smaller errors where p is under 0.05."""
     w = _wilcoxon(spark, sf_dir).withColumn("p", metrics.p_value(F.col("z")))
     better = F.when(F.col("w_plus") < F.col("w_minus"), F.col("method_a")).otherwise(F.col("method_b"))
-    return w.withColumn("better", F.when(F.col("p") < 0.05, better))
+    return rounded(w.withColumn("better", F.when(F.col("p") < 0.05, better)))
 
 
 _TAU = f", per AS (SELECT target, fold, method, sqrt(avg(power(y_true - y_pred, 2))) AS rmse, avg(abs(y_true - y_pred)) AS mae FROM long GROUP BY 1, 2, 3), pairs AS (SELECT a.target, a.fold, sign(round(a.rmse, 6) - round(b.rmse, 6)) AS s1, sign(round(a.mae, 6) - round(b.mae, 6)) AS s2 FROM per a JOIN per b ON a.target = b.target AND a.fold = b.fold AND a.method < b.method)"
