@@ -27,6 +27,7 @@ from ._store import mapped
 
 Q = 10
 WINDOW = 96
+STRIDE = 16
 RATE = 16  # an edit for so many bytes
 LEAST = 32
 BLOCK_BYTES = 8 << 20
@@ -65,7 +66,7 @@ class Index:
             own: list[tuple[int, int, int, int]] = []
             if size >= LEAST:
                 w = min(WINDOW, size)
-                for s in sorted({*range(0, size - w + 1, max(1, w // 2)), size - w}):
+                for s in sorted({*range(0, size - w + 1, STRIDE), size - w}):
                     e = w // RATE
                     own.append((s, s + w, e, max(1, w - Q + 1 - Q * e)))
                 g = qgrams(np.frombuffer(raw, np.uint8))
@@ -84,7 +85,10 @@ class Index:
         # of each window: item, first and last place of its q-grams, bound
         flat = [(i, s, e - Q, t, k, b) for i, own in enumerate(self.windows) for k, (s, e, b, t) in enumerate(own)]
         self.flat = np.array(flat, np.int64).reshape(-1, 6)
-        self.start = np.searchsorted(self.flat[:, 0], np.arange(len(texts) + 1))
+        # the windows that each listed q-gram lies in: a run, as windows stand in order
+        wide = np.int64(max(map(len, self.texts), default=0) + 1)
+        self.low = np.searchsorted(self.flat[:, 0] * wide + self.flat[:, 2], self.item * wide + self.place)
+        self.many = np.searchsorted(self.flat[:, 0] * wide + self.flat[:, 1], self.item * wide + self.place, "right") - self.low
 
     def bands(self, text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document, window, lowest and highest diagonal) of the bands that meet the bound."""
@@ -105,32 +109,21 @@ class Index:
             return
         entry = np.repeat(self.first[k] - (total - n), n) + np.arange(total[-1])
         at, doc = np.repeat(at, n), np.repeat(doc, n)
-        item, place = self.item[entry], self.place[entry]
-        # each place lies in a few windows of its item
-        spread = int(np.diff(self.start).max(initial=0))
-        for k in range(min(spread, 1 << 20)):
-            w = self.start[item] + k
-            ok = w < self.start[item + 1]
-            if not ok.any():
-                return
-            w = np.minimum(w, len(self.flat) - 1)
-            ok &= (self.flat[w, 1] <= place) & (place <= self.flat[w, 2])
-            if not ok.any():
-                continue
-            wi, di, diag = w[ok], doc[ok], at[ok] - place[ok]
-            width = 2 * (self.flat[wi, 5] + 1)
-            for half in (0, 1):
-                band = (diag + half * width // 2) // width
-                key = np.stack([wi, di, band], 1)
-                order = np.lexsort((band, di, wi))
-                key = key[order]
-                new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
-                size = np.diff(np.append(new, len(key)))
-                full = size >= self.flat[key[new, 0], 3]
-                for wj, d, b in key[new[full]].tolist():
-                    width_j = 2 * (int(self.flat[wj, 5]) + 1)
-                    low = b * width_j - half * width_j // 2
-                    yield d, wj, low, low + width_j - 1
+        diag, low, many = at - self.place[entry], self.low[entry], self.many[entry]
+        ends = np.cumsum(many)
+        wi = np.repeat(low - (ends - many), many) + np.arange(ends[-1])
+        di, diag = np.repeat(doc, many), np.repeat(diag, many)
+        width = 2 * (self.flat[wi, 5] + 1)
+        for half in (0, 1):
+            band = (diag + half * width // 2) // width
+            order = np.lexsort((band, di, wi))
+            w, d, b = wi[order], di[order], band[order]
+            new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (d[1:] != d[:-1]) | (b[1:] != b[:-1])))
+            full = np.diff(np.append(new, len(w))) >= self.flat[w[new], 3]
+            for wj, dj, bj in zip(w[new][full].tolist(), d[new][full].tolist(), b[new][full].tolist(), strict=True):
+                width_j = 2 * (int(self.flat[wj, 5]) + 1)
+                low_j = bj * width_j - half * width_j // 2
+                yield dj, wj, low_j, low_j + width_j - 1
 
     def verify(self, text: bytes, start: int, end: int, w: int, low: int, high: int) -> tuple[int, int, int] | None:
         """(start, end, edits) of the best alignment of window w in text[start:end] near the
@@ -219,7 +212,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     the most of any window of the stretch.  Clean documents have no row.
 
     A stretch counts from a window of ``WINDOW`` bytes (the whole item if that is shorter) with
-    an edit for every ``RATE`` bytes at most; items under ``LEAST`` bytes can't be told from
+    an edit for every ``RATE`` bytes at most; windows begin every ``STRIDE`` bytes, so any
+    ``WINDOW + STRIDE - 1`` bytes of an item hold one; items under ``LEAST`` bytes can't be told from
     chance and aren't searched.  Null or empty texts and items give nothing; a null item id
     isn't searched; a null doc_id stays null; repeated rows get equal results; other columns
     aren't read; an empty table gives no rows.

@@ -203,6 +203,18 @@ def test_leaks_are_found_and_clean_texts_left(spark, sf_dir, texts):
         assert 0 <= r.start < r.end <= len(planted[r.doc_id][0])
 
 
+def test_excerpts_are_found(spark, sf_dir):
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    cut = {}
+    for i, t in items.items():
+        raw = t.encode()
+        if len(raw) > 150:
+            a = (i * 7) % (len(raw) - decontaminate.WINDOW - decontaminate.STRIDE)
+            cut[i] = "x y z " + raw[a : a + decontaminate.WINDOW + decontaminate.STRIDE + 2].decode("utf-8", "ignore") + " w"
+    got = decontaminate.leaks(spark.createDataFrame(list(cut.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert {r.doc_id for r in got.collect() if r.doc_id == r.item_id} == set(cut) and len(cut) > 10
+
+
 def test_exact_passages_equal_search(spark, documents, sf_dir, texts):
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = {r.item_id: r.text for r in b.collect()}
@@ -295,10 +307,11 @@ def test_span_digest(spark):
 # --- packing ---
 
 
-def test_tokens_equal_the_tokenizer(texts):
+@pytest.mark.parametrize("most", [1 << 20, 100])
+def test_tokens_equal_the_tokenizer(texts, most):
     extra = ["", " ", "It's <|endoftext|> x<|startoftext|>y <|ENDOFTEXT|>", "ΣΑΣ é  ́a.́ b\x1cd\x85e", "don't 'S 'RE 12ab\x00c a.b,c 'll-x", "ﬁ İstanbul ǅ é.è,ß!ÿ?×.÷,", "日本語テスト한국어。", "a|b <| |> ||"]
     t = [*texts.values(), *extra]
-    tokens = packing.WordTokens(tokenizer_path("word_bpe_49k.json"))
+    tokens = packing.WordTokens(tokenizer_path("word_bpe_49k.json"), most)
     offsets, raw = _text.buffers(pa.array(t))
     got = []
     for i, j in _text.slices(offsets, 100_000):
