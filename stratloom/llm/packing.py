@@ -15,6 +15,7 @@ filled by the pair with the largest sum.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -126,7 +127,7 @@ class WordTokens:
 
     The tokenizer's rules never reach over ASCII white space or the places of ``_cuts``, so a
     text's ids are those of its words in a row.  A distinct word goes through the tokenizer
-    once in a task, as long as fewer than ``most`` are held.  Words of letters alone make one
+    once in a worker, whose later tasks find it here, as long as fewer than ``most`` are held.  Words of letters alone make one
     pre-token each and go in long strings; a token that ends one carries the end mark."""
 
     def __init__(self, path: str, most: int = 1 << 20):
@@ -201,9 +202,14 @@ class WordTokens:
         return flat[take], total[bounds]
 
 
+@functools.lru_cache(maxsize=1)
+def worker_tokens(path: str) -> WordTokens:
+    return WordTokens(path)
+
+
 def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(path)
+        tokens = worker_tokens(path)
         for batch in batches:
             offsets, raw = X.buffers(batch.column(1))
             for i, j in X.slices(offsets):
