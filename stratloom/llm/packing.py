@@ -130,7 +130,7 @@ class WordTokens:
     once in a worker, whose later tasks find it here, as long as fewer than ``most`` are held.  Words of letters alone make one
     pre-token each and go in long strings; a token that ends one carries the end mark."""
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, most: int = 1 << 19):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
