@@ -8,12 +8,18 @@ its own size explains; a text's next word is scored by the longest state that en
 A state names the next words that it has seen often; all others get the suffix state's
 probability, scaled to the mass that is left.  So every distribution sums to one.
 
-What can be a context, and what a state names, are words with a share of ``CONTEXT`` of all
-tokens at least, contexts of two words with a share of ``PAIR``, and named words with a
-share of ``ENTRY`` in their context: the tree has a bounded size whatever the corpus, and only
-it is broadcast.  The counts of words grow with the corpus and stay in Spark; words with
-more than the share ``SHARE`` (fewer than 1 / ``SHARE``) are looked up in the tasks, all others
-meet their counts in a join on the word's hash, where no key holds more than that share.
+What can be a context is a word that was seen twice or a pair seen ``PAIR`` times, and a
+state names what it saw twice; no share of the corpus bounds them, so the tree grows with
+it.  It is kept in Spark tables by 64-bit hashes.  A word's log probability is the sum
+
+    root(c) + scale(b) + step(b, c) + scale(a, b) + step(a, b, c)
+
+after a and b, where a scale is 0 without that state and a step is 0 without that entry,
+so a text's score is a sum over its words, pairs and triples, each looked up on its own.
+Keys with more than the share ``SHARE`` of all tokens are looked up in the tasks (fewer than
+1 / ``SHARE`` of each length), all others meet their values in a join on the hash, where no
+key holds more than that share.  Bitmaps of bounded size keep most keys without a value out
+of the shuffles; they let through more, never less, than they have to.
 """
 
 from __future__ import annotations
@@ -29,14 +35,12 @@ from pyspark.sql import functions as F
 from . import _text as X
 from ._store import Workspace, mapped
 
-CONTEXT = 3e-5
-PAIR = 1e-5
-ENTRY = 1e-6
+PAIR = 8
 SHARE = 1e-6
 BLOCK = 4 << 20
 END = X.mix(np.array([X.U(0x656E64)]))[0]
-START = X.mix(np.array([X.U(0x73746172)]))[0]
 SHIFT = 20
+SIEVE = 27
 
 
 def held_out_ids(col: pa.Array, folds: int, fold: int) -> np.ndarray:
@@ -59,16 +63,39 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.insert(h, bounds[1:], END), bounds + np.arange(len(offsets))
 
 
-def contexts(code: np.ndarray, bounds: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the word before, and of the one before that; ``start`` before a text."""
-    one = np.empty_like(code)
-    two = np.empty_like(code)
-    one[1:], two[2:] = code[:-1], code[:-2]
-    one[bounds[:-1]] = start
-    two[bounds[:-1]] = start
-    second = bounds[:-1] + 1
-    two[second[second < bounds[1:]]] = start
-    return one, two
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in their order."""
+    return X.mix(X.mix(a) * X.U(0x9E3779B97F4A7C15) + b)
+
+
+def pairs_of(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each word, and a hash of both; ``END`` stands before a text."""
+    one = np.empty_like(h)
+    one[1:] = h[:-1]
+    one[bounds[:-1]] = END
+    return one, paired(one, h)
+
+
+def triples_of(pair: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that have a pair before them, that pair, and a hash of the triple."""
+    inner = np.ones(len(pair), bool)
+    inner[bounds[:-1]] = False
+    at = np.flatnonzero(inner)
+    return at, pair[at - 1], paired(pair[at - 1], pair[at])
+
+
+def sieve(keys: DataFrame, col: str) -> np.ndarray:
+    """A bitmap of the first ``SIEVE`` bits of the keys."""
+    place = F.shiftrightunsigned(col, 64 - SIEVE)
+    rows = keys.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({col}, {64 - SIEVE}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (SIEVE - 6), np.int64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(X.U)
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys >> X.U(64 - SIEVE)
+    return (bits[(place >> X.U(6)).astype(np.int64)] >> (place & X.U(63))) & X.U(1) > 0
 
 
 class Tally:
@@ -115,30 +142,67 @@ def _count_words(folds: int, fold: int):
     return run
 
 
-def _count_next(folds: int, fold: int, held):
-    """Counts of (context, next word) by codes: of one word, or of the given pairs."""
+def _counted(key: np.ndarray, first: np.ndarray, second: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    _, at, n = np.unique(key, return_index=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(first[at].view(np.int64)), pa.array(second[at].view(np.int64)), pa.array(n.astype(np.int64))], names)
+
+
+def _count_pairs(folds: int, fold: int):
+    """(a, b, n): b came n times after a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, pairs = held.value
-        start, other = len(symbols), (1 << SHIFT) - 1
-        tally = Tally(1 if pairs is None else 2)
         for h, bounds, train in _training(folds, fold, batches):
-            code = find(symbols, h)
-            one, two = contexts(code, bounds, start)
-            use = train & (one >= 0)
-            ctx = one
-            if pairs is not None:
-                use &= two >= 0
-                ctx = np.where(use, find(pairs, (two << SHIFT) | one), -1)
-                use &= ctx >= 0
-            yield from tally.add((ctx[use] << SHIFT) | np.where(code[use] < 0, other, code[use]))
-        yield from tally.flush()
+            one, pair = pairs_of(h, bounds)
+            yield _counted(pair[train], one[train], h[train], ["a", "b", "n"])
 
     return run
 
 
+def _count_triples(folds: int, fold: int, held):
+    """(p, q, n): the pair q, but for its first word, came n times after the pair p."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for h, bounds, train in _training(folds, fold, batches):
+            pair = pairs_of(h, bounds)[1]
+            at, before, triple = triples_of(pair, bounds)
+            use = train[at] & passes(bits, before)
+            yield _counted(triple[use], before[use], pair[at[use]], ["p", "q", "n"])
+
+    return run
+
+
+def _hashed(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Appends the hash of the first two columns."""
+    for batch in pairs:
+        a, b = (batch.column(i).to_numpy(zero_copy_only=False).view(X.U) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paired(a, b).view(np.int64))], [*batch.schema.names, "key"])
+
+
+def _states(entries: DataFrame, ctx: str) -> DataFrame:
+    """(ctx, weight, scale) of the contexts that diverge from their suffix state; entries
+    have ``n``, the context's ``t`` and the log10 probability ``below`` of the suffix state."""
+    s = entries.groupBy(ctx).agg(
+        F.count("*").alias("kinds"),
+        F.sum("n").alias("named"),
+        F.max("t").alias("t"),
+        F.least(F.sum(F.pow(F.lit(10.0), F.col("below"))), F.lit(1 - 1e-9)).alias("mass"),
+        F.sum(F.col("n") * (F.log(F.col("n") / F.col("t")) - float(np.log(10)) * F.col("below"))).alias("gain"),
+    )
+    rest, left = F.col("t") - F.col("named"), 1 - F.col("mass")
+    gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / F.col("t") / left)).otherwise(0.0)
+    weight = F.col("kinds") + 1.0  # of the suffix state's distribution
+    return s.filter(gain > 0.5 * weight * F.log(F.greatest(F.col("t"), F.lit(2)))).select(ctx, weight.alias("weight"), F.log10((rest / left + weight) / (F.col("t") + weight)).alias("scale"))
+
+
+def _named():
+    """log10 probability of an entry in its state."""
+    return F.log10((F.col("n") + F.col("weight") * F.pow(F.lit(10.0), F.col("below"))) / (F.col("t") + F.col("weight")))
+
+
 class SuffixTree:
-    """States of one and two words over a root.  ``root``: log10 probabilities of the symbols.
+    """The tree of a small corpus in memory, against which the tables are held: states of one
+    and two words over a root.  ``root``: log10 probabilities of the symbols.
     Each level has sorted contexts with the log10 scale of what they don't name, and sorted
     (context, symbol) keys with log10 probabilities."""
 
@@ -227,17 +291,17 @@ class Root:
         return F.when(c > 0, F.log10((c - cut) / float(self.total))).otherwise(F.lit(self.unknown))
 
 
-_NAMES = ["row", "id", "h", "n", "known", "base", "score"]
+_NAMES = ["row", "id", "h", "n", "word", "known", "base", "score"]
 
 
 def _score(model):
-    """A row for each text, and one for each of its distinct words that isn't held here."""
+    """A row for each text, and one for each of its distinct words, pairs and triples that
+    isn't held here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tree, common, base, root = model.value
-        start = len(tree.symbols)
+        common, is_word, base, value, bits = model.value
         row = TaskContext.get().partitionId() << 40  # both kinds of rows of a text are written by one task
         for batch in batches:
             offsets, raw = X.buffers(batch.column(1))
@@ -245,25 +309,24 @@ def _score(model):
             for i, j in X.slices(offsets, BLOCK):
                 docs = j - i
                 h, bounds = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                code = find(tree.symbols, h)
-                one, two = contexts(code, bounds, start)
-                score = tree.score(code, one, two)
-                at = find(common, h)
-                known = at >= 0
-                place = np.maximum(at, 0)
-                score = np.where((code < 0) & known, score + (root[place] if len(root) else 0.0), score)
-                held = np.where(known, base[place] if len(base) else 0.0, 0.0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(docs, dtype=np.int64) + row), ids.slice(i, docs), pa.nulls(docs, pa.int64()), pa.array(np.diff(bounds)), pa.array(X.per_doc(known.astype(np.int64), bounds)), pa.array(X.per_doc(held, bounds)), pa.array(X.per_doc(score, bounds))],
-                    _NAMES,
-                )
-                rare = np.flatnonzero(~known)
-                doc = np.repeat(np.arange(docs), np.diff(bounds))[rare]
-                order = np.lexsort((h[rare], doc))
-                doc, own = doc[order], h[rare][order].view(np.int64)
-                first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
-                m = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[first] + row), pa.nulls(m, pa.int64()), pa.array(own[first]), pa.array(np.diff(np.append(first, len(own)))), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], _NAMES)
+                sizes = np.diff(bounds)
+                doc = np.repeat(np.arange(docs), sizes)
+                pair = pairs_of(h, bounds)[1]
+                at, _, triple = triples_of(pair, bounds)
+                sums = np.zeros((3, docs))
+                for keys, own, word in ((h, doc, True), (pair, doc, False), (triple, doc[at], False)):
+                    k = find(common, keys)
+                    held = k >= 0
+                    for out, values in zip(sums, (is_word, base, value), strict=True):
+                        out += np.bincount(own[held], values[k[held]], docs)
+                    rare = ~held if word else ~held & passes(bits, keys)
+                    keys, own = keys[rare], own[rare]
+                    order = np.lexsort((keys, own))
+                    keys, own = keys[order].view(np.int64), own[order]
+                    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+                    m = len(first)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[first] + row), pa.nulls(m, pa.int64()), pa.array(keys[first]), pa.array(np.diff(np.append(first, len(keys)))), pa.array(np.full(m, word)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(docs, dtype=np.int64) + row), ids.slice(i, docs), pa.nulls(docs, pa.int64()), pa.array(sizes), pa.nulls(docs, pa.bool_()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], _NAMES)
                 row += docs
 
     return run
@@ -291,45 +354,46 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     total, types = int(head["tokens"]), int(head["types"])
     root = Root(total, [head[f"n{k}"] for k in range(1, 5)], types)
 
+    word = vocab.select("key", "n", root.column(F.col("n")).alias("below"))
+    entries = rows.transform(mapped(_count_pairs(folds, fold), "a long, b long, n long")).groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n >= 2")
+    entries = entries.join(vocab.select(F.col("key").alias("a"), F.col("n").alias("t")), "a").join(word.select(F.col("key").alias("b"), "below"), "b").select("a", "b", "n", "t", "below")
+    entries = ws.save(entries.transform(mapped(_hashed, "a long, b long, n long, t long, below double, key long")), "entries1")
+    ones = ws.save(_states(entries, "a"), "states1")
+    step = F.when(F.col("weight").isNotNull(), _named() - F.col("scale") - F.col("below")).otherwise(0.0)
+    pairs = ws.save(entries.join(ones, "a", "left").select("key", "b", "n", F.when(F.col("weight").isNotNull(), _named()).otherwise(F.col("below")).alias("below"), step.alias("step")), "pairs")
+    ws.drop(entries)
+
+    contexts = ws.save(pairs.filter(F.col("n") >= PAIR).join(ones.select(F.col("a").alias("b")), "b", "left_semi").select(F.col("key").alias("p"), F.col("n").alias("t")), "contexts")
+    held = spark.sparkContext.broadcast(sieve(contexts, "p"))
+    entries = rows.transform(mapped(_count_triples(folds, fold, held), "p long, q long, n long")).groupBy("p", "q").agg(F.sum("n").alias("n")).filter("n >= 2")
+    entries = ws.save(entries.join(contexts, "p").join(pairs.select(F.col("key").alias("q"), "below"), "q").select("p", "q", "n", "t", "below"), "entries2")
+    twos = ws.save(_states(entries, "p"), "states2")
+    triples = entries.join(twos, "p").select("p", "q", "n", (_named() - F.col("scale") - F.col("below")).alias("score"))
+    triples = triples.transform(mapped(_hashed, "p long, q long, n long, score double, key long"))
+
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    no = F.lit(0.0).alias("base")
+    of_words = word.join(ones.select(F.col("a").alias("key"), "scale"), "key", "left").select("key", "n", F.lit(1).alias("word"), F.log10(F.col("n") + 1.0).alias("base"), (F.col("below") + zero("scale")).alias("score"))
+    of_pairs = pairs.join(twos.select(F.col("p").alias("key"), "scale"), "key", "left").select("key", "n", F.lit(0).alias("word"), no, (F.col("step") + zero("scale")).alias("score")).filter("score != 0")
+    values = ws.save(of_words.unionByName(of_pairs).unionByName(triples.select("key", "n", F.lit(0).alias("word"), no, "score")), "values")
+    for table in (entries, pairs, contexts, ones, twos):
+        ws.drop(table)
+
     bound = max(1, int(SHARE * total))
-    frequent = vocab.filter(F.col("n") > bound).toArrow()  # fewer than 1 / SHARE words
-    words, n = frequent["key"].to_numpy().view(X.U), frequent["n"].to_numpy()
-    order = np.argsort(words)
-    words, n = words[order], n[order]
-    chosen = n >= max(2, CONTEXT * total)
-    tree = SuffixTree(words[chosen], root.log(n[chosen]))
-
-    def counted(pairs: np.ndarray | None, level: int, size: int) -> DataFrame:
-        """Grows a level of the tree; gives its counts."""
-        held = spark.sparkContext.broadcast((tree.symbols, pairs))
-        counts = rows.transform(mapped(_count_next(folds, fold, held), schema)).groupBy("key").agg(F.sum("n").alias("n")).withColumn("ctx", F.shiftright("key", SHIFT))
-        counts = ws.save(counts, f"level{level}")
-        sums = counts.groupBy("ctx").agg(F.sum("n").alias("n")).toArrow()
-        totals = np.zeros(size, np.float64)
-        totals[sums["ctx"].to_numpy()] = sums["n"].to_numpy()
-        least = max(2, int(ENTRY * total))
-        got = counts.filter((F.col("n") >= least) & (F.col("key").bitwiseAND(F.lit((1 << SHIFT) - 1)) != (1 << SHIFT) - 1)).select("key", "n").toArrow()
-        tree.grow(level, got["key"].to_numpy(), got["n"].to_numpy(), totals)
-        return counts
-
-    ones = counted(None, 0, len(tree.symbols) + 1)
-    pairs = ones.filter((F.col("n") >= max(8, int(PAIR * total))) & (F.col("key").bitwiseAND(F.lit((1 << SHIFT) - 1)) != (1 << SHIFT) - 1)).select("key").toArrow()["key"].to_numpy()
-    tree.pairs = np.sort(pairs)
-    tree.scale[1], tree.state[1] = np.zeros(len(pairs)), np.zeros(len(pairs), bool)
-    ws.drop(ones)
-    if len(pairs):
-        ws.drop(counted(tree.pairs, 1, len(pairs)))
-
-    model = spark.sparkContext.broadcast((tree, words, np.log10(n + 1.0), root.log(n)))
-    scored = ws.save(rows.transform(mapped(_score(model), "row long, id long, h long, n long, known long, base double, score double")), "scored")
-    rare = scored.filter("h is not null").select("row", "h", "n").join(vocab.filter(F.col("n") <= bound).select(F.col("key").alias("h"), F.col("n").alias("c")), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    frequent = values.filter(F.col("n") > bound).toArrow()  # fewer than 1 / SHARE of each length
+    order = np.argsort(frequent["key"].to_numpy().view(X.U))
+    common, is_word, base, value = (frequent[c].to_numpy()[order] for c in ("key", "word", "base", "score"))
+    values = values.filter(F.col("n") <= bound)
+    bits = sieve(values.filter("word = 0"), "key")
+    model = spark.sparkContext.broadcast((common.view(X.U), is_word, base, value, bits))
+    scored = ws.save(rows.transform(mapped(_score(model), "row long, id long, h long, n long, word boolean, known long, base double, score double")), "scored")
+    rare = scored.filter("h is not null").select("row", "h", "n", "word").join(values.select(F.col("key").alias("h"), F.col("word").alias("c"), F.col("base").alias("b"), F.col("score").alias("s")), "h", "left")
     rare = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_base"),
-        F.sum(F.col("n") * root.column(F.col("c"))).alias("more_score"),
+        F.sum(F.col("n") * zero("c")).alias("more_known"),
+        F.sum(F.col("n") * zero("b")).alias("more_base"),
+        F.sum(F.col("n") * F.coalesce(F.col("s"), F.when(F.col("word"), root.unknown).otherwise(0.0))).alias("more_score"),
     )
     out = scored.filter("h is null").join(rare, "row", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
         F.col("id").alias("doc_id"),
         F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False)).alias("held_out"),

@@ -179,6 +179,53 @@ def test_tree_distributions_sum_to_one():
             assert p.sum() + other * rest == pytest.approx(1, abs=1e-6)
 
 
+def test_tables_equal_the_tree_in_memory(documents, texts):
+    code, train, counts = {}, [], collections.Counter()
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            train.append([*t.encode().lower().split(), None])
+            counts.update(train[-1])
+    code = {w: k for k, w in enumerate(w for w, n in counts.items() if n >= 2)}
+    of = collections.Counter(counts.values())
+    root = suffix_tree.Root(counts.total(), [of[k] for k in (1, 2, 3, 4)], len(counts))
+    tree = suffix_tree.SuffixTree(np.arange(len(code)), root.log(np.array([counts[w] for w in code])))
+    start = len(code)
+    before = lambda w, k, at: start if at < k else code.get(w[at - k], -1)
+
+    def grow(level, size, ctx):
+        n, total = collections.Counter(), np.zeros(size)
+        for w in train:
+            for at in range(len(w)):
+                if (c := ctx(before(w, 1, at), before(w, 2, at))) >= 0:
+                    total[c] += 1
+                    if w[at] in code:
+                        n[(c << suffix_tree.SHIFT) | code[w[at]]] += 1
+        keys = [k for k in n if n[k] >= 2]
+        tree.grow(level, np.array(keys), np.array([n[k] for k in keys]), total)
+        return n
+
+    ones = grow(0, start + 1, lambda one, two: one)
+    tree.pairs = np.array(sorted(k for k, n in ones.items() if n >= suffix_tree.PAIR))
+    place = {int(p): k for k, p in enumerate(tree.pairs)}
+    grow(1, len(place), lambda one, two: place.get((two << suffix_tree.SHIFT) | one, -1) if one >= 0 and two >= 0 else -1)
+    got = {r.doc_id: r.score for r in suffix_tree.score_texts(documents).collect()}
+    for i in list(texts)[:60]:
+        w = [*texts[i].encode().lower().split(), None]
+        at = range(len(w))
+        own = np.array([code.get(x, -1) for x in w])
+        p = tree.score(own, np.array([before(w, 1, k) for k in at]), np.array([before(w, 2, k) for k in at]))
+        rare = [root.log(np.array([counts[x]]))[0] for x in w if x not in code]
+        assert got[i] == pytest.approx(p.sum() + sum(rare), rel=1e-9)
+
+
+def test_rare_contexts_are_states(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 500, 20_000))) for i in range(30)]
+    rows += [(100 + i, "alpha zeta" if i < 12 else "zeta alpha") for i in range(13)]  # 12 of 600,000 tokens
+    got = {r.doc_id: r.score for r in suffix_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] > got[112] + 3
+
+
 # --- decontamination ---
 
 
