@@ -441,6 +441,17 @@ def test_kneser_ney_is_a_distribution():
     assert m.score(keys).mean() > m.score(rng.integers(0, 1 << 24, 1000).astype(np.uint32)).mean() + 1
 
 
+def test_small_languages_have_a_band(spark, documents):
+    rng = np.random.default_rng(3)
+    prose = [r.text for r in documents.filter("lang = 'en'").orderBy("doc_id").limit(120).collect()]
+    noise = " ".join("".join(map(chr, rng.integers(33, 127, 8))) for _ in range(200))
+    rows = [(i, t, "en") for i, t in enumerate(prose)] + [(1000 + i, t, "xx") for i, t in enumerate(prose[:20])] + [(2000, noise, "xx")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[2000].base_failed and not got[2000].kept
+    clean = [got[1000 + i] for i in range(20) if not got[1000 + i].base_failed]
+    assert clean and sum(r.kept for r in clean) >= 0.9 * len(clean)
+
+
 def test_bands_reject_noise_and_keep_prose(spark, documents):
     rng = np.random.default_rng(0)
     noise = [(10**6 + i, "".join(rng.choice([chr(c) for c in range(33, 127)] + [" "], 400)) + " a b c d e f g h i j k", "en") for i in range(5)]
