@@ -6,8 +6,10 @@ undone over a whole line, base64 and gzip / zlib / zstandard data over a whole t
 layer is scanned and searched for further layers in turn, until nothing new turns up.
 Every character of a layer knows the range of the original text that it came from, so a
 find deep down is a span of the original.  A layer text that was met before at the same
-place is not entered again (cycles), and what compressed layers may grow to is bounded by
-``MOST`` characters a layer, beyond which the layer is scanned in pieces of that size.
+place is not entered again (cycles).  A layer need not be text: what isn't UTF-8 is read byte
+by byte, and what holds NULs also without them (UTF-16).  Compressed data of more than ``MOST``
+bytes is scanned in pieces of about that size, which overlap by ``OVERLAP`` bytes and are cut
+at line ends where there are any.  Base64 wrapped over lines is joined first.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -34,8 +37,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # the maximal runs of 24 or more are what [
 _WORDS = ("passw", "secret", "token", "api")
 _HINT = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#?[0-9A-Za-z]+;")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[ \t]*+\r?\n[ \t]*+)++(?:(?!-----)[A-Za-z0-9+/_-]+={0,2})?")
 _ESCAPES = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|((?:\\u[0-9A-Fa-f]{4})+)|((?:\\x[0-9A-Fa-f]{2})+)|(&#?[0-9A-Za-z]+;)")
 MOST = 1 << 22
+OVERLAP = 1 << 16
 _MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"\x28\xb5\x2f\xfd")
 
 
@@ -110,34 +115,65 @@ def _unescape(x: Layer) -> Layer | None:
     return Layer("".join(parts), at, to, fresh)
 
 
-def _readable(raw: bytes) -> str | None:
+def _views(raw: bytes) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Texts that the bytes can be read as, with the range of bytes of each character."""
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\r\n") for c in text)
-    return text if text and odd == 0 else None
-
-
-def _inflate(raw: bytes) -> Iterator[bytes]:
-    """The pieces of compressed data, none longer than MOST."""
+        text = raw.decode("latin-1")
+        ends = range(1, len(text) + 1)
+    else:
+        ends = range(1, len(text) + 1) if len(text) == len(raw) else list(accumulate(len(c.encode()) for c in text))
+    spans = list(zip([0, *ends[:-1]], ends, strict=True)) if text else []
+    if text:
+        yield text, spans
+    if "\0" in text:
+        kept = [i for i, c in enumerate(text) if c != "\0"]
+        yield "".join(text[i] for i in kept), [spans[i] for i in kept]
+
+
+def _unpacked(raw: bytes) -> Iterator[bytes]:
+    """The data of all members of a compressed stream, MOST bytes at most at a time."""
     try:
         if raw[:4] == _MAGIC[-1]:
             import zstandard
 
-            with zstandard.ZstdDecompressor().stream_reader(raw) as r:
+            with zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as r:
                 while piece := r.read(MOST):
                     yield piece
-        else:
+            return
+        while raw[:2] in _MAGIC:
             d = zlib.decompressobj(47)
             piece = d.decompress(raw, MOST)
             while piece:
                 yield piece
                 piece = d.decompress(d.unconsumed_tail, MOST)
+            raw = d.unused_data
     except Exception:  # noqa: BLE001  what isn't such data ends here
         return
 
 
+def _inflate(raw: bytes) -> Iterator[bytes]:
+    """Overlapping pieces of compressed data, cut at line ends where one is near."""
+    held, new = b"", False
+    for piece in _unpacked(raw):
+        held, new = held + piece, True
+        if len(held) < MOST:
+            continue
+        cut = held.rfind(b"\n", len(held) // 2) + 1 or len(held)
+        yield held[:cut]
+        held, new = held[max(cut - OVERLAP, 0) :], cut < len(held)
+    if new:
+        yield held
+
+
+def _wrapped(x: Layer) -> Iterator[Layer]:
+    """Base64 over several lines, joined."""
+    for m in _WRAPPED.finditer(x.text):
+        at = [i for i in range(m.start(), m.end()) if not x.text[i].isspace()]
+        yield Layer("".join(x.text[i] for i in at), [x.at[i] for i in at], [x.to[i] for i in at], bytes(x.fresh[i] for i in at))
+
+
 def _base64(x: Layer) -> Iterator[Layer]:
     """Layers of the base64 tokens, unpacked where they hold compressed data."""
     for m in _B64.finditer(x.text):
@@ -153,19 +189,15 @@ def _base64(x: Layer) -> Iterator[Layer]:
         if raw[:2] in _MAGIC or raw[:4] in _MAGIC:
             whole = False
             for piece in _inflate(raw):
-                if (text := _readable(piece)) is not None:
+                for text, _ in _views(piece):
                     whole = True
                     n = len(text)
                     yield Layer(text, [x.at[s]] * n, [x.to[e - 1]] * n, b"\1" * n)
             if whole:
                 continue
-        if (text := _readable(raw)) is not None:
-            at, to, b = [], [], 0
-            for c in text:
-                w = len(c.encode())
-                at.append(x.at[s + b * 8 // 6])
-                to.append(x.to[min(s + ((b + w) * 8 + 5) // 6, e) - 1])
-                b += w
+        for text, spans in _views(raw):
+            at = [x.at[s + b * 8 // 6] for b, _ in spans]
+            to = [x.to[min(s + (b * 8 + 5) // 6, e) - 1] for _, b in spans]
             yield Layer(text, at, to, b"\1" * len(text))
 
 
@@ -182,6 +214,8 @@ def decoded_spans(text: str) -> set[tuple[str, int, int]]:
         work = [y for x in work if (y := _unescape(x))]
     for m in _B64.finditer(text):
         work += _base64(_plain(m[0], m.start()))
+    for m in _WRAPPED.finditer(text):
+        work += [z for y in _wrapped(_plain(m[0], m.start())) for z in _base64(y)]
     seen: set[tuple[str, int, int]] = set()
     while work:
         x = work.pop()
@@ -194,7 +228,8 @@ def decoded_spans(text: str) -> set[tuple[str, int, int]]:
                 found.add((kind, min(x.at[s:e]), max(x.to[s:e])))
         if (y := _unescape(x)) is not None:
             work.append(y)
-        work += [y for y in _base64(x)]
+        work += _base64(x)
+        work += [z for y in _wrapped(x) for z in _base64(y)]
     return found
 
 

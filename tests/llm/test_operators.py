@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -340,6 +341,43 @@ def test_secret_in_a_line_of_escapes():
     assert text[every[0][1] : every[0][2]].startswith("token%3D")
 
 
+_SECRET = 'password = "hunter2hunter2"'
+_NOISE = "".join(f"line {i} of plain prose\n" for i in range(8))
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [
+        ("\ufeff" + _SECRET).encode(),
+        f"a\u00a0b\u200b {_SECRET}\x0c".encode(),
+        _SECRET.encode("utf-16"),
+        _SECRET.encode("utf-16-be"),
+        b"\x00\xff\xfe\x80" + _SECRET.encode() + b"\x81",
+        zlib.compress(("\ufeff" + _SECRET).encode()),
+        zlib.compress(b"x" * (secrets.MOST - 14) + b" " + _SECRET.encode() + b" " * 50),
+        zlib.compress("\u00fc".encode() * (secrets.MOST // 2 - 1) + b"x" + "\u00fc".encode() * 8 + b" " + _SECRET.encode()),
+        gzip.compress(b"first") + gzip.compress(_SECRET.encode()),
+    ],
+)
+def test_layers_that_are_not_plain_text(raw):
+    _, every = secrets.scan("data " + base64.b64encode(raw).decode() + " end")
+    assert any(k == "assign" and s >= 5 for k, s, _ in every)
+
+
+def test_wrapped_base64():
+    body = base64.encodebytes((_NOISE[:50] + _SECRET + _NOISE).encode()).decode()
+    text = "-----BEGIN X-----\n" + body + "-----END X-----\n"
+    _, every = secrets.scan(text)
+    (span,) = [x for x in every if x[0] == "assign"]
+    assert "\n" in text[span[1] : span[2]] and "hunter2" not in secrets.redacted(text, every)
+
+
+def test_long_runs_decode_in_linear_time():
+    t = time.perf_counter()
+    secrets.scan("x" * 1_000_000 + "\n" + "y" * 1_000_000)
+    assert time.perf_counter() - t < 30
+
+
 def test_decoding_ends():
     assert secrets.scan("%25" * 50 + "41")[1] == []  # layers of percent signs
     assert secrets.scan(base64.b64encode(zlib.compress(b"a" * 20_000_000)).decode()[:200_000])[1] is not None
