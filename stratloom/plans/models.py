@@ -41,7 +41,7 @@ def spatial_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of the voxel forest's winners on the folds that tuning never saw."""
     s = _samples(spark, sf_dir)
     turns = features.feature_rotations(3)
-    chosen = reports.rank_configs(forest.tune_folds(s, CONFIGS[:4], L.FOLDS, turns), ["target", "fold"]).filter("selected")
+    chosen = reports.rank_configs(forest.tune_folds(s, CONFIGS, L.FOLDS, turns), ["target", "fold"]).filter("selected")
     long = forest.refit_folds(s, chosen, CONFIGS, turns, thresholds=(25.0,)).withColumn("method", F.lit("VOXEL"))
     return metrics.scored(long, ["target", "method"])
 

@@ -168,3 +168,13 @@ def test_models_survive_a_table(spark, tmp_path):
 def test_variants():
     assert features.Variant().name == "K3_ROT_ORI" and features.Variant(rotations=False).turns() is None
     assert len(features.feature_names(3, ("a",), ("s",))) == 55
+
+
+def test_spatial_forest_tunes_every_configuration(spark, sf_dir, monkeypatch):
+    from stratloom.plans import models
+
+    seen = []
+    tune = models.forest.tune_folds
+    monkeypatch.setattr(models.forest, "tune_folds", lambda s, configs, *more: seen.append(list(configs)) or tune(s, configs, *more))
+    models.spatial_forest(spark, sf_dir)
+    assert seen == [models.CONFIGS] and {c["depth"] for c in seen[0]} == {4, 8}
