@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,23 @@ def ids_side(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
 
 
+SIEVE = 27
+
+
+def sieve(keys: DataFrame, col: str) -> np.ndarray:
+    """A bitmap of the first ``SIEVE`` bits of the keys."""
+    place = F.shiftrightunsigned(col, 64 - SIEVE)
+    rows = keys.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({col}, {64 - SIEVE}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (SIEVE - 6), np.int64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys >> np.uint64(64 - SIEVE)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+
+
 def mapped(fn, schema: str):
     """``DataFrame.transform`` by ``fn`` over Arrow batches.  Batches have 1000 rows where the
     session names no other number, since texts make them large, and a worker that has done its

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import _text as X
-from ._store import Workspace, ids_side, mapped
+from ._store import MOST_IDS, Workspace, ids_side, mapped, passes, sieve
 
 _FACTORS = np.random.default_rng(77).integers(1 << 62, 1 << 63, 64, dtype=X.U) | X.U(1)
 
@@ -72,38 +72,44 @@ def parity(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, raw = X.buffers(batch.column(1))
-            for i, j in X.slices(offsets):
-                part = raw[offsets[i] : offsets[j]]
-                sets = list(shingle_sets(part, offsets[i : j + 1] - offsets[i], size))
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), values], ["id", "grams"])
-
-    return run
-
+def _sketches(size: int, k: int, whole: bool = False):
+    """Rows of a text's set: its size, marks, sketch and parities; with ``whole`` all of it too."""
 
-def _sketches(size: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, raw = X.buffers(batch.column(1))
             for i, j in X.slices(offsets):
                 part = raw[offsets[i] : offsets[j]]
-                n, marks, sketches, signs = [], [], [], []
+                n, marks, sketches, signs, sets = [], [], [], [], []
                 for s in shingle_sets(part, offsets[i : j + 1] - offsets[i], size):
                     n.append(len(s))
                     marks.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
                     sketches.append(s[:k])
                     signs.append(parity(s))
+                    if whole:
+                        sets.append(s)
                 marks = np.array(marks).reshape(-1, 2)
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches))), pa.ListArray.from_arrays(pa.array(np.arange(0, SIGNS * len(n) + 1, SIGNS, dtype=np.int32)), pa.array(np.concatenate(signs)))],
-                    ["id", "n", "m1", "m2", "sketch", "sign"],
-                )
+                cols = [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), _lists(sketches), _lists(signs)]
+                yield pa.RecordBatch.from_arrays(cols + ([_lists(sets)] if whole else []), ["id", "n", "m1", "m2", "sketch", "sign"] + ["grams"] * whole)
+
+    return run
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+
+
+def _sieved(bits):
+    """(id, v) of the values of each set that pass the sieve."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = batch.column(1).offsets.to_numpy()
+            v = batch.column(1).values.to_numpy()[offsets[0] : offsets[-1]]
+            hit = np.flatnonzero(passes(bits.value, v.view(X.U)))
+            row = np.searchsorted(offsets - offsets[0], hit, "right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(v[hit])], ["id", "v"])
 
     return run
 
@@ -134,17 +140,33 @@ def connected_components(edges: DataFrame, ws: Workspace) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+SALTS = 32
+
+
+def _classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows left joined with classes by their marks.  Counted classes (a written table) are broadcast
+    up to a bound; beyond it, since a class may hold a third of all rows, each key is
+    dealt to ``SALTS`` parts."""
+    keys = ["m1", "m2", "n"]
+    if classes.count() <= MOST_IDS // 2:
+        return rows.join(F.broadcast(classes), keys, "left")
+    salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], "left").drop("salt")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of
     distinct ``shingle``-word shingles; ``component_id`` is the smallest id reachable over
-    links and ``kept`` marks the one document of each component that stays.
+    links and ``kept`` marks the documents with the smallest id of their component.
 
     A null, empty or blank text has an empty set, is linked with nothing and is kept.
     A row without an id is linked with nothing: its component is null and it is kept.
-    Rows that repeat an id and its text count as one document.  Other columns of the
-    input are not read, whatever their names.  No rows give no rows.
+    Rows that repeat an id and its text count as one document and get equal results (so all
+    of them are kept or none).  Rows of one id with different texts are versions of one
+    document: what one version is linked to, the others are in the component of too.
+    Other columns of the input are not read, whatever their names.  No rows give no rows.
 
     ``percent`` must be 80 or more: the bound on shared sketch values stands for that.
     """
@@ -153,9 +175,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     ws = Workspace(spark, "minhash")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    base = ws.save(rows.transform(mapped(_sketches(shingle, k), "id long, n long, m1 long, m2 long, sketch array<long>, sign array<long>")), "sketches")
-    classes = ws.save(base.filter("n > 0 and id is not null").groupBy("m1", "m2", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = base.select("id", "n", "sketch").join(classes.select(F.col("rep").alias("id"), "n"), ["id", "n"])
+    schema = "id long, n long, m1 long, m2 long, sketch array<long>, sign array<long>"
+    base = ws.save(rows.transform(mapped(_sketches(shingle, k), schema)).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    whole = base.filter("n > 0 and id is not null")
+    classes = whole.groupBy("m1", "m2", "n").agg(F.min("id").alias("rep"), F.min_by("row", "id").alias("first"), F.count("*").alias("copies"))
+    classes = ws.save(classes, "classes")
+    copied = ws.save(classes.filter("copies > 1").select("m1", "m2", "n", "first"), "copied")
+    reps = _classed(whole.select("id", "row", "n", "m1", "m2", "sketch"), copied).filter("first is null or first = row")
 
     # inverted lists: the values that two classes or more have retained, for each class the rarest first
     postings = reps.select("id", "n", F.explode("sketch").alias("h"))
@@ -170,34 +196,51 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .filter(F.col("at") <= F.col("held") - c + 1)
         .select("id", "n", "h", F.round("common", 6).alias("common"))
     )
-    lists = ws.save(lists, "lists")
-    hubs = lists.groupBy("h").agg(F.max(F.struct("common", F.negative("id").alias("id"))).alias("x"), F.count("*").alias("len")).filter("len > 1").select("h", F.negative("x.id").alias("hub"))
-    lists = ws.save(lists.join(hubs, "h").select("h", "id", "n", "hub"), "hubs")
+    retained = ws.save(lists, "lists")
+    hubs = retained.groupBy("h").agg(F.max(F.struct("common", F.negative("id").alias("id"))).alias("x"), F.count("*").alias("len")).filter("len > 1").select("h", F.negative("x.id").alias("hub"))
+    lists = ws.save(retained.join(hubs, "h").select("h", "id", "n", "hub"), "hubs")
+    ws.drop(retained)
     members = ws.save(lists.select("id").distinct(), "ids")
-    sets = ws.save(rows.join(ids_side(members), "id", "left_semi").transform(mapped(_sets(shingle), "id long, grams array<long>")), "sets")
+    # all that is known of the members, so that nothing below reads the other documents again
+    sets = ws.save(rows.join(ids_side(members), "id", "left_semi").transform(mapped(_sketches(shingle, k, whole=True), f"{schema}, grams array<long>")).filter("n > 0"), "sets")
     near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
+    def of(ids: DataFrame, *columns: str) -> DataFrame:
+        """Columns of the members among ids, a written table."""
+        return sets.join(ids_side(ids), "id", "left_semi").select("id", *columns)
+
+    def paired(pairs: DataFrame, *columns: str) -> DataFrame:
+        """pairs, a written table, with columns of both ends, as a_ and b_; what moves are the
+        columns of b, to a, and those of the distinct a."""
+        ends = ws.save(pairs.select(F.col("a").alias("id")).distinct(), "ends")
+        left = of(ends, *columns).select(F.col("id").alias("a"), *(F.col(x).alias(f"a_{x}") for x in columns))
+        right = sets.select(F.col("id").alias("b"), *(F.col(x).alias(f"b_{x}") for x in columns)).join(ids_side(pairs), "b")
+        return right.join(left, "a")
+
     def checked(pairs: DataFrame) -> DataFrame:
         """(a, b, both, na, nb, linked) of the pairs that the sketch of the union leaves, by the full sets."""
-        sk = base.select("id", "sketch", "n").filter("n > 0")
-        pairs = pairs.join(sk.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a").join(sk.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb")), "b")
-        union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-        both = F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb")))
-        pairs = ws.save(pairs.filter((2 * both >= F.size(union)) & near(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb").distinct(), "pairs")
-        hold = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-        out = hold.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("both"))
+        pairs = ws.save(pairs, "proposed")
+        union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, k)
+        both = F.size(F.array_intersect(F.array_intersect(union, F.col("a_sketch")), F.col("b_sketch")))
+        left = ws.save(paired(pairs, "n", "sketch").filter((2 * both >= F.size(union)) & near(F.col("a_n"), F.col("b_n"))).select("a", "b").distinct(), "pairs")
+        out = paired(left, "n", "grams").select("a", "b", F.col("a_n").alias("na"), F.col("b_n").alias("nb"), F.size(F.array_intersect("a_grams", "b_grams")).cast("long").alias("both"))
         out = ws.save(out.withColumn("linked", 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))), "checked")
-        ws.drop(pairs)
+        ws.drop(pairs, left)
         return out
 
     star = checked(lists.filter("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    first = connected_components(star.filter("linked").select("a", "b"), ws)
+    # the versions of one id
+    many = ws.save(whole.groupBy("id").agg(F.min("m1").alias("x"), F.max("m1").alias("y")).filter("x < y").select("id"), "many")
+    of_many = whole.join(ids_side(many), "id", "left_semi").join(classes, ["m1", "m2", "n"]).select("id", "rep")
+    versions = of_many.join(of_many.groupBy("id").agg(F.min("rep").alias("least")), "id").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    first = connected_components(star.filter("linked").select("a", "b").union(versions), ws)
 
     # pairs of one list in different components
     member = lists.join(first.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("c"))
     part = member.groupBy("h", "c").agg(F.count("*").alias("m"))
     main = part.groupBy("h").agg(F.max(F.struct("m", "c")).alias("x"), F.count("*").alias("parts")).filter("parts > 1").select("h", F.col("x.c").alias("main"))
     live = ws.save(member.join(main, "h"), "live")
+    ws.drop(lists)
     apart = star.filter("not linked")
     hub_of = (
         apart.select(F.col("b").alias("id"), F.col("a").alias("p"), "both", F.col("nb").alias("n"))
@@ -206,7 +249,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .agg(F.max(F.struct("both", "p", "n")).alias("x"))
         .select("id", F.col("x.p").alias("p"), F.floor(F.col("x.both") * (100 + percent) / percent - F.col("x.n")).cast("long").alias("bound"))
     )
-    whom = live.select("id", "c", "n").distinct().join(base.select("id", "n", "sign"), ["id", "n"])
+    known = ws.save(live.select("id", "c", "n").distinct(), "known")
+    whom = known.join(of(ws.save(known.select("id").distinct(), "ids"), "n", "sign"), ["id", "n"])
     whom = ws.save(whom.join(hub_of, "id", "left"), "whom")
     outside = live.filter("c <> main").select("id").distinct().join(whom, "id")
     outside = ws.save(outside, "outside")
@@ -217,9 +261,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         n1, n2 = F.col(f"{one}.n"), F.col(f"{other}.n")
         return (F.col(f"{one}.c") != F.col(f"{other}.c")) & near(n1, n2) & ((100 + percent) * apart <= (100 - percent) * (n1 + n2))
 
-    differ = outside.filter("p is not null").join(sets, "id").join(sets.select(F.col("id").alias("p"), F.col("grams").alias("hub_grams")), "p")
-    differ = ws.save(differ.select("id", F.explode(F.array_except("grams", "hub_grams")).alias("v")), "differ")
-    around = whom.select("id").join(sets, "id").select("id", F.explode("grams").alias("v")).join(differ.select("v").distinct(), "v", "left_semi")
+    # what sets those outside apart from their hubs, and who else has it
+    to_hub = ws.save(outside.filter("p is not null").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), "to_hub")
+    differ = ws.save(paired(to_hub, "grams").select(F.col("b").alias("id"), F.explode(F.array_except("b_grams", "a_grams")).alias("v")), "differ")
+    bits = spark.sparkContext.broadcast(sieve(differ, "v"))
+    around = of(ws.save(whom.select("id").distinct(), "ids"), "grams").transform(mapped(_sieved(bits), "id long, v long"))
     apart_pairs = differ.join(outside, "id").alias("x").join(around.join(whom, "id").alias("y"), F.col("x.v") == F.col("y.v")).filter(may("x", "y"))
     held = live.select("h", "id", "main")
     again = held.join(outside, "id").filter("c <> main").alias("x").join(held.join(whom, "id").alias("y"), F.col("x.h") == F.col("y.h")).filter((F.col("y.n") <= F.coalesce("x.bound", "y.n")) & may("x", "y"))
@@ -227,12 +273,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = apart_pairs.union(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = checked(rest).filter("linked").select("a", "b")
     final = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), ws)
-    ws.drop(sets, live, lists, outside, whom, differ, members)
+    ws.drop(sets, live, known, outside, whom, differ, members, to_hub, star)
 
-    names = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("m1", "m2", "n", F.coalesce("component", "rep").alias("component"))
-    whole = base.select("id", "n", "m1", "m2").join(names, ["m1", "m2", "n"], "left")
+    # only classes of several rows or in a component of several have another name than their id
+    names = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    names = ws.save(names.filter("copies > 1 or component <> rep").select("m1", "m2", "n", "component"), "names")
+    ws.drop(classes, copied)
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return whole.select(
+    return _classed(base.select("id", "row", "n", "m1", "m2"), names).select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),

@@ -33,14 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import Workspace, mapped
+from ._store import Workspace, mapped, passes, sieve
 
 PAIR = 8
 SHARE = 1e-6
 BLOCK = 4 << 20
 END = X.mix(np.array([X.U(0x656E64)]))[0]
 SHIFT = 20
-SIEVE = 27
 
 
 def held_out_ids(col: pa.Array, folds: int, fold: int) -> np.ndarray:
@@ -84,20 +83,6 @@ def triples_of(pair: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, pair[at - 1], paired(pair[at - 1], pair[at])
 
 
-def sieve(keys: DataFrame, col: str) -> np.ndarray:
-    """A bitmap of the first ``SIEVE`` bits of the keys."""
-    place = F.shiftrightunsigned(col, 64 - SIEVE)
-    rows = keys.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({col}, {64 - SIEVE}) & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (SIEVE - 6), np.int64)
-    out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
-    return out.view(X.U)
-
-
-def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys >> X.U(64 - SIEVE)
-    return (bits[(place >> X.U(6)).astype(np.int64)] >> (place & X.U(63))) & X.U(1) > 0
-
-
 class Tally:
     """Counts of 64-bit keys, given out in record batches of bounded size."""
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("stratloom.llm")
 
-from stratloom.llm import _boost, _text, decontaminate, html_diff, minhash, packing, pii, quality_model, quality_rules, secrets, sharding, suffix_tree
+from stratloom.llm import _boost, _store, _text, decontaminate, html_diff, minhash, packing, pii, quality_model, quality_rules, secrets, sharding, suffix_tree
 from stratloom.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -115,6 +115,24 @@ def test_components_equal_brute_force(spark, seed):
     assert 1 < len({c for _, c in want.values()}) < len(t)
 
 
+def test_components_without_broadcasts(spark, monkeypatch):
+    """Beyond the bound of every counted side, joins shuffle, classes by salted keys."""
+    monkeypatch.setattr(minhash, "MOST_IDS", 0)
+    monkeypatch.setattr(_store, "MOST_IDS", 0)
+    t = mutated(2, groups=3) | {1000 + i: "one text that many rows have in common" for i in range(80)} | {2000 + i: "" for i in range(50)}
+    df = spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, shingle=4).collect()}
+    assert got == brute_components(t, 4, 80)
+
+
+def test_versions_of_one_id(spark):
+    """Rows of one id with different texts, and rows that repeat both."""
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(5, x), (5, y), (7, x), (8, y), (8, y), (9, z), (None, x)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (8, 5, False), (9, 9, True)]
+
+
 def test_components_of_documents(documents, texts):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(documents, shingle=4).collect()}
     assert got == {i: (n, c, c == i) for i, (n, c) in brute_components(texts, 4, 80).items()}
