@@ -63,11 +63,24 @@ def ids_side(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
 
 
+SALTS = 32
+
+
+def keyed(rows: DataFrame, side: DataFrame, keys: list[str], spread) -> DataFrame:
+    """rows left joined with side, a written table with one row for each key, where one key may
+    have a third of all rows.  side is counted and broadcast up to half of ``MOST_IDS``; beyond that
+    every key is dealt to ``SALTS`` parts by the column spread."""
+    if side.count() <= MOST_IDS // 2:
+        return rows.join(F.broadcast(side), keys, "left")
+    salted = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], "left").drop("salt")
+
+
 SIEVE = 27
 
 
 def sieve(keys: DataFrame, col: str) -> np.ndarray:
-    """A bitmap of the first ``SIEVE`` bits of the keys."""
+    """A bitmap of the first ``SIEVE`` bits of the keys, 16 MB however many there are."""
     place = F.shiftrightunsigned(col, 64 - SIEVE)
     rows = keys.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({col}, {64 - SIEVE}) & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (SIEVE - 6), np.int64)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import _text as X
-from ._store import MOST_IDS, Workspace, ids_side, mapped, passes, sieve
+from ._store import Workspace, ids_side, keyed, mapped, passes, sieve
 
 _FACTORS = np.random.default_rng(77).integers(1 << 62, 1 << 63, 64, dtype=X.U) | X.U(1)
 
@@ -140,20 +140,6 @@ def connected_components(edges: DataFrame, ws: Workspace) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-SALTS = 32
-
-
-def _classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """rows left joined with classes by their marks.  Counted classes (a written table) are broadcast
-    up to a bound; beyond it, since a class may hold a third of all rows, each key is
-    dealt to ``SALTS`` parts."""
-    keys = ["m1", "m2", "n"]
-    if classes.count() <= MOST_IDS // 2:
-        return rows.join(F.broadcast(classes), keys, "left")
-    salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], "left").drop("salt")
-
-
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -181,7 +167,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = whole.groupBy("m1", "m2", "n").agg(F.min("id").alias("rep"), F.min_by("row", "id").alias("first"), F.count("*").alias("copies"))
     classes = ws.save(classes, "classes")
     copied = ws.save(classes.filter("copies > 1").select("m1", "m2", "n", "first"), "copied")
-    reps = _classed(whole.select("id", "row", "n", "m1", "m2", "sketch"), copied).filter("first is null or first = row")
+    reps = keyed(whole.select("id", "row", "n", "m1", "m2", "sketch"), copied, ["m1", "m2", "n"], "row").filter("first is null or first = row")
 
     # inverted lists: the values that two classes or more have retained, for each class the rarest first
     postings = reps.select("id", "n", F.explode("sketch").alias("h"))
@@ -222,7 +208,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         pairs = ws.save(pairs, "proposed")
         union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, k)
         both = F.size(F.array_intersect(F.array_intersect(union, F.col("a_sketch")), F.col("b_sketch")))
-        left = ws.save(paired(pairs, "n", "sketch").filter((2 * both >= F.size(union)) & near(F.col("a_n"), F.col("b_n"))).select("a", "b").distinct(), "pairs")
+        left = ws.save(paired(pairs, "n", "sketch").filter((2 * both >= F.size(union)) & near(F.col("a_n"), F.col("b_n"))).select("a", "b"), "pairs")
         out = paired(left, "n", "grams").select("a", "b", F.col("a_n").alias("na"), F.col("b_n").alias("nb"), F.size(F.array_intersect("a_grams", "b_grams")).cast("long").alias("both"))
         out = ws.save(out.withColumn("linked", 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))), "checked")
         ws.drop(pairs, left)
@@ -280,7 +266,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     names = ws.save(names.filter("copies > 1 or component <> rep").select("m1", "m2", "n", "component"), "names")
     ws.drop(classes, copied)
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return _classed(base.select("id", "row", "n", "m1", "m2"), names).select(
+    return keyed(base.select("id", "row", "n", "m1", "m2"), names, ["m1", "m2", "n"], "row").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
