@@ -1,9 +1,11 @@
 """Sharding along a Hilbert curve, in DataFrame operations alone.
 
-Language, source, size and place in the id range are quantised to three bits each; the
-4096 cells are walked in Hilbert order, so a run of rows is compact in all four dimensions
-and the minima and maxima that Parquet keeps for a file prune on any of them.  Rows with
-equal texts share one cell (that of the group's smallest values) and stand side by side.
+Language, source, size and id are quantised to three bits each, at cuts that share the
+rows equally; strings are cut in their order, by the bytes after the prefix that all of a
+column have in common.  The 4096 cells are walked in Hilbert order, so a run of rows is compact
+in all four dimensions and the minima and maxima that Parquet keeps for a file prune on any of
+them.  Rows with equal texts share one cell (that of the group's smallest values) and stand side
+by side; where the law of equal row counts asks for it, a shard ends within such a group.
 
 One range exchange over (cell, group, doc_id) orders the rows; doc_id makes its bounds
 fine, so neither a full cell nor a large group of copies ends up in one task.  A row's
@@ -15,8 +17,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ._store import Workspace
+from ._store import Workspace, keyed
 
 BITS = 3
 DIMS = ("lang", "source", "size", "id")
@@ -52,6 +55,18 @@ def hilbert_index(df: DataFrame, dims: list[str], bits: int, out: str) -> DataFr
     return df.withColumn(out, index).drop(*x, "_t")
 
 
+def _ordered(col: str, skip: int) -> Column:
+    """The six bytes of a string after the first ``skip`` as a number, in the strings' order."""
+    tail = F.substring(F.col(col).cast("binary"), skip + 1, 6)
+    return F.conv(F.rpad(F.hex(tail), 12, "0"), 16, 10).cast("long")
+
+
+def _shared(lo: str | None, hi: str | None) -> int:
+    """Bytes that all strings from lo to hi begin with."""
+    a, b = (lo or "").encode(), (hi or "").encode()
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
 def hilbert_shards(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per input row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``
     and the curve index ``cell``.
@@ -59,8 +74,9 @@ def hilbert_shards(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id",
     ``size``: UTF-8 bytes plus 1; ``slot``: place in the shard, without gaps.  The law is
     ``rows``: the numbers of rows of any two shards differ by one at most.
 
-    A null text is empty; null languages, sources and ids are values of their own that come
-    first; repeated rows take a slot each; other columns aren't read; no rows give none.
+    A null text is empty; null languages, sources and ids come first in their dimension; rows that
+    tie in all that orders them take their slots in any order; repeated rows take a slot
+    each; other columns aren't read; no rows give none.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "shards")
@@ -74,32 +90,31 @@ def hilbert_shards(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id",
         F.col(source_col).cast("string").alias("source"),
     )
     rows = ws.save(rows, "rows")
-    groups = rows.groupBy("group", "size", "text_crc32").agg(F.min("lang").alias("g_lang"), F.min("source").alias("g_source"), F.min("doc_id").alias("g_id"))
-    span = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi, total = span["lo"] or 0, span["hi"] or 0, span["n"]
-    most = (1 << BITS) - 1
-    step = (hi - lo) // (most + 1) + 1
-    groups = groups.withColumns(
-        {
-            "q_lang": F.pmod(F.xxhash64("g_lang"), F.lit(most + 1)),
-            "q_source": F.pmod(F.xxhash64("g_source"), F.lit(most + 1)),
-            "q_size": F.least(F.greatest(F.floor(F.log2("size")) - 6, F.lit(0)), F.lit(most)),
-            "q_id": F.coalesce(F.floor((F.col("g_id") - lo) / step), F.lit(0)),
-        }
-    )
-    groups = hilbert_index(groups, ["q_lang", "q_source", "q_size", "q_id"], BITS, "cell").select("group", "size", "text_crc32", "cell", "g_id")
-    keyed = rows.join(groups, ["group", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", "cell", "g_id", "group")
+    same = ["group", "size", "text_crc32"]
+    groups = rows.groupBy(*same).agg(F.min("lang").alias("g_lang"), F.min("source").alias("g_source"), F.min("doc_id").alias("g_id"), F.count("*").alias("copies"))
+    groups = ws.save(groups.filter("copies > 1").withColumn("grouped", F.lit(True)).drop("copies"), "groups")
+    span = rows.agg(F.count("*").alias("n"), *(f(c).alias(f"{a}_{c}") for c in ("lang", "source") for a, f in (("lo", F.min), ("hi", F.max)))).first()
+    total, most = span["n"], (1 << BITS) - 1
+    number = {c: _ordered(c, _shared(span[f"lo_{c}"], span[f"hi_{c}"])) for c in ("lang", "source")} | {"size": F.col("size"), "id": F.col("doc_id")}
+    cuts = rows.agg(*(F.percentile_approx(number[d], [(i + 1) / (most + 1) for i in range(most)], 10000).alias(d) for d in DIMS)).first()
+    keyed_rows = keyed(rows, groups, same, "doc_id")
+    for own, of_group in (("lang", "g_lang"), ("source", "g_source"), ("doc_id", "g_id")):
+        keyed_rows = keyed_rows.withColumn(of_group, F.when(F.col("grouped"), F.col(of_group)).otherwise(F.col(own)))
+    place = keyed_rows.select("doc_id", *same, "g_id", F.col("g_lang").alias("lang"), F.col("g_source").alias("source"))
+    value = number | {"id": F.col("g_id")}
+    place = place.withColumns({f"q_{d}": sum((F.coalesce(value[d] > cut, F.lit(False)).cast("int") for cut in cuts[d] or []), F.lit(0)) for d in DIMS})
+    place = hilbert_index(place, [f"q_{d}" for d in DIMS], BITS, "cell").select("doc_id", "size", "text_crc32", "cell", "g_id", "group")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = ["cell", "g_id", "group", "doc_id"]
     at = F.monotonically_increasing_id()
-    dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"part": F.shiftright(at, 33), "row": at.bitwiseAND(F.lit((1 << 33) - 1))})
+    dealt = place.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"part": F.shiftright(at, 33), "row": at.bitwiseAND(F.lit((1 << 33) - 1))})
     dealt = ws.save(dealt.drop("g_id", "group"), "dealt")
     counts = sorted((r["part"], r["n"]) for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row a partition
     before, starts = 0, [F.lit(-1), F.lit(0)]
     for part, n in counts:
         starts += [F.lit(part).cast("long"), F.lit(before).cast("long")]
         before += n
-    ws.drop(rows)
+    ws.drop(rows, groups)
     rank = F.create_map(*starts)[F.col("part")] + F.col("row") if counts else F.col("row")
     shard = F.expr(f"(rank * {shards}) div {max(total, 1)}")
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
@@ -111,7 +126,20 @@ def hilbert_shards(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id",
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, *, id_col: str = "doc_id") -> None:
-    """Parquet files by shard, in curve order within each file."""
-    out = docs.join(placed.select(F.col("doc_id").alias(id_col), "shard", "slot", "cell"), id_col)
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Parquet files by shard, in curve order within each file.
+
+    Rows meet their places by id and text, null ids and texts included, and the k-th of several equal
+    ones takes the k-th place, so every row is written once.  No rows write no file."""
+    keys = ["_id", "_size", "_crc", "_nth"]
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+
+    def numbered(df: DataFrame, order) -> DataFrame:
+        return df.withColumn("_nth", F.row_number().over(W.partitionBy(*keys[:3]).orderBy(order)))
+
+    own = numbered(docs.withColumns({"_id": F.col(id_col).cast("long"), "_size": (F.octet_length(raw) + 1).cast("long"), "_crc": F.crc32(raw)}), F.lit(0))
+    at = placed.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    at = numbered(at, F.struct("_shard", "_slot"))
+    same = [own[k].eqNullSafe(at[k]) for k in keys]
+    out = own.join(at, same).select(*(own[c] for c in docs.columns), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
     out.repartition("shard", F.expr("slot div 1000000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
