@@ -1,12 +1,17 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts are compared byte for byte after capitals of A-Z and Latin-1 became small and every
-white-space byte a space; nothing moves, so places stay places of the original.  Each benchmark item is cut into
-overlapping windows.  A stretch of a document that lies within e edits of a window of
-length w shares at least w - q + 1 - q * e of its q-grams with it, on diagonals (place in the
-document minus place in the item) that differ by e at most.  Shared q-grams are counted in
-half-overlapping bands of diagonals; bands that meet the bound are aligned within the band,
-and those within the edit budget are regions of contamination.
+Texts are compared byte for byte after capitals of A-Z and Latin-1 became small and every run of
+white space (no-break spaces included) one space; a map leads back to places of the original.
+Each benchmark item is cut into overlapping windows.  A stretch of a document that lies within e
+edits of a window of length w shares at least w - q + 1 - q * e of its q-grams with it, on
+diagonals (place in the document minus place in the item) that differ by e at most.  Shared
+q-grams are counted in half-overlapping bands of diagonals; bands that meet the bound are
+aligned within the band, and those within the edit budget are regions of contamination.
+
+Pairs of equal q-grams are counted a bounded number at a time.  Where a text and the items repeat
+themselves (ruled lines, say), the q-grams that make most pairs are left out, and a window that
+has fewer of them than its bound is held to what is left of the bound.  The few windows made of
+nothing else are aligned with all stretches of the text that are dense in their q-grams.
 
 The index of the benchmark goes to all executors in blocks of at most ``BLOCK_BYTES`` of
 benchmark text, one block after another, so its size is bounded whatever the benchmark's.
@@ -23,25 +28,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import mapped
+from ._store import Workspace, mapped
 
 Q = 10
-WINDOW = 96
-STRIDE = 16
+WINDOW = 64
+STRIDE = 8
 RATE = 16  # an edit for so many bytes
-LEAST = 32
-BLOCK_BYTES = 8 << 20
+EXACT = 32  # shorter items allow no edit
+BLOCK_BYTES = 4 << 20
+PAIRS = 1 << 23  # of equal q-grams in a block of text, before the commonest are left out
+AT_ONCE = 1 << 17
+DENSE = 64
 _BITS = 22
 
 
 def normal(raw: np.ndarray) -> np.ndarray:
+    """Small letters and spaces, every byte in its place."""
     out = X.LOWER[raw]
-    if len(out) > 1:  # capitals of Latin-1, in their two bytes
+    if len(out) > 1:
         capital = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-        out[1:][capital] += 32
+        out[1:][capital] += 32  # capitals of Latin-1, in their two bytes
+        wide = np.flatnonzero((raw[:-1] == 0xC2) & (raw[1:] == 0xA0))
+        out[wide] = out[wide + 1] = 32
     return np.where(X.IS_SPACE[out], np.uint8(32), out)
 
 
+def collapsed(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents with runs of spaces as one, their offsets, and the place of each byte kept."""
+    space = text == 32
+    keep = np.ones(len(text), bool)
+    keep[1:] = ~(space[1:] & space[:-1])
+    keep[offsets[:-1][offsets[:-1] < len(text)]] = True
+    place = np.flatnonzero(keep)
+    return text[place], np.searchsorted(place, offsets), place
+
+
 def qgrams(text: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the q bytes from each place on."""
     n = max(0, len(text) - Q + 1)
@@ -51,99 +72,179 @@ def qgrams(text: np.ndarray) -> np.ndarray:
     return X.mix(h)
 
 
+def _plain(text: bytes) -> bytes:
+    raw = normal(np.frombuffer(text, np.uint8))
+    return collapsed(raw, np.array([0, len(raw)]))[0].tobytes().strip(b" ")
+
+
+def _word(byte: int) -> bool:
+    return byte >= 128 or chr(byte).isalnum()
+
+
 class Index:
     """Windows of the items of a block and where each of their q-grams stands."""
 
     def __init__(self, ids: list[int], texts: list[bytes]):
         self.ids = np.array(ids, np.int64)
-        self.texts: list[bytes] = []
-        keys, item, place = [], [], []
-        self.windows: list[list[tuple[int, int, int, int]]] = []  # start, end, edits, shared q-grams
-        for i, text in enumerate(texts):
-            raw = normal(np.frombuffer(text, np.uint8)).tobytes().strip(b" ")
-            self.texts.append(raw)
+        self.texts = [_plain(t) for t in texts]
+        self.lines: dict[bytes, list[int]] = {}  # items shorter than a q-gram
+        keys, item, place, flat = [], [], [], []
+        for i, raw in enumerate(self.texts):
             size = len(raw)
-            own: list[tuple[int, int, int, int]] = []
-            if size >= LEAST:
-                w = min(WINDOW, size)
-                for s in sorted({*range(0, size - w + 1, STRIDE), size - w}):
-                    e = w // RATE
-                    own.append((s, s + w, e, max(1, w - Q + 1 - Q * e)))
-                g = qgrams(np.frombuffer(raw, np.uint8))
-                keys.append(g)
-                item.append(np.full(len(g), i, np.int64))
-                place.append(np.arange(len(g)))
-            self.windows.append(own)
-        none = np.zeros(0, np.int64)
+            if size < Q:
+                if size:
+                    self.lines.setdefault(raw, []).append(i)
+                continue
+            w = min(WINDOW, size)
+            e = w // RATE if size >= EXACT else 0
+            flat += [(i, s, s + w - Q, w - Q + 1 - Q * e, e) for s in sorted({*range(0, size - w + 1, STRIDE), size - w})]
+            g = qgrams(np.frombuffer(raw, np.uint8))
+            keys.append(g)
+            item.append(np.full(len(g), i, np.int32))
+            place.append(np.arange(len(g), dtype=np.int32))
+        none = np.zeros(0, np.int32)
         key, item, place = (np.concatenate(x) if x else none for x in (keys, item, place))
         order = np.argsort(key, kind="stable")
         key, self.item, self.place = key[order].astype(X.U), item[order], place[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else none
-        self.key, self.first, self.count = key[first], first, np.diff(np.append(first, len(key)))
+        self.key, self.first, self.count = key[first], first.astype(np.int32), np.diff(np.append(first, len(key))).astype(np.int32)
         self.seen = np.zeros(1 << _BITS, bool)
-        self.seen[key >> X.U(64 - _BITS)] = True
-        # of each window: item, first and last place of its q-grams, bound
-        flat = [(i, s, e - Q, t, k, b) for i, own in enumerate(self.windows) for k, (s, e, b, t) in enumerate(own)]
-        self.flat = np.array(flat, np.int64).reshape(-1, 6)
-        # the windows that each listed q-gram lies in: a run, as windows stand in order
-        wide = np.int64(max(map(len, self.texts), default=0) + 1)
-        self.low = np.searchsorted(self.flat[:, 0] * wide + self.flat[:, 2], self.item * wide + self.place)
-        self.many = np.searchsorted(self.flat[:, 0] * wide + self.flat[:, 1], self.item * wide + self.place, "right") - self.low
-
-    def bands(self, text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(document, window, lowest and highest diagonal) of the bands that meet the bound."""
+        self.seen[(key >> X.U(64 - _BITS)).astype(np.int64)] = True
+        #: of each window: item, first and last place of its q-grams, shared q-grams, edits
+        self.flat = np.array(flat, np.int32).reshape(-1, 5)
+        self.wide = max(map(len, self.texts), default=0) + 1
+        self._ends = None
+
+    def windows(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of listed q-grams the windows that they lie in: a run, as windows stand in order."""
+        if self._ends is None:  # made where it is used
+            own = self.flat[:, 0].astype(np.int64) * self.wide
+            self._ends = own + self.flat[:, 1], own + self.flat[:, 2]
+        at = self.item[entry].astype(np.int64) * self.wide + self.place[entry]
+        low = np.searchsorted(self._ends[1], at)
+        return low, np.searchsorted(self._ends[0], at, "right") - low
+
+    def bands(self, text: np.ndarray) -> tuple[list[tuple[int, int, int]], list[int], tuple[np.ndarray, np.ndarray]]:
+        """(window, lowest and highest diagonal) of the bands that meet the bound; windows to be
+        aligned with dense stretches; places and keys of the q-grams that are listed."""
+        none = np.zeros(0, np.int64)
         if not len(self.key) or len(text) < Q:
-            return
+            return [], [], (none, none)
         h = qgrams(text)
-        at = np.flatnonzero(self.seen[h >> X.U(64 - _BITS)])
-        doc = np.searchsorted(offsets, at, "right") - 1
-        inside = at + Q <= offsets[doc + 1]
-        at, doc = at[inside], doc[inside]
+        at = np.flatnonzero(self.seen[(h >> X.U(64 - _BITS)).astype(np.int64)])
         k = np.searchsorted(self.key, h[at])
         k[k == len(self.key)] = 0
         hit = self.key[k] == h[at]
-        at, doc, k = at[hit], doc[hit], k[hit]
-        n = self.count[k]
-        total = np.cumsum(n)
-        if not len(total):
-            return
-        entry = np.repeat(self.first[k] - (total - n), n) + np.arange(total[-1])
-        at, doc = np.repeat(at, n), np.repeat(doc, n)
-        diag, low, many = at - self.place[entry], self.low[entry], self.many[entry]
-        ends = np.cumsum(many)
-        wi = np.repeat(low - (ends - many), many) + np.arange(ends[-1])
-        di, diag = np.repeat(doc, many), np.repeat(diag, many)
-        width = 2 * (self.flat[wi, 5] + 1)
-        for half in (0, 1):
-            band = (diag + half * width // 2) // width
-            order = np.lexsort((band, di, wi))
-            w, d, b = wi[order], di[order], band[order]
-            new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (d[1:] != d[:-1]) | (b[1:] != b[:-1])))
-            full = np.diff(np.append(new, len(w))) >= self.flat[w[new], 3]
-            for wj, dj, bj in zip(w[new][full].tolist(), d[new][full].tolist(), b[new][full].tolist(), strict=True):
-                width_j = 2 * (int(self.flat[wj, 5]) + 1)
-                low_j = bj * width_j - half * width_j // 2
-                yield dj, wj, low_j, low_j + width_j - 1
+        at, k = at[hit], k[hit]
+        if not len(at):
+            return [], [], (none, none)
+        bound = self.flat[:, 3].astype(np.int64)
+        dense, use, all_at = none, np.ones(len(at), bool), (at, k)
+        pairs = np.bincount(k, minlength=len(self.key)) * self.count
+        if pairs.sum() > PAIRS:
+            order = np.argsort(-pairs, kind="stable")
+            out = order[: int(np.searchsorted(np.cumsum(pairs[order]), pairs.sum() - PAIRS)) + 1]
+            missing = self._in_windows(out)
+            over = np.flatnonzero(missing >= bound)
+            if len({self._text(w) for w in over.tolist()}) <= DENSE:
+                dense = over
+                bound = bound - missing
+                left_out = np.zeros(len(self.key), bool)
+                left_out[out] = True
+                use = ~left_out[k]
+        at, k = at[use], k[use]
+        n = self.count[k].astype(np.int64)
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        tally = [(none, none), (none, none)]
+        wide = (len(text) + self.wide) // 2 + 2  # bands of a window, at most
+        for t in range(0, total, AT_ONCE):
+            pair = np.arange(t, min(t + AT_ONCE, total))
+            p = np.searchsorted(ends, pair, "right")
+            entry = self.first[k[p]] + (pair - (ends[p] - n[p]))
+            diag = at[p] - self.place[entry] + self.wide
+            low, many = self.windows(entry)
+            stops = np.cumsum(many)
+            w = np.repeat(low - (stops - many), many) + np.arange(stops[-1] if len(stops) else 0)
+            diag = np.repeat(diag, many)
+            width = 2 * (self.flat[w, 4].astype(np.int64) + 1)
+            for half in (0, 1):
+                keys, count = np.unique(w * wide + (diag + half * width // 2) // width, return_counts=True)
+                old, held = tally[half]
+                if len(old):
+                    keys, inverse = np.unique(np.concatenate([old, keys]), return_inverse=True)
+                    count = np.bincount(inverse, np.concatenate([held, count])).astype(np.int64)
+                tally[half] = keys, count
+        found = []
+        for half, (keys, count) in enumerate(tally):
+            w, band = keys // wide, keys % wide
+            full = count >= bound[w]
+            for wj, bj in zip(w[full].tolist(), band[full].tolist(), strict=True):
+                width = 2 * (int(self.flat[wj, 4]) + 1)
+                low = bj * width - half * width // 2 - self.wide
+                found.append((wj, low, low + width - 1))
+        apart = set(dense.tolist())
+        return [x for x in sorted(set(found)) if x[0] not in apart], dense.tolist(), all_at
+
+    def _in_windows(self, keys: np.ndarray) -> np.ndarray:
+        """How many q-gram places of each window have one of keys."""
+        out = np.zeros(len(self.flat) + 1, np.int64)
+        for k in keys.tolist():
+            for a in range(int(self.first[k]), int(self.first[k] + self.count[k]), AT_ONCE):
+                low, many = self.windows(np.arange(a, min(a + AT_ONCE, int(self.first[k] + self.count[k]))))
+                np.add.at(out, low, 1)
+                np.add.at(out, low + many, -1)
+        return np.cumsum(out)[:-1]
+
+    def _text(self, w: int) -> bytes:
+        i, s, last = self.flat[w, :3].tolist()
+        return self.texts[i][s : last + Q]
 
     def verify(self, text: bytes, start: int, end: int, w: int, low: int, high: int) -> tuple[int, int, int] | None:
         """(start, end, edits) of the best alignment of window w in text[start:end] near the
         diagonals, if it keeps the budget."""
-        i, s, last, _, _, budget = self.flat[w].tolist()
-        e = last + Q
-        pattern = self.texts[i][s:e]
-        lo, hi = max(start, low + s - budget), min(end, high + e + budget)
+        i, s, last, _, budget = self.flat[w].tolist()
+        pattern = self.texts[i][s : last + Q]
+        lo, hi = max(start, low + s - budget), min(end, high + last + Q + budget)
         at = text.find(pattern, lo, hi)
         if at >= 0:
-            return at, at + len(pattern), 0
-        stop, cost = best_end(pattern, text[lo:hi])
-        if cost > budget:
+            to = at + len(pattern)
+            if len(self.texts[i]) < EXACT and ((at > start and _word(text[at - 1]) and _word(text[at])) or (to < end and _word(text[to]) and _word(text[to - 1]))):
+                return None  # within a word
+            return at, to, 0
+        if not budget or hi - lo < len(pattern) - budget:
             return None
-        back, _ = best_end(pattern[::-1], text[lo : lo + stop][::-1])
-        return lo + stop - back, lo + stop, cost
+        cost = ends_of(pattern, text[lo:hi])
+        stop = int(cost.argmin())
+        if cost[stop] > budget:
+            return None
+        back = int(ends_of(pattern[::-1], text[lo : lo + stop][::-1]).argmin())
+        return lo + stop - back, lo + stop, int(cost[stop])
+
+    def stretches(self, text: bytes, start: int, end: int, w: int, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Alignments of window w within its budget in the parts of text[start:end] that are dense
+        in its q-grams, which stand at the places ``at``."""
+        i, s, last, least, budget = self.flat[w].tolist()
+        pattern = self.texts[i][s : last + Q]
+        reach = len(pattern) + budget
+        near = np.searchsorted(at, at + reach - Q, "right") - np.arange(len(at)) >= least  # a stretch that begins at a place
+        at = at[near]
+        if not len(at):
+            return
+        cut = np.flatnonzero(np.diff(at) > reach)
+        for a, b in zip(at[np.append(0, cut + 1)].tolist(), at[np.append(cut, len(at) - 1)].tolist(), strict=True):
+            lo, hi = max(start, a - Q - budget), min(end, b + reach + Q)
+            cost = ends_of(pattern, text[lo:hi])
+            good = np.flatnonzero(cost <= budget)
+            good = good[good > 0]
+            for run in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1) if len(good) else ():
+                first = lo + int(run[0])
+                back = int(ends_of(pattern[::-1], text[max(lo, first - reach) : first][::-1]).argmin())
+                yield first - back, lo + int(run[-1]), int(cost[run].min())
 
 
-def best_end(pattern: bytes, region: bytes) -> tuple[int, int]:
-    """Where the cheapest alignment of the whole pattern in the region ends, and its edits."""
+def ends_of(pattern: bytes, region: bytes) -> np.ndarray:
+    """The edits of the cheapest alignment of the whole pattern that ends at each place."""
     t = np.frombuffer(region, np.uint8)
     step = np.arange(len(t) + 1)
     row = np.zeros(len(t) + 1, np.int64)
@@ -152,8 +253,68 @@ def best_end(pattern: bytes, region: bytes) -> tuple[int, int]:
         new[0] = i
         np.minimum(row[:-1] + (t != c), row[1:] + 1, out=new[1:])
         row = np.minimum.accumulate(new - step) + step
-    end = int(row.argmin())
-    return end, int(row[end])
+    return row
+
+
+def _whole_lines(ix: Index, text: bytes, own: np.ndarray, raw: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, start, end) of lines, in the original, that are an item shorter than a q-gram."""
+    line_ends = np.flatnonzero(raw == 10)
+    for d, (a, b) in enumerate(zip(own[:-1].tolist(), own[1:].tolist(), strict=True)):
+        if a == b:
+            continue
+        breaks = np.searchsorted(place, line_ends[(line_ends >= place[a]) & (line_ends <= place[b - 1])])
+        for s, e in zip([a, *breaks.tolist()], [*breaks.tolist(), b], strict=True):
+            line = text[s:e]
+            got = line.strip(b" ")
+            if got in ix.lines:
+                s += len(line) - len(line.lstrip(b" "))
+                for item in ix.lines[got]:
+                    yield d, item, s, s + len(got)
+
+
+def spans_of(ix: Index, part: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, item, start, end, edits) in bytes of the original, by document and item, spans that
+    overlap or touch as one."""
+    text, own, place = collapsed(normal(part), offsets)
+    whole = text.tobytes()
+    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    close, dense, (at, k) = ix.bands(text)
+    for w, low, high in close:
+        item, s, last, _, budget = ix.flat[w].tolist()
+        first = int(np.searchsorted(own, max(low + s - budget, 0), "right")) - 1
+        for d in range(max(first, 0), len(own) - 1):  # a band may reach over the end of a document
+            if own[d] >= high + last + Q + budget:
+                break
+            got = ix.verify(whole, int(own[d]), int(own[d + 1]), w, low, high)
+            if got:
+                found.setdefault((d, item), []).append(got)
+    shapes: dict[bytes, list[int]] = {}
+    for w in dense:
+        shapes.setdefault(ix._text(w), []).append(w)
+    for pattern, same in shapes.items():
+        keys = np.searchsorted(ix.key, np.unique(qgrams(np.frombuffer(pattern, np.uint8))))
+        mine = at[np.isin(k, keys)]
+        doc = np.searchsorted(own, mine, "right") - 1
+        inside = mine + Q <= own[doc + 1]
+        mine, doc = mine[inside], doc[inside]
+        cut = np.flatnonzero(np.diff(doc)) + 1
+        for d, places in zip(doc[np.append(0, cut)].tolist() if len(doc) else (), np.split(mine, cut), strict=False):
+            for got in ix.stretches(whole, int(own[d]), int(own[d + 1]), same[0], places):
+                for item in sorted({int(ix.flat[w, 0]) for w in same}):
+                    found.setdefault((d, item), []).append(got)
+    if ix.lines:
+        for d, item, s, e in _whole_lines(ix, whole, own, part, place):
+            found.setdefault((d, item), []).append((s, e, 0))
+    for (d, item), spans in sorted(found.items()):
+        merged: list[list[int]] = []
+        for s, e, cost in sorted(set(spans)):
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+                merged[-1][2] = max(merged[-1][2], cost)
+            else:
+                merged.append([s, e, cost])
+        for s, e, cost in merged:
+            yield d, item, int(place[s]), int(place[e - 1]) + 1, cost
 
 
 def _search(index):
@@ -164,27 +325,10 @@ def _search(index):
             ids = batch.column(0)
             for i, j in X.slices(offsets):
                 part, own = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                text = normal(part)
-                whole = text.tobytes()
-                found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-                for d, w, low, high in ix.bands(text, own):
-                    got = ix.verify(whole, int(own[d]), int(own[d + 1]), w, low, high)
-                    if got:
-                        found.setdefault((d, int(ix.flat[w, 0])), []).append(got)
                 rows = []
-                for (d, item), spans in sorted(found.items()):
-                    spans = sorted(set(spans))
-                    merged = [list(spans[0])]
-                    for s, e, cost in spans[1:]:
-                        if s <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], e)
-                            merged[-1][2] = max(merged[-1][2], cost)
-                        else:
-                            merged.append([s, e, cost])
-                    for s, e, cost in merged:
-                        points = X.codepoints(part[own[d] : e])
-                        a = int(points[: s - own[d]].sum())
-                        rows.append((i + d, int(ix.ids[item]), a, int(points.sum()), cost))
+                for d, item, s, e, cost in spans_of(ix, part, own):
+                    points = X.codepoints(part[own[d] : e])
+                    rows.append((i + d, int(ix.ids[item]), int(points[: s - own[d]].sum()), int(points.sum()), cost))
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "item_id", "start", "end", "edits"])
 
@@ -213,13 +357,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
     A stretch counts from a window of ``WINDOW`` bytes (the whole item if that is shorter) with
     an edit for every ``RATE`` bytes at most; windows begin every ``STRIDE`` bytes, so any
-    ``WINDOW + STRIDE - 1`` bytes of an item hold one; items under ``LEAST`` bytes can't be told from
-    chance and aren't searched.  Null or empty texts and items give nothing; a null item id
-    isn't searched; a null doc_id stays null; repeated rows get equal results; other columns
-    aren't read; an empty table gives no rows.
+    ``WINDOW + STRIDE - 1`` bytes of an item hold one.  Items under ``EXACT`` bytes count where they
+    stand as they are and not within a word; those under ``Q`` bytes where they are a line of
+    the document.  Null, empty or blank texts and items give nothing; a null item id isn't
+    searched; items with equal texts are found each; a null doc_id stays null; repeated rows get
+    equal results; other columns aren't read; an empty table gives no rows.
+
+    A benchmark of several blocks is searched block by block, each search written before the
+    next block is gathered.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, start long, end long, edits long"
-    parts = [rows.transform(mapped(_search(spark.sparkContext.broadcast(ix)), schema)) for ix in _blocks(benchmark, item_col, item_text_col)]
-    return reduce(DataFrame.union, parts)
+    ws = Workspace(spark, "leaks")
+    parts, blocks = [], _blocks(benchmark, item_col, item_text_col)
+    index = next(blocks)
+    while True:
+        held = spark.sparkContext.broadcast(index)
+        found = rows.transform(mapped(_search(held), schema))
+        index = next(blocks, None)
+        if index is None:
+            return reduce(DataFrame.union, parts, found)
+        parts.append(ws.save(found, "found"))
+        held.destroy()
