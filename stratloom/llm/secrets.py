@@ -7,9 +7,14 @@ layer is scanned and searched for further layers in turn, until nothing new turn
 Every character of a layer knows the range of the original text that it came from, so a
 find deep down is a span of the original.  A layer text that was met before at the same
 place is not entered again (cycles).  A layer need not be text: what isn't UTF-8 is read byte
-by byte, and what holds NULs also without them (UTF-16).  Compressed data of more than ``MOST``
-bytes is scanned in pieces of about that size, which overlap by ``OVERLAP`` bytes and are cut
-at line ends where there are any.  Base64 wrapped over lines is joined first.
+by byte, and what holds NULs also without them (UTF-16).  Compressed data is unpacked in pieces of
+``MOST`` bytes, cut only where no find, escape or token can go on (a token of more than
+``LONGEST`` bytes is cut all the same).  Base64 wrapped over lines is joined first; a token that
+doesn't decode to text as it stands is also read from its next three characters, and
+between its dashes and underscores, since something may be glued to its front.
+
+The worklist holds what is still to be decoded, not the layers, and a layer's places are arrays
+(of no size where all of it came from one token), so memory follows the depth of the nesting.
 """
 
 from __future__ import annotations
@@ -20,9 +25,10 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from hashlib import blake2b
 from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +45,14 @@ _HINT = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#?[0-9
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[ \t]*+\r?\n[ \t]*+)++(?:(?!-----)[A-Za-z0-9+/_-]+={0,2})?")
 _ESCAPES = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|((?:\\u[0-9A-Fa-f]{4})+)|((?:\\x[0-9A-Fa-f]{2})+)|(&#?[0-9A-Za-z]+;)")
+_SUB = re.compile(r"[A-Za-z0-9+/]{16,}")
 MOST = 1 << 22
-OVERLAP = 1 << 16
+LONGEST = 1 << 26
+#: Bytes of which finds, escapes and tokens are made.
+_INSIDE = np.zeros(256, bool)
+_INSIDE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-:\"'%\\&#; \t\r\n\0")] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\r\n")] = True
 _MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"\x28\xb5\x2f\xfd")
 
 
@@ -61,25 +73,29 @@ class Layer:
 
     __slots__ = ("at", "fresh", "text", "to")
 
-    def __init__(self, text, at, to, fresh):
+    def __init__(self, text: str, at: np.ndarray, to: np.ndarray, fresh: np.ndarray):
         self.text, self.at, self.to, self.fresh = text, at, to, fresh
 
 
+def _same(value: int, n: int) -> np.ndarray:
+    return np.broadcast_to(np.int64(value), n)
+
+
 def _plain(text: str, start: int) -> Layer:
-    return Layer(text, range(start, start + len(text)), range(start + 1, start + len(text) + 1), bytes(len(text)))
+    at = np.arange(start, start + len(text))
+    return Layer(text, at, at + 1, _same(0, len(text)))
 
 
 def _unescape(x: Layer) -> Layer | None:
     """Undoes one round of character escapes."""
-    parts, at, to, fresh, last = [], [], [], bytearray(), 0
+    parts, at, to, fresh, last = [], [], [], [], 0
 
     def keep(a: int, b: int) -> None:
         parts.append(x.text[a:b])
-        at.extend(x.at[a:b])
-        to.extend(x.to[a:b])
-        fresh.extend(x.fresh[a:b])
+        at.append(x.at[a:b])
+        to.append(x.to[a:b])
+        fresh.append(x.fresh[a:b])
 
-    changed = False
     for m in _ESCAPES.finditer(x.text):
         run = m[0]
         if m[1] or m[3]:
@@ -101,35 +117,34 @@ def _unescape(x: Layer) -> Layer | None:
                 continue
             width = [len(run)] + [0] * (len(new) - 1)
         keep(last, m.start())
-        p = m.start()
-        for c, w in zip(new, width, strict=True):
-            parts.append(c)
-            at.append(x.at[p if w else m.start()])
-            to.append(x.to[max(p + w - 1, m.start())] if w else x.to[m.end() - 1])
-            fresh.append(1)
-            p += w
-        last, changed = m.end(), True
-    if not changed:
+        w = np.array(width, np.int64)
+        p = m.start() + np.cumsum(w) - w
+        parts.append(new)
+        at.append(x.at[np.where(w > 0, p, m.start())])
+        to.append(x.to[np.where(w > 0, p + w - 1, m.end() - 1)])
+        fresh.append(_same(1, len(new)))
+        last = m.end()
+    if not last:
         return None
     keep(last, len(x.text))
-    return Layer("".join(parts), at, to, fresh)
+    return Layer("".join(parts), np.concatenate(at), np.concatenate(to), np.concatenate(fresh))
 
 
-def _views(raw: bytes) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """Texts that the bytes can be read as, with the range of bytes of each character."""
+def _views(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Texts that the bytes can be read as, with the first byte of each character and the one
+    after its last."""
+    b = np.frombuffer(raw, np.uint8)
     try:
         text = raw.decode("utf-8")
+        first = np.flatnonzero((b & 0xC0) != 0x80)
     except UnicodeDecodeError:
-        text = raw.decode("latin-1")
-        ends = range(1, len(text) + 1)
-    else:
-        ends = range(1, len(text) + 1) if len(text) == len(raw) else list(accumulate(len(c.encode()) for c in text))
-    spans = list(zip([0, *ends[:-1]], ends, strict=True)) if text else []
+        text, first = raw.decode("latin-1"), np.arange(len(raw))
+    after = np.append(first[1:], len(raw))
     if text:
-        yield text, spans
+        yield text, first, after
     if "\0" in text:
-        kept = [i for i, c in enumerate(text) if c != "\0"]
-        yield "".join(text[i] for i in kept), [spans[i] for i in kept]
+        kept = b[first] != 0
+        yield text.replace("\0", ""), first[kept], after[kept]
 
 
 def _unpacked(raw: bytes) -> Iterator[bytes]:
@@ -153,83 +168,129 @@ def _unpacked(raw: bytes) -> Iterator[bytes]:
         return
 
 
+def _last_break(piece: bytes) -> int:
+    """The last place at which nothing that is looked for can go on: after an ASCII character
+    that is part of none of it, or after white space that follows such or a character beyond ASCII."""
+    b = np.frombuffer(piece, np.uint8)
+    ends = ~_INSIDE[b] & (b < 128)
+    ends[1:] |= _BLANK[b[1:]] & ~_INSIDE[b[:-1]]
+    found = np.flatnonzero(ends)
+    return int(found[-1]) + 1 if len(found) else 0
+
+
 def _inflate(raw: bytes) -> Iterator[bytes]:
-    """Overlapping pieces of compressed data, cut at line ends where one is near."""
-    held, new = b"", False
+    """Compressed data in pieces that nothing reaches across."""
+    held: list[bytes] = []
+    size = 0
     for piece in _unpacked(raw):
-        held, new = held + piece, True
-        if len(held) < MOST:
+        held.append(piece)
+        size += len(piece)
+        if size < MOST:
             continue
-        cut = held.rfind(b"\n", len(held) // 2) + 1 or len(held)
-        yield held[:cut]
-        held, new = held[max(cut - OVERLAP, 0) :], cut < len(held)
-    if new:
-        yield held
+        cut = _last_break(piece) or (len(piece) if size >= LONGEST else 0)
+        if cut:
+            yield b"".join([*held[:-1], piece[:cut]])
+            held, size = [piece[cut:]], len(piece) - cut
+    if size:
+        yield b"".join(held)
 
 
 def _wrapped(x: Layer) -> Iterator[Layer]:
     """Base64 over several lines, joined."""
     for m in _WRAPPED.finditer(x.text):
-        at = [i for i in range(m.start(), m.end()) if not x.text[i].isspace()]
-        yield Layer("".join(x.text[i] for i in at), [x.at[i] for i in at], [x.to[i] for i in at], bytes(x.fresh[i] for i in at))
+        at = m.start() + np.flatnonzero([not c.isspace() for c in m[0]])
+        yield Layer("".join(m[0].split()), x.at[at], x.to[at], x.fresh[at])
 
 
-def _base64(x: Layer) -> Iterator[Layer]:
-    """Layers of the base64 tokens, unpacked where they hold compressed data."""
-    for m in _B64.finditer(x.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        body = run.replace("-", "+").replace("_", "/")
+def _decoded(x: Layer, s: int, e: int) -> Iterator[tuple[bool, Iterator[Layer]]]:
+    """Readings of the token [s, e) of x from each of its first four characters: whether it is
+    surely one, and its layers."""
+    run = x.text[s:e].rstrip("=").replace("-", "+").replace("_", "/")
+    for shift in range(min(4, len(run) - 15)):
+        body = run[shift:]
+        body = body[: len(body) - (len(body) % 4 == 1)]
         try:
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        s, e = m.start(), m.end()
         if raw[:2] in _MAGIC or raw[:4] in _MAGIC:
-            whole = False
-            for piece in _inflate(raw):
-                for text, _ in _views(piece):
-                    whole = True
-                    n = len(text)
-                    yield Layer(text, [x.at[s]] * n, [x.to[e - 1]] * n, b"\1" * n)
-            if whole:
-                continue
-        for text, spans in _views(raw):
-            at = [x.at[s + b * 8 // 6] for b, _ in spans]
-            to = [x.to[min(s + (b * 8 + 5) // 6, e) - 1] for _, b in spans]
-            yield Layer(text, at, to, b"\1" * len(text))
+            first = next(pieces := _inflate(raw), None)
+            if first is not None:
+                yield True, (Layer(t, _same(x.at[s], len(t)), _same(x.to[e - 1], len(t)), _same(1, len(t))) for piece in _chain(first, pieces) for t, _, _ in _views(piece))
+                return
+        sure = raw.isascii() and raw.translate(None, _TEXT) == b""
+        yield sure, _mapped(x, s + shift, e, raw)
+        if sure:
+            return
 
 
-def decoded_spans(text: str) -> set[tuple[str, int, int]]:
-    """Finds in decoded layers, as ranges of the original text."""
-    found: set[tuple[str, int, int]] = set()
-    work: list[Layer] = []
+_TEXT = bytes([9, 10, 13, *range(32, 127)])
+
+
+def _chain(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
+    yield first
+    yield from rest
+
+
+def _mapped(x: Layer, s: int, e: int, raw: bytes) -> Iterator[Layer]:
+    for text, first, after in _views(raw):
+        yield Layer(text, x.at[s + first * 8 // 6], x.to[np.minimum(s + (after * 8 + 5) // 6, e) - 1], _same(1, len(text)))
+
+
+def _base64(x: Layer) -> Iterator[Layer]:
+    """Layers of the base64 tokens, unpacked where they hold compressed data."""
+    for m in _B64.finditer(x.text):
+        s, e = m.span()
+        known = False
+        for sure, found in _decoded(x, s, e):
+            known |= sure
+            yield from found
+        if not known and ("-" in m[0] or "_" in m[0]):
+            for part in _SUB.finditer(x.text, s, e):
+                for _, found in _decoded(x, part.start(), part.end()):
+                    yield from found
+
+
+def _first_layers(text: str) -> Iterator[Layer]:
     if _HINT.search(text):
         start = 0
         for line in text.split("\n"):
-            if _HINT.search(line):
-                work.append(_plain(line, start))
+            if _HINT.search(line) and (y := _unescape(_plain(line, start))):
+                yield y
             start += len(line) + 1
-        work = [y for x in work if (y := _unescape(x))]
     for m in _B64.finditer(text):
-        work += _base64(_plain(m[0], m.start()))
+        yield from _base64(_plain(m[0], m.start()))
     for m in _WRAPPED.finditer(text):
-        work += [z for y in _wrapped(_plain(m[0], m.start())) for z in _base64(y)]
-    seen: set[tuple[str, int, int]] = set()
+        for y in _wrapped(_plain(m[0], m.start())):
+            yield from _base64(y)
+
+
+def _next_layers(x: Layer) -> Iterator[Layer]:
+    if (y := _unescape(x)) is not None:
+        yield y
+    yield from _base64(x)
+    for y in _wrapped(x):
+        yield from _base64(y)
+
+
+def decoded_spans(text: str) -> set[tuple[str, int, int]]:
+    """Finds in decoded layers, as ranges of the original text."""
+    found: set[tuple[str, int, int]] = set()
+    seen: set[tuple[bytes, int, int]] = set()
+    work = [_first_layers(text)]
     while work:
-        x = work.pop()
-        key = (x.text, x.at[0] if x.text else 0, x.to[-1] if x.text else 0)
-        if not x.text or key in seen:
+        x = next(work[-1], None)
+        if x is None:
+            work.pop()
+            continue
+        key = (blake2b(x.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(x.at[0]), int(x.to[-1])) if x.text else None
+        if key is None or key in seen:
             continue
         seen.add(key)
         for kind, s, e in base_spans(x.text):
-            if any(x.fresh[s:e]):
-                found.add((kind, min(x.at[s:e]), max(x.to[s:e])))
-        if (y := _unescape(x)) is not None:
-            work.append(y)
-        work += _base64(x)
-        work += [z for y in _wrapped(x) for z in _base64(y)]
+            if x.fresh[s:e].any():
+                found.add((kind, int(x.at[s:e].min()), int(x.to[s:e].max())))
+        work.append(_next_layers(x))
     return found
 
 
@@ -283,7 +344,11 @@ def redacted(text: str | None, spans, mark: str = "[SECRET]") -> str | None:
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The input with secrets replaced in ``text_col``; all other columns as they are."""
+    """The input with secrets replaced in ``text_col``; all other columns as they are.
+
+    Spans that overlap become one mark, spans that touch one each; a null or empty text stays as it is;
+    repeated rows get equal results; no rows give none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
