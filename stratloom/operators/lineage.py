@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,11 @@ from pyspark.sql import DataFrame
 
 def settle(df: DataFrame) -> DataFrame:
     """The rows, checkpointed in the folder of ``spark.checkpoint.dir``, which all executors
-    share; only where it is unset (a local master) in a temporary one."""
+    share; only where it is unset and the master is local in a temporary one."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratloom-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratloom-"))
     return df.checkpoint(eager=True)
