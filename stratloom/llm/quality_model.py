@@ -2,8 +2,9 @@
 
 One pass over the texts makes the statistics of every document, which are a few hundred
 bytes however long it is.  The trees are fitted on the driver from labelled rows, at most
-``max_rows`` of them (those with the smallest hash of their id), and scored as flat arrays
-over whole batches.
+``max_rows`` of them (those with the smallest hash of their id; a bound on the hash, from the
+count of labelled ids, leaves each task to send its own few), and scored as flat arrays over
+whole batches.
 """
 
 from __future__ import annotations
@@ -120,6 +121,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     return Trees().fit(x[~part], y[~part]).calibrate(x[part], y[part])
 
 
+_PARTS = 1 << 40
+
+
+def bound(n: int, most: int) -> int:
+    """A bound on the hash below which about ``most`` of n ids are, six deviations more to be sure."""
+    return _PARTS if n <= most else min(_PARTS, int(_PARTS * (most + 6 * most**0.5) / n))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 40_000, threshold: float = 0.7) -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
@@ -128,15 +137,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     label, or labels of one class, every score is their (smoothed) mean, 0.5 for none.
 
     A null text counts as empty and is scored; null labels are left out; a null id has a
-    score and is not held out; of several labels for an id the largest counts; repeated rows
-    get equal results; other columns aren't read; no rows give none.
+    score and is not held out; of several labels for an id the largest counts; ids with
+    equal hashes are taken by id; repeated rows get equal results; other columns aren't read; no rows give none.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "quality")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     stats = ws.save(rows.transform(mapped(_stats, "id long, x array<double>")), "stats").withColumn("held_out", held_out(F.col("id")))
     marks = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    known = stats.filter("not held_out").join(marks, "id").orderBy(F.xxhash64("id"), "id").limit(max_rows).select("x", "y").toArrow()
-    x = known["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(STATS)) if len(known) else np.zeros((0, len(STATS)))
-    model = spark.sparkContext.broadcast(fit(x, known["y"].to_numpy().astype(float)))
+    known = ws.save(stats.filter("not held_out").select("id").join(marks, "id").distinct(), "known")
+    drawn = known.filter(F.pmod(F.xxhash64("id"), F.lit(_PARTS)) < bound(known.count(), max_rows))
+    found = stats.join(F.broadcast(drawn), "id").select("id", F.xxhash64("id").alias("h"), "x", "y").toArrow()
+    x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(STATS)) if len(found) else np.zeros((0, len(STATS)))
+    order = np.lexsort((*x.T[::-1], found["id"].to_numpy(), found["h"].to_numpy() % _PARTS))[:max_rows]
+    x, y = x[order], found["y"].to_numpy()[order].astype(float)
+    model = spark.sparkContext.broadcast(fit(x, y))
     return stats.select("id", "held_out", "x").transform(mapped(_predict(model, threshold), "doc_id long, held_out boolean, score double, predicted int"))
