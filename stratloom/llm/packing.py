@@ -5,8 +5,9 @@ of each length, and there are at most ``capacity`` lengths.  Spark tokenises and
 lengths; the driver fills bins on these counts, a bin layout at a time and as often as
 the counts allow (a layout ends only when some length runs out, so there are about as
 many layouts as lengths, whatever the corpus); Spark deals the places back to the pieces
-by their rank within their length.  Ranks are counted within (length, hash bucket), so
-that a length which a third of all pieces have is spread over the buckets.
+by their rank within their length.  Ranks are counted within (length, hash bucket), with a
+bucket for every ``BUCKET_ROWS`` pieces of a length, so that one which a third of all
+pieces have is spread over as many tasks as it takes.
 
 A bin is filled greedily with the longest piece that fits.  Then its smallest piece is
 taken out if two others that aren't packed fit the gap more tightly, and the gap is
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import _text as X
-from ._store import Workspace, mapped
+from ._store import Workspace, ids_side, mapped
 
-BUCKETS = 16
+BUCKET_ROWS = 1 << 10
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -256,18 +257,17 @@ def pack(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, end: int = 0,
     ws = Workspace(spark, "packing")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = rows.transform(mapped(_pieces(tokenizer, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long"))
-    # the bucket comes from the written row, so that counts and ranks agree whatever runs again
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")
-    pieces = ws.save(pieces.withColumn("bucket", bucket), "pieces")
-    counts = sorted((r["length"], r["bucket"], r["n"]) for r in pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")).toLocalIterator())
-    total: dict[int, int] = {}
-    before = []
-    for length, b, n in counts:
-        before.append((length, b, total.get(length, 0)))
-        total[length] = total.get(length, 0) + n
+    pieces = ws.save(pieces, "pieces")
+    total = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     plan = spark.sparkContext.broadcast(Plan(best_two_fit(total, capacity)))
-    base = spark.createDataFrame(before, "length long, bucket int, base long")  # capacity * BUCKETS rows at most
+    buckets = spark.createDataFrame([(k, n // BUCKET_ROWS + 1) for k, n in total.items()], "length long, buckets long")
+    # the bucket comes from the written row, so that counts and ranks agree whatever runs again
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets"))
+    pieces = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", bucket).drop("buckets")
+    own = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    base = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(own), F.lit(0))).drop("n")
+    base = ws.save(base, "buckets")  # capacity rows and one for each BUCKET_ROWS pieces
     ranked = pieces.withColumn("own", F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")))
-    ranked = ranked.join(F.broadcast(base), ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("own") - 1)
+    ranked = ranked.join(ids_side(base), ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("own") - 1)
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return ranked.transform(mapped(_place(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
