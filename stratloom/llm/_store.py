@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset a temporary folder
-    of this machine, which is right for a local master alone."""
+    """``spark.checkpoint.dir`` of the session; only where it is unset and the master is local a
+    temporary folder of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="stratloom-")
     return _own["dir"]
@@ -104,7 +107,7 @@ def mapped(fn, schema: str):
 
     def apply(df: DataFrame) -> DataFrame:
         conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        if conf.get(key, None) is None:
+        if conf.get(key, None) is None:  # read when the plan runs, so it stays set for the session
             conf.set(key, str(ROWS_A_BATCH))
         return df.mapInArrow(run, schema)
 

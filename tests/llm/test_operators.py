@@ -117,7 +117,6 @@ def test_components_equal_brute_force(spark, seed):
 
 def test_components_without_broadcasts(spark, monkeypatch):
     """Beyond the bound of every counted side, joins shuffle, classes by salted keys."""
-    monkeypatch.setattr(minhash, "MOST_IDS", 0)
     monkeypatch.setattr(_store, "MOST_IDS", 0)
     t = mutated(2, groups=3) | {1000 + i: "one text that many rows have in common" for i in range(80)} | {2000 + i: "" for i in range(50)}
     df = spark.createDataFrame(list(t.items()), "doc_id long, text string")
@@ -303,8 +302,76 @@ def test_banded_alignment_equals_full():
             for j, d in enumerate(t, 1):
                 new.append(min(row[j - 1] + (c != d), row[j] + 1, new[j - 1] + 1))
             row = new
-        end, cost = decontaminate.best_end(p, t)
-        assert cost == min(row) and row[end] == cost
+        assert decontaminate.ends_of(p, t).tolist() == row
+
+
+def plain_leaks(docs, items):
+    """(document, item) by aligning every window with every document."""
+    fold = lambda t: re.sub(rb" +", b" ", re.sub(rb"[\x20\x09-\x0d]", b" ", t.lower().encode())).strip()
+    out = set()
+    for i, x in items.items():
+        x = fold(x)
+        w = min(64, len(x))
+        for s in {*range(0, len(x) - w + 1, 8), len(x) - w}:
+            for d, t in docs.items():
+                if decontaminate.ends_of(x[s : s + w], fold(t)).min() <= (w // 16 if len(x) >= 32 else 0):
+                    out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("pairs", [1 << 23, 500, 20])
+def test_leaks_equal_brute_force(spark, monkeypatch, pairs):
+    """With edits of all kinds at and around the budget, ruled lines, and white space."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(2, 8))))
+    items = {i: " ".join(word() for _ in range(int(rng.integers(7, 30)))) for i in range(30)}
+    items |= {100: "-" * 90, 101: "=-" * 40, 102: items[0][:40] + " " + "-" * 50, 103: items[5]}
+    docs = {}
+    for k in range(150):
+        x = items[int(rng.integers(0, 30))]
+        a = int(rng.integers(0, max(1, len(x) - 80)))
+        part = list(x[a : a + int(rng.integers(60, 100))])
+        for _ in range(int(rng.integers(0, 9))):
+            p = int(rng.integers(0, len(part)))
+            part[p : p + 1] = [[], ["~"], [part[p], "~"]][int(rng.integers(0, 3))]
+        docs[k] = " ".join(word() for _ in range(5)) + " " + "".join(part).replace(" ", ["  ", "\n", " "][k % 3]) + " " + word()
+    docs |= {200: "a " + "-" * 300 + " b", 201: "-" * 59, 202: "-=" * 50, 203: "x" + "-" * 20 + "y" + "-" * 43, 204: "", 205: "-" * 61}
+    index = decontaminate.Index(list(items), [x.encode() for x in items.values()])
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    offsets, raw = _text.buffers(pa.array(list(docs.values())))
+    ids = list(docs)
+    got = {(ids[d], int(index.ids[i])) for d, i, *_ in decontaminate.spans_of(index, raw, offsets)}
+    want = plain_leaks(docs, items)
+    assert got == want and 20 < len({d for d, _ in want}) < 140 and {200, 202, 203, 205} <= {d for d, _ in want}
+
+
+def test_repetitive_texts_take_bounded_memory():
+    import tracemalloc
+
+    index = decontaminate.Index([1, 2], [b"-" * 400, b"*-" * 200])
+    offsets, raw = _text.buffers(pa.array(["-" * (2 << 20)]))
+    tracemalloc.start()
+    start = time.time()
+    spans = list(decontaminate.spans_of(index, raw, offsets))
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20 and time.time() - start < 30
+    tracemalloc.stop()
+    assert [x[:4] for x in spans] == [(0, 0, 0, 2 << 20)]
+
+
+def test_short_items_and_white_space(spark):
+    items = [(1, "What is 2 + 2?"), (2, "Paris"), (3, "cat  and\tdog"), (4, "the quick brown fox jumps over the lazy dog and then some more words"), (5, " ")]
+    docs = [(1, "So: what  is\n2 + 2? Four."), (2, "Paris is a city"), (3, "a\n paris \nb"), (4, "concat and dogma"), (5, "a cat and dog"), (6, "The\xa0quick  brown\n\nfox jumps over   the lazy dog and then some more words"), (7, "four")]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    by = dict(docs)
+    assert {(r.doc_id, r.item_id, by[r.doc_id][r.start : r.end]) for r in got} == {(1, 1, "what  is\n2 + 2?"), (3, 2, "paris"), (5, 3, "cat and dog"), (6, 4, by[6])}
+
+
+def test_blocks_give_the_same(spark, documents, sf_dir, monkeypatch):
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    key = lambda rows: sorted(map(tuple, rows))
+    whole = key(decontaminate.leaks(documents, b).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
+    assert key(decontaminate.leaks(documents, b).collect()) == whole and whole
 
 
 # --- secrets ---
@@ -325,6 +392,34 @@ def test_base_secrets(texts):
         assert set(base) == set(brute_secrets(t)) and set(base) <= set(every)
 
 
+def test_secrets_across_pieces_and_glue(monkeypatch):
+    b64 = lambda x: base64.b64encode(x).decode()
+    secret = b"password = hunter2hunter"
+    for most in (1 << 22, 64, 7):
+        monkeypatch.setattr(secrets, "MOST", most)
+        for body in (b"x, " * 40 + secret + b", y" * 40, secret * 9, ("é" * 50 + "\n").encode() * 5 + secret):
+            for data in (gzip.compress(body), gzip.compress(b"first") + gzip.compress(body), zlib.compress(body)):
+                t = f"see {b64(data)} end"
+                assert ("assign", 4, len(t) - 4) in secrets.scan(t)[1], most
+        inner = base64.b64encode(b"some words, " * 20 + secret)  # a token inside longer than a piece
+        t = b64(gzip.compress(b"a, b, " + inner + b", c"))
+        assert ("assign", 0, len(t)) in secrets.scan(t)[1]
+    for glue in ("x_", "ab", "k", "id-", "a/b", "QQQ"):
+        t = f"{glue}{b64(b'my ' + secret + b' is here')} z"
+        added = [x for x in secrets.scan(t)[1] if x[0] == "assign"]
+        assert added and all(0 <= s < e <= len(t) - 2 for _, s, e in added), glue
+
+
+def test_bombs_take_bounded_memory():
+    import tracemalloc
+
+    bomb = base64.b64encode(zlib.compress(b"many words, " * 4_000_000 + b"token=abcdef123")).decode()
+    tracemalloc.start()
+    assert ("assign", 0, len(bomb)) in secrets.scan(bomb)[1]
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 SECRET = "password = hunter2hunter"
 
 
@@ -444,6 +539,18 @@ def test_packing_is_whole_and_gapless(documents, texts):
     assert len(bins) <= math.ceil(sum(map(len, ids.values())) / 2048) * 1.02 + 1
 
 
+def test_packing_of_one_length(spark, monkeypatch):
+    """Pieces of one length go through several buckets."""
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 16)
+    df = spark.createDataFrame([(i % 150, "two words") for i in range(400)] + [(1000 + i, "one") for i in range(30)], "doc_id long, text string").repartition(3)
+    rows = packing.pack(df, tokenizer=tokenizer_path("word_bpe_49k.json"), capacity=64).collect()
+    assert len(rows) == 430 and len({(r.sequence_id, r.offset) for r in rows}) == 430
+    fill = collections.Counter()
+    for r in rows:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 64 and len(fill) == math.ceil(sum(fill.values()) / 64)
+
+
 def test_best_two_fit_replaces_the_smallest():
     # greedy fills 10 with 7 + 2; the smallest goes for 2 + 1
     assert packing.best_two_fit({7: 1, 2: 2, 1: 1}, 10)[0] == ([7, 2, 1], 1)
@@ -491,10 +598,83 @@ def test_kneser_ney_is_a_distribution():
     text = np.frombuffer(" ".join("".join(rng.choice(list("abcde"), 4)) for _ in range(800)).encode(), np.uint8)
     keys, n = np.unique(quality_rules.packed(text, np.array([0, len(text)])), return_counts=True)
     m = quality_rules.KneserNey(keys, n)
-    for ctx in (0, 1, (1 << 12) | (2 << 6) | 3, (9 << 12) | (9 << 6) | 9):
-        all_next = (np.uint32(ctx) << np.uint32(6)) | np.arange(64, dtype=np.uint32)
+    for ctx in (b"\0\0\0", b"\0\0a", b"abc", b"zzz", b"b e"):
+        all_next = (np.uint32(int.from_bytes(ctx, "big")) << np.uint32(8)) | np.arange(256, dtype=np.uint32)
         assert np.exp(m.score(all_next)).sum() == pytest.approx(1)
-    assert m.score(keys).mean() > m.score(rng.integers(0, 1 << 24, 1000).astype(np.uint32)).mean() + 1
+    assert m.score(keys).mean() > m.score(rng.integers(0, 1 << 32, 1000).astype(np.uint32)).mean() + 1
+
+
+def plain_kneser_ney(texts):
+    """P(byte | three before) by dictionaries, straight from the definition."""
+    counts = collections.Counter()
+    for t in texts:
+        x = b"\0\0\0" + t
+        counts.update(x[i : i + 4] for i in range(len(t)))
+    level = {4: counts}
+    for k in (3, 2, 1):
+        level[k] = collections.Counter(g[1:] for g in level[k + 1])
+    cut, total, kinds = {}, {}, {}
+    for k, c in level.items():
+        t = [sum(n == i for n in c.values()) for i in range(5)]
+        y = t[1] / (t[1] + 2 * t[2]) if t[1] and t[2] else 0.5
+        cut[k] = [0] + [min(max(i - (i + 1) * y * t[i + 1] / t[i], 0.05), i - 0.05) if t[i] and t[i + 1] else 0.5 for i in (1, 2, 3)]
+        total[k], kinds[k] = collections.Counter(), collections.defaultdict(float)
+        for g, n in c.items():
+            total[k][g[:-1]] += n
+            kinds[k][g[:-1]] += cut[k][min(n, 3)]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 256
+        if not total[k][g[:-1]]:
+            return p(g[1:])
+        n = level[k][g]
+        return (n - cut[k][min(n, 3)] + kinds[k][g[:-1]] * p(g[1:])) / total[k][g[:-1]]
+
+    return p
+
+
+def test_verdicts_equal_brute_force(spark, documents):
+    rng = np.random.default_rng(8)
+    prose = [(r.doc_id, r.text[:400], r.lang) for r in documents.orderBy("doc_id").limit(60).collect()]
+    junk = [(1000 + i, " ".join(f"w{k}###" for k in rng.integers(0, 50, 20)), "en") for i in range(6)] + [(1010, "tiny", "en"), (1011, None, None), (1012, "un texto corto " * 12, None)]
+    rows = prose + junk
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+
+    def plain(t):
+        return bytes(32 if c in b" \t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+
+    teach = {i: not r.base_failed and 10 * r.n_symbols <= r.n_words for i, r in got.items()}
+    entropy = {}
+    for lang in {x[2] for x in rows}:
+        p = plain_kneser_ney([plain(t) for i, t, x in rows if x == lang and teach[i]])
+        for i, t, x in rows:
+            if x == lang:
+                b = plain(t)
+                y = b"\0\0\0" + b
+                entropy[i] = -sum(math.log(p(y[k : k + 4])) for k in range(len(b))) / max(len(b), 1)
+    at = lambda v, q: sorted(v)[max(math.ceil(q * len(v)) - 1, 0)]
+    pooled = [at([entropy[i] for i in teach if teach[i]], q) for q in (0.25, 0.75)]
+    for i, t, lang in rows:
+        own = [entropy[k] for k, _, x in rows if x == lang and teach[k]]
+        assert got[i].entropy == pytest.approx(entropy[i], rel=1e-9)
+        if not own:
+            assert got[i].kept == (not got[i].base_failed)
+            continue
+        q1, q3 = ((len(own) * at(own, q) + 50 * pooled[n]) / (len(own) + 50) for n, q in enumerate((0.25, 0.75)))
+        short = 3 / math.sqrt(max(len((t or "").encode()), 1))
+        low, high = q1 - max(6 * (q3 - q1), 0.5) - short, q3 + max(6 * (q3 - q1), 0.9) + short
+        assert (got[i].low, got[i].high) == (pytest.approx(low), pytest.approx(high))
+        assert got[i].kept == (not got[i].base_failed and low <= entropy[i] <= high)
+    assert not any(got[1000 + i].kept for i in range(6))
+
+
+def test_rare_languages_share_a_model(spark, documents, monkeypatch):
+    monkeypatch.setattr(quality_rules, "LANGUAGES", 2)
+    df = documents.withColumn("lang", F.when(F.col("doc_id") < 10, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("lang")))
+    rows = quality_rules.quality_rules(df).collect()
+    assert len(rows) == documents.count() and sum(r.kept for r in rows) > 0.8 * len(rows)
 
 
 def test_small_languages_have_a_band(spark, documents):
@@ -516,7 +696,10 @@ def test_bands_reject_noise_and_keep_prose(spark, documents):
     got = {r.doc_id: r for r in quality_rules.quality_rules(rows).collect()}
     assert not any(got[i].kept for i, _, _ in noise) and not any(got[i].kept for i, _, _ in drone)
     ok = [r for i, r in got.items() if i < 10**6 and not r.base_failed]
-    assert sum(not r.kept for r in ok) <= 0.02 * len(ok)
+    prose = [r for r in ok if 10 * r.n_symbols <= r.n_words]
+    assert len(prose) > 0.8 * len(ok) and all(r.kept for r in prose)
+    marked = [r for r in ok if r.n_symbols > 0.2 * r.n_words and r.n_words > 20]  # a symbol after every word or so
+    assert marked and not any(r.kept for r in marked)
 
 
 # --- personal data ---
@@ -562,6 +745,31 @@ def test_candidate_accuracy():
     y = np.array([c[4] for c in cases])
     hit = np.array([v >= cuts[c[0]] for v, c in zip(p, cases)])
     assert y[hit].mean() > 0.95 and hit[y == 1].mean() > 0.6
+    assert max(cuts["phone"], cuts["ssn"]) > 0.55  # formats alone don't tell these
+    assert pii.scan("the part 555-123-4567 of", trees, cuts)[1] == [] and pii.scan("serial 123-45-6789 there", trees, cuts)[1] == []
+
+
+def plain_added(t, trees, cuts):
+    """Candidates by their probability, each against all that stand."""
+    taken = list(brute_pii(t))
+    ranked = []
+    for kind, pattern in pii.GENERATORS:
+        ranked += [(kind, m.start(), m.end()) for m in pattern.finditer(t)]
+    out = set()
+    for kind, s, e in sorted(dict.fromkeys(ranked), key=lambda x: -trees.predict(np.array([pii.features(x[0], t, x[1], x[2])]))[0]):
+        p = trees.predict(np.array([pii.features(kind, t, s, e)]))[0]
+        if p >= cuts[kind] and all(b <= s or a >= e for _, a, b in taken):
+            taken.append((kind, s, e))
+            out.add((kind, s, e))
+    return out
+
+
+def test_added_spans_equal_brute_force(texts):
+    trees, cuts = pii.model()
+    cases = [t for _, t, *_ in pii._cases(400)]
+    for t in [*cases, *(" ".join(cases[i : i + 6]) for i in range(0, 300, 6)), *list(texts.values())[:80]]:
+        base, every = pii.scan(t, trees, cuts)
+        assert set(every) - set(base) == plain_added(t, trees, cuts)
 
 
 # --- pages ---
@@ -600,7 +808,9 @@ def test_differencing_takes_the_frame(spark):
     assert got[90].startswith("Welcome") and got[91].startswith("Welcome") and got[92] == got[93] != ""
 
 
-def test_longest_common_subsequence():
+@pytest.mark.parametrize("matches", [1 << 20, 0])
+def test_longest_common_subsequence(monkeypatch, matches):
+    monkeypatch.setattr(html_diff, "MATCHES", matches)
     rng = np.random.default_rng(0)
     for _ in range(60):
         a, b = rng.integers(0, 6, 14).tolist(), rng.integers(0, 6, 12).tolist()
@@ -611,7 +821,40 @@ def test_longest_common_subsequence():
         at = html_diff.common(a, b)
         it = iter(b)
         assert len(at) == len(set(at)) and all(any(y == a[i] for y in it) for i in at)
-        assert len(at) >= best[-1][-1] - 1  # equal ends are taken off first
+        assert len(at) == best[-1][-1]
+
+
+def test_long_pages_of_one_line():
+    a, b = [1, 2] * 3000, [2, 1, 3] * 2000
+    assert len(html_diff.common(a, b)) >= 4000
+
+
+def test_frames_among_copies(spark):
+    """Near copies of one article on a host with other pages; a short article in a long frame."""
+    top, foot = "".join(f"<p>Menu entry {i}</p>" for i in range(9)), "<p>All rights reserved</p><p>Imprint</p>"
+    story = [f"Sentence {i} of the long story." for i in range(8)]
+    pages = {"/a/1": story, "/a/2": [*story[:7], "Another end."], "/a/3": ["A short note."], "/a/4": ["Quite another thing.", "With a second line."], "/a/5": story}
+    rows = [(i, f"https://h.example{u}?x={i}", top + "".join(f"<div>{x}</div>" for x in ls) + foot) for i, (u, ls) in enumerate(pages.items())]
+    got = {r.page_id: r.text for r in html_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(5)] == [" ".join(x) for x in pages.values()]
+
+
+def test_differencing_equals_plain_pairs(spark):
+    """Every page against its neighbours, found by sorting all pages in Python; equal lines that aren't
+    aligned stay."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(60):
+        own = [f"line {x}" for x in rng.integers(0, 40, int(rng.integers(1, 9)))]
+        rows.append((i, f"http://h{i % 4}.example/{rng.integers(0, 5)}/{i}", ["home", *own, "home", "contact"]))
+    df = spark.createDataFrame([(i, u, "".join(f"<p>{x}</p>" for x in ls)) for i, u, ls in rows], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_diff.main_text(df).collect()}
+    order = sorted(rows, key=lambda r: (r[1].split("/")[2], r[1].split(".example", 1)[1]))
+    for k, (i, u, ls) in enumerate(order):
+        near = [order[j][2] for j in range(max(k - 2, 0), min(k + 3, len(order))) if j != k and order[j][1].split("/")[2] == u.split("/")[2]]
+        gone = html_diff.frame_lines(ls, near)
+        assert got[i] == " ".join(x for n, x in enumerate(ls) if n not in gone)
+        assert "contact" not in got[i] and not got[i].startswith("home")
 
 
 # --- shards ---
@@ -643,6 +886,53 @@ def test_plan_is_native(documents):
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
 
 
+def touched(groups, dims):
+    """Files that an equality on each value of each dimension has to read, by minima and maxima."""
+    n = 0
+    for d in dims:
+        for v in {r[d] for g in groups for r in g}:
+            n += sum(min(r[d] for r in g) <= v <= max(r[d] for r in g) for g in groups)
+    return n
+
+
+def test_shards_prune_more_than_sorts(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "t" * int(2 ** rng.uniform(3, 12)) + f" {i}", f"l{rng.integers(0, 8)}", f"https://a.example/{chr(97 + rng.integers(0, 20))}") for i in range(4096)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    by_id = {r[0]: {"lang": r[2], "source": r[3], "size": len(r[1]).bit_length(), "id": r[0] // 512} for r in rows}
+    files = collections.defaultdict(list)
+    for r in sharding.hilbert_shards(df, shards=64).collect():
+        files[r.shard].append(by_id[r.doc_id])
+    dims = ("lang", "source", "size", "id")
+    ours = touched(list(files.values()), dims)
+    for d in dims:
+        order = sorted(by_id.values(), key=lambda x: x[d])
+        assert ours < touched([order[i : i + 64] for i in range(0, 4096, 64)], dims), d
+
+
+def test_shards_of_hot_groups(spark, monkeypatch):
+    """A third of the rows are copies, ids and rows tie; also where no side is broadcast."""
+    rows = [(i % 40, "the same text", "en", "s") for i in range(120)] + [(None, None, None, None)] * 30 + [(i, f"text {i}", "de", f"s{i % 7}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    for most in (_store.MOST_IDS, 0):
+        monkeypatch.setattr(_store, "MOST_IDS", most)
+        got = sharding.hilbert_shards(df).collect()
+        n = collections.Counter(r.shard for r in got)
+        assert len(got) == len(rows) and max(n.values()) - min(n.values()) <= 1
+        for s in range(8):
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(n[s]))
+        place = [r.size for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+        assert "".join("x" if z == 14 else " " for z in place).split() == ["x" * 120]
+
+
+def test_written_shards_keep_every_row(spark, tmp_path):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, None), (None, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "slots": F.lit(1)})
+    sharding.write_shards(df, sharding.hilbert_shards(df, shards=2), str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted((r.doc_id or 0, r.text or "") for r in back.collect()) == sorted((i or 0, t or "") for i, t in rows)
+
+
 def test_written_shards(spark, documents, tmp_path):
     sharding.write_shards(documents, sharding.hilbert_shards(documents), str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
@@ -652,6 +942,36 @@ def test_written_shards(spark, documents, tmp_path):
 # --- classifier ---
 
 
+def test_hash_bound_leaves_enough():
+    rng = np.random.default_rng(0)
+    for n in (10, 1000, 100_000):
+        kept = (rng.integers(0, quality_model._PARTS, n) < quality_model.bound(n, 500)).sum()
+        assert min(n, 500) <= kept <= 800 or n < 500
+
+
+def test_bounded_sample(spark):
+    """More labelled rows than the sample holds, with ids that repeat."""
+    rows = [(i % 900, ("good prose of many words " if i % 2 else "x# y# z# ") * 4 + str(i)) for i in range(1000)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = quality_model.quality_scores(df, labels, max_rows=100).collect()
+    assert len(got) == 1000 and all((r.score > 0.5) == r.doc_id % 2 for r in got)
+
+
+def test_traversal_equals_plain_walk():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 5))
+    t = _boost.Trees(rounds=12, depth=3).fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
+    for row, z in zip(x, t.margin(x)):
+        want = t.base
+        for feature, cut, value in zip(t.feature, t.cut, t.value):
+            node = 0
+            for _ in range(3):
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            want += value[node - 7]
+        assert z == pytest.approx(want)
+
+
 def test_trees_separate_and_calibrate():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 5))
