@@ -49,7 +49,7 @@ def rotation_matrix(azimuth: float, dip: float, tilt: float = 0.0) -> np.ndarray
     dip downwards, tilt about the major axis; all in degrees."""
     az, dp, tl = np.deg2rad([azimuth, dip, tilt])
     major = np.array([np.sin(az) * np.cos(dp), np.cos(az) * np.cos(dp), -np.sin(dp)])
-    ref = np.array([0.0, 0.0, 1.0]) if abs(major[2]) < 0.99 else np.array([1.0, 0.0, 0.0])
+    ref = np.array([0.0, 0.0, 1.0]) if abs(major[2]) <= 0.99 else np.array([0.0, 1.0, 0.0])  # north for steep dips
     semi = np.cross(ref, major)
     semi /= np.linalg.norm(semi)
     minor = np.cross(major, semi)

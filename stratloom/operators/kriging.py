@@ -15,7 +15,8 @@ from .features import continuity_frame
 
 @dataclass(frozen=True)
 class Covariance:
-    """(1 - nugget) rho(h) + nugget I + jitter I, with h in ranges along the axes."""
+    """(1 - nugget) rho(h) + nugget I + jitter I, with the reduced lag h: the distance after each axis
+    is divided by its range.  rho is exp(-h), or (1 + sqrt(3) h) exp(-sqrt(3) h)."""
 
     axes: tuple[tuple[float, ...], ...]
     ranges: tuple[float, float, float]
@@ -26,12 +27,12 @@ class Covariance:
     def rho(self, h):
         if self.kind == "matern32":
             return (1 + np.sqrt(3.0) * h) * np.exp(-np.sqrt(3.0) * h)
-        return np.exp(-3.0 * h)
+        return np.exp(-h)
 
     def rho_column(self, h: Column) -> Column:
         if self.kind == "matern32":
             return (1 + float(np.sqrt(3.0)) * h) * F.exp(-float(np.sqrt(3.0)) * h)
-        return F.exp(-3.0 * h)
+        return F.exp(-h)
 
     def scaled(self, at: np.ndarray) -> np.ndarray:
         return at @ np.array(self.axes).T / np.array(self.ranges)
@@ -83,10 +84,11 @@ def krige(nodes: DataFrame, samples: DataFrame, model: Covariance, mean: str = "
 
 class GlsTree:
     """A regression tree under correlated errors.  Every split minimises the whitened residual of
-    all leaves together; leaf values are solved jointly.  Rows with x < threshold go left."""
+    all leaves together, over every distinct cut point by one cumulative sum a feature; leaf values
+    are solved jointly.  Rows with x < threshold go left."""
 
-    def __init__(self, depth: int = 4, least: int = 5, mtry: int | None = None, cuts: int = 16, ridge: float = 1e-5):
-        self.depth, self.least, self.mtry, self.cuts, self.ridge = depth, least, mtry, cuts, ridge
+    def __init__(self, depth: int = 4, least: int = 5, mtry: int | None = None, ridge: float = 1e-5):
+        self.depth, self.least, self.mtry, self.ridge = depth, least, mtry, ridge
 
     def fit(self, x: np.ndarray, y: np.ndarray, white: np.ndarray, rng: np.random.Generator) -> "GlsTree":
         n, f = x.shape
@@ -103,27 +105,25 @@ class GlsTree:
                 basis = white @ (leaf[:, None] == names[None, :]).astype(float)
                 q, _ = np.linalg.qr(basis)
                 rest = wy - q @ (q.T @ wy)
-                columns, what = [], []
+                best, what = 1e-9, None
                 for j in rng.permutation(f)[: self.mtry or f]:
-                    values = np.unique(x[mine, j])
-                    mids = (values[1:] + values[:-1]) / 2
-                    if len(mids) > self.cuts:
-                        mids = mids[np.unique(np.linspace(0, len(mids) - 1, self.cuts).astype(int))]
-                    for t in mids:
-                        side = mine & (x[:, j] < t)
-                        if self.least <= side.sum() <= mine.sum() - self.least:
-                            columns.append(side)
-                            what.append((int(j), float(t)))
-                if not columns:
+                    rows = np.flatnonzero(mine)[np.argsort(x[mine, j], kind="stable")]
+                    v = x[rows, j]
+                    # column i is the whitened indicator of the i + 1 smallest rows, free of the leaves
+                    c = np.cumsum(white[:, rows], axis=1)
+                    c -= q @ (q.T @ c)
+                    norm = (c**2).sum(0)
+                    at = np.arange(1, len(rows) + 1)
+                    ok = (at >= self.least) & (len(rows) - at >= self.least) & (norm > 1e-12)
+                    ok[:-1] &= v[:-1] < v[1:]
+                    ok[-1] = False
+                    gain = np.where(ok, (rest @ c) ** 2 / np.maximum(norm, 1e-12), -1.0)
+                    i = int(gain.argmax())
+                    if gain[i] > best:
+                        best, what = gain[i], (int(j), float((v[i] + v[i + 1]) / 2))
+                if what is None:
                     continue
-                c = white @ np.array(columns, float).T
-                c -= q @ (q.T @ c)
-                norm = (c**2).sum(0)
-                gain = np.where(norm > 1e-12, (rest @ c) ** 2 / np.maximum(norm, 1e-12), 0)
-                best = int(gain.argmax())
-                if gain[best] <= 1e-9:
-                    continue
-                j, t = what[best]
+                j, t = what
                 k = len(self.feature)
                 self.feature[node], self.threshold[node], self.left[node], self.right[node] = j, t, k, k + 1
                 for column, value in ((self.feature, -1), (self.threshold, 0.0), (self.left, -1), (self.right, -1)):
@@ -176,7 +176,9 @@ class GlsForest:
             out = np.setdiff1d(np.arange(n), rows)
             total[out] += tree.predict(x[out])
             seen[out] += 1
-        self.oob = np.where(seen > 0, total / np.maximum(seen, 1), yc.mean()) + self.centre
+        self.oob = total / np.maximum(seen, 1) + self.centre
+        if (seen == 0).any():  # drawn by every tree: the forest's own prediction
+            self.oob[seen == 0] = self.predict(x[seen == 0])
         self.alpha = white.T @ (white @ (y - self.oob))
         return self
 

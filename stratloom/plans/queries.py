@@ -70,7 +70,7 @@ def rounded_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _IJK = """,
-texts AS (SELECT node_id, CASE node_id % 6 WHEN 0 THEN i || '_' || j || '_' || k WHEN 1 THEN i || '-' || j || '-' || k WHEN 2 THEN i || ', ' || j || ',' || k WHEN 3 THEN i || '_' || j WHEN 4 THEN i || ' ' || j || '  ' || k ELSE 'x;' || j || ';' || k END AS t FROM cells WHERE node_id % 7 < 6),
+texts AS (SELECT node_id, CASE node_id % 6 WHEN 0 THEN i || '_' || j || '_' || k WHEN 1 THEN i || '-' || j || '-' || k WHEN 2 THEN i || ', ' || j || ',' || k WHEN 3 THEN i || '_' || j WHEN 4 THEN i || ' ' || j || '  ' || k ELSE 'x;' || j || ';' || k END AS t FROM cells),
 cut AS (SELECT node_id, list_transform(list_filter(list_transform(string_split(t, CASE WHEN contains(t, '_') THEN '_' WHEN contains(t, '-') THEN '-' WHEN contains(t, ',') THEN ',' WHEN contains(t, ';') THEN ';' ELSE ' ' END), lambda p: trim(p)), lambda p: p <> ''), lambda p: TRY_CAST(p AS INT)) AS v FROM texts),
 ok AS (SELECT node_id, CASE WHEN len(v) = 3 AND list_count(v) = 3 THEN v END AS v FROM cut)
 """
@@ -81,7 +81,7 @@ def ijk_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda sep, *cols: F.concat_ws(sep, *(F.col(c).cast("string") for c in cols))
     m = F.col("node_id") % 6
     text = F.when(m == 0, s("_", "i", "j", "k")).when(m == 1, s("-", "i", "j", "k")).when(m == 2, F.concat(s(", ", "i", "j"), F.lit(","), F.col("k").cast("string"))).when(m == 3, s("_", "i", "j")).when(m == 4, F.concat(s(" ", "i", "j"), F.lit("  "), F.col("k").cast("string"))).otherwise(F.concat(F.lit("x;"), s(";", "j", "k")))
-    c = L.cells(spark, sf_dir).filter("node_id % 7 < 6").select("node_id", text.alias("ijk"))
+    c = L.cells(spark, sf_dir).select("node_id", text.alias("ijk"))
     return grid.parse_ijk(c).select("node_id", "pi", "pj", "pk", "i0", "j0", "k0")
 
 
@@ -121,14 +121,13 @@ _FILL = (
     _WIN
     + """,
 good AS (SELECT w.* FROM win w JOIN cover c USING (i, j, k) WHERE n_valid / 27.0 >= 0.7 AND w.valid),
-slots AS (SELECT c.i, c.j, c.k, o.o AS o, o.a, o.b, o.c FROM cover c, offsets o WHERE n_valid / 27.0 >= 0.7),
-weighed AS (
-  SELECT s.i, s.j, s.k, s.o, g.fe, g.feo, g.magsus, g.s, power(sqrt(power((s.a - f.a) * 5.0, 2) + power((s.b - f.b) * 5.0, 2) + power((s.c - f.c) * 2.0, 2)) + 1e-8, -2) AS w
-  FROM slots s JOIN good g ON g.i = s.i AND g.j = s.j AND g.k = s.k JOIN offsets f ON f.o = g.o),
-idw AS (SELECT i, j, k, o, sum(w * fe) / sum(w) AS fe, sum(w * feo) / sum(w) AS feo, sum(w * magsus) / sum(w) AS magsus, sum(w * s) / sum(w) AS s FROM weighed GROUP BY 1, 2, 3, 4),
+weights AS (SELECT t.o AS t, f.o AS f, power(sqrt(power((t.a - f.a) * 5.0, 2) + power((t.b - f.b) * 5.0, 2) + power((t.c - f.c) * 2.0, 2)) + 1e-8, -2) AS w FROM offsets t, offsets f WHERE t.o <> f.o),
+holes AS (SELECT c.i, c.j, c.k, o.o FROM cover c, offsets o WHERE n_valid / 27.0 >= 0.7 AND n_valid < 27 EXCEPT SELECT i, j, k, o FROM good),
 filled AS (
-  SELECT d.i, d.j, d.k, d.o, CASE WHEN g.o IS NULL THEN 1 ELSE 0 END AS missing, coalesce(g.fe, d.fe) AS fe, coalesce(g.feo, d.feo) AS feo, coalesce(g.magsus, d.magsus) AS magsus, coalesce(g.s, d.s) AS s
-  FROM idw d LEFT JOIN good g ON g.i = d.i AND g.j = d.j AND g.k = d.k AND g.o = d.o)"""
+  SELECT i, j, k, o, 0 AS missing, fe, feo, magsus, s FROM good
+  UNION ALL
+  SELECT h.i, h.j, h.k, h.o, 1, sum(w * fe) / sum(w), sum(w * feo) / sum(w), sum(w * magsus) / sum(w), sum(w * s) / sum(w)
+  FROM holes h JOIN good g ON g.i = h.i AND g.j = h.j AND g.k = h.k JOIN weights x ON x.t = h.o AND x.f = g.o GROUP BY 1, 2, 3, 4)"""
 )
 
 
@@ -799,15 +798,51 @@ def share_above(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODEL = kriging.Covariance(tuple(map(tuple, _R)), (60.0, 40.0, 15.0), nugget=0.1, kind="exponential")
 _H = "sqrt(" + " + ".join(f"power((({{dx}}) * {r[0]!r} + ({{dy}}) * {r[1]!r} + ({{dz}}) * {r[2]!r}) / {s!r}, 2)" for r, s in zip(_R, MODEL.ranges, strict=True)) + ")"
 _H = _H.format(dx="a.x - b.x", dy="a.y - b.y", dz="a.z - b.z")
-_SOME = _NODES + ", few AS (SELECT * FROM nodes WHERE (i + j + k) % 4 = 0)"
 
 
-@query(with_(L.CELLS + _SOME, f"SELECT a.node_id AS a, b.node_id AS b, round(0.9 * exp(-3 * {_H}) + CASE WHEN a.node_id = b.node_id THEN 0.1 + 1e-8 ELSE 0 END, 6) AS cov FROM few a, few b"))
+@query(with_(L.CELLS + _NODES, f"SELECT a.node_id AS a, b.node_id AS b, round(0.9 * exp(-{_H}) + CASE WHEN a.node_id = b.node_id THEN 0.1 + 1e-8 ELSE 0 END, 6) AS cov FROM nodes a, nodes b"))
 def cov_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(kriging.covariance_pairs(_nodes(spark, sf_dir).filter("(i + j + k) % 4 = 0"), MODEL))
+    return rounded(kriging.covariance_pairs(_nodes(spark, sf_dir), MODEL))
 
 
-@query(with_(L.CELLS + _SOME, f"SELECT a.node_id, round(any_value(a.fe0) + sum(0.9 * exp(-3 * {_H}) * (b.dtr - 25) / 10), 6) AS krig FROM cells a, few b GROUP BY 1"))
+@query(with_(L.CELLS + _NODES, f"SELECT a.node_id, round(any_value(a.fe0) + sum(0.9 * exp(-{_H}) * (b.dtr - 25) / 10), 6) AS krig FROM cells a, nodes b GROUP BY 1"))
 def krige_given_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = _nodes(spark, sf_dir).filter("(i + j + k) % 4 = 0").withColumn("alpha", (F.col("dtr") - 25) / 10)
-    return rounded(kriging.krige(L.cells(spark, sf_dir).withColumn("m", F.col("fe0")), few, MODEL))
+    samples = _nodes(spark, sf_dir).withColumn("alpha", (F.col("dtr") - 25) / 10)
+    return rounded(kriging.krige(L.cells(spark, sf_dir).withColumn("m", F.col("fe0")), samples, MODEL))
+
+
+# the Matern kernel in a frame that dips by 85 degrees, where the second axis is taken from north
+STEEP = kriging.Covariance(tuple(map(tuple, features.rotation_matrix(30.0, 85.0))), (45.0, 30.0, 12.0), nugget=0.2, kind="matern32")
+
+
+def _frame_sql(azimuth: float, dip: float, ranges: tuple[float, float, float]) -> str:
+    """The reduced lag of a and b from the angles alone: major by azimuth and dip, semi across it
+    and the reference axis, minor across both."""
+    return f"""(WITH m AS (SELECT sin(radians({azimuth})) * cos(radians({dip})) AS m1, cos(radians({azimuth})) * cos(radians({dip})) AS m2, -sin(radians({dip})) AS m3),
+r AS (SELECT *, CASE WHEN abs(m3) > 0.99 THEN 1.0 ELSE 0.0 END AS r2, CASE WHEN abs(m3) > 0.99 THEN 0.0 ELSE 1.0 END AS r3 FROM m),
+s AS (SELECT *, r2 * m3 - r3 * m2 AS u1, r3 * m1 AS u2, -r2 * m1 AS u3 FROM r),
+t AS (SELECT *, u1 / sqrt(u1 * u1 + u2 * u2 + u3 * u3) AS s1, u2 / sqrt(u1 * u1 + u2 * u2 + u3 * u3) AS s2, u3 / sqrt(u1 * u1 + u2 * u2 + u3 * u3) AS s3 FROM s)
+SELECT *, m2 * s3 - m3 * s2 AS n1, m3 * s1 - m1 * s3 AS n2, m1 * s2 - m2 * s1 AS n3 FROM t)"""
+
+
+@query(
+    with_(
+        L.CELLS
+        + _NODES
+        + f", frame AS (SELECT * FROM {_frame_sql(30.0, 85.0, STEEP.ranges)}), pos AS (SELECT node_id, (x * m1 + y * m2 + z * m3) / 45.0 AS u, (x * s1 + y * s2 + z * s3) / 30.0 AS v, (x * n1 + y * n2 + z * n3) / 12.0 AS w FROM nodes, frame), h AS (SELECT a.node_id AS a, b.node_id AS b, sqrt(power(a.u - b.u, 2) + power(a.v - b.v, 2) + power(a.w - b.w, 2)) AS h FROM pos a, pos b)",
+        "SELECT a, b, round(0.8 * (1 + sqrt(3.0) * h) * exp(-sqrt(3.0) * h) + CASE WHEN a = b THEN 0.2 + 1e-8 ELSE 0 END, 6) AS cov FROM h",
+    )
+)
+def cov_matrix_steep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(kriging.covariance_pairs(_nodes(spark, sf_dir), STEEP))
+
+
+@query(
+    with_(
+        L.CELLS + f", frame AS (SELECT * FROM {_frame_sql(30.0, 85.0, STEEP.ranges)})",
+        "SELECT node_id, round((x * m1 + y * m2 + z * m3) / 45.0, 6) AS u, round((x * s1 + y * s2 + z * s3) / 30.0, 6) AS v, round((x * n1 + y * n2 + z * n3) / 12.0, 6) AS w FROM cells, frame",
+    )
+)
+def steep_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, v, w = features.continuity_frame(features.rotation_matrix(30.0, 85.0), STEEP.ranges, F.col("x"), F.col("y"), F.col("z"))
+    return rounded(L.cells(spark, sf_dir).select("node_id", u.alias("u"), v.alias("v"), w.alias("w")))
