@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -55,6 +56,13 @@ class Workspace:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+    def release(self) -> None:
+        """Let go of the shuffle files of plans that nothing refers to any more, which otherwise stay on
+        the executors' disks until the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 ROWS_A_BATCH = 1000
 MOST_IDS = 2_000_000
 

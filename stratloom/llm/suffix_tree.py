@@ -8,24 +8,30 @@ its own size explains; a text's next word is scored by the longest state that en
 A state names the next words that it has seen often; all others get the suffix state's
 probability, scaled to the mass that is left.  So every distribution sums to one.
 
-What can be a context is a word that was seen twice or a pair seen ``PAIR`` times, and a
-state names what it saw twice; no share of the corpus bounds them, so the tree grows with
-it.  It is kept in Spark tables by 64-bit hashes.  A word's log probability is the sum
+What can be a context is a word that was seen twice or several words seen ``PAIR`` times in a row
+whose suffix is a state (a path from the root is kept whole), and a state names what it saw
+twice; no share of the corpus bounds them, so the tree grows with it, up to contexts of
+``depth`` words.  It is kept in Spark tables by 64-bit hashes.  The log probability of a word c is
 
-    root(c) + scale(b) + step(b, c) + scale(a, b) + step(a, b, c)
+    root(c) + scale(b) + step(b, c) + scale(a, b) + step(a, b, c) + ...
 
-after a and b, where a scale is 0 without that state and a step is 0 without that entry,
-so a text's score is a sum over its words, pairs and triples, each looked up on its own.
+after ... a and b, where a scale is 0 without that state and a step is 0 without that entry,
+so a text's score is a sum over its words, pairs, triples and so on, each looked up on its own.
 Keys with more than the share ``SHARE`` of all tokens are looked up in the tasks (fewer than
-1 / ``SHARE`` of each length), all others meet their values in a join on the hash, where no
+1 / ``SHARE`` of each length), all others meet their values in ranges of the hash, where no
 key holds more than that share.  Bitmaps of bounded size keep most keys without a value out
 of the shuffles; they let through more, never less, than they have to.
+
+What is shuffled are not rows but blocks of sorted keys, one for each range that a task has
+met: differences of keys in as few bytes as they take, a context once for all that came after it.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +46,8 @@ SHARE = 1e-6
 BLOCK = 4 << 20
 END = X.mix(np.array([X.U(0x656E64)]))[0]
 SHIFT = 20
+MOST = 1 << 21  # entries that a task holds before it gives them out
+PARTS = 4  # ranges of keys for each shuffle partition
 
 
 def held_out_ids(col: pa.Array, folds: int, fold: int) -> np.ndarray:
@@ -67,45 +75,26 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return X.mix(X.mix(a) * X.U(0x9E3779B97F4A7C15) + b)
 
 
-def pairs_of(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each word, and a hash of both; ``END`` stands before a text."""
-    one = np.empty_like(h)
-    one[1:] = h[:-1]
-    one[bounds[:-1]] = END
-    return one, paired(one, h)
-
-
-def triples_of(pair: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places that have a pair before them, that pair, and a hash of the triple."""
-    inner = np.ones(len(pair), bool)
-    inner[bounds[:-1]] = False
-    at = np.flatnonzero(inner)
-    return at, pair[at - 1], paired(pair[at - 1], pair[at])
-
-
-class Tally:
-    """Counts of 64-bit keys, given out in record batches of bounded size."""
-
-    def __init__(self, kind: int, most: int = 1 << 20):
-        self.kind, self.most = kind, most
-        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys = np.sort(keys)
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        merged = np.concatenate([self.keys, keys[first]])
-        n = np.concatenate([self.n, np.diff(np.append(first, len(keys)))])
-        order = np.argsort(merged, kind="stable")
-        merged, n = merged[order], n[order]
-        first = np.flatnonzero(np.append(True, merged[1:] != merged[:-1])) if len(merged) else first
-        self.keys, self.n = merged[first], np.add.reduceat(n, first) if len(first) else n
-        if len(self.keys) > self.most:
-            yield from self.flush()
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if len(self.keys):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(self.keys), self.kind, np.int32)), pa.array(self.keys), pa.array(self.n)], ["kind", "key", "n"])
-        self.keys, self.n = self.keys[:0], self.n[:0]
+def levels(h: np.ndarray, bounds: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For contexts of 1 to ``depth`` words: the places that have one, its hash, the hash of
+    its last words with the next (one word less) and that of all of them.  ``END`` stands before a text."""
+    at, lower = np.arange(len(h)), h
+    start = np.zeros(len(h), np.int64)
+    start[bounds[:-1]] = bounds[:-1]
+    start = np.maximum.accumulate(start)
+    for d in range(1, depth + 1):
+        if d == 1:
+            ctx = np.empty_like(h)
+            ctx[1:] = h[:-1]
+            ctx[bounds[:-1]] = END
+        else:
+            at = np.flatnonzero(np.arange(len(h)) - start >= d - 1)
+            ctx = lower[at - 1]
+        key = paired(ctx, lower[at])
+        yield at, ctx, lower[at], key
+        whole = np.zeros_like(h)
+        whole[at] = key
+        lower = whole
 
 
 def _training(folds: int, fold: int, batches: Iterator[pa.RecordBatch]):
@@ -118,50 +107,208 @@ def _training(folds: int, fold: int, batches: Iterator[pa.RecordBatch]):
 
 
 def _count_words(folds: int, fold: int):
+    def give(pile) -> pa.RecordBatch:
+        key, n = merged(*map(np.concatenate, zip(*pile, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally(0)
+        pile: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for h, _, train in _training(folds, fold, batches):
-            yield from tally.add(h[train].view(np.int64))
-        yield from tally.flush()
+            keys = np.sort(h[train])
+            first, many = _runs(keys)
+            pile.append((keys[first], many))
+            size += len(first)
+            if size > MOST:
+                yield give(pile)
+                pile, size = [], 0
+        if size:
+            yield give(pile)
 
     return run
 
 
-def _counted(key: np.ndarray, first: np.ndarray, second: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    _, at, n = np.unique(key, return_index=True, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(first[at].view(np.int64)), pa.array(second[at].view(np.int64)), pa.array(n.astype(np.int64))], names)
+def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (((keys >> X.U(32)) * X.U(parts)) >> X.U(32)).astype(np.int64)
+
+
+def _whole(values: np.ndarray) -> bytes:
+    """Whole numbers in the smallest type that holds them."""
+    most = int(values.max()) if len(values) else 0
+    w = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return np.array([len(values), w], np.int64).tobytes() + values.astype(f"<u{w}").tobytes()
+
+
+def _rising(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences in as many bytes as the largest takes."""
+    steps = np.diff(keys)
+    most = int(steps.max()) if len(steps) else 0
+    w = max((most.bit_length() + 7) // 8, 1)
+    low = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w]
+    return np.array([len(keys), w], np.int64).tobytes() + keys[:1].astype("<u8").tobytes() + low.tobytes()
+
+
+class Reader:
+    """Arrays out of a block of bytes, in the order in which they went in."""
+
+    def __init__(self, block: bytes):
+        self.block, self.at = block, 0
+
+    def raw(self, kind: str, n: int) -> np.ndarray:
+        out = np.frombuffer(self.block, kind, n, self.at)
+        self.at += out.nbytes
+        return out
+
+    def whole(self) -> np.ndarray:
+        n, w = self.raw("<i8", 2).tolist()
+        return self.raw(f"<u{w}", n)
+
+    def rising(self) -> np.ndarray:
+        n, w = self.raw("<i8", 2).tolist()
+        if not n:
+            return np.zeros(0, X.U)
+        first = self.raw("<u8", 1)
+        steps = np.zeros((n - 1, 8), np.uint8)
+        steps[:, :w] = self.raw("u1", (n - 1) * w).reshape(-1, w)
+        return np.cumsum(np.concatenate([first, steps.view("<u8").ravel()]), dtype=X.U)
+
+
+def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key begins and how often it stands there."""
+    first = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(sorted_keys)))
+
+
+def merged(key: np.ndarray, n: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order with the sums of n, and the others of each key's first row."""
+    order = np.argsort(key)
+    first, _ = _runs(key[order])
+    return key[order][first], np.add.reduceat(n[order], first) if len(first) else n[:0], *(x[order][first] for x in others)
+
+
+def _sent(part: np.ndarray, block, kind: int = 0, row: int = 0) -> Iterator[pa.RecordBatch]:
+    """A record of block(from, to) for each run of equal parts, a few at a time."""
+    first, many = _runs(part)
+    for i in range(0, len(first), 64):
+        at = list(zip(first[i : i + 64].tolist(), many[i : i + 64].tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part[first[i : i + 64]]), pa.array([kind] * len(at), pa.int32()), pa.array([row] * len(at), pa.int64()), pa.array([block(a, a + m) for a, m in at], pa.binary())], ["part", "kind", "row", "block"]
+        )
+
+
+BLOCKS = "part long, kind int, row long, block binary"
+
+
+RARE = (1 << 24) - 1  # the code of what isn't frequent
 
 
-def _count_pairs(folds: int, fold: int):
-    """(a, b, n): b came n times after a."""
+def _codes(frequent: np.ndarray, keys: np.ndarray) -> bytes:
+    """Places among the frequent keys in three bytes each, and the other keys as they are."""
+    at = find(frequent, keys)
+    low = np.where(at >= 0, at, RARE).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return np.array([len(keys)], "<i8").tobytes() + low.tobytes() + keys[at < 0].astype("<u8").tobytes()
+
+
+def _decoded(r: "Reader", frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and their places among the frequent ones, -1 for none."""
+    n = int(r.raw("<i8", 1)[0])
+    wide = np.zeros((n, 4), np.uint8)
+    wide[:, :3] = r.raw("u1", 3 * n).reshape(-1, 3)
+    at = wide.view("<u4").ravel().astype(np.int64)
+    rare = at == RARE
+    keys = np.empty(n, X.U)
+    keys[rare] = r.raw("<u8", int(rare.sum()))
+    keys[~rare] = frequent[at[~rare]] if len(frequent) else 0
+    return keys, np.where(rare, -1, at)
+
+
+def _count_level(level: int, parts: int, folds: int, fold: int, held, model):
+    """Blocks of (context, last words and next, count), of the contexts that pass the sieve: kind 0 by
+    ranges of contexts, kind 1 of the frequent ones, by ranges of the hash of all."""
+
+    def give(key, c, q, n) -> Iterator[pa.RecordBatch]:
+        contexts, _, lower, _ = model.value
+        key, n, c, q = merged(key, n, c, q)
+        at = find(contexts, c)
+        hot = at >= 0
+        for kind, mine in enumerate((np.flatnonzero(~hot), np.flatnonzero(hot))):
+            if kind:
+                part = parts_of(key[mine], parts)
+                mine = mine[np.argsort((part << 24) | at[mine])]
+                part, ctx = parts_of(key[mine], parts), at[mine].astype(X.U)
+            else:
+                mine = mine[np.argsort(c[mine])]
+                part, ctx = parts_of(c[mine], parts), c[mine]
+
+            def block(a: int, b: int) -> bytes:
+                first, many = _runs(ctx[a:b])  # noqa: B023
+                return _rising(ctx[a:b][first]) + _whole(many) + _whole(n[mine[a:b]]) + _codes(lower, q[mine[a:b]])  # noqa: B023
+
+            yield from _sent(part, block, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pile: list[tuple] = []
+        size = 0
         for h, bounds, train in _training(folds, fold, batches):
-            one, pair = pairs_of(h, bounds)
-            yield _counted(pair[train], one[train], h[train], ["a", "b", "n"])
+            for at, c, q, key in levels(h, bounds, level):
+                pass
+            use = train[at]
+            if held is not None:
+                use = use & passes(held.value, c)
+            key, c, q = key[use], c[use], q[use]
+            key, n, c, q = merged(key, np.ones(len(key), np.int64), c, q)
+            pile.append((key, c, q, n))
+            size += len(key)
+            if size > MOST:
+                yield from give(*map(np.concatenate, zip(*pile, strict=True)))
+                pile, size = [], 0
+        if size:
+            yield from give(*map(np.concatenate, zip(*pile, strict=True)))
 
     return run
 
 
-def _count_triples(folds: int, fold: int, held):
-    """(p, q, n): the pair q, but for its first word, came n times after the pair p."""
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, int, bytes]]]]:
+    """The records of each part, which stand together."""
+    rows = ((p, k, r, x.as_py()) for b in batches for p, k, r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True))
+    for part, own in itertools.groupby(rows, key=lambda x: x[0]):
+        yield part, ((k, r, x) for _, k, r, x in own)
+
+
+def _counted(model):
+    """(c, q, n, key, t, below) of what was seen twice: t is the count of the context, below the log10
+    probability under the suffix state where that is at hand, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
-        for h, bounds, train in _training(folds, fold, batches):
-            pair = pairs_of(h, bounds)[1]
-            at, before, triple = triples_of(pair, bounds)
-            use = train[at] & passes(bits, before)
-            yield _counted(triple[use], before[use], pair[at[use]], ["p", "q", "n"])
+        contexts, count, lower, below = model.value
+        for _, own in _by_part(batches):
+            piles: tuple[list, list] = ([], [])
+            for kind, _, block in own:
+                r = Reader(block)
+                c = np.repeat(r.rising(), r.whole())
+                n = r.whole().astype(np.int64)
+                piles[kind].append((c, n, *_decoded(r, lower)))
+            for kind, pile in enumerate(piles):
+                if not pile:
+                    continue
+                c, n, q, at = map(np.concatenate, zip(*pile, strict=True))
+                if kind:
+                    t, c = count[c.astype(np.int64)], contexts[c.astype(np.int64)]
+                else:  # all that came after a context is here
+                    ctx, total = merged(c, n)
+                    t = total[np.searchsorted(ctx, c)]
+                key, n, c, q, at, t = merged(paired(c, q), n, c, q, at, t)
+                keep = np.flatnonzero(n >= 2)
+                for i in range(0, len(keep), 1 << 16):
+                    k = keep[i : i + (1 << 16)]
+                    p = below[np.maximum(at[k], 0)] if len(below) else np.zeros(len(k))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[k].view(np.int64)) for x in (c, q, n, key, t)), pa.array(p, mask=at[k] < 0)], ["c", "q", "n", "key", "t", "below"])
 
     return run
 
 
-def _hashed(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Appends the hash of the first two columns."""
-    for batch in pairs:
-        a, b = (batch.column(i).to_numpy(zero_copy_only=False).view(X.U) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paired(a, b).view(np.int64))], [*batch.schema.names, "key"])
+def dealt(blocks: DataFrame, partitions: int) -> DataFrame:
+    return blocks.repartition(partitions, "part").sortWithinPartitions("part", "kind")
 
 
 def _states(entries: DataFrame, ctx: str) -> DataFrame:
@@ -276,18 +423,17 @@ class Root:
         return F.when(c > 0, F.log10((c - cut) / float(self.total))).otherwise(F.lit(self.unknown))
 
 
-_NAMES = ["row", "id", "h", "n", "word", "known", "base", "score"]
-
-
-def _score(model):
-    """A row for each text, and one for each of its distinct words, pairs and triples that
-    isn't held here."""
+def _requests(model, depth: int, parts: int):
+    """Blocks of the keys of texts that aren't held in the task (kind 1 words, 2 others), and
+    of what is known of each text (kind 3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         common, is_word, base, value, bits = model.value
-        row = TaskContext.get().partitionId() << 40  # both kinds of rows of a text are written by one task
+        near = np.zeros(1 << 22, bool)  # most keys that aren't held fall through here
+        near[(common >> X.U(42)).astype(np.int64)] = True
+        row = TaskContext.get().partitionId() << 40  # all blocks of a text are written by one task
         for batch in batches:
             offsets, raw = X.buffers(batch.column(1))
             ids = batch.column(0)
@@ -296,34 +442,112 @@ def _score(model):
                 h, bounds = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 sizes = np.diff(bounds)
                 doc = np.repeat(np.arange(docs), sizes)
-                pair = pairs_of(h, bounds)[1]
-                at, _, triple = triples_of(pair, bounds)
                 sums = np.zeros((3, docs))
-                for keys, own, word in ((h, doc, True), (pair, doc, False), (triple, doc[at], False)):
-                    k = find(common, keys)
-                    held = k >= 0
+                rare: list[tuple[np.ndarray, np.ndarray]] = []
+                for level, (own, keys) in enumerate([(doc, h), *((doc[at], key) for at, _, _, key in levels(h, bounds, depth))]):
+                    held = np.flatnonzero(near[(keys >> X.U(42)).astype(np.int64)])
+                    k = find(common, keys[held])
+                    held, k = held[k >= 0], k[k >= 0]
                     for out, values in zip(sums, (is_word, base, value), strict=True):
-                        out += np.bincount(own[held], values[k[held]], docs)
-                    rare = ~held if word else ~held & passes(bits, keys)
-                    keys, own = keys[rare], own[rare]
-                    order = np.lexsort((keys, own))
-                    keys, own = keys[order].view(np.int64), own[order]
-                    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-                    m = len(first)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[first] + row), pa.nulls(m, pa.int64()), pa.array(keys[first]), pa.array(np.diff(np.append(first, len(keys)))), pa.array(np.full(m, word)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], _NAMES)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(docs, dtype=np.int64) + row), ids.slice(i, docs), pa.nulls(docs, pa.int64()), pa.array(sizes), pa.nulls(docs, pa.bool_()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], _NAMES)
+                        out += np.bincount(own[held], values[k], docs)
+                    left = passes(bits, keys) if level else np.ones(len(keys), bool)
+                    left[held] = False
+                    rare.append((keys[left], own[left]))
+                for kind, some in ((1, rare[:1]), (2, rare[1:])):
+                    keys, own = (np.concatenate(x) for x in zip(*some, strict=True))
+                    order = np.argsort(keys)
+                    keys, own = keys[order], own[order]
+
+                    def block(a: int, b: int) -> bytes:
+                        first, many = _runs(keys[a:b])  # noqa: B023
+                        return _rising(keys[a:b][first]) + _whole(many) + _whole(own[a:b])  # noqa: B023
+
+                    yield from _sent(parts_of(keys, parts), block, kind, row)
+                known = ids.slice(i, docs)
+                null = np.array([not x.is_valid for x in known], np.uint8)
+                about = known.fill_null(0).to_numpy().astype("<i8").tobytes() + null.tobytes() + sizes.astype("<i8").tobytes() + sums.astype("<f8").tobytes()
+                yield from _sent(np.array([row % parts]), lambda a, b: np.array([docs], "<i8").tobytes() + about, 3, row)  # noqa: B023
                 row += docs
 
     return run
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
+def _value_blocks(parts: int):
+    """Blocks of values (kind 0); ``n`` is 0 for what is no word."""
+
+    def give(pile) -> Iterator[pa.RecordBatch]:
+        key, n, score = map(np.concatenate, zip(*pile, strict=True))
+        order = np.argsort(key)
+        key, n, score = key[order], n[order], score[order]
+        yield from _sent(parts_of(key, parts), lambda a, b: _rising(key[a:b]) + _whole(n[a:b]) + score[a:b].astype("<f8").tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pile: list[tuple] = []
+        size = 0
+        for b in batches:
+            key, n, score = (b.column(x).to_numpy(zero_copy_only=False) for x in ("key", "n", "score"))
+            pile.append((key.view(X.U), n, score))
+            size += len(key)
+            if size > MOST:
+                yield from give(pile)
+                pile, size = [], 0
+        if size:
+            yield from give(pile)
+
+    return run
+
+
+_SUMS = ["row", "id", "n", "known", "base", "score"]
+
+
+def _answers(unknown: float):
+    """Sums over the keys of each text that lie in a range, and what is known of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in _by_part(batches):
+            pile = [(np.zeros(0, X.U), np.zeros(0, np.int64), np.zeros(0))]
+            table = None
+            for kind, row, block in own:
+                r = Reader(block)
+                if kind == 0:
+                    key = r.rising()
+                    n = r.whole().astype(np.int64)
+                    pile.append((key, n, r.raw("<f8", len(key))))
+                    continue
+                if kind == 3:
+                    docs = int(r.raw("<i8", 1)[0])
+                    ids, null, sizes, sums = r.raw("<i8", docs), r.raw("u1", docs), r.raw("<i8", docs), r.raw("<f8", 3 * docs).reshape(3, docs)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(docs) + row), pa.array(ids, mask=null.astype(bool)), pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], _SUMS)
+                    continue
+                if table is None:
+                    key, n, score = map(np.concatenate, zip(*pile, strict=True))
+                    order = np.argsort(key)
+                    table = key[order], n[order], score[order]
+                    pile = []
+                keys, many = r.rising(), r.whole()
+                at = find(table[0], keys)
+                has = at >= 0
+                n, score = (np.zeros(len(keys), x.dtype) for x in table[1:])
+                if len(table[0]):
+                    n, score = np.where(has, table[1][at], 0), np.where(has, table[2][at], unknown if kind == 1 else 0.0)
+                elif kind == 1:
+                    score[:] = unknown
+                doc = r.whole().astype(np.int64)
+                known, base, score = (np.bincount(doc, np.repeat(x, many)) for x in ((n > 0).astype(float), np.log10(n + 1.0), score))
+                docs = np.flatnonzero(np.bincount(doc))
+                m = len(docs)
+                yield pa.RecordBatch.from_arrays([pa.array(docs + row), pa.nulls(m, pa.int64()), pa.array(np.zeros(m, np.int64)), pa.array(known[docs].astype(np.int64)), pa.array(base[docs]), pa.array(score[docs])], _SUMS)
+
+    return run
+
+
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, depth: int = 2) -> DataFrame:
     """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score``.
 
     Trained on the rows whose crc32(doc_id as text) mod ``folds`` is not ``fold``.  ``base_score``
-    is the add-one unigram log10 probability, ``score`` the suffix tree's; both are over the
-    training words and one class of unknown words.
+    is the add-one unigram log10 probability, ``score`` the suffix tree's, with contexts of up to
+    ``depth`` words; both are over the training words and one class of unknown words.
 
     A null or empty text is its end token alone; a row with a null id counts as training
     text and is not held out; repeated rows get equal results; other columns aren't read; no
@@ -332,59 +556,70 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "suffix")
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = PARTS * partitions
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "kind int, key long, n long"
-    vocab = ws.save(rows.transform(mapped(_count_words(folds, fold), schema)).groupBy("key").agg(F.sum("n").alias("n")), "words")
+    vocab = ws.save(rows.transform(mapped(_count_words(folds, fold), "key long, n long")).groupBy("key").agg(F.sum("n").alias("n")), "words")
     head = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types"), *(F.coalesce(F.sum((F.col("n") == k).cast("long")), F.lit(0)).alias(f"n{k}") for k in range(1, 5))).first()
     total, types = int(head["tokens"]), int(head["types"])
     root = Root(total, [head[f"n{k}"] for k in range(1, 5)], types)
+    bound = max(1, int(SHARE * total))  # fewer than 1 / SHARE keys of each length have more
 
-    word = vocab.select("key", "n", root.column(F.col("n")).alias("below"))
-    entries = rows.transform(mapped(_count_pairs(folds, fold), "a long, b long, n long")).groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n >= 2")
-    entries = entries.join(vocab.select(F.col("key").alias("a"), F.col("n").alias("t")), "a").join(word.select(F.col("key").alias("b"), "below"), "b").select("a", "b", "n", "t", "below")
-    entries = ws.save(entries.transform(mapped(_hashed, "a long, b long, n long, t long, below double, key long")), "entries1")
-    ones = ws.save(_states(entries, "a"), "states1")
-    step = F.when(F.col("weight").isNotNull(), _named() - F.col("scale") - F.col("below")).otherwise(0.0)
-    pairs = ws.save(entries.join(ones, "a", "left").select("key", "b", "n", F.when(F.col("weight").isNotNull(), _named()).otherwise(F.col("below")).alias("below"), step.alias("step")), "pairs")
-    ws.drop(entries)
-
-    contexts = ws.save(pairs.filter(F.col("n") >= PAIR).join(ones.select(F.col("a").alias("b")), "b", "left_semi").select(F.col("key").alias("p"), F.col("n").alias("t")), "contexts")
-    held = spark.sparkContext.broadcast(sieve(contexts, "p"))
-    entries = rows.transform(mapped(_count_triples(folds, fold, held), "p long, q long, n long")).groupBy("p", "q").agg(F.sum("n").alias("n")).filter("n >= 2")
-    entries = ws.save(entries.join(contexts, "p").join(pairs.select(F.col("key").alias("q"), "below"), "q").select("p", "q", "n", "t", "below"), "entries2")
-    twos = ws.save(_states(entries, "p"), "states2")
-    triples = entries.join(twos, "p").select("p", "q", "n", (_named() - F.col("scale") - F.col("below")).alias("score"))
-    triples = triples.transform(mapped(_hashed, "p long, q long, n long, score double, key long"))
-
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    no = F.lit(0.0).alias("base")
-    of_words = word.join(ones.select(F.col("a").alias("key"), "scale"), "key", "left").select("key", "n", F.lit(1).alias("word"), F.log10(F.col("n") + 1.0).alias("base"), (F.col("below") + zero("scale")).alias("score"))
-    of_pairs = pairs.join(twos.select(F.col("p").alias("key"), "scale"), "key", "left").select("key", "n", F.lit(0).alias("word"), no, (F.col("step") + zero("scale")).alias("score")).filter("score != 0")
-    values = ws.save(of_words.unionByName(of_pairs).unionByName(triples.select("key", "n", F.lit(0).alias("word"), no, "score")), "values")
-    for table in (entries, pairs, contexts, ones, twos):
-        ws.drop(table)
-
-    bound = max(1, int(SHARE * total))
-    frequent = values.filter(F.col("n") > bound).toArrow()  # fewer than 1 / SHARE of each length
-    order = np.argsort(frequent["key"].to_numpy().view(X.U))
-    common, is_word, base, value = (frequent[c].to_numpy()[order] for c in ("key", "word", "base", "score"))
-    values = values.filter(F.col("n") <= bound)
-    bits = sieve(values.filter("word = 0"), "key")
-    model = spark.sparkContext.broadcast((common.view(X.U), is_word, base, value, bits))
-    scored = ws.save(rows.transform(mapped(_score(model), "row long, id long, h long, n long, word boolean, known long, base double, score double")), "scored")
-    rare = scored.filter("h is not null").select("row", "h", "n", "word").join(values.select(F.col("key").alias("h"), F.col("word").alias("c"), F.col("base").alias("b"), F.col("score").alias("s")), "h", "left")
-    rare = rare.groupBy("row").agg(
-        F.sum(F.col("n") * zero("c")).alias("more_known"),
-        F.sum(F.col("n") * zero("b")).alias("more_base"),
-        F.sum(F.col("n") * F.coalesce(F.col("s"), F.when(F.col("word"), root.unknown).otherwise(0.0))).alias("more_score"),
-    )
-    out = scored.filter("h is null").join(rare, "row", "left")
+    def frequent(table: DataFrame, key: str, n: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+        got = table.filter(F.col(n) > bound).select(key, value).toArrow()
+        keys, values = got[key].to_numpy().view(X.U), got[value].to_numpy()
+        order = np.argsort(keys)
+        return keys[order], values[order]
+
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    lower = vocab.select("key", "n", root.column(F.col("n")).alias("below"))
+    steps = lower.select("key", "n", F.col("n").alias("word"), F.col("below").alias("step"))  # of the words, then of each level
+    contexts, values, used = vocab.select(F.col("key").alias("c"), F.col("n").alias("t")), [], []
+    for level in range(1, depth + 1):
+        held = spark.sparkContext.broadcast(sieve(contexts, "c")) if level > 1 else None
+        model = spark.sparkContext.broadcast((*frequent(contexts, "c", "t", "t"), *frequent(lower, "key", "n", "below")))
+        blocks = rows.transform(mapped(_count_level(level, parts, folds, fold, held, model), BLOCKS))
+        counted = ws.save(dealt(blocks, partitions).transform(mapped(_counted(model), "c long, q long, n long, key long, t long, below double")), "counted")
+        ws.release()
+        rest = counted.filter("below is null").drop("below").join(lower.select(F.col("key").alias("q"), "below"), "q")
+        entries = counted.filter("below is not null").unionByName(rest)
+        if level > 1:  # the sieve lets some through that are no contexts
+            entries = entries.join(contexts.select("c"), "c", "left_semi")
+        entries = ws.save(entries, "entries")
+        ws.drop(counted)
+        ws.release()
+        states = ws.save(_states(entries, "c"), "states")
+        values.append(steps.join(states.select(F.col("c").alias("key"), "scale"), "key", "left").select("key", "n", "word", (F.col("step") + zero("scale")).alias("score")))
+        has = F.col("weight").isNotNull()
+        table = entries.join(states, "c", "inner" if level == depth else "left").select("key", "q", "n", F.when(has, _named()).otherwise(F.col("below")).alias("below"), F.when(has, _named() - F.col("scale") - F.col("below")).otherwise(0.0).alias("step"))
+        table = ws.save(table, "level")
+        ws.drop(entries)
+        ws.release()
+        used += [table, states]
+        lower, steps = table.select("key", "n", "below"), table.select("key", "n", F.lit(0).cast("long").alias("word"), "step")
+        if level < depth:
+            contexts = ws.save(table.filter(F.col("n") >= PAIR).join(states.select(F.col("c").alias("q")), "q", "left_semi").select(F.col("key").alias("c"), F.col("n").alias("t")), "contexts")
+            used.append(contexts)
+    values.append(steps.select("key", "n", "word", F.col("step").alias("score")))
+    values = ws.save(reduce(DataFrame.union, values).filter("word > 0 or score != 0"), "values")
+    ws.drop(vocab, *used)
+    ws.release()
+
+    held = values.filter(F.col("n") > bound).toArrow()
+    order = np.argsort(held["key"].to_numpy().view(X.U))
+    common, count, value = (held[c].to_numpy()[order] for c in ("key", "word", "score"))
+    rest = values.filter(F.col("n") <= bound)
+    bits = sieve(rest.filter("word = 0"), "key")
+    model = spark.sparkContext.broadcast((common.view(X.U), count > 0, np.log10(count + 1.0), value, bits))
+    blocks = rows.transform(mapped(_requests(model, depth, parts), BLOCKS)).union(rest.select("key", F.col("word").alias("n"), "score").transform(mapped(_value_blocks(parts), BLOCKS)))
+    sums = dealt(blocks, partitions).transform(mapped(_answers(root.unknown), "row long, id long, n long, known long, base double, score double"))
+    out = sums.groupBy("row").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in _SUMS[2:]))
     return out.select(
         F.col("id").alias("doc_id"),
         F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False)).alias("held_out"),
         F.col("n").alias("n_tokens"),
-        (F.col("known") + zero("more_known")).alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("more_base") - F.col("n") * float(np.log10(total + types + 1))).alias("base_score"),
-        (F.col("score") + zero("more_score")).alias("score"),
+        (F.col("base") - F.col("n") * float(np.log10(total + types + 1))).alias("base_score"),
+        "score",
     )
