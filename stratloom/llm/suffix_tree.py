@@ -29,7 +29,6 @@ met: differences of keys in as few bytes as they take, a context once for all th
 from __future__ import annotations
 
 import itertools
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import Workspace, mapped, passes, sieve
+from ._store import SIEVE, Workspace, mapped, passes, sieve
 
 PAIR = 8
 SHARE = 1e-6
@@ -47,13 +46,10 @@ BLOCK = 4 << 20
 END = X.mix(np.array([X.U(0x656E64)]))[0]
 SHIFT = 20
 MOST = 1 << 21  # entries that a task holds before it gives them out
+PASSES = 2  # over the texts when they are scored, each of which shuffles its share of their keys
 PARTS = 4  # ranges of keys for each shuffle partition
 
 
-def held_out_ids(col: pa.Array, folds: int, fold: int) -> np.ndarray:
-    return np.array([x is not None and zlib.crc32(str(x).encode()) % folds == fold for x in col.to_pylist()], bool)
-
-
 def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places of keys in a sorted table, -1 for none."""
     if not len(table):
@@ -97,37 +93,45 @@ def levels(h: np.ndarray, bounds: np.ndarray, depth: int) -> Iterator[tuple[np.n
         lower = whole
 
 
-def _training(folds: int, fold: int, batches: Iterator[pa.RecordBatch]):
+def _training(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        offsets, raw = X.buffers(batch.column(1))
-        train = ~held_out_ids(batch.column(0), folds, fold)
+        offsets, raw = X.buffers(batch.column(0))
         for i, j in X.slices(offsets, BLOCK):
-            h, bounds = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield h, bounds, np.repeat(train[i:j], np.diff(bounds))
+            yield tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def _count_words(folds: int, fold: int):
-    def give(pile) -> pa.RecordBatch:
+def _count_words(parts: int):
+    """Blocks of words and their counts."""
+
+    def give(pile) -> Iterator[pa.RecordBatch]:
         key, n = merged(*map(np.concatenate, zip(*pile, strict=True)))
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+        yield from _sent(parts_of(key, parts), lambda a, b: _rising(key[a:b]) + _whole(n[a:b]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pile: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for h, _, train in _training(folds, fold, batches):
-            keys = np.sort(h[train])
+        for h, _ in _training(batches):
+            keys = np.sort(h)
             first, many = _runs(keys)
             pile.append((keys[first], many))
             size += len(first)
             if size > MOST:
-                yield give(pile)
+                yield from give(pile)
                 pile, size = [], 0
         if size:
-            yield give(pile)
+            yield from give(pile)
 
     return run
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, own in _by_part(batches):
+        readers = [Reader(block) for _, _, block in own]
+        key, n = merged(*map(np.concatenate, zip(*((r.rising(), r.whole().astype(np.int64)) for r in readers), strict=True)))
+        for i in range(0, len(key), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)])], ["key", "n"])
+
+
 def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (((keys >> X.U(32)) * X.U(parts)) >> X.U(32)).astype(np.int64)
 
@@ -202,9 +206,17 @@ BLOCKS = "part long, kind int, row long, block binary"
 RARE = (1 << 24) - 1  # the code of what isn't frequent
 
 
-def _codes(frequent: np.ndarray, keys: np.ndarray) -> bytes:
+def places(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """As ``find``, each distinct key once and in order, which is kind to the cache."""
+    order = np.argsort(keys)
+    first, many = _runs(keys[order])
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.repeat(find(table, keys[order[first]]), many)
+    return out
+
+
+def _codes(at: np.ndarray, keys: np.ndarray) -> bytes:
     """Places among the frequent keys in three bytes each, and the other keys as they are."""
-    at = find(frequent, keys)
     low = np.where(at >= 0, at, RARE).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
     return np.array([len(keys)], "<i8").tobytes() + low.tobytes() + keys[at < 0].astype("<u8").tobytes()
 
@@ -222,14 +234,14 @@ def _decoded(r: "Reader", frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys, np.where(rare, -1, at)
 
 
-def _count_level(level: int, parts: int, folds: int, fold: int, held, model):
+def _count_level(level: int, parts: int, held, model):
     """Blocks of (context, last words and next, count), of the contexts that pass the sieve: kind 0 by
     ranges of contexts, kind 1 of the frequent ones, by ranges of the hash of all."""
 
     def give(key, c, q, n) -> Iterator[pa.RecordBatch]:
         contexts, _, lower, _ = model.value
         key, n, c, q = merged(key, n, c, q)
-        at = find(contexts, c)
+        at, of_q = places(contexts, c), places(lower, q)
         hot = at >= 0
         for kind, mine in enumerate((np.flatnonzero(~hot), np.flatnonzero(hot))):
             if kind:
@@ -242,20 +254,19 @@ def _count_level(level: int, parts: int, folds: int, fold: int, held, model):
 
             def block(a: int, b: int) -> bytes:
                 first, many = _runs(ctx[a:b])  # noqa: B023
-                return _rising(ctx[a:b][first]) + _whole(many) + _whole(n[mine[a:b]]) + _codes(lower, q[mine[a:b]])  # noqa: B023
+                return _rising(ctx[a:b][first]) + _whole(many) + _whole(n[mine[a:b]]) + _codes(of_q[mine[a:b]], q[mine[a:b]])  # noqa: B023
 
             yield from _sent(part, block, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pile: list[tuple] = []
         size = 0
-        for h, bounds, train in _training(folds, fold, batches):
-            for at, c, q, key in levels(h, bounds, level):
+        for h, bounds in _training(batches):
+            for _, c, q, key in levels(h, bounds, level):
                 pass
-            use = train[at]
             if held is not None:
-                use = use & passes(held.value, c)
-            key, c, q = key[use], c[use], q[use]
+                use = passes(held.value, c)
+                key, c, q = key[use], c[use], q[use]
             key, n, c, q = merged(key, np.ones(len(key), np.int64), c, q)
             pile.append((key, c, q, n))
             size += len(key)
@@ -324,7 +335,7 @@ def _states(entries: DataFrame, ctx: str) -> DataFrame:
     rest, left = F.col("t") - F.col("named"), 1 - F.col("mass")
     gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / F.col("t") / left)).otherwise(0.0)
     weight = F.col("kinds") + 1.0  # of the suffix state's distribution
-    return s.filter(gain > 0.5 * weight * F.log(F.greatest(F.col("t"), F.lit(2)))).select(ctx, weight.alias("weight"), F.log10((rest / left + weight) / (F.col("t") + weight)).alias("scale"))
+    return s.filter(gain > 0.5 * weight * F.log(F.greatest(F.col("t"), F.lit(2)))).select(ctx, "t", weight.alias("weight"), F.log10((rest / left + weight) / (F.col("t") + weight)).alias("scale"))
 
 
 def _named():
@@ -431,8 +442,6 @@ def _requests(model, depth: int, parts: int):
         from pyspark import TaskContext
 
         common, is_word, base, value, bits = model.value
-        near = np.zeros(1 << 22, bool)  # most keys that aren't held fall through here
-        near[(common >> X.U(42)).astype(np.int64)] = True
         row = TaskContext.get().partitionId() << 40  # all blocks of a text are written by one task
         for batch in batches:
             offsets, raw = X.buffers(batch.column(1))
@@ -443,24 +452,23 @@ def _requests(model, depth: int, parts: int):
                 sizes = np.diff(bounds)
                 doc = np.repeat(np.arange(docs), sizes)
                 sums = np.zeros((3, docs))
-                rare: list[tuple[np.ndarray, np.ndarray]] = []
+                rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # distinct keys, how often, texts
                 for level, (own, keys) in enumerate([(doc, h), *((doc[at], key) for at, _, _, key in levels(h, bounds, depth))]):
-                    held = np.flatnonzero(near[(keys >> X.U(42)).astype(np.int64)])
-                    k = find(common, keys[held])
-                    held, k = held[k >= 0], k[k >= 0]
-                    for out, values in zip(sums, (is_word, base, value), strict=True):
-                        out += np.bincount(own[held], values[k], docs)
-                    left = passes(bits, keys) if level else np.ones(len(keys), bool)
-                    left[held] = False
-                    rare.append((keys[left], own[left]))
-                for kind, some in ((1, rare[:1]), (2, rare[1:])):
-                    keys, own = (np.concatenate(x) for x in zip(*some, strict=True))
                     order = np.argsort(keys)
-                    keys, own = keys[order], own[order]
+                    first, many = _runs(keys[order])
+                    own, keys = own[order], keys[order[first]]
+                    k = find(common, keys)
+                    held = k >= 0
+                    every, k = own[np.repeat(held, many)], np.repeat(k[held], many[held])
+                    for out, values in zip(sums, (is_word, base, value), strict=True):
+                        out += np.bincount(every, values[k], docs)
+                    left = ~held & passes(bits, keys) if level else ~held
+                    rare.append((keys[left], many[left], own[np.repeat(left, many)]))
+                for kind, (keys, many, own) in zip((1, *[2] * depth), rare, strict=True):
+                    ends = np.append(0, np.cumsum(many))
 
                     def block(a: int, b: int) -> bytes:
-                        first, many = _runs(keys[a:b])  # noqa: B023
-                        return _rising(keys[a:b][first]) + _whole(many) + _whole(own[a:b])  # noqa: B023
+                        return _rising(keys[a:b]) + _whole(many[a:b]) + _whole(own[ends[a] : ends[b]])  # noqa: B023
 
                     yield from _sent(parts_of(keys, parts), block, kind, row)
                 known = ids.slice(i, docs)
@@ -472,6 +480,15 @@ def _requests(model, depth: int, parts: int):
     return run
 
 
+def summed(key: np.ndarray, word: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row for each key, with the sum of its scores (a step and a scale)."""
+    order = np.argsort(key)
+    first, _ = _runs(key[order])
+    if not len(first):
+        return key, word, score
+    return key[order][first], np.maximum.reduceat(word[order], first), np.add.reduceat(score[order], first)
+
+
 def _value_blocks(parts: int):
     """Blocks of values (kind 0); ``n`` is 0 for what is no word."""
 
@@ -497,13 +514,36 @@ def _value_blocks(parts: int):
     return run
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of the sieve of the values that are no words."""
+    for _, own in _by_part(batches):
+        for _, _, block in own:
+            r = Reader(block)
+            key = r.rising()
+            place = (key[r.whole() == 0] >> X.U(64 - SIEVE)).astype(np.int64)
+            if len(place):
+                first = int(place[0]) >> 6
+                flags = np.zeros(((int(place[-1]) >> 6) - first + 1) << 6, np.uint8)
+                flags[place - (first << 6)] = 1
+                yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["first", "bits"])
+
+
 _SUMS = ["row", "id", "n", "known", "base", "score"]
 
 
 def _answers(unknown: float):
-    """Sums over the keys of each text that lie in a range, and what is known of the texts."""
+    """Sums over the keys of each text that lie in a range, and what is known of the texts.  A task
+    adds up its ranges, for ``MOST`` texts at a time."""
+
+    def give(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for row, found in sums.items():
+            docs = np.flatnonzero(found[0])
+            m = len(docs)
+            yield pa.RecordBatch.from_arrays([pa.array(docs + row), pa.nulls(m, pa.int64()), pa.array(np.zeros(m, np.int64)), pa.array(found[1][docs].astype(np.int64)), pa.array(found[2][docs]), pa.array(found[3][docs])], _SUMS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        size = 0
         for _, own in _by_part(batches):
             pile = [(np.zeros(0, X.U), np.zeros(0, np.int64), np.zeros(0))]
             table = None
@@ -516,27 +556,36 @@ def _answers(unknown: float):
                     continue
                 if kind == 3:
                     docs = int(r.raw("<i8", 1)[0])
-                    ids, null, sizes, sums = r.raw("<i8", docs), r.raw("u1", docs), r.raw("<i8", docs), r.raw("<f8", 3 * docs).reshape(3, docs)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(docs) + row), pa.array(ids, mask=null.astype(bool)), pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], _SUMS)
+                    ids, null, sizes, about = r.raw("<i8", docs), r.raw("u1", docs), r.raw("<i8", docs), r.raw("<f8", 3 * docs).reshape(3, docs)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(docs) + row), pa.array(ids, mask=null.astype(bool)), pa.array(sizes), pa.array(about[0].astype(np.int64)), pa.array(about[1]), pa.array(about[2])], _SUMS)
                     continue
                 if table is None:
-                    key, n, score = map(np.concatenate, zip(*pile, strict=True))
-                    order = np.argsort(key)
-                    table = key[order], n[order], score[order]
+                    table = summed(*map(np.concatenate, zip(*pile, strict=True)))
                     pile = []
                 keys, many = r.rising(), r.whole()
                 at = find(table[0], keys)
                 has = at >= 0
-                n, score = (np.zeros(len(keys), x.dtype) for x in table[1:])
-                if len(table[0]):
-                    n, score = np.where(has, table[1][at], 0), np.where(has, table[2][at], unknown if kind == 1 else 0.0)
-                elif kind == 1:
-                    score[:] = unknown
+                n, score = np.zeros(len(keys), np.int64), np.full(len(keys), unknown if kind == 1 else 0.0)
+                n[has], score[has] = table[1][at[has]], table[2][at[has]]
                 doc = r.whole().astype(np.int64)
-                known, base, score = (np.bincount(doc, np.repeat(x, many)) for x in ((n > 0).astype(float), np.log10(n + 1.0), score))
-                docs = np.flatnonzero(np.bincount(doc))
-                m = len(docs)
-                yield pa.RecordBatch.from_arrays([pa.array(docs + row), pa.nulls(m, pa.int64()), pa.array(np.zeros(m, np.int64)), pa.array(known[docs].astype(np.int64)), pa.array(base[docs]), pa.array(score[docs])], _SUMS)
+                width = int(doc.max()) + 1
+                if row not in sums or sums[row].shape[1] < width:
+                    wide = np.zeros((4, width))
+                    if row in sums:
+                        wide[:, : sums[row].shape[1]] = sums[row]
+                        size -= sums[row].shape[1]
+                    sums[row] = wide
+                    size += width
+                out = sums[row]
+                out[0, :width] += np.bincount(doc)
+                out[3, :width] += np.bincount(doc, np.repeat(score, many))
+                if kind == 1:
+                    out[1, :width] += np.bincount(doc, np.repeat(n > 0, many))
+                    out[2, :width] += np.bincount(doc, np.repeat(np.log10(n + 1.0), many))
+                if size > MOST:
+                    yield from give(sums)
+                    sums, size = {}, 0
+        yield from give(sums)
 
     return run
 
@@ -559,7 +608,9 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = PARTS * partitions
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    vocab = ws.save(rows.transform(mapped(_count_words(folds, fold), "key long, n long")).groupBy("key").agg(F.sum("n").alias("n")), "words")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
+    training = rows.filter(~held_out).select("text")
+    vocab = ws.save(dealt(training.transform(mapped(_count_words(parts), BLOCKS)), partitions).transform(mapped(_word_counts, "key long, n long")), "words")
     head = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types"), *(F.coalesce(F.sum((F.col("n") == k).cast("long")), F.lit(0)).alias(f"n{k}") for k in range(1, 5))).first()
     total, types = int(head["tokens"]), int(head["types"])
     root = Root(total, [head[f"n{k}"] for k in range(1, 5)], types)
@@ -571,52 +622,61 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         order = np.argsort(keys)
         return keys[order], values[order]
 
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     lower = vocab.select("key", "n", root.column(F.col("n")).alias("below"))
-    steps = lower.select("key", "n", F.col("n").alias("word"), F.col("below").alias("step"))  # of the words, then of each level
-    contexts, values, used = vocab.select(F.col("key").alias("c"), F.col("n").alias("t")), [], []
+    no = F.lit(0).cast("long").alias("word")
+    contexts, used = vocab.select(F.col("key").alias("c"), F.col("n").alias("t")), []
+    values = [lower.select("key", "n", F.col("n").alias("word"), F.col("below").alias("score"))]
     for level in range(1, depth + 1):
         held = spark.sparkContext.broadcast(sieve(contexts, "c")) if level > 1 else None
         model = spark.sparkContext.broadcast((*frequent(contexts, "c", "t", "t"), *frequent(lower, "key", "n", "below")))
-        blocks = rows.transform(mapped(_count_level(level, parts, folds, fold, held, model), BLOCKS))
+        blocks = training.transform(mapped(_count_level(level, parts, held, model), BLOCKS))
         counted = ws.save(dealt(blocks, partitions).transform(mapped(_counted(model), "c long, q long, n long, key long, t long, below double")), "counted")
         ws.release()
         rest = counted.filter("below is null").drop("below").join(lower.select(F.col("key").alias("q"), "below"), "q")
-        entries = counted.filter("below is not null").unionByName(rest)
-        if level > 1:  # the sieve lets some through that are no contexts
-            entries = entries.join(contexts.select("c"), "c", "left_semi")
-        entries = ws.save(entries, "entries")
-        ws.drop(counted)
+        rest = ws.save(rest.select(counted.columns), "rest")
         ws.release()
+        entries = counted.filter("below is not null").union(rest)
+        if level > 1:  # the sieve lets some through that are no contexts
+            entries = ws.save(entries.join(contexts.select("c"), "c", "left_semi").select(counted.columns), "entries")
+            ws.drop(counted, rest)
+            counted, rest = entries, entries
         states = ws.save(_states(entries, "c"), "states")
-        values.append(steps.join(states.select(F.col("c").alias("key"), "scale"), "key", "left").select("key", "n", "word", (F.col("step") + zero("scale")).alias("score")))
+        values.append(states.select(F.col("c").alias("key"), F.col("t").alias("n"), no, F.col("scale").alias("score")))
         has = F.col("weight").isNotNull()
-        table = entries.join(states, "c", "inner" if level == depth else "left").select("key", "q", "n", F.when(has, _named()).otherwise(F.col("below")).alias("below"), F.when(has, _named() - F.col("scale") - F.col("below")).otherwise(0.0).alias("step"))
+        table = entries.join(states.drop("t"), "c", "inner" if level == depth else "left").select("key", "q", "n", F.when(has, _named()).otherwise(F.col("below")).alias("below"), F.when(has, _named() - F.col("scale") - F.col("below")).otherwise(0.0).alias("step"))
         table = ws.save(table, "level")
-        ws.drop(entries)
+        ws.drop(counted, rest)
         ws.release()
         used += [table, states]
-        lower, steps = table.select("key", "n", "below"), table.select("key", "n", F.lit(0).cast("long").alias("word"), "step")
+        lower = table.select("key", "n", "below")
+        values.append(table.filter("step != 0").select("key", "n", no, F.col("step").alias("score")))
         if level < depth:
             contexts = ws.save(table.filter(F.col("n") >= PAIR).join(states.select(F.col("c").alias("q")), "q", "left_semi").select(F.col("key").alias("c"), F.col("n").alias("t")), "contexts")
             used.append(contexts)
-    values.append(steps.select("key", "n", "word", F.col("step").alias("score")))
-    values = ws.save(reduce(DataFrame.union, values).filter("word > 0 or score != 0"), "values")
+    values = reduce(DataFrame.union, values)  # a key's step and its scale are rows of their own
+    held = values.filter(F.col("n") > bound).toArrow()
+    common, count, value = summed(held["key"].to_numpy().view(X.U), held["word"].to_numpy(), held["score"].to_numpy())
+    rest = values.filter(F.col("n") <= bound).select("key", F.col("word").alias("n"), "score")
+    values = ws.save(dealt(rest.transform(mapped(_value_blocks(parts), BLOCKS)), partitions), "values")
     ws.drop(vocab, *used)
     ws.release()
-
-    held = values.filter(F.col("n") > bound).toArrow()
-    order = np.argsort(held["key"].to_numpy().view(X.U))
-    common, count, value = (held[c].to_numpy()[order] for c in ("key", "word", "score"))
-    rest = values.filter(F.col("n") <= bound)
-    bits = sieve(rest.filter("word = 0"), "key")
-    model = spark.sparkContext.broadcast((common.view(X.U), count > 0, np.log10(count + 1.0), value, bits))
-    blocks = rows.transform(mapped(_requests(model, depth, parts), BLOCKS)).union(rest.select("key", F.col("word").alias("n"), "score").transform(mapped(_value_blocks(parts), BLOCKS)))
-    sums = dealt(blocks, partitions).transform(mapped(_answers(root.unknown), "row long, id long, n long, known long, base double, score double"))
-    out = sums.groupBy("row").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in _SUMS[2:]))
+    bits = np.zeros(1 << (SIEVE - 6), X.U)
+    for r in values.transform(mapped(_bits, "first long, bits binary")).toLocalIterator():  # 16 MB in all
+        some = np.frombuffer(r["bits"], X.U)
+        bits[r["first"] : r["first"] + len(some)] |= some
+    model = spark.sparkContext.broadcast((common, count > 0, np.log10(count + 1.0), value, bits))
+    scored = []
+    for turn in range(PASSES):
+        texts = rows.filter(F.pmod(F.xxhash64("id"), F.lit(PASSES)) == turn)
+        blocks = texts.transform(mapped(_requests(model, depth, parts), BLOCKS)).union(values)
+        sums = dealt(blocks, partitions).transform(mapped(_answers(root.unknown), "row long, id long, n long, known long, base double, score double"))
+        scored.append(ws.save(sums.groupBy("row").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in _SUMS[2:])), "scored"))
+        ws.release()
+    ws.drop(values)
+    out = reduce(DataFrame.union, scored)
     return out.select(
         F.col("id").alias("doc_id"),
-        F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False)).alias("held_out"),
+        held_out.alias("held_out"),
         F.col("n").alias("n_tokens"),
         F.col("known").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
