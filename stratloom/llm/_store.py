@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -58,9 +59,12 @@ class Workspace:
 
     def release(self) -> None:
         """Let go of the shuffle files of plans that nothing refers to any more, which otherwise stay on
-        the executors' disks until the driver happens to collect its garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        the executors' disks until the driver happens to collect its garbage.  The listeners
+        of a job let go of its plan a little after its end."""
+        for _ in range(2):
+            time.sleep(0.5)
+            gc.collect()
+            self.spark._jvm.System.gc()
 
 
 ROWS_A_BATCH = 1000

@@ -631,6 +631,9 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         model = spark.sparkContext.broadcast((*frequent(contexts, "c", "t", "t"), *frequent(lower, "key", "n", "below")))
         blocks = training.transform(mapped(_count_level(level, parts, held, model), BLOCKS))
         counted = ws.save(dealt(blocks, partitions).transform(mapped(_counted(model), "c long, q long, n long, key long, t long, below double")), "counted")
+        for b in (model, held):
+            if b is not None:
+                b.destroy()
         ws.release()
         rest = counted.filter("below is null").drop("below").join(lower.select(F.col("key").alias("q"), "below"), "q")
         rest = ws.save(rest.select(counted.columns), "rest")
@@ -672,6 +675,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         sums = dealt(blocks, partitions).transform(mapped(_answers(root.unknown), "row long, id long, n long, known long, base double, score double"))
         scored.append(ws.save(sums.groupBy("row").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in _SUMS[2:])), "scored"))
         ws.release()
+    model.destroy()
     ws.drop(values)
     out = reduce(DataFrame.union, scored)
     return out.select(
