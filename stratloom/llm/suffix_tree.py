@@ -45,9 +45,8 @@ SHARE = 1e-6
 BLOCK = 4 << 20
 END = X.mix(np.array([X.U(0x656E64)]))[0]
 SHIFT = 20
-MOST = 1 << 21  # entries that a task holds before it gives them out
+MOST = 1 << 19  # entries that a task holds before it gives them out
 PASSES = 2  # over the texts when they are scored, each of which shuffles its share of their keys
-PARTS = 4  # ranges of keys for each shuffle partition
 
 
 def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -318,8 +317,17 @@ def _counted(model):
     return run
 
 
-def dealt(blocks: DataFrame, partitions: int) -> DataFrame:
-    return blocks.repartition(partitions, "part").sortWithinPartitions("part", "kind")
+def slots(spark, partitions: int) -> list[int]:
+    """For each shuffle partition a number that a repartition brings to it."""
+    hashed = spark.range(64 * partitions).groupBy(F.pmod(F.hash("id"), F.lit(partitions)).alias("p")).agg(F.min("id").alias("id"))
+    found = {r["p"]: r["id"] for r in hashed.collect()}
+    return [found.get(p, p) for p in range(partitions)]
+
+
+def dealt(blocks: DataFrame, to: list[int]) -> DataFrame:
+    """Each range of keys in a partition of its own, records of a kind together."""
+    slot = F.array(*(F.lit(x).cast("long") for x in to))[F.col("part")]
+    return blocks.withColumn("slot", slot).repartition(len(to), "slot").drop("slot").sortWithinPartitions("part", "kind")
 
 
 def _states(entries: DataFrame, ctx: str) -> DataFrame:
@@ -606,11 +614,12 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ws = Workspace(spark, "suffix")
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = PARTS * partitions
+    to = slots(spark, partitions)
+    parts = len(to)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     held_out = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
     training = rows.filter(~held_out).select("text")
-    vocab = ws.save(dealt(training.transform(mapped(_count_words(parts), BLOCKS)), partitions).transform(mapped(_word_counts, "key long, n long")), "words")
+    vocab = ws.save(dealt(training.transform(mapped(_count_words(parts), BLOCKS)), to).transform(mapped(_word_counts, "key long, n long")), "words")
     head = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types"), *(F.coalesce(F.sum((F.col("n") == k).cast("long")), F.lit(0)).alias(f"n{k}") for k in range(1, 5))).first()
     total, types = int(head["tokens"]), int(head["types"])
     root = Root(total, [head[f"n{k}"] for k in range(1, 5)], types)
@@ -630,7 +639,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         held = spark.sparkContext.broadcast(sieve(contexts, "c")) if level > 1 else None
         model = spark.sparkContext.broadcast((*frequent(contexts, "c", "t", "t"), *frequent(lower, "key", "n", "below")))
         blocks = training.transform(mapped(_count_level(level, parts, held, model), BLOCKS))
-        counted = ws.save(dealt(blocks, partitions).transform(mapped(_counted(model), "c long, q long, n long, key long, t long, below double")), "counted")
+        counted = ws.save(dealt(blocks, to).transform(mapped(_counted(model), "c long, q long, n long, key long, t long, below double")), "counted")
         for b in (model, held):
             if b is not None:
                 b.destroy()
@@ -660,7 +669,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     held = values.filter(F.col("n") > bound).toArrow()
     common, count, value = summed(held["key"].to_numpy().view(X.U), held["word"].to_numpy(), held["score"].to_numpy())
     rest = values.filter(F.col("n") <= bound).select("key", F.col("word").alias("n"), "score")
-    values = ws.save(dealt(rest.transform(mapped(_value_blocks(parts), BLOCKS)), partitions), "values")
+    values = ws.save(dealt(rest.transform(mapped(_value_blocks(parts), BLOCKS)), to), "values")
     ws.drop(vocab, *used)
     ws.release()
     bits = np.zeros(1 << (SIEVE - 6), X.U)
@@ -672,7 +681,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     for turn in range(PASSES):
         texts = rows.filter(F.pmod(F.xxhash64("id"), F.lit(PASSES)) == turn)
         blocks = texts.transform(mapped(_requests(model, depth, parts), BLOCKS)).union(values)
-        sums = dealt(blocks, partitions).transform(mapped(_answers(root.unknown), "row long, id long, n long, known long, base double, score double"))
+        sums = dealt(blocks, to).transform(mapped(_answers(root.unknown), "row long, id long, n long, known long, base double, score double"))
         scored.append(ws.save(sums.groupBy("row").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in _SUMS[2:])), "scored"))
         ws.release()
     model.destroy()
