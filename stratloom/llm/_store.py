@@ -65,6 +65,7 @@ class Workspace:
             time.sleep(0.5)
             gc.collect()
             self.spark._jvm.System.gc()
+        _release()
 
 
 ROWS_A_BATCH = 1000

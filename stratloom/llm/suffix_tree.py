@@ -536,18 +536,17 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["first", "bits"])
 
 
-_SUMS = ["row", "id", "n", "known", "base", "score"]
-
-
 def _answers(unknown: float):
-    """Sums over the keys of each text that lie in a range, and what is known of the texts.  A task
-    adds up its ranges, for ``MOST`` texts at a time."""
+    """For each block of texts the sums over the keys that lie in a range (kind 4), and what is
+    known of the texts (kind 3).  A task adds up its ranges, for ``MOST`` texts at a time."""
 
     def give(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for row, found in sums.items():
             docs = np.flatnonzero(found[0])
-            m = len(docs)
-            yield pa.RecordBatch.from_arrays([pa.array(docs + row), pa.nulls(m, pa.int64()), pa.array(np.zeros(m, np.int64)), pa.array(found[1][docs].astype(np.int64)), pa.array(found[2][docs]), pa.array(found[3][docs])], _SUMS)
+            yield record(row, 4, _whole(docs) + _whole(found[1][docs].astype(np.int64)) + found[2:, docs].astype("<f8").tobytes())
+
+    def record(row: int, kind: int, block: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([row]), pa.array([kind], pa.int32()), pa.array([row]), pa.array([block], pa.binary())], ["part", "kind", "row", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -563,9 +562,7 @@ def _answers(unknown: float):
                     pile.append((key, n, r.raw("<f8", len(key))))
                     continue
                 if kind == 3:
-                    docs = int(r.raw("<i8", 1)[0])
-                    ids, null, sizes, about = r.raw("<i8", docs), r.raw("u1", docs), r.raw("<i8", docs), r.raw("<f8", 3 * docs).reshape(3, docs)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(docs) + row), pa.array(ids, mask=null.astype(bool)), pa.array(sizes), pa.array(about[0].astype(np.int64)), pa.array(about[1]), pa.array(about[2])], _SUMS)
+                    yield record(row, kind, block)
                     continue
                 if table is None:
                     table = summed(*map(np.concatenate, zip(*pile, strict=True)))
@@ -598,6 +595,21 @@ def _answers(unknown: float):
     return run
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text of a block."""
+    for _, own in _by_part(batches):
+        for kind, _, block in own:
+            r = Reader(block)
+            if kind == 3:  # comes first
+                docs = int(r.raw("<i8", 1)[0])
+                ids, null, sizes, sums = r.raw("<i8", docs), r.raw("u1", docs), r.raw("<i8", docs), r.raw("<f8", 3 * docs).reshape(3, docs).copy()
+                continue
+            at = r.whole().astype(np.int64)
+            sums[0][at] += r.whole()
+            sums[1:, at] += r.raw("<f8", 2 * len(at)).reshape(2, len(at))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["id", "n", "known", "base", "score"])
+
+
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, depth: int = 2) -> DataFrame:
     """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score``.
@@ -681,8 +693,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     for turn in range(PASSES):
         texts = rows.filter(F.pmod(F.xxhash64("id"), F.lit(PASSES)) == turn)
         blocks = texts.transform(mapped(_requests(model, depth, parts), BLOCKS)).union(values)
-        sums = dealt(blocks, to).transform(mapped(_answers(root.unknown), "row long, id long, n long, known long, base double, score double"))
-        scored.append(ws.save(sums.groupBy("row").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in _SUMS[2:])), "scored"))
+        sums = dealt(blocks, to).transform(mapped(_answers(root.unknown), BLOCKS)).repartition(partitions, "part").sortWithinPartitions("part", "kind")
+        scored.append(ws.save(sums.transform(mapped(_totals, "id long, n long, known long, base double, score double")), "scored"))
         ws.release()
     model.destroy()
     ws.drop(values)
