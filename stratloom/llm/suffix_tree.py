@@ -685,9 +685,11 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ws.drop(vocab, *used)
     ws.release()
     bits = np.zeros(1 << (SIEVE - 6), X.U)
-    for r in values.transform(mapped(_bits, "first long, bits binary")).toLocalIterator():  # 16 MB in all
-        some = np.frombuffer(r["bits"], X.U)
-        bits[r["first"] : r["first"] + len(some)] |= some
+    found = values.transform(mapped(_bits, "first long, bits binary")).toArrow()  # 16 MB in all
+    for first, some in zip(found["first"].to_pylist(), found["bits"], strict=True):
+        some = np.frombuffer(some.as_buffer(), X.U)
+        bits[first : first + len(some)] |= some
+    del found
     model = spark.sparkContext.broadcast((common, count > 0, np.log10(count + 1.0), value, bits))
     scored = []
     for turn in range(PASSES):
