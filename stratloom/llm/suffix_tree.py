@@ -523,17 +523,19 @@ def _value_blocks(parts: int):
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of the sieve of the values that are no words."""
+    """Stretches of the sieve of the values that are no words, one for each part."""
     for _, own in _by_part(batches):
+        found = []
         for _, _, block in own:
             r = Reader(block)
             key = r.rising()
-            place = (key[r.whole() == 0] >> X.U(64 - SIEVE)).astype(np.int64)
-            if len(place):
-                first = int(place[0]) >> 6
-                flags = np.zeros(((int(place[-1]) >> 6) - first + 1) << 6, np.uint8)
-                flags[place - (first << 6)] = 1
-                yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["first", "bits"])
+            found.append((key[r.whole() == 0] >> X.U(64 - SIEVE)).astype(np.int64))
+        place = np.concatenate(found)
+        if len(place):
+            first = int(place.min()) >> 6
+            flags = np.zeros(((int(place.max()) >> 6) - first + 1) << 6, np.uint8)
+            flags[place - (first << 6)] = 1
+            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["first", "bits"])
 
 
 def _answers(unknown: float):
