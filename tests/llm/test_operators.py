@@ -857,6 +857,29 @@ def test_differencing_equals_plain_pairs(spark):
         assert "contact" not in got[i] and not got[i].startswith("home")
 
 
+def test_every_page_is_differenced(spark):
+    """A page without a mark among pages of its host that mark their article; a copy of such an article."""
+    menu, foot = "<div>Start here</div><div>Our towns</div>", "<div>All rights reserved</div>"
+    story = [f"Story {i} tells of the day {i * 7} in the town." for i in range(6)]
+    rows = [(i, f"https://h.example/n/{i}", menu + (f"<article><p>{s}</p></article>" if i != 3 else f"<p>{s}</p><p>{story[2]}</p>") + foot) for i, s in enumerate(story)]
+    rows += [(10, "https://n.example/1", "<nav>Home<p>News</nav><p>Own text</p><p>End</p>"), (11, "https://n.example/2", "<div>Home</div><div>News</div><p>Another text</p><footer>End</footer>")]
+    got = {r.page_id: r for r in html_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i].text for i in (0, 1, 2, 4, 5)] == [story[i] for i in (0, 1, 2, 4, 5)] and got[3].text == f"{story[3]} {story[2]}"
+    assert [got[i].n_shared for i in range(6)] == [3] * 6
+    assert (got[10].text, got[11].text) == ("Own text", "Another text")
+
+
+def test_neighbours_across_runs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"http://h.example/{i:03}", ["home", *(f"line {x}" for x in rng.integers(0, 30, 6)), "end"]) for i in range(50)]
+    monkeypatch.setattr(html_diff, "RUN", 7)
+    found = [{"run": k // 7 + d, "rank": k, "row": i, "host": "h", "hashes": [html_diff._hash(x) & ~3 | html_diff.OPEN for x in ls]} for d in (-1, 0, 1) for k, (i, _, ls) in enumerate(rows) if d == 0 or (k + 2 * d) // 7 == k // 7 + d]
+    found = sorted(found, key=lambda x: (x["run"], x["rank"]))
+    got = {r["row"]: r["gone"] for b in html_diff._shared(iter([pa.RecordBatch.from_pylist(found[:9]), pa.RecordBatch.from_pylist(found[9:])])) for r in b.to_pylist()}
+    for k, (i, _, ls) in enumerate(rows):
+        assert got[i] == html_diff.frame_lines(ls, [rows[j][2] for j in range(max(k - 2, 0), min(k + 3, 50)) if j != k])
+
+
 # --- shards ---
 
 
