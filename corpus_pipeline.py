@@ -51,7 +51,7 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null, empty or blank text is rejected; rows with null or repeated ids are judged by their own
     text; equal rows stay or go together; other columns pass through; no rows give none."""
     keyed, key = _keyed(docs)
-    return _without(docs, keyed, key, quality_rules(keyed, id_col=key).filter("not kept")).select(*docs.columns)
+    return _without(docs, keyed, key, quality_rules(keyed, id_col=key, order=6).filter("not kept")).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

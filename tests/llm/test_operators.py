@@ -670,6 +670,72 @@ def test_verdicts_equal_brute_force(spark, documents):
     assert not any(got[1000 + i].kept for i in range(6))
 
 
+def plain_kneser_ney_of(order, texts):
+    """P(byte | those before) by dictionaries, for any order."""
+    level = {order: collections.Counter(x[i : i + order] for t in texts for x in [b"\0" * (order - 1) + t] for i in range(len(t)))}
+    for k in range(order - 1, 0, -1):
+        level[k] = collections.Counter(g[1:] for g in level[k + 1])
+    cut, total, kinds = {}, {}, {}
+    for k, c in level.items():
+        cut[k] = quality_rules.cut([sum(n == i for n in c.values()) for i in (1, 2, 3, 4)])
+        total[k], kinds[k] = collections.Counter(), collections.defaultdict(float)
+        for g, n in c.items():
+            total[k][g[:-1]] += n
+            kinds[k][g[:-1]] += cut[k][min(n, 3)]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 256
+        if not total[k][g[:-1]]:
+            return p(g[1:])
+        n = level[k][g]
+        return (n - cut[k][min(n, 3)] + kinds[k][g[:-1]] * p(g[1:])) / total[k][g[:-1]]
+
+    return p
+
+
+@pytest.mark.parametrize("order", [6, 8])
+def test_models_in_parts_equal_brute_force(spark, documents, monkeypatch, order):
+    monkeypatch.setattr(quality_rules, "PART", 2000)
+    rows = [(r.doc_id, r.text[:300], r.lang) for r in documents.orderBy("doc_id").limit(40).collect()]
+    rows += [(1000, " ".join(f"w{k}###" for k in range(20)), "en"), (1001, None, None), (1002, "", "de"), (None, "no id but eleven words of text stand here in a row", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df, order=order).collect()}
+    assert len(got) == len(rows)
+    plain = lambda t: bytes(32 if c in b" \t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+    for lang in {x[2] for x in rows}:
+        p = plain_kneser_ney_of(order, [plain(t) for i, t, x in rows if x == lang and not got[i].base_failed and 10 * got[i].n_symbols <= got[i].n_words])
+        for i, t, x in rows:
+            if x == lang:
+                y = b"\0" * (order - 1) + plain(t)
+                assert got[i].entropy == pytest.approx(-sum(math.log(p(y[k : k + order])) for k in range(len(plain(t)))) / max(len(plain(t)), 1), rel=1e-6)
+
+
+def test_the_query_sees_more_than_four_bytes(spark, sf_dir):
+    """Text with the 4-grams of prose and no longer ones: a model of four bytes can't tell it from prose."""
+    rng = np.random.default_rng(1)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    prose = [r.text for r in docs.filter("lang = 'en'").orderBy("doc_id").collect()]
+    after = collections.defaultdict(list)
+    for t in prose:
+        for i in range(len(t) - 3):
+            after[t[i : i + 3]].append(t[i + 3])
+    chain = prose[0][:3]
+    for _ in range(4000):
+        chain += str(rng.choice(after[chain[-3:]])) if chain[-3:] in after else prose[1][:3]
+    rows = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(10**6, chain, "xx")], "doc_id long, text string, lang string"))
+    rows = rows.withColumn("text", F.when(F.col("doc_id") == 10**6, F.concat("text", F.lit(" # $ % & | < >" * 60))).otherwise(F.col("text"))).withColumn("lang", F.lit("en"))
+    gap = {}
+    for order in (4, 6):
+        got = {r.doc_id: r.entropy for r in quality_rules.quality_rules(rows, order=order).collect()}
+        gap[order] = got[10**6] - float(np.median(list(got.values())))
+    assert gap[6] > gap[4] + 0.15
+    own = {r.doc_id: r.entropy for r in QUERIES["op6_quality_rules"](spark, sf_dir).collect()}
+    deep = {r.doc_id: r.entropy for r in quality_rules.quality_rules(docs, order=6).collect()}
+    assert own == pytest.approx(deep)
+
+
 def test_rare_languages_share_a_model(spark, documents, monkeypatch):
     monkeypatch.setattr(quality_rules, "LANGUAGES", 2)
     df = documents.withColumn("lang", F.when(F.col("doc_id") < 10, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("lang")))
