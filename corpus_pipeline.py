@@ -6,10 +6,12 @@ the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratloom.llm._store import MOST_IDS, Workspace, ids_side
+from stratloom.llm._store import MOST_IDS, Workspace, ids_side, settle
 from stratloom.llm.decontaminate import leaks
 from stratloom.llm.minhash import near_duplicates
 from stratloom.llm.packing import pack
@@ -45,6 +47,18 @@ def _without(docs: DataFrame, keyed: DataFrame, key: str, gone: DataFrame) -> Da
     return keyed.join(ids_side(gone), key, "left_anti")
 
 
+def _settled(stage):
+    """stage, before which the executors let go of the memory of what ran before."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        settle(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_settled
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality rules or their language's perplexity band reject.
 
@@ -54,6 +68,7 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, keyed, key, quality_rules(keyed, id_col=key, order=6).filter("not kept")).select(*docs.columns)
 
 
+@_settled
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate component (five words, 0.8).
 
@@ -65,6 +80,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once.unionByName(kept.filter(f"{key}_again").dropDuplicates([key]).select(*docs.columns))
 
 
+@_settled
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that repeat a passage of the benchmark.
 
@@ -74,6 +90,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _without(docs, keyed, key, leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)).select(*docs.columns)
 
 
+@_settled
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts by a mark; n_chars, where there is one, follows the new text.
 
@@ -84,6 +101,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return out.select(*docs.columns)
 
 
+@_settled
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the texts into sequences of 2048 tokens; one row per piece.
 

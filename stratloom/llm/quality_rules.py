@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import Workspace, mapped
+from ._store import Workspace, batch_bytes, mapped
 
 ORDER = 4
 HIGHEST = 8
@@ -40,7 +40,7 @@ PART = 48 << 20  # bytes of text for each part of the higher levels
 ROUNDS = 4  # in which chunks get their answers, each of which shuffles its share of them
 LANGUAGES = 256
 SYMBOLS = b"#*$%&|<>"
-CLASS = np.where(X.IS_SPACE, 32, X.LOWER).astype(np.uint32)
+CLASS = np.where(X.IS_SPACE, 32, X.LOWER).astype(np.uint8)
 _SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[list(SYMBOLS)] = 1
 
@@ -92,18 +92,34 @@ def rule_counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def packed(raw: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
     """The n-gram that ends at each byte; zeros stand before a document."""
-    ids = CLASS[raw].astype(_kind(order))
-    key = ids.copy()
+    ids = CLASS[raw]
+    key = ids.astype(_kind(order))
+    shifted = np.empty_like(key)
     for back in range(1, order):
-        shifted = np.zeros_like(ids)
+        shifted[:back] = 0
         shifted[back:] = ids[:-back]
         for i in range(back):  # nothing is seen across the start of a document
             at = offsets[:-1] + i
             shifted[at[(at < offsets[1:])]] = 0
-        key |= shifted << key.dtype.type(8 * back)
+        shifted <<= key.dtype.type(8 * back)
+        key |= shifted
     return key
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys, and the place of each key among them; some three times the memory of
+    the keys, where np.unique takes seven times."""
+    by = np.argsort(keys)
+    keys = keys[by]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    own = keys[new]
+    del keys
+    at = np.empty(len(by), np.int32 if len(by) < 1 << 31 else np.int64)
+    at[by] = np.cumsum(new, dtype=at.dtype) - at.dtype.type(1)
+    return own, at
+
+
 def _kind(order: int):
     """Keys have 32 bits where these do."""
     return np.uint32 if order <= 4 else np.uint64
@@ -274,14 +290,34 @@ def _squeezed(values: np.ndarray) -> bytes:
     return len(values).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
 
 
+def _length(blob: bytes) -> int:
+    return int.from_bytes(blob[:8], "little")
+
+
 def _spread(blob: bytes, kind) -> np.ndarray:
-    n, kind = int.from_bytes(blob[:8], "little"), np.dtype(kind)
+    n, kind = _length(blob), np.dtype(kind)
     if not n:
         return np.zeros(0, kind)
     planes = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], n * kind.itemsize, asbytes=True), np.uint8)
     return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).reshape(-1).view(kind)
 
 
+def _joined(blobs: list[bytes], n: int, kind) -> np.ndarray:
+    """The n numbers of all blobs."""
+    out, at = np.empty(n, kind), 0
+    for blob in blobs:
+        out[at : at + _length(blob)] = _spread(blob, kind)
+        at += _length(blob)
+    return out
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows with blobs, one at a time."""
+    for batch in batches:
+        for k in range(len(batch)):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _chunks(known: frozenset, passing):
     """Texts in chunks, with what the rules count."""
     place = {lang: i for i, lang in enumerate([*sorted(known), None])}
@@ -314,37 +350,38 @@ def _chunks(known: frozenset, passing):
 def _grams(row: dict, order: int, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each language of a chunk: its number, its places, the order of their n-grams, the distinct
     n-grams by part, and where each part's begin."""
-    sizes = np.array(row["sizes"], np.int64)
-    keys = packed(_spread(row["blob"], np.uint8), np.concatenate([[0], np.cumsum(sizes)]), order).astype(np.uint64)
-    langs = np.repeat(np.array(row["langs"], np.int64), sizes)
+    sizes, of = np.array(row["sizes"], np.int64), np.array(row["langs"], np.int16)
+    raw = _spread(row["blob"], np.uint8)
+    langs = np.repeat(of, sizes)
     for lang in sorted(set(row["langs"])):
-        at = np.flatnonzero(langs == lang)
-        if len(at):
-            own, inverse = np.unique(keys[at], return_inverse=True)
+        mine = langs == lang
+        if mine.any():
+            own, inverse = distinct(packed(raw[mine], np.concatenate([[0], np.cumsum(sizes[of == lang])]), order))
             context = (own >> np.uint64(8)) & np.uint64(0xFFFFFFFF)
             part = (X.mix(context * np.uint64(LANGUAGES + 1) + np.uint64(lang)) % np.uint64(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
-            rank = np.empty_like(by)
-            rank[by] = np.arange(len(by))
-            yield lang, at, rank[inverse], own[by], np.searchsorted(part[by], np.arange(parts + 1))
+            rank = np.empty(len(by), inverse.dtype)
+            rank[by] = np.arange(len(by), dtype=inverse.dtype)
+            own, first = own[by], np.searchsorted(part[by], np.arange(parts + 1))
+            del context, part, by
+            inverse = rank[inverse]
+            yield lang, mine, inverse, own, first
 
 
 def _sent(order: int, parts: int):
     """The distinct n-grams of each chunk for each part, and how often they teach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                row = batch.slice(k, 1).to_pylist()[0]
-                teach = np.repeat(np.array(row["teach"], bool), np.array(row["sizes"], np.int64))
-                for lang, at, rank, own, first in _grams(row, order, parts):
-                    n = np.bincount(rank, teach[at], len(own)).astype(np.uint32)
-                    used = np.flatnonzero(np.diff(first))
-                    blocks = [(int(p), slice(first[p], first[p + 1])) for p in used]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(used, pa.int32()), pa.array([lang] * len(used), pa.int32()), pa.array([row["chunk"]] * len(used), pa.int64()), pa.array([_squeezed(own[x]) for _, x in blocks], pa.binary()), pa.array([_squeezed(n[x]) for _, x in blocks], pa.binary())],
-                        ["part", "lang", "chunk", "grams", "n"],
-                    )
+        for row in _rows(batches):
+            teach = np.repeat(np.array(row["teach"], bool), np.array(row["sizes"], np.int64))
+            for lang, at, rank, own, first in _grams(row, order, parts):
+                n = np.bincount(rank[teach[at]], minlength=len(own)).astype(np.uint32)
+                used = np.flatnonzero(np.diff(first))
+                blocks = [(int(p), slice(first[p], first[p + 1])) for p in used]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(used, pa.int32()), pa.array([lang] * len(used), pa.int32()), pa.array([row["chunk"]] * len(used), pa.int64()), pa.array([_squeezed(own[x]) for _, x in blocks], pa.binary()), pa.array([_squeezed(n[x]) for _, x in blocks], pa.binary())],
+                    ["part", "lang", "chunk", "grams", "n"],
+                )
 
     return run
 
@@ -353,22 +390,23 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each language of a part: its n-grams, their counts, and where those of each chunk stand."""
 
     def give(held: list[dict]) -> pa.RecordBatch:
-        own = [_spread(x["grams"], np.uint64) for x in held]
-        grams, inverse = np.unique(np.concatenate(own), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([_spread(x["n"], np.uint32) for x in held])).astype(np.int64)
-        ends = np.cumsum([len(x) for x in own])[:-1]
-        steps = [_squeezed(np.diff(x, prepend=0).astype(np.uint32)) for x in np.split(inverse, ends)]
+        ends = np.cumsum([_length(x["grams"]) for x in held])
+        grams, at = distinct(_joined([x["grams"] for x in held], ends[-1], np.uint64))
+        at = np.split(at, ends[:-1])
+        n = np.zeros(len(grams), np.int64)
+        for x, own in zip(held, at, strict=True):  # a chunk's are distinct
+            n[own] += _spread(x["n"], np.uint32)
+        steps = [_squeezed(np.diff(x, prepend=0).astype(np.uint32)) for x in at]
         row = [[held[0]["part"]], [held[0]["lang"]], [_squeezed(grams)], [_squeezed(n)], [[x["chunk"] for x in held]], [steps]]
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["part", "lang", "grams", "n", "chunks", "steps"])
 
     held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and (held[0]["part"], held[0]["lang"]) != (row["part"], row["lang"]):
-                yield give(held)
-                held = []
-            held.append(row)
+    for row in _rows(batches):
+        if held and (held[0]["part"], held[0]["lang"]) != (row["part"], row["lang"]):
+            yield give(held)
+            held = []
+        held.append(row)
     if held:
         yield give(held)
 
@@ -382,17 +420,16 @@ def _tally(order: int):
     """Of the higher levels the numbers of n-grams seen 1 to 4 times, and the counts of the level ``ORDER``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, grams, n = _taught(row)
-                if not len(grams):
-                    continue
-                found = levels(grams, n, order, ORDER)
-                rows = [(k, c, int((m == c).sum())) for k, (_, m) in enumerate(found[1:], ORDER + 1) for c in (1, 2, 3, 4)]
-                level, gram, many = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-                low, m = found[0]
-                level, gram, many = np.append(level, np.full(len(low), ORDER)), np.append(gram, low.astype(np.int64)), np.append(many, m.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(level), pa.int32()), pa.array(level, pa.int32()), pa.array(gram), pa.array(many)], ["lang", "level", "gram", "n"])
+        for row in _rows(batches):
+            _, grams, n = _taught(row)
+            if not len(grams):
+                continue
+            found = levels(grams, n, order, ORDER)
+            rows = [(k, c, int((m == c).sum())) for k, (_, m) in enumerate(found[1:], ORDER + 1) for c in (1, 2, 3, 4)]
+            level, gram, many = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+            low, m = found[0]
+            level, gram, many = np.append(level, np.full(len(low), ORDER)), np.append(gram, low.astype(np.int64)), np.append(many, m.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(level), pa.int32()), pa.array(level, pa.int32()), pa.array(gram), pa.array(many)], ["lang", "level", "gram", "n"])
 
     return run
 
@@ -401,16 +438,15 @@ def _answers(models, order: int, turn: int):
     """For each chunk of a round and each part the logarithms of the chunk's n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                low, cuts = models.value[row["lang"]]
-                every, grams, n = _taught(row)
-                logp = KneserNey(grams, n, order, low, cuts).score(every).astype(np.float32)
-                for chunk, steps in zip(row["chunks"], row["steps"], strict=True):
-                    if chunk % ROUNDS != turn:
-                        continue
-                    at = np.cumsum(_spread(steps, np.uint32), dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([row["lang"]], pa.int32()), pa.array([row["part"]], pa.int32()), pa.array([_squeezed(logp[at])], pa.binary())], ["chunk", "lang", "part", "blob"])
+        for row in _rows(batches):
+            low, cuts = models.value[row["lang"]]
+            every, grams, n = _taught(row)
+            logp = KneserNey(grams, n, order, low, cuts).score(every).astype(np.float32)
+            for chunk, steps in zip(row["chunks"], row["steps"], strict=True):
+                if chunk % ROUNDS != turn:
+                    continue
+                at = np.cumsum(_spread(steps, np.uint32), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([row["lang"]], pa.int32()), pa.array([row["part"]], pa.int32()), pa.array([_squeezed(logp[at])], pa.binary())], ["chunk", "lang", "part", "blob"])
 
     return run
 
@@ -423,10 +459,10 @@ def _entropies(known: frozenset, order: int, parts: int):
         sizes = np.array(row["sizes"], np.int64)
         logp = np.zeros(int(sizes.sum()))
         for lang, at, rank, own, _ in _grams(row, order, parts):
-            found = np.concatenate([_spread(blob, np.float32) for x, blob in answers if x == lang])
-            if len(found) != len(own):
+            blobs = [blob for x, blob in answers if x == lang]
+            if sum(map(_length, blobs)) != len(own):
                 raise ValueError("a chunk misses answers")
-            logp[at] = found[rank]
+            logp[at] = _joined(blobs, len(own), np.float32)[rank]
         entropy = -X.per_doc(logp, np.concatenate([[0], np.cumsum(sizes)])) / np.maximum(sizes, 1)
         return pa.RecordBatch.from_arrays(
             [pa.array(row["ids"], pa.int64()), pa.array([names[x] for x in row["langs"]], pa.string()), *(pa.array(row[c], pa.int64()) for c in COUNTS), pa.array(sizes), pa.array(entropy)],
@@ -435,15 +471,13 @@ def _entropies(known: frozenset, order: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, answers = None, []
-        for batch in batches:
-            for k in range(len(batch)):
-                row = batch.slice(k, 1).to_pylist()[0]
-                if row["part"] >= 0:
-                    answers.append((row["lang"], row["blob"]))
-                    continue
-                if held is not None:
-                    yield give(held, answers)
-                held, answers = row, []
+        for row in _rows(batches):
+            if row["part"] >= 0:
+                answers.append((row["lang"], row["blob"]))
+                continue
+            if held is not None:
+                yield give(held, answers)
+            held, answers = row, []
         if held is not None:
             yield give(held, answers)
 
@@ -460,7 +494,7 @@ def distributed(ws: Workspace, rows: DataFrame, known: frozenset, passing, order
     sent = chunks.transform(mapped(_sent(order, parts), "part int, lang int, chunk long, grams binary, n binary"))
     merged = ws.save(sent.repartition(parts, "part").sortWithinPartitions("part", "lang").transform(mapped(_merged, "part int, lang int, grams binary, n binary, chunks array<long>, steps array<binary>")), "parts")
     ws.release()
-    tally = merged.transform(mapped(_tally(order), "lang int, level int, gram long, n long")).groupBy("lang", "level", "gram").agg(F.sum("n").alias("n")).toArrow()
+    tally = merged.select("lang", "grams", "n").transform(mapped(_tally(order), "lang int, level int, gram long, n long")).groupBy("lang", "level", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang, level, gram, n = (tally[c].to_numpy() for c in ("lang", "level", "gram", "n"))
     models = {}
     for x in range(len(known) + 1):
@@ -518,7 +552,8 @@ def quality_rules(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, lang string, " + "".join(f"{c} long, " for c in COUNTS) + "n_bytes long, entropy double"
     if order > ORDER:
-        scored = distributed(ws, rows, known, teaching, order, schema)
+        with batch_bytes(spark):
+            scored = distributed(ws, rows, known, teaching, order, schema)
     else:
         models = spark.sparkContext.broadcast(train(docs, text_col, lang_col, known, teaching))
         scored = ws.save(rows.transform(mapped(_score(models, known), schema)), "scored")

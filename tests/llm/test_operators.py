@@ -712,6 +712,38 @@ def test_models_in_parts_equal_brute_force(spark, documents, monkeypatch, order)
                 assert got[i].entropy == pytest.approx(-sum(math.log(p(y[k : k + order])) for k in range(len(plain(t)))) / max(len(plain(t)), 1), rel=1e-6)
 
 
+def test_memory_of_chunks_and_parts():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    raw = rng.integers(97, 105, 1 << 19).astype(np.uint8)
+    row = {"sizes": [len(raw) // 4] * 4, "langs": [0] * 4, "teach": [True] * 4, "blob": quality_rules._squeezed(raw)}
+    rows = pa.RecordBatch.from_pylist([row | {"chunk": k} for k in range(4)])
+    sent = pa.Table.from_batches(list(quality_rules._sent(6, 1)(iter([rows])))).combine_chunks().to_batches()
+    tracemalloc.start()
+    try:
+        for _, _, _, own, _ in quality_rules._grams(row, 6, 4):
+            most = len(own)
+        assert tracemalloc.get_traced_memory()[1] < 50 * len(raw)
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        list(quality_rules._merged(iter(sent)))
+        assert tracemalloc.get_traced_memory()[1] - before < 45 * 4 * most
+    finally:
+        tracemalloc.stop()
+
+
+def test_batches_of_blobs_end_at_a_size(spark):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    with _store.batch_bytes(spark, 1 << 20):
+        got = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 100000) as t").transform(_store.mapped(run, "n long")).collect()
+    assert max(r.n for r in got) < 2 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+
+
 def test_the_query_sees_more_than_four_bytes(spark, sf_dir):
     """Text with the 4-grams of prose and no longer ones: a model of four bytes can't tell it from prose."""
     rng = np.random.default_rng(1)

@@ -97,3 +97,14 @@ def test_no_rows(spark, docs, folder):
         assert stage(spark, docs.filter("false"), folder).count() == 0
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/none/benchmark.parquet")
     assert pipeline.decontamination_stage(spark, docs, f"{folder}/none").count() == docs.count()
+
+
+def test_a_stage_begins_with_executors_that_let_go(spark, sf_dir):
+    def collected():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = collected()
+    pipeline.secrets_stage(spark, docs, sf_dir)
+    assert collected() > before
