@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import SIEVE, Workspace, mapped, passes, sieve
+from ._store import BATCH_BYTES, SIEVE, Workspace, batch_bytes, mapped, passes, settle, sieve
 
 PAIR = 8
 SHARE = 1e-6
@@ -190,14 +190,24 @@ def merged(key: np.ndarray, n: np.ndarray, *others: np.ndarray) -> tuple[np.ndar
 
 
 def _sent(part: np.ndarray, block, kind: int = 0, row: int = 0) -> Iterator[pa.RecordBatch]:
-    """A record of block(from, to) for each run of equal parts, a few at a time."""
-    first, many = _runs(part)
-    for i in range(0, len(first), 64):
-        at = list(zip(first[i : i + 64].tolist(), many[i : i + 64].tolist(), strict=True))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(part[first[i : i + 64]]), pa.array([kind] * len(at), pa.int32()), pa.array([row] * len(at), pa.int64()), pa.array([block(a, a + m) for a, m in at], pa.binary())], ["part", "kind", "row", "block"]
+    """A record of block(from, to) for each run of equal parts, a few at a time, of some ``BATCH_BYTES`` at most."""
+
+    def records(at: list[int], blocks: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[at]), pa.array([kind] * len(at), pa.int32()), pa.array([row] * len(at), pa.int64()), pa.array(blocks, pa.binary())], ["part", "kind", "row", "block"]
         )
 
+    at, blocks, size = [], [], 0
+    for a, m in zip(*(x.tolist() for x in _runs(part)), strict=True):
+        at.append(a)
+        blocks.append(block(a, a + m))
+        size += len(blocks[-1])
+        if len(at) == 64 or size > BATCH_BYTES:
+            yield records(at, blocks)
+            at, blocks, size = [], [], 0
+    if at:
+        yield records(at, blocks)
+
 
 BLOCKS = "part long, kind int, row long, block binary"
 
@@ -625,8 +635,14 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows give none.  Without training rows every word is of the unknown class, with the
     log10 probability 0.
     """
+    with batch_bytes(docs.sparkSession):  # what is returned reads written rows and goes through no Python
+        return _score_texts(docs, id_col, text_col, folds, fold, depth)
+
+
+def _score_texts(docs: DataFrame, id_col: str, text_col: str, folds: int, fold: int, depth: int) -> DataFrame:
     spark = docs.sparkSession
     ws = Workspace(spark, "suffix")
+    settle(spark)
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     to = slots(spark, partitions)
     parts = len(to)
@@ -650,6 +666,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     contexts, used = vocab.select(F.col("key").alias("c"), F.col("n").alias("t")), []
     values = [lower.select("key", "n", F.col("n").alias("word"), F.col("below").alias("score"))]
     for level in range(1, depth + 1):
+        settle(spark)
         held = spark.sparkContext.broadcast(sieve(contexts, "c")) if level > 1 else None
         model = spark.sparkContext.broadcast((*frequent(contexts, "c", "t", "t"), *frequent(lower, "key", "n", "below")))
         blocks = training.transform(mapped(_count_level(level, parts, held, model), BLOCKS))
@@ -679,6 +696,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         if level < depth:
             contexts = ws.save(table.filter(F.col("n") >= PAIR).join(states.select(F.col("c").alias("q")), "q", "left_semi").select(F.col("key").alias("c"), F.col("n").alias("t")), "contexts")
             used.append(contexts)
+    settle(spark)
     values = reduce(DataFrame.union, values)  # a key's step and its scale are rows of their own
     held = values.filter(F.col("n") > bound).toArrow()
     common, count, value = summed(held["key"].to_numpy().view(X.U), held["word"].to_numpy(), held["score"].to_numpy())
@@ -695,6 +713,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     model = spark.sparkContext.broadcast((common, count > 0, np.log10(count + 1.0), value, bits))
     scored = []
     for turn in range(PASSES):
+        settle(spark)
         texts = rows.filter(F.pmod(F.xxhash64("id"), F.lit(PASSES)) == turn)
         blocks = texts.transform(mapped(_requests(model, depth, parts), BLOCKS)).union(values)
         sums = dealt(blocks, to).transform(mapped(_answers(root.unknown), BLOCKS)).repartition(partitions, "part").sortWithinPartitions("part", "kind")

@@ -244,6 +244,42 @@ def test_rare_contexts_are_states(spark):
     assert got[100] > got[112] + 3
 
 
+def test_blocks_of_the_suffix_tree_come_a_few_mb_at_a_time():
+    part = np.repeat(np.arange(30), 1000)
+    got = list(suffix_tree._sent(part, lambda a, b: bytes([a // 1000]) * 900_000, 2, 7))
+    assert max(b.nbytes for b in got) < _store.BATCH_BYTES + (1 << 20)
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [(r["part"], r["kind"], r["row"], r["block"][0], len(r["block"])) for r in rows] == [(k, 2, 7, k, 900_000) for k in range(30)]
+    many = list(suffix_tree._sent(np.arange(130), lambda a, b: b"x"))
+    assert [b.num_rows for b in many] == [64, 64, 2] and not list(suffix_tree._sent(part[:0], lambda a, b: b"x"))
+
+
+def test_the_suffix_tree_leaves_memory_to_the_next_step(spark, documents, monkeypatch):
+    """Executors collect their garbage before each level and each pass, and batches of blocks end at a size."""
+    key, saved, let_go = "spark.sql.execution.arrow.maxBytesPerBatch", [], []
+    save, level, requests = _store.Workspace.save, suffix_tree._count_level, suffix_tree._requests
+
+    def collected():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    def spied(self, df, tag="t"):
+        saved.append(spark.conf.get(key, None))
+        return save(self, df, tag)
+
+    def began(f):
+        return lambda *a: let_go.append(collected()) or f(*a)
+
+    monkeypatch.setattr(_store.Workspace, "save", spied)
+    monkeypatch.setattr(_store.Workspace, "release", lambda self: None)  # collects the driver's garbage, here the executors' too
+    monkeypatch.setattr(suffix_tree, "_count_level", began(level))
+    monkeypatch.setattr(suffix_tree, "_requests", began(requests))
+    before = collected()
+    assert suffix_tree.score_texts(documents).count() == documents.count()
+    assert set(saved) == {str(_store.BATCH_BYTES)} and spark.conf.get(key, None) is None
+    assert len(let_go) == 4 and all(a < b for a, b in zip([before, *let_go], let_go, strict=False))
+
+
 # --- decontamination ---
 
 
