@@ -5,13 +5,15 @@ white space (no-break spaces included) one space; a map leads back to places of
 Each benchmark item is cut into overlapping windows.  A stretch of a document that lies within e
 edits of a window of length w shares at least w - q + 1 - q * e of its q-grams with it, on
 diagonals (place in the document minus place in the item) that differ by e at most.  Shared
-q-grams are counted in half-overlapping bands of diagonals; bands that meet the bound are
-aligned within the band, and those within the edit budget are regions of contamination.
+q-grams are counted in half-overlapping bands of diagonals; bands that meet the bound propose
+regions, and all alignments of the window within the edit budget there are contamination.
 
 Pairs of equal q-grams are counted a bounded number at a time.  Where a text and the items repeat
 themselves (ruled lines, say), the q-grams that make most pairs are left out, and a window that
 has fewer of them than its bound is held to what is left of the bound.  The few windows made of
-nothing else are aligned with all stretches of the text that are dense in their q-grams.
+nothing else are aligned with all stretches of the text that are dense in their q-grams.  Either way
+every alignment within the budget lies in a proposed region, and spans follow from these
+alignments alone: what is counted how, and what else a batch holds, changes none.
 
 The index of the benchmark goes to all executors in blocks of at most ``BLOCK_BYTES`` of
 benchmark text, one block after another, so its size is bounded whatever the benchmark's.
@@ -38,6 +40,7 @@ EXACT = 32  # shorter items allow no edit
 BLOCK_BYTES = 4 << 20
 PAIRS = 1 << 23  # of equal q-grams in a block of text, before the commonest are left out
 AT_ONCE = 1 << 17
+CELLS = 1 << 19  # of alignments at once
 DENSE = 64
 _BITS = 22
 
@@ -200,62 +203,139 @@ class Index:
         i, s, last = self.flat[w, :3].tolist()
         return self.texts[i][s : last + Q]
 
-    def verify(self, text: bytes, start: int, end: int, w: int, low: int, high: int) -> tuple[int, int, int] | None:
-        """(start, end, edits) of the best alignment of window w in text[start:end] near the
-        diagonals, if it keeps the budget."""
-        i, s, last, _, budget = self.flat[w].tolist()
-        pattern = self.texts[i][s : last + Q]
-        lo, hi = max(start, low + s - budget), min(end, high + last + Q + budget)
-        at = text.find(pattern, lo, hi)
-        if at >= 0:
-            to = at + len(pattern)
-            if len(self.texts[i]) < EXACT and ((at > start and _word(text[at - 1]) and _word(text[at])) or (to < end and _word(text[to]) and _word(text[to - 1]))):
-                return None  # within a word
-            return at, to, 0
-        if not budget or hi - lo < len(pattern) - budget:
-            return None
-        cost = ends_of(pattern, text[lo:hi])
-        stop = int(cost.argmin())
-        if cost[stop] > budget:
-            return None
-        back = int(ends_of(pattern[::-1], text[lo : lo + stop][::-1]).argmin())
-        return lo + stop - back, lo + stop, int(cost[stop])
-
-    def stretches(self, text: bytes, start: int, end: int, w: int, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Alignments of window w within its budget in the parts of text[start:end] that are dense
-        in its q-grams, which stand at the places ``at``."""
+    def stretches(self, start: int, end: int, w: int, at: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The parts of text[start:end] that are dense in the q-grams of window w, which stand at the
+        places ``at``."""
         i, s, last, least, budget = self.flat[w].tolist()
-        pattern = self.texts[i][s : last + Q]
-        reach = len(pattern) + budget
+        reach = last + Q - s + budget
         near = np.searchsorted(at, at + reach - Q, "right") - np.arange(len(at)) >= least  # a stretch that begins at a place
         at = at[near]
         if not len(at):
             return
         cut = np.flatnonzero(np.diff(at) > reach)
         for a, b in zip(at[np.append(0, cut + 1)].tolist(), at[np.append(cut, len(at) - 1)].tolist(), strict=True):
-            lo, hi = max(start, a - Q - budget), min(end, b + reach + Q)
-            cost = ends_of(pattern, text[lo:hi])
-            good = np.flatnonzero(cost <= budget)
-            good = good[good > 0]
-            for run in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1) if len(good) else ():
-                first = lo + int(run[0])
-                back = int(ends_of(pattern[::-1], text[max(lo, first - reach) : first][::-1]).argmin())
-                yield first - back, lo + int(run[-1]), int(cost[run].min())
+            yield max(start, a - Q - budget), min(end, b + reach + Q)
 
 
-def ends_of(pattern: bytes, region: bytes) -> np.ndarray:
-    """The edits of the cheapest alignment of the whole pattern that ends at each place."""
-    t = np.frombuffer(region, np.uint8)
-    step = np.arange(len(t) + 1)
-    row = np.zeros(len(t) + 1, np.int64)
-    for i, c in enumerate(pattern, 1):
+def costs(patterns: np.ndarray, regions: np.ndarray) -> np.ndarray:
+    """Row by row the edits of the cheapest alignment of a whole pattern that ends at each place of
+    its region, from 0 on; a region is filled up with values that no byte has."""
+    step = np.arange(regions.shape[1] + 1, dtype=np.int32)
+    row = np.zeros((len(regions), regions.shape[1] + 1), np.int32)
+    for i in range(patterns.shape[1]):
         new = np.empty_like(row)
-        new[0] = i
-        np.minimum(row[:-1] + (t != c), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - step) + step
+        new[:, 0] = i + 1
+        np.minimum(row[:, :-1] + (regions != patterns[:, i : i + 1]), row[:, 1:] + 1, out=new[:, 1:])
+        new -= step
+        row = np.minimum.accumulate(new, axis=1)
+        row += step
     return row
 
 
+def _peaks(near: np.ndarray, budget: int) -> np.ndarray:
+    """Places within the budget that no place up to ``budget`` away does better than."""
+    low = near.copy()
+    for s in range(1, min(budget, near.shape[1] - 1) + 1):
+        np.minimum(low[:, s:], near[:, :-s], out=low[:, s:])
+        np.minimum(low[:, :-s], near[:, s:], out=low[:, :-s])
+    return (near <= budget) & (near == low)
+
+
+def _together(parts: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(parts):
+        if out and lo <= out[-1][1] + gap:
+            out[-1] = out[-1][0], max(out[-1][1], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _packed(text: np.ndarray, parts: list[tuple[int, int]], back: bool = False) -> np.ndarray:
+    out = np.full((len(parts), max(e - s for s, e in parts)), 256, np.int16)
+    for row, (s, e) in zip(out, parts, strict=True):
+        row[: e - s] = text[s:e][::-1] if back else text[s:e]
+    return out
+
+
+def _groups(sizes: list[tuple[int, int]]) -> Iterator[list[int]]:
+    """Places of (pattern length, region length) in groups of one pattern length and few cells."""
+    group: list[int] = []
+    for n in sorted(range(len(sizes)), key=lambda x: sizes[x]):
+        if group and (sizes[n][0] != sizes[group[0]][0] or sizes[n][1] * (len(group) + 1) > CELLS):
+            yield group
+            group = []
+        group.append(n)
+    if group:
+        yield group
+
+
+def alignments(text: np.ndarray, jobs: list[tuple[bytes, int, int, list[tuple[int, int]]]]) -> Iterator[tuple[int, int, int, int]]:
+    """(job, start, end, edits) of all stretches within the budget of a pattern.  A job is a pattern,
+    the range of its document, and regions of it that hold every such stretch.
+
+    Of all places where an alignment within the budget ends, those count that none near by does
+    better than; places of equal edits whose stretches overlap are one stretch.  That follows
+    from the pattern and the document alone, whatever the regions are besides."""
+    tasks = []
+    for n, (pattern, start, end, regions) in enumerate(jobs):
+        budget = len(pattern) // RATE
+        tasks += [(n, lo, hi) for lo, hi in _together([(max(lo, start), min(hi, end)) for lo, hi in regions], 2 * budget) if hi - lo >= len(pattern) - budget]
+    runs = []  # job, first and last end, edits
+
+    def collect(n: int, lo: int, near: np.ndarray, peak: np.ndarray) -> None:
+        at = np.flatnonzero(peak)
+        if len(at):
+            size, edits = len(jobs[n][0]), near[at]
+            new = np.append(True, (np.diff(at) > size - size // RATE) | (np.diff(edits) != 0))
+            first = np.flatnonzero(new)
+            runs.extend((n, lo + int(a), lo + int(b), int(c)) for a, b, c in zip(at[first], at[np.append(first[1:], len(at)) - 1], edits[first], strict=True))
+
+    for group in _groups([(len(jobs[n][0]), hi - lo) for n, lo, hi in tasks]):
+        size = len(jobs[tasks[group[0]][0]][0])
+        budget = size // RATE
+        patterns = np.stack([np.frombuffer(jobs[tasks[g][0]][0], np.uint8) for g in group])
+        parts = [tasks[g][1:] for g in group]
+        if parts[-1][1] - parts[-1][0] > CELLS:  # one long region, in overlapping pieces
+            (lo, hi), reach = parts[0], size + budget
+            near = np.full((1, hi - lo + 1), budget + 1, np.int32)
+            for a in range(lo, hi, CELLS):
+                s, e = max(lo, a - reach), min(a + CELLS, hi)
+                near[0, a - lo + 1 : e - lo + 1] = costs(patterns, text[None, s:e])[0, a - s + 1 :]
+            near = np.minimum(near, budget + 1)
+        else:
+            near = np.minimum(costs(patterns, _packed(text, parts)), budget + 1)
+            near[np.arange(near.shape[1]) > np.array([e - s for s, e in parts])[:, None]] = budget + 1
+        near[:, 0] = budget + 1
+        for g, c, peak in zip(group, near, _peaks(near, budget), strict=True):
+            collect(tasks[g][0], tasks[g][1], c, peak)
+    behind = [(max(jobs[n][1], first - len(jobs[n][0]) - len(jobs[n][0]) // RATE), first) for n, first, _, _ in runs]
+    for group in _groups([(len(jobs[runs[r][0]][0]), behind[r][1] - behind[r][0]) for r in range(len(runs))]):
+        patterns = np.stack([np.frombuffer(jobs[runs[r][0]][0], np.uint8)[::-1] for r in group])
+        parts = [behind[r] for r in group]
+        back = costs(patterns, _packed(text, parts, back=True))
+        back[np.arange(back.shape[1]) > np.array([e - s for s, e in parts])[:, None]] = 1 << 20
+        for r, steps in zip(group, back.argmin(1).tolist(), strict=True):
+            n, first, last, edits = runs[r]
+            yield n, first - steps, last, edits
+
+
+def _as_it_stands(text: bytes, pattern: bytes, start: int, end: int, regions: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Where pattern stands in the regions of text[start:end], not within a word."""
+    for lo, hi in _together([(max(lo, start), min(hi, end)) for lo, hi in regions], 0):
+        at = text.find(pattern, lo, hi)
+        while at >= 0:
+            to = at + len(pattern)
+            if not ((at > start and _word(text[at - 1]) and _word(text[at])) or (to < end and _word(text[to]) and _word(text[to - 1]))):
+                yield at, to
+            at = text.find(pattern, at + 1, hi)
+
+
+def ends_of(pattern: bytes, region: bytes) -> np.ndarray:
+    """The edits of the cheapest alignment of the whole pattern that ends at each place."""
+    return costs(np.frombuffer(pattern, np.uint8)[None], np.frombuffer(region, np.uint8)[None])[0]
+
+
 def _whole_lines(ix: Index, text: bytes, own: np.ndarray, raw: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(document, item, start, end) of lines, in the original, that are an item shorter than a q-gram."""
     line_ends = np.flatnonzero(raw == 10)
@@ -279,15 +359,20 @@ def spans_of(ix: Index, part: np.ndarray, offsets: np.ndarray) -> Iterator[tuple
     whole = text.tobytes()
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     close, dense, (at, k) = ix.bands(text)
+    near: dict[tuple[int, bytes], tuple[list[tuple[int, int]], set[int]]] = {}  # by document and pattern: regions, items
+
+    def propose(d: int, windows: list[int], regions) -> None:
+        held = near.setdefault((d, ix._text(windows[0])), ([], set()))
+        held[0].extend(regions)
+        held[1].update(ix.flat[windows, 0].tolist())
+
     for w, low, high in close:
-        item, s, last, _, budget = ix.flat[w].tolist()
+        _, s, last, _, budget = ix.flat[w].tolist()
         first = int(np.searchsorted(own, max(low + s - budget, 0), "right")) - 1
         for d in range(max(first, 0), len(own) - 1):  # a band may reach over the end of a document
             if own[d] >= high + last + Q + budget:
                 break
-            got = ix.verify(whole, int(own[d]), int(own[d + 1]), w, low, high)
-            if got:
-                found.setdefault((d, item), []).append(got)
+            propose(d, [w], [(low + s - budget, high + last + Q + budget)])
     shapes: dict[bytes, list[int]] = {}
     for w in dense:
         shapes.setdefault(ix._text(w), []).append(w)
@@ -299,9 +384,21 @@ def spans_of(ix: Index, part: np.ndarray, offsets: np.ndarray) -> Iterator[tuple
         mine, doc = mine[inside], doc[inside]
         cut = np.flatnonzero(np.diff(doc)) + 1
         for d, places in zip(doc[np.append(0, cut)].tolist() if len(doc) else (), np.split(mine, cut), strict=False):
-            for got in ix.stretches(whole, int(own[d]), int(own[d + 1]), same[0], places):
-                for item in sorted({int(ix.flat[w, 0]) for w in same}):
-                    found.setdefault((d, item), []).append(got)
+            propose(d, same, ix.stretches(int(own[d]), int(own[d + 1]), same[0], places))
+    jobs, items = [], []
+    for (d, pattern), (regions, of) in near.items():
+        start, end = int(own[d]), int(own[d + 1])
+        if len(pattern) < EXACT:
+            for a, b in _as_it_stands(whole, pattern, start, end, regions):
+                for item in of:
+                    found.setdefault((d, item), []).append((a, b, 0))
+        else:
+            jobs.append((pattern, start, end, regions))
+            items.append((d, of))
+    for n, a, b, edits in alignments(text, jobs):
+        d, of = items[n]
+        for item in of:
+            found.setdefault((d, item), []).append((a, b, edits))
     if ix.lines:
         for d, item, s, e in _whole_lines(ix, whole, own, part, place):
             found.setdefault((d, item), []).append((s, e, 0))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("stratloom.llm")
 
-from stratloom.llm import decontaminate, html_diff, minhash, packing, pii, quality_model, quality_rules, secrets, sharding, suffix_tree
+from stratloom.llm import alignment, decontaminate, html_diff, lexical, minhash, packing, pii, quality_model, quality_rules, secrets, sharding, suffix_tree, toxicity
 from stratloom.llm.queries import tokenizer_path
 
 LONG = " ".join(f"word{i % 977} and{i % 13}" for i in range(60_000))
@@ -55,6 +55,9 @@ OPERATORS = {
     "shards": lambda d, l, b: sharding.hilbert_shards(d),
     "model": lambda d, l, b: quality_model.quality_scores(d, l),
     "leaks": lambda d, l, b: decontaminate.leaks(d, b),
+    "align": lambda d, l, b: alignment.align(d, a=tokenizer_path("byte_bpe_50k.json"), b=tokenizer_path("piece_bpe_32k.model")),
+    "toxicity": lambda d, l, b: toxicity.toxic_documents(d, l),
+    "search": lambda d, l, b: lexical.search(d, b),
     "html": lambda d, l, b: html_diff.main_text(d.withColumnsRenamed({"doc_id": "page_id", "text": "html", "source": "url"})),
 }
 
@@ -64,6 +67,8 @@ def test_edge_rows(name, docs, labels, benchmark):
     got = OPERATORS[name](docs, labels, benchmark).collect()
     if name == "leaks":
         assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (7, 1), (7, 1)]
+    elif name == "search":  # four of the items have terms, which are in five, one and no texts
+        assert {r.item_id for r in got} == {1, 4, None} and len(got) > 5
     elif name == "packing":
         assert {r.doc_id for r in got} == {r[0] for r in ROWS}
         assert sum(r.piece == 0 for r in got) == len(ROWS)

@@ -33,7 +33,7 @@ def texts(documents):
 
 
 def test_every_operator_has_its_query():
-    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -381,6 +381,80 @@ def test_leaks_equal_brute_force(spark, monkeypatch, pairs):
     assert got == want and 20 < len({d for d, _ in want}) < 140 and {200, 202, 203, 205} <= {d for d, _ in want}
 
 
+def plain_spans(docs, items):
+    """(document, item, start, end, edits) in places of the folded text: every window against every document."""
+    out = {}
+    for i, x in items.items():
+        w = min(64, len(x))
+        for s in {*range(0, len(x) - w + 1, 8), len(x) - w}:
+            p = x[s : s + w]
+            for d, t in docs.items():
+                budget = w // 16 if w >= 32 else 0
+                cost = decontaminate.ends_of(p, t)
+                for e in range(1, len(t) + 1):
+                    if cost[e] <= budget and cost[e] == cost[max(1, e - budget) : e + budget + 1].min():
+                        from_ = max(0, e - w - budget)
+                        back = int(decontaminate.ends_of(p[::-1], t[from_:e][::-1]).argmin())
+                        a, b = e - back, e
+                        letter = lambda c: c >= 128 or chr(c).isalnum()
+                        if w < 32 and ((a and letter(t[a - 1]) and letter(t[a])) or (b < len(t) and letter(t[b]) and letter(t[b - 1]))):
+                            continue
+                        out.setdefault((d, i), []).append((a, b, int(cost[e])))
+    merged = []
+    for (d, i), spans in out.items():
+        rows = []
+        for s, e, c in sorted(set(spans)):
+            if rows and s <= rows[-1][1]:
+                rows[-1] = [rows[-1][0], max(rows[-1][1], e), max(rows[-1][2], c)]
+            else:
+                rows.append([s, e, c])
+        merged += [(d, i, *r) for r in rows]
+    return sorted(merged)
+
+
+@pytest.mark.parametrize("pairs", [1 << 23, 40, 10, 1])
+def test_spans_and_edits_equal_brute_force(monkeypatch, pairs):
+    """Spans are the same whatever is counted how, in whatever order and batch the documents come."""
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(2, 8))))
+    items = {i: " ".join(word() for _ in range(int(rng.integers(4, 22)))) for i in range(8)} | {8: "-" * 90, 9: "=-" * 40, 10: "what is it?"}
+    docs = {}
+    for k in range(24):
+        part = list(items[k % 8])
+        for _ in range(int(rng.integers(0, 6))):
+            p = int(rng.integers(0, len(part)))
+            part[p : p + 1] = [[], ["~"], [part[p], "~"]][int(rng.integers(0, 3))]
+        docs[k] = f"{word()} {''.join(part)} {word()} {items[k % 8][:70] if k % 3 == 0 else ''}{word()}"
+    docs |= {30: "a " + "-" * 300 + " b" + "-" * 70, 31: "=-" * 60 + "x" + "-=" * 45, 32: "so what is it? whatwhat is it?", 33: "-" * 61 + "~" + "-" * 30}
+    docs = {d: re.sub(" +", " ", t) for d, t in docs.items()}
+    index = decontaminate.Index(list(items), [x.encode() for x in items.values()])
+
+    def run(order):
+        offsets, raw = _text.buffers(pa.array([docs[d] for d in order]))
+        return sorted((order[d], int(index.ids[i]), s - int(offsets[d]), e - int(offsets[d]), c) for d, i, s, e, c in decontaminate.spans_of(index, raw, offsets))
+
+    want = plain_spans({d: t.encode() for d, t in docs.items()}, {i: x.encode() for i, x in items.items()})
+    order = list(docs)
+    assert run(order) == run(order[::-1]) == sorted(r for d in order for r in run([d])) == want
+    assert len({r[0] for r in want}) > 15 and {r[-1] for r in want} >= {0, 1, 2}
+
+
+def test_a_neighbour_in_the_batch_changes_nothing():
+    index = decontaminate.Index([1], [b"-" * 400])
+    spans = lambda *t: [x for x in decontaminate.spans_of(index, *_text.buffers(pa.array(t))[::-1]) if x[0] == 0]
+    one = "abc " + "-" * 605 + " tail"
+    assert spans(one) == spans(one, "-" * 60_000) == [(0, 0, 4, 609, 0)]
+
+
+def test_a_long_region_goes_in_pieces(monkeypatch):
+    index = decontaminate.Index([1], [b"=-" * 200])
+    offsets, raw = _text.buffers(pa.array(["x" + "=-" * 4000 + "y"]))
+    whole = list(decontaminate.spans_of(index, raw, offsets))
+    monkeypatch.setattr(decontaminate, "CELLS", 700)
+    assert list(decontaminate.spans_of(index, raw, offsets)) == whole == [(0, 0, 1, 8001, 0)]
+
+
 def test_repetitive_texts_take_bounded_memory():
     import tracemalloc
 
