@@ -484,6 +484,19 @@ def test_blocks_give_the_same(spark, documents, sf_dir, monkeypatch):
     assert key(decontaminate.leaks(documents, b).collect()) == whole and whole
 
 
+def test_names_within_an_article_delete_no_text():
+    kept = [
+        '<div class="share-price">Shares rose.</div>', '<section id="related-work">Others did it.</section>', '<div id="reply-to-critics">They are wrong.</div>', '<div class="login-tutorial">Type your name.</div>',
+        '<h2 id="search-algorithms">Search</h2>', '<p class="header-file">Include it.</p>', '<h2 id="comments">On comments</h2>', '<ul class="menu"><li class="ad">An item</li></ul>', '<div class="comment-theory social">Theory.</div>',
+    ]
+    gone = ['<div class="comments">First!</div>', '<div class="x ad">Buy.</div>', '<div role="complementary">Aside.</div>', "<form>Name</form>", "<nav>Home</nav>", '<div hidden>Hidden</div>', "<aside>Side</aside>"]
+    page = f"<body><div class='share-bar'>Share</div><article><h1>Title</h1>{''.join(k + g for k, g in zip(kept, gone + [''] * 9))}</article><footer>End</footer></body>"
+    text, marked = html_diff.lines(page)
+    assert marked and text == ["Title", *(re.sub("<[^>]*>", "", k) for k in kept)]
+    loose = page.replace("article", "div")  # without a mark words of names tell
+    assert "Shares rose." not in html_diff.lines(loose)[0] and "Share" not in html_diff.lines(loose)[0]
+
+
 # --- secrets ---
 
 
