@@ -75,79 +75,112 @@ def specks(support: DataFrame, keys: Sequence[str], least: int = 5, floor: int =
     )
 
 
-def components_of(cells: np.ndarray, offsets: Sequence[Offset]) -> np.ndarray:
-    """Component number of every cell (rows of i, j, k), by union of sorted neighbours."""
-    n = len(cells)
-    if not n:
-        return np.zeros(0, np.int64)
-    base = cells - cells.min(0) + 1
+def levels_of(v: Column, cuts: Sequence[Column]) -> Column:
+    """The number of cut-offs at or below the value; cut-offs rise."""
+    return digitize(v, cuts).cast("int")
+
+
+def _local_tree(part: np.ndarray, level: np.ndarray, offsets: Sequence[Offset], top: int) -> list[np.ndarray]:
+    """For each level from 1 to ``top`` the component of every cell, as the place of one of its cells, or -1 below
+    the level.  Levels fall: an edge is used once, at the lower level of its ends, and joins what
+    the levels above have joined."""
+    n = len(part)
+    base = part - part.min(0) + 1
     dims = base.max(0) + 2
     code = (base[:, 0] * dims[1] + base[:, 1]) * dims[2] + base[:, 2]
     order = np.argsort(code)
     table = code[order]
-    label = np.arange(n)
-    edges = []
+    pairs = []
     for a, b, c in offsets:
         step = (a * dims[1] + b) * dims[2] + c
-        if step <= 0:
-            continue  # every pair is met from one side
-        at = np.searchsorted(table, code + step)
-        at[at == n] = 0
-        hit = table[at] == code + step
-        edges.append(np.stack([np.flatnonzero(hit), order[at[hit]]]))
-    edges = np.concatenate(edges, 1) if edges else np.zeros((2, 0), np.int64)
-    while True:  # least label over edges, with pointer jumping
-        new = label.copy()
-        np.minimum.at(new, edges[0], label[edges[1]])
-        np.minimum.at(new, edges[1], label[edges[0]])
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
-def connectivity(cells: DataFrame, keys: Sequence[str], connect: int = 6) -> DataFrame:
-    """(keys, component, size) of the cells above a cut-off; one field and cut-off is one task, as
-    fields are independent and each is a grid that a model was deployed on.  Fields that outgrow
-    a task go through ``connectivity_tiled``."""
+        if step > 0:  # every pair is met from one side
+            at = np.minimum(np.searchsorted(table, code + step), n - 1)
+            hit = table[at] == code + step
+            pairs.append(np.stack([np.flatnonzero(hit), order[at[hit]]]))
+    pairs = np.concatenate(pairs, 1)
+    low = np.minimum(level[pairs[0]], level[pairs[1]])
+    label, out = np.arange(n), []
+    for now in range(top, 0, -1):
+        edges = label[pairs[:, low == now]]
+        while True:  # least label over the edges, with pointer jumping
+            new = label.copy()
+            np.minimum.at(new, edges[0], label[edges[1]])
+            np.minimum.at(new, edges[1], label[edges[0]])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        root = label
+        while (root[root] != root).any():
+            root = root[root]
+        label = root
+        out.append(np.where(level >= now, label, -1))
+    return out[::-1]
+
+
+def component_tree(cells: DataFrame, keys: Sequence[str], top: int, connect: int = 6, tile: int = 32) -> DataFrame:
+    """The tree of components over all cut-offs: (keys, level, component, size, parent) from cells
+    (keys, i, j, k, level), where ``level`` says how many of the ``top`` rising cut-offs a cell reaches.
+
+    A component of a level is named by its least cell, i:j:k with digits to the same width; its parent is
+    the component of the level below that holds it, null at level 1.  Every question about a
+    cut-off (sizes, counts, shares) is read off the rows of its level.
+
+    Each tile of ``tile`` ** 3 cells makes its part of the tree in one falling pass in a task of its own.  Only
+    components that reach a face of their tile meet others, at the lower level of two cells that
+    touch, and the graph of these, far smaller than the field, is solved by rounds of stars for
+    all levels together.  Cells at level 0 and fields without others give no rows."""
+    keys = list(keys)
     offsets = face_offsets() if connect == 6 else ALL
-    schema = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in keys) + ", component long, size long"
+    tiles = [F.floor(F.col(a) / tile).alias(f"t{a}") for a in "ijk"]
+    typed = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in keys)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        label = components_of(part[["i", "j", "k"]].to_numpy(np.int64), offsets)
-        names, size = np.unique(label, return_counts=True)
-        out = pd.DataFrame({"component": np.arange(len(names)), "size": size})
-        for c in reversed(list(keys)):
+    def local(part: pd.DataFrame) -> pd.DataFrame:
+        at, level = part[["i", "j", "k"]].to_numpy(np.int64), part["level"].to_numpy(np.int64)
+        order = np.lexsort((at[:, 2], at[:, 1], at[:, 0]))  # so that the least label is the least cell
+        part, at, level = part.iloc[order], at[order], level[order]
+        names = np.array([f"{a:010d}:{b:010d}:{c:010d}" for a, b, c in at + (1 << 30)], dtype=object)
+        rim = ((at % tile == 0) | (at % tile == tile - 1)).any(1)
+        out, below = [], None
+        for now, label in enumerate(_local_tree(at, level, offsets, top), 1):
+            mine = np.flatnonzero(label >= 0)
+            roots, size = np.unique(label[mine], return_counts=True)
+            frame = pd.DataFrame({"level": now, "label": names[roots], "size": size, "parent": names[below[roots]] if below is not None else None, "i": None, "j": None, "k": None})
+            edge = mine[rim[mine]]
+            face = pd.DataFrame({"level": now, "label": names[label[edge]], "size": 0, "parent": None, "i": at[edge, 0], "j": at[edge, 1], "k": at[edge, 2]})
+            out += [frame, face]
+            below = label
+        out = pd.concat([f.astype(object) for f in out], ignore_index=True)
+        for c in reversed(keys):
             out.insert(0, c, part[c].iloc[0])
         return out
 
-    return cells.groupBy(*keys).applyInPandas(run, schema)
+    parts = settle(cells.filter("level > 0").select(*keys, "i", "j", "k", "level", *tiles).groupBy(*keys, "ti", "tj", "tk").applyInPandas(local, f"{typed}, level int, label string, size long, parent string, i int, j int, k int"))
+    nodes = parts.filter("i is null").select(*keys, "level", "label", "size", "parent")
+    rim = parts.filter("i is not null").select(*keys, "level", "label", "i", "j", "k")
+    sent = scatter(rim, offsets, {**{c: F.col(c) for c in (*keys, "level")}, "label": F.col("label")}).withColumnRenamed("label", "other")
+    edges = sent.join(rim, [*keys, "level", "i", "j", "k"]).filter("label <> other").select(*keys, "level", F.greatest("label", "other").alias("a"), F.least("label", "other").alias("b")).distinct()
+    named = stars(edges, [*keys, "level"])
+    if named is None:
+        return nodes.select(*keys, "level", F.col("label").alias("component"), "size", "parent")
+    by = [*keys, "level"]
+    joined = nodes.join(named.withColumnRenamed("a", "label"), [*by, "label"], "left").withColumn("component", F.coalesce("b", "label")).drop("b")
+    up = named.select(*keys, (F.col("level") + 1).alias("level"), F.col("a").alias("parent"), F.col("b").alias("_p"))
+    return joined.join(up, [*by, "parent"], "left").groupBy(*by, "component").agg(F.sum("size").alias("size"), F.min(F.coalesce("_p", "parent")).alias("parent"))
 
 
-def connectivity_tiled(cells: DataFrame, keys: Sequence[str], connect: int = 6, tile: int = 32) -> DataFrame:
-    """The same for fields of any size, as (keys, component, size) with components named by their
-    least cell.  Each tile of ``tile`` ** 3 cells is labelled in a task of its own; only cells at
-    the faces of tiles meet across them, and the graph of tile components, far smaller than the
-    field, is solved by rounds of stars."""
-    keys = list(keys)
-    offsets = face_offsets() if connect == 6 else ALL
-    tiles = [F.floor(F.col(a) / tile).alias(f"t{a}") for a in "ijk"]
-    typed = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in keys)
+def connectivity(cells: DataFrame, keys: Sequence[str], connect: int = 6, tile: int = 32) -> DataFrame:
+    """(keys, component, size) of cells that all count: a tree of one level."""
+    return component_tree(cells.withColumn("level", F.lit(1)), keys, 1, connect, tile).select(*keys, "component", "size")
 
-    def local(part: pd.DataFrame) -> pd.DataFrame:
-        at = part[["i", "j", "k"]].to_numpy(np.int64)
-        label = components_of(at, offsets)
-        order = np.lexsort((at[:, 2], at[:, 1], at[:, 0]))
-        first = pd.Series(order).groupby(label[order]).first()
-        least = at[first.loc[label].to_numpy()]
-        return part[[*keys, "i", "j", "k"]].assign(label=[f"{a:010d}_{b:010d}_{c:010d}" for a, b, c in least + (1 << 30)])
-
-    marked = settle(cells.select(*keys, "i", "j", "k", *tiles).groupBy(*keys, "ti", "tj", "tk").applyInPandas(local, f"{typed}, i int, j int, k int, label string"))
-    inside = [F.pmod(F.col(a), F.lit(tile)) for a in "ijk"]
-    rim = marked.filter(F.greatest(*inside) == tile - 1).union(marked.filter((F.least(*inside) == 0) & (F.greatest(*inside) != tile - 1)))
-    sent = scatter(rim, offsets, {**{c: F.col(c) for c in keys}, "label": F.col("label")}).withColumnRenamed("label", "other")
-    edges = sent.join(rim, [*keys, "i", "j", "k"]).filter("label <> other").select(*keys, F.greatest("label", "other").alias("a"), F.least("label", "other").alias("b")).distinct()
+
+def stars(edges: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """(keys, a, b): for every node of the graph with edges (keys, a, b) the least node b that it
+    reaches, nodes that are least themselves left out; None without edges."""
+    keys = list(keys)
     now, seen = settle(edges), None
+    if now.isEmpty():
+        return None
     while True:
         both = now.select(*keys, F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(*keys, "b", "a"))
         least = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -157,10 +190,8 @@ def connectivity_tiled(cells: DataFrame, keys: Sequence[str], connect: int = 6,
         now = settle(small.select(*keys, F.col("u").alias("a"), F.col("v").alias("b")).distinct())
         mark = now.agg(F.count("*"), F.expr(f"bit_xor(xxhash64({', '.join([*keys, 'a', 'b'])}))")).first()
         if mark == seen:
-            break
+            return now
         seen = mark
-    sizes = marked.groupBy(*keys, "label").agg(F.count("*").alias("n"))
-    return sizes.join(now.withColumnRenamed("a", "label"), [*keys, "label"], "left").groupBy(*keys, F.coalesce("b", "label").alias("component")).agg(F.sum("n").alias("size"))
 
 
 def connectivity_stats(sizes: DataFrame, keys: Sequence[str], viable: int = 12) -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .grid import cube_offsets
 
 
@@ -106,9 +107,9 @@ def log_standardise(df: DataFrame, cols: Sequence[str], train: Column) -> DataFr
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], train: Column) -> DataFrame:
-    """Nulls become the exact median of the training rows."""
-    mids = df.agg(*(F.median(F.when(train, F.col(c))).alias(f"_m_{c}") for c in cols))
-    return df.crossJoin(F.broadcast(mids)).withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in cols}).drop(*mids.columns)
+    """Nulls become the exact median of the training rows; NaN in these counts as missing."""
+    mids = quantiles(df.filter(train), [], {f"_m_{c}": F.col(c) for c in cols}, [0.5])  # one row
+    return df.join(F.broadcast(mids), F.lit(True), "left").withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")[0]) for c in cols}).drop(*mids.columns)
 
 
 def design(df: DataFrame, base: str, static: Sequence[str], oriented: Sequence[str]) -> DataFrame:

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import digitize
+from .lineage import settle
+from .neighbours import nearest, nearest_by  # noqa: F401  part of this module's surface
+from .quantiles import quantiles
 
 
 def block_edges(lo: float, hi: float, n: int, cell: float) -> list[float]:
@@ -89,37 +92,46 @@ def greedy_folds(sizes: dict[int, int], folds: int, rng: np.random.Generator) ->
     return out
 
 
-def search_folds(spark: SparkSession, nodes: pd.DataFrame, folds: int, trials: int = 800, seed: int = 42, weight: float = 1.0) -> tuple[dict[int, int], DataFrame]:
-    """The best of ``trials`` greedy assignments, and all scores: count imbalance plus the
-    imbalance of the median distance from test to training samples.  ``nodes`` are the samples
-    (block, x, y, z), a few hundred; the trials run in parallel."""
-    sizes = nodes.groupby("block").size().to_dict()
-    at = nodes[["x", "y", "z"]].to_numpy(float)
-    block = nodes["block"].to_numpy()
-    names = sorted(sizes)
-    # from each sample to the nearest one of each block
-    near = np.stack([np.sqrt(((at[:, None, :] - at[None, block == b, :]) ** 2).sum(2)).min(1) for b in names], 1)
-    code = np.searchsorted(names, block)
-
-    def run(parts):
-        for part in parts:
-            rows = []
-            for trial in part["id"]:
-                fold = greedy_folds(sizes, folds, np.random.default_rng(seed + int(trial)))
-                of = np.array([fold[b] for b in names])
-                count = np.array([sum(sizes[b] for b in names if fold[b] == f) for f in range(folds)], float)
-                d50 = []
-                for f in range(folds):
-                    test, train = of[code] == f, of != f
-                    d50.append(np.median(near[test][:, train].min(1)) if test.any() and train.any() else np.nan)
-                d50 = np.array(d50)
-                score = count.std() / count.mean() + weight * (np.nanstd(d50) / max(np.nanmedian(d50), 1e-9))
-                rows.append((int(trial), float(score), [int(x) for x in of]))
-            yield pd.DataFrame(rows, columns=["trial", "score", "folds"])
-
-    scores = spark.range(trials).mapInPandas(run, "trial long, score double, folds array<int>")
-    best = scores.orderBy("score", "trial").first()
-    return dict(zip(names, best["folds"], strict=True)), scores
+def assignments(spark: SparkSession, blocks: DataFrame, folds: int, trials: int, seed: int = 42) -> DataFrame:
+    """(trial, of): ``trials`` greedy assignments of (block, n) to folds, each an array of (block,
+    fold) by block.  A trial takes the blocks in an order of its own, by the SHA-1 of seed, trial and
+    block, each to the lightest fold so far, the lowest one on ties."""
+    row = blocks.agg(F.collect_list(F.struct(F.col("block").cast("int").alias("block"), F.col("n").cast("long").alias("n"))).alias("blocks"))
+    order = F.array_sort(F.transform("blocks", lambda b: F.struct(F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col("trial").cast("string"), b["block"].cast("string"))).alias("h"), b["block"].alias("block"), b["n"].alias("n"))))
+    light = lambda acc: F.array_position(acc["load"], F.array_min(acc["load"])).cast("int") - 1
+
+    def take(acc: Column, b: Column) -> Column:
+        load = F.transform(acc["load"], lambda x, p: x + F.when(p == light(acc), b["n"]).otherwise(0))
+        return F.struct(load.alias("load"), F.array_append(acc["of"], F.struct(b["block"].alias("block"), light(acc).alias("fold"))).alias("of"))
+
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), folds).alias("load"), F.lit(None).cast("array<struct<block: int, fold: int>>").alias("of"))
+    start = start.withField("of", F.array().cast("array<struct<block: int, fold: int>>"))
+    each = spark.range(trials).select(F.col("id").cast("int").alias("trial")).crossJoin(F.broadcast(row))  # one row, as long as the layout has blocks
+    return each.select("trial", F.array_sort(F.aggregate(order, start, take)["of"]).alias("of"))
+
+
+def search_folds(nodes: DataFrame, folds: int, trials: int = 800, seed: int = 42, weight: float = 1.0) -> DataFrame:
+    """(trial, score, folds): count imbalance plus ``weight`` times the imbalance of the median
+    distance from test to training samples, for ``trials`` greedy assignments of the blocks of
+    nodes (node_id, block, x, y, z); ``folds`` has the folds by ascending block.  The least score, and of these the first trial, wins.
+
+    Distances are searched once, from every sample to the nearest one of every block, as many
+    values a sample as the layout has blocks; a trial takes the least over the blocks of other folds."""
+    spark = nodes.sparkSession
+    sizes = settle(nodes.groupBy("block").agg(F.count("*").alias("n")))
+    near = nearest_by(nodes.select("node_id", "x", "y", "z"), nodes.select("block", "x", "y", "z"), "node_id", "block")
+    reach = near.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("block", "dist"))).alias("reach"))
+    samples = nodes.select("node_id", "block").join(reach, "node_id")
+    of = settle(assignments(spark, sizes, folds, trials, seed))
+    met = samples.crossJoin(F.broadcast(of))  # trials rows, each as long as the layout has blocks
+    met = met.withColumn("own", F.filter("of", lambda b: b["block"] == F.col("block"))[0]["fold"])
+    away = F.array_min(F.transform(F.filter("of", lambda b: b["fold"] != F.col("own")), lambda b: F.col("reach")[b["block"]]))
+    mids = quantiles(met.select("trial", "own", away.alias("d")), ["trial", "own"], {"d50": F.col("d")}, [0.5]).select("trial", F.col("own").alias("fold"), F.col("d50")[0].alias("d50"))
+    loads = of.select("trial", F.explode("of").alias("b")).select("trial", F.col("b.block").alias("block"), F.col("b.fold").alias("fold")).join(F.broadcast(sizes), "block").groupBy("trial", "fold").agg(F.sum("n").alias("n"))
+    every = of.select("trial", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+    rows = every.join(loads, ["trial", "fold"], "left").join(mids, ["trial", "fold"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    score = F.stddev_pop("n") / F.avg("n") + weight * (F.stddev_pop("d50") / F.greatest(F.median("d50"), F.lit(1e-9)))
+    return rows.groupBy("trial").agg(score.alias("score")).join(of.select("trial", F.array_join(F.transform("of", lambda b: b["fold"].cast("string")), ",").alias("folds")), "trial").select("trial", "score", "folds")
 
 
 def roles(df: DataFrame, folds: int, excluded: Column | None = None, buffered: DataFrame | None = None) -> DataFrame:
@@ -159,20 +171,39 @@ def buffer_nodes(nodes: DataFrame, radius: tuple[float, float, float]) -> DataFr
     return seen.join(test, ["bx", "by", "bz"]).filter(close & (F.col("fold") != F.col("tf"))).select("node_id", F.col("tf").alias("fold")).distinct()
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: str, reach: float, where: Column | None = None) -> DataFrame:
-    """``key, dist``: the distance from each point to its nearest target within ``reach`` (null
-    beyond), by cells of that size and the 26 around."""
-    cell = lambda a, p="": F.floor(F.col(a) / reach).alias(f"b{p}{a}")
+def group_radii(datasets: DataFrame, cell: tuple[float, float, float], safety: int = 1) -> DataFrame:
+    """(mode, grp, rx, ry, rz) of the modes that have a buffer, from (dataset, grp, kernel): ``exact`` is the
+    overlap of kernels, (kernel - 1) cells, ``safety`` that and ``safety`` cells more; a group
+    takes the widest of its members."""
+    modes = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(x).alias("extra")) for m, x in (("exact", 0), ("safety", safety))))
+    wide = datasets.select("grp", "kernel", F.explode(modes).alias("m")).groupBy("m.mode", "grp").agg(F.max(F.col("kernel") - 1 + F.col("m.extra")).alias("w"))
+    return wide.select("mode", "grp", *((F.col("w") * c).alias(f"r{a}") for a, c in zip("xyz", cell, strict=True)))
+
+
+def group_roles(points: DataFrame, datasets: DataFrame, folds: int, cell: tuple[float, float, float], safety: int = 1) -> DataFrame:
+    """(mode, dataset, node_id, f, role) of every point in every fold under the modes ``none``,
+    ``exact`` and ``safety``: 1 test, 0 train, 2 within the buffer of a test point of the fold in any
+    dataset of its group, -1 excluded (a null fold).
+
+    points: (dataset, node_id, x, y, z, fold).  Points meet in cells of the radius of their mode and
+    group and the cells around; test points that share a place are one.  A radius of 0 on an axis holds only its own plane."""
+    of = F.broadcast(datasets)  # a row for each dataset of a design
+    radii = group_radii(datasets, cell, safety)
+    named = points.join(of, "dataset").join(F.broadcast(radii), "grp").filter("fold is not null")
+    box = [F.floor(F.col(a) / F.when(F.col(f"r{a}") > 0, F.col(f"r{a}")).otherwise(F.lit(1.0))).alias(f"b{a}") for a in "xyz"]
+    radius = [f"r{a}" for a in "xyz"]
+    test = named.select("mode", "grp", *box, *(F.col(a).alias(f"t{a}") for a in "xyz"), F.col("fold").alias("f")).distinct()
     around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)))
-    seen = points.select("*", *(cell(a) for a in "xyz"), F.explode(around).alias("o"))
+    seen = named.select("mode", "grp", "dataset", "node_id", "x", "y", "z", "fold", *radius, *box, F.explode(around).alias("o"))
     seen = seen.withColumns({f"b{a}": F.col(f"b{a}") + F.col(f"o.{m}") for a, m in zip("xyz", "abc", strict=True)})
-    t = targets.select(*(F.col(c).alias(f"t_{c}") for c in targets.columns), *(cell(a) for a in "xyz"))
-    met = seen.join(t, ["bx", "by", "bz"])
-    if where is not None:
-        met = met.filter(where)
-    d = F.sqrt((F.col("x") - F.col("t_x")) ** 2 + (F.col("y") - F.col("t_y")) ** 2 + (F.col("z") - F.col("t_z")) ** 2)
-    best = met.withColumn("dist", d).filter(F.col("dist") <= reach).groupBy(key).agg(F.min("dist").alias("dist"))
-    return points.select(key).distinct().join(best, key, "left")
+    close = F.lit(True)
+    for a in "xyz":
+        close = close & (F.abs(F.col(a) - F.col(f"t{a}")) <= F.col(f"r{a}"))
+    held = seen.join(test, ["mode", "grp", "bx", "by", "bz"]).filter(close & (F.col("fold") != F.col("f"))).select("mode", "dataset", "node_id", "f").distinct().withColumn("_b", F.lit(True))
+    modes, each = F.array(*map(F.lit, ("none", "exact", "safety"))), F.sequence(F.lit(0), F.lit(folds - 1))
+    rows = points.select("dataset", "node_id", "fold", F.explode(modes).alias("mode")).withColumn("f", F.explode(each)).join(held, ["mode", "dataset", "node_id", "f"], "left")
+    role = F.when(F.col("fold").isNull(), -1).when(F.col("fold") == F.col("f"), 1).when(F.col("_b"), 2).otherwise(0)
+    return rows.select("mode", "dataset", "node_id", "f", role.alias("role"))
 
 
 def inner_splits(role_rows: DataFrame, least_train: int = 10, least_valid: int = 2, least_splits: int = 2) -> DataFrame:

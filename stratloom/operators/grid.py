@@ -1,9 +1,10 @@
 """Grid operators: indexing of coordinates, stencils over a sparse lattice, window patterns.
 
 A grid is a DataFrame with one row per cell, keyed by integer indices ``i, j, k``; cells
-that don't exist have no row.  Stencils scatter: every cell sends its values to the cells
-around it and one aggregation, with partial sums before the exchange, gathers them.  The
-offsets are a literal array of k ** 3 structs, so no join and no densified box is needed.
+that don't exist have no row.  Stencils that aggregate scatter: every cell sends its values to the
+cells around it and one aggregation, with partial sums before the exchange, gathers them.  The
+offsets are a literal array of structs, so no join and no densified box is needed.  Windows, which
+keep every voxel and so have no partial sums, are read off tiles with a halo.
 """
 
 from __future__ import annotations
@@ -94,25 +95,58 @@ def neighbourhood(df: DataFrame, value: str, offsets: Sequence[Offset], aggs: di
     return sent.groupBy("i", "j", "k").agg(F.max("own").alias("own"), *(c.alias(n) for n, c in aggs.items())).filter("own is not null")
 
 
-def window_patterns(df: DataFrame, covariates: Sequence[str], dims: tuple[int, int, int], k: int = 3) -> DataFrame:
+def halo(df: DataFrame, tile: int, reach: int) -> DataFrame:
+    """Every cell once for each tile of ``tile`` ** 3 cells that it lies in or within ``reach`` of, as
+    (ti, tj, tk) and the columns of df: (1 + 2 * reach / tile) ** 3 times on average."""
+    low, high = (lambda a: F.floor((F.col(a) - reach) / tile)), (lambda a: F.floor((F.col(a) + reach) / tile))
+    out = df
+    for a in "ijk":
+        out = out.withColumn(f"t{a}", F.explode(F.sequence(low(a), high(a))))
+    return out
+
+
+def window_patterns(df: DataFrame, covariates: Sequence[str], dims: tuple[int, int, int], k: int = 3, tile: int = 16) -> DataFrame:
     """Gathers k x k x k windows around every cell that is k // 2 or more inside of the box.
 
     Columns: ``n_present, n_valid`` (all covariates there) and ``vox``, an array over the voxels
-    that exist, ordered by place, of structs (o, valid, covariates)."""
-    h = k // 2
+    that exist, ordered by place, of structs (o, valid, covariates).
+
+    Cells are dealt to tiles with a halo of k // 2 and windows are read off the tile, a dense box of
+    bounded size, so a cell travels less than twice where a tile is eight halos wide.  Places of the
+    lattice without a cell have no window of their own unless a voxel of it exists; a null
+    covariate makes its voxel invalid; cells are unique (``unique_cells``)."""
+    h, names = k // 2, list(covariates)
+    width, offsets = tile + 2 * h, np.array(cube_offsets(k)) + h
+    voxel = T.StructType([T.StructField("o", T.IntegerType()), T.StructField("valid", T.BooleanType()), *(T.StructField(c, T.DoubleType()) for c in names)])
+    schema = T.StructType([*(T.StructField(a, T.IntegerType()) for a in "ijk"), T.StructField("n_present", T.LongType()), T.StructField("n_valid", T.LongType()), T.StructField("vox", T.ArrayType(voxel))])
     valid = F.lit(True)
-    for c in covariates:
+    for c in names:
         valid = valid & F.col(c).isNotNull()
-    sent = scatter(df, cube_offsets(k), {"valid": valid, **{c: F.col(c) for c in covariates}}, index="o")
-    inside = F.lit(True)
-    for axis, size in zip(("i", "j", "k"), dims, strict=True):
-        inside = inside & F.col(axis).between(h, size - 1 - h)
-    sent = sent.filter(inside)
-    return sent.groupBy("i", "j", "k").agg(
-        F.count("*").alias("n_present"),
-        F.count_if("valid").alias("n_valid"),
-        F.array_sort(F.collect_list(F.struct("o", "valid", *covariates))).alias("vox"),  # k ** 3 at most
-    )
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        corner = np.array([x.as_py() for x in key]) * tile
+        at = np.stack([part[a].to_numpy() for a in "ijk"], 1) - corner + h
+        row = np.full((width, width, width), -1, np.int64)
+        row[tuple(at.T)] = np.arange(len(at))
+        inner = np.stack(np.meshgrid(*[np.arange(tile)] * 3, indexing="ij"), -1).reshape(-1, 3)
+        whole = inner + corner
+        inner = inner[((whole >= h) & (whole <= np.array(dims) - 1 - h)).all(1)]
+        seen = row[tuple(np.moveaxis(inner[:, None, :] + offsets[None], -1, 0))]  # windows by places
+        some = (seen >= 0).any(1)
+        inner, seen = inner[some], seen[some]
+        there = seen >= 0
+        good = part["valid"].to_numpy()
+        own = seen[there]
+        counts = there.sum(1)
+        fields = [pa.array(np.broadcast_to(np.arange(k**3, dtype=np.int32), seen.shape)[there]), pa.array(good[own]), *(part[c].combine_chunks().take(pa.array(own)) for c in names)]
+        ends = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+        vox = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, ["o", "valid", *names]))
+        n_valid = (there & good[seen]).sum(1) if len(good) else counts
+        places = (inner + corner).astype(np.int32)
+        return pa.table([*(pa.array(places[:, x]) for x in range(3)), pa.array(counts.astype(np.int64)), pa.array(n_valid.astype(np.int64)), vox], names=["i", "j", "k", "n_present", "n_valid", "vox"])
+
+    cells = df.select(*(F.col(a).cast("int").alias(a) for a in "ijk"), valid.alias("valid"), *(F.col(c).cast("double").alias(c) for c in names))
+    return halo(cells, tile, h).groupBy("ti", "tj", "tk").applyInArrow(run, schema)
 
 
 def accepted(patterns: DataFrame, k: int = 3, coverage: float = 0.70) -> DataFrame:

@@ -1,7 +1,8 @@
 """Accuracy, agreement, distribution and ranking measures as aggregate expressions.
 
 All are algebraic aggregates over (y_true, y_pred), so Spark combines them before the
-exchange; what needs an order ranks within its group.
+exchange; what needs an order takes its ranks from ``ranks`` and its quantiles from
+``quantiles``, which spread a group over tasks.
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.scalars import clip, erfc
+from .quantiles import quantiles
+from .ranks import average_rank, met, row_numbers, running
 
 TINY = 1e-300
 
@@ -48,8 +50,7 @@ def auc(df: DataFrame, keys: Sequence[str], score: str, event: str) -> DataFrame
     """Mann-Whitney AUC with average ranks; null for one class.  Equal scores are counted
     first, so ties cost nothing."""
     ties = df.groupBy(*keys, score).agg(F.count("*").alias("n"), F.sum(F.col(event).cast("long")).alias("pos"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("rank", below + (F.col("n") + 1) / 2)
+    ranked = running(ties, keys, score, ["n"]).withColumn("rank", average_rank(F.col("n"), F.col("before_n")))
     out = ranked.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("pos").alias("n_pos"), F.sum(F.col("rank") * F.col("pos")).alias("w"))
     neg = F.col("n") - F.col("n_pos")
     return out.withColumn("auc", F.when((F.col("n_pos") > 0) & (neg > 0), (F.col("w") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * neg))).drop("w")
@@ -84,39 +85,47 @@ def ks(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Largest gap between the empirical distributions of y_true and y_pred."""
     both = long.select(*keys, F.explode(F.array(F.struct(F.col("y_true").alias("v"), F.lit(1).alias("t"), F.lit(0).alias("p")), F.struct(F.col("y_pred").alias("v"), F.lit(0).alias("t"), F.lit(1).alias("p")))).alias("x"))
     steps = both.filter("x.v is not null").groupBy(*keys, F.col("x.v").alias("v")).agg(F.sum("x.t").alias("t"), F.sum("x.p").alias("p"))
-    run = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*keys)
-    gap = F.abs(F.sum("t").over(run) / F.sum("t").over(whole) - F.sum("p").over(run) / F.sum("p").over(whole))
-    return steps.withColumn("gap", gap).groupBy(*keys).agg(F.max("gap").alias("ks"))
+    at = running(steps, keys, "v", ["t", "p"])
+    share = lambda c: (F.col(f"before_{c}") + F.col(c)) / F.col(f"all_{c}")
+    return at.withColumn("gap", F.abs(share("t") - share("p"))).groupBy(*keys).agg(F.max("gap").alias("ks"))
 
 
 def quantile_errors(long: DataFrame, keys: Sequence[str], qs: Sequence[float]) -> DataFrame:
     """(q, q_true, q_pred, error) by group: exact quantiles by linear interpolation."""
     lit = F.array(*(F.lit(q) for q in qs))
-    out = long.groupBy(*keys).agg(F.percentile("y_true", lit).alias("t"), F.percentile("y_pred", lit).alias("p"))
+    out = quantiles(long, keys, {"t": F.col("y_true"), "p": F.col("y_pred")}, qs)
     rows = out.select(*keys, F.explode(F.arrays_zip(lit.alias("q"), "t", "p")).alias("x"))
     return rows.select(*keys, F.col("x.q").alias("q"), F.col("x.t").alias("q_true"), F.col("x.p").alias("q_pred"), (F.col("x.p") - F.col("x.t")).alias("error"))
 
 
 def selectivity(long: DataFrame, keys: Sequence[str], points: int = 40) -> DataFrame:
     """Share of rows and their mean value at or above evenly spaced cut-offs between the 2nd and
-    98th percentile of y_true, for observations and predictions."""
-    span = long.groupBy(*keys).agg(F.percentile("y_true", F.lit(0.02)).alias("lo"), F.percentile("y_true", F.lit(0.98)).alias("hi"))
-    cuts = span.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("step"), "lo", "hi").withColumn("cutoff", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("step") / (points - 1))
-    met = long.join(F.broadcast(cuts.select(*keys, "step", "cutoff")), list(keys))  # points rows per group
-    above = lambda c: F.col(c) >= F.col("cutoff")
-    return met.groupBy(*keys, "step", "cutoff").agg(
-        F.avg(above("y_true").cast("double")).alias("share_true"),
-        F.avg(F.when(above("y_true"), F.col("y_true"))).alias("mean_true"),
-        F.avg(above("y_pred").cast("double")).alias("share_pred"),
-        F.avg(F.when(above("y_pred"), F.col("y_pred"))).alias("mean_pred"),
-    )
+    98th percentile of y_true, for observations and predictions.
+
+    A row is binned once for each of the two by the cut-offs of its group; the sums of the
+    ``points`` + 1 bins of a group are cumulated from above."""
+    steps = F.sequence(F.lit(0), F.lit(points - 1))
+    span = quantiles(long, keys, {"e": F.col("y_true")}, [0.02, 0.98]).select(*keys, F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
+    cuts = span.select(*keys, F.transform(steps, lambda s: F.col("lo") + (F.col("hi") - F.col("lo")) * s / (points - 1)).alias("_c"))
+    both = met(long, cuts, keys)
+    over = lambda c: F.size(F.filter("_c", lambda x: x <= F.col(c)))
+    kinds = F.array(*(F.struct(F.lit(n).alias("kind"), over(c).alias("bin"), F.col(c).alias("v")) for n, c in (("true", "y_true"), ("pred", "y_pred"))))
+    bins = both.select(*keys, F.explode(kinds).alias("x")).groupBy(*keys, "x.kind", "x.bin").agg(F.count("x.v").alias("n"), F.sum("x.v").alias("s"))
+    rows = bins.groupBy(*keys).agg(*(F.collect_list(F.when(F.col("kind") == n, F.struct("bin", "n", "s"))).alias(n) for n in ("true", "pred")))
+
+    def above(kind: str, what: str) -> Column:
+        return F.aggregate(F.array_sort(F.filter(kind, lambda b: b["bin"] > F.col("step"))), F.lit(0).cast("double"), lambda a, b: a + b[what])
+
+    out = met(rows, cuts, keys).select(*keys, "true", "pred", F.posexplode("_c").alias("step", "cutoff"))
+    total = lambda kind: F.aggregate(kind, F.lit(0).cast("long"), lambda a, b: a + b["n"])
+    part = lambda kind: (above(kind, "n") / total(kind)).alias(f"share_{kind}")
+    mean = lambda kind: F.when(above(kind, "n") > 0, above(kind, "s") / above(kind, "n")).alias(f"mean_{kind}")
+    return out.select(*keys, "step", "cutoff", part("true"), mean("true"), part("pred"), mean("pred"))
 
 
 def ecdf(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Every value with its step of the empirical distribution; ties keep steps of their own."""
-    by = W.partitionBy(*keys)
-    return df.withColumn("ecdf", F.row_number().over(by.orderBy(value, "node_id")) / F.count("*").over(by))
+    return row_numbers(df, keys, value, "node_id").withColumn("ecdf", F.col("place") / F.col("n")).drop("place", "n")
 
 
 def signed_rank(pairs: DataFrame, keys: Sequence[str], diff: Column) -> DataFrame:
@@ -124,8 +133,7 @@ def signed_rank(pairs: DataFrame, keys: Sequence[str], diff: Column) -> DataFram
     approximation z with tie correction; p by ``p_value``."""
     d = pairs.select(*keys, diff.alias("d")).filter("d <> 0").withColumn("a", F.abs("d"))
     ties = d.groupBy(*keys, "a").agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("a").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("rank", below + (F.col("n") + 1) / 2)
+    ranked = running(ties, keys, "a", ["n"]).withColumn("rank", average_rank(F.col("n"), F.col("before_n")))
     n = F.col("n_diff").cast("double")
     out = ranked.groupBy(*keys).agg(F.sum("n").alias("n_diff"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("w_minus"), F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("_t"))
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("_t") / 48

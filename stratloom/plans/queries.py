@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ERFC
 from ..operators import coherence, features, folds, grid, joins, kriging, metrics, reports
+from ..operators.lineage import settle
+from ..operators.quantiles import quantiles
 from ..sources import readers
 from . import lattice as L
 
@@ -107,8 +109,8 @@ cover AS (SELECT i, j, k, count(*) AS n_present, count(*) FILTER (valid) AS n_va
 )
 
 
-def _patterns(spark: SparkSession, sf_dir: str, extra=()) -> DataFrame:
-    return grid.window_patterns(L.cells(spark, sf_dir), COV, L.DIMS, 3)
+def _patterns(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    return grid.window_patterns(L.cells(spark, sf_dir), COV, L.DIMS, k)
 
 
 @query(with_(_WIN, "SELECT i, j, k, n_present, n_valid, n_valid / 27.0 >= 0.7 AS accepted FROM cover"))
@@ -131,8 +133,8 @@ filled AS (
 )
 
 
-def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.fill_idw(grid.accepted(_patterns(spark, sf_dir)), COV, 3, L.CELL)
+def _filled(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    return grid.fill_idw(grid.accepted(_patterns(spark, sf_dir, k), k), COV, k, L.CELL)
 
 
 @query(with_(_FILL, "SELECT i, j, k, o, missing, round(fe, 6) AS fe, round(feo, 4) AS feo, round(magsus, 6) AS magsus, round(s, 6) AS s FROM filled WHERE missing = 1"))
@@ -169,6 +171,24 @@ def train_infer_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.agg(F.count("*").alias("n_infer"), F.count_if(both).alias("n_train"), F.count_if(F.col("dtr").isNotNull() & F.col("valid")).alias("n_train_valid"))
 
 
+def _wider(sql: str) -> str:
+    """The SQL of windows of 27 voxels for those of 125."""
+    for old, new in (("[-1, 0, 1]", "[-2, -1, 0, 1, 2]"), ("((a + 1) * 3 + b + 1) * 3 + c + 1", "((a + 2) * 5 + b + 2) * 5 + c + 2"), ("(1, 22)", "(2, 21)"), ("(1, 18)", "(2, 17)"), ("(1, 10)", "(2, 9)"), ("27.0", "125.0"), ("n_valid < 27", "n_valid < 125")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query(with_(_wider(_WIN), "SELECT i, j, k, n_present, n_valid, n_valid / 125.0 >= 0.7 AS accepted FROM cover"))
+def voxel_coverage_k5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _patterns(spark, sf_dir, 5).select("i", "j", "k", "n_present", "n_valid", (F.col("n_valid") / 125.0 >= 0.7).alias("accepted"))
+
+
+@query(with_(_wider(_FILL), f"SELECT i, j, k, 625 AS width, true AS layout_ok, {_CHECKSUM} AS checksum FROM filled GROUP BY 1, 2, 3"))
+def voxel_vectors_k5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = grid.flatten_patterns(_filled(spark, sf_dir, 5), COV)
+    return p.select("i", "j", "k", F.size("features").alias("width"), grid.layout_ok(p).alias("layout_ok"), _weighted("features").alias("checksum"))
+
+
 _ROT = """,
 turned AS (
   SELECT f.i, f.j, f.k, t.turn, p.o AS o, f.missing, f.fe, f.feo, f.magsus, f.s
@@ -289,15 +309,17 @@ def fold_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(L.CELLS + _NODES, "SELECT fold, count(*) AS n, round(median(d), 6) AS d50, round(max(d), 6) AS d_max FROM (SELECT t.node_id, t.fold, min(sqrt(power(t.x - r.x, 2) + power(t.y - r.y, 2) + power(t.z - r.z, 2))) AS d FROM nodes t JOIN nodes r ON r.fold <> t.fold GROUP BY 1, 2) GROUP BY 1"))
 def cv_nn_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _nodes(spark, sf_dir).select("node_id", "fold", "x", "y", "z")
-    d = folds.nearest(n, n, "node_id", 120.0, F.col("fold") != F.col("t_fold")).join(n, "node_id")
-    return rounded(d.groupBy("fold").agg(F.count("dist").alias("n"), F.median("dist").alias("d50"), F.max("dist").alias("d_max")))
+    d = folds.nearest(n, n, "node_id", apart="fold").join(n.select("node_id", "fold"), "node_id")
+    mid = quantiles(d, ["fold"], {"d50": F.col("dist")}, [0.5])
+    top = d.groupBy("fold").agg(F.count("dist").alias("n"), F.max("dist").alias("d_max"))
+    return rounded(top.join(mid, "fold").select("fold", "n", F.col("d50")[0].alias("d50"), "d_max"))
 
 
 @query(with_(L.CELLS + _NODES, "SELECT count(*) AS n, " + ", ".join(f"round(quantile_cont(d, 0.{q}), 6) AS p{q}" for q in (10, 25, 50, 75, 95)) + " FROM (SELECT c.node_id, min(sqrt(power(c.x - r.x, 2) + power(c.y - r.y, 2) + power(c.z - r.z, 2))) AS d FROM cells c, nodes r GROUP BY 1)"))
 def deploy_nn_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = folds.nearest(L.cells(spark, sf_dir).select("node_id", "x", "y", "z"), _nodes(spark, sf_dir).select("x", "y", "z"), "node_id", 120.0)
+    d = settle(folds.nearest(L.cells(spark, sf_dir).select("node_id", "x", "y", "z"), _nodes(spark, sf_dir).select("x", "y", "z"), "node_id"))
     qs = (10, 25, 50, 75, 95)
-    p = d.agg(F.count("dist").alias("n"), F.percentile("dist", F.array(*(F.lit(q / 100) for q in qs))).alias("p"))
+    p = quantiles(d, [], {"p": F.col("dist")}, [q / 100 for q in qs]).crossJoin(d.agg(F.count("dist").alias("n")))  # a row each
     return rounded(p.select("n", *(F.col("p")[x].alias(f"p{q}") for x, q in enumerate(qs))))
 
 
@@ -325,11 +347,57 @@ def block_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("block").agg(F.count("*").alias("n")).join(spark.createDataFrame(sorted(merged.items()), "block int, merged int"), "block")
 
 
-@query()
+_FOLD_SEARCH = _NODES + """,
+sizes AS (SELECT block, count(*) AS n, row_number() OVER (ORDER BY block) AS ord FROM nodes GROUP BY 1),
+trials AS (SELECT unnest(generate_series(0, 799))::INT AS trial),
+turns AS (SELECT trial, block, n, row_number() OVER (PARTITION BY trial ORDER BY sha1('42:' || trial || ':' || block), block) AS turn FROM trials, sizes),
+greedy(trial, turn, block, fold, load) AS (
+  SELECT trial, CAST(0 AS BIGINT), CAST(NULL AS INT), CAST(NULL AS INT), CAST([0, 0, 0, 0, 0] AS BIGINT[]) FROM trials
+  UNION ALL
+  SELECT t.trial, t.turn, t.block, CAST(list_position(g.load, list_min(g.load)) - 1 AS INT), list_transform(g.load, lambda x, p: x + CASE WHEN p = list_position(g.load, list_min(g.load)) THEN t.n ELSE 0 END)
+  FROM greedy g JOIN turns t ON t.trial = g.trial AND t.turn = g.turn + 1),
+asg AS (SELECT trial, block, fold FROM greedy WHERE turn > 0),
+reach AS (SELECT a.node_id, a.block AS home, b.block, min(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2))) AS d FROM nodes a, nodes b GROUP BY 1, 2, 3),
+away AS (SELECT h.trial, h.fold, r.node_id, min(r.d) AS d FROM reach r JOIN asg h ON h.block = r.home JOIN asg o ON o.trial = h.trial AND o.block = r.block AND o.fold <> h.fold GROUP BY 1, 2, 3),
+mids AS (SELECT trial, fold, median(d) AS d50 FROM away GROUP BY 1, 2),
+loads AS (SELECT trial, f AS fold, coalesce(sum(n), 0) AS n FROM trials CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS f) LEFT JOIN (SELECT trial AS t2, fold, n FROM asg JOIN sizes USING (block)) ON t2 = trial AND fold = f GROUP BY 1, 2)"""
+
+
+@query(
+    "WITH RECURSIVE " + L.CELLS + _FOLD_SEARCH + " SELECT trial, round(stddev_pop(n) / avg(n) + stddev_pop(d50) / greatest(median(d50), 1e-9), 6) AS score, (SELECT string_agg(CAST(fold AS VARCHAR), ',' ORDER BY block) FROM asg a WHERE a.trial = l.trial) AS folds FROM loads l LEFT JOIN mids USING (trial, fold) GROUP BY trial"
+)
 def fold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """800 greedy assignments of blocks to folds with their scores."""
-    nodes = _nodes(spark, sf_dir).select("node_id", "block", "x", "y", "z").orderBy("node_id").toPandas()
-    return folds.search_folds(spark, nodes, L.FOLDS)[1]
+    return rounded(folds.search_folds(settle(_nodes(spark, sf_dir).select("node_id", "block", "x", "y", "z")), L.FOLDS))
+
+
+# k3 and pts share a group, whose radius is the wider of theirs; k5 has its own
+_GROUPS = [("k3", "near", 3), ("pts", "near", 2), ("k5", "wide", 5)]
+_GROUP_SQL = _NODES + """,
+sets(dataset, grp, kernel) AS (VALUES ('k3', 'near', 3), ('pts', 'near', 2), ('k5', 'wide', 5)),
+points AS (
+  SELECT 'k3' AS dataset, node_id, x, y, z, CASE WHEN node_id % 31 <> 0 THEN fold END AS fold FROM nodes
+  UNION ALL SELECT 'pts', node_id, x + 0.5, y - 0.25, z, fold FROM nodes WHERE node_id % 3 = 0
+  UNION ALL SELECT 'k5', node_id, x, y, z, fold FROM cells WHERE magnetic IS NOT NULL AND valid AND node_id % 2 = 0),
+radii AS (SELECT mode, grp, max(kernel - 1 + extra) AS w FROM sets, (VALUES ('exact', 0), ('safety', 1)) m(mode, extra) GROUP BY 1, 2),
+held AS (SELECT DISTINCT r.mode, p.dataset, p.node_id, t.fold AS f FROM points p JOIN sets s USING (dataset) JOIN radii r USING (grp) JOIN sets u ON u.grp = s.grp JOIN points t ON t.dataset = u.dataset AND p.fold <> t.fold AND abs(p.x - t.x) <= 5.0 * w AND abs(p.y - t.y) <= 5.0 * w AND abs(p.z - t.z) <= 2.0 * w)"""
+
+
+@query(
+    with_(
+        L.CELLS + _GROUP_SQL,
+        "SELECT m.mode, p.dataset, p.node_id, f.f, CASE WHEN p.fold IS NULL THEN -1 WHEN p.fold = f.f THEN 1 WHEN h.f IS NOT NULL THEN 2 ELSE 0 END AS role FROM points p CROSS JOIN (SELECT unnest(['none', 'exact', 'safety']) AS mode) m CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS f) f LEFT JOIN held h ON h.mode = m.mode AND h.dataset = p.dataset AND h.node_id = p.node_id AND h.f = f.f",
+    )
+)
+def group_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of three datasets in two buffer groups under each buffer mode."""
+    c = L.cells(spark, sf_dir)
+    n = c.filter("dtr is not null and valid")
+    k3 = n.select(F.lit("k3").alias("dataset"), "node_id", "x", "y", "z", F.when(F.col("node_id") % 31 != 0, F.col("fold")).alias("fold"))
+    pts = n.filter("node_id % 3 = 0").select(F.lit("pts").alias("dataset"), "node_id", (F.col("x") + 0.5).alias("x"), (F.col("y") - 0.25).alias("y"), "z", "fold")
+    k5 = c.filter("magnetic is not null and valid and node_id % 2 = 0").select(F.lit("k5").alias("dataset"), "node_id", "x", "y", "z", "fold")
+    sets = spark.createDataFrame(_GROUPS, "dataset string, grp string, kernel int")
+    return folds.group_roles(k3.unionByName(pts).unionByName(k5), sets, L.FOLDS, L.CELL)
 
 
 # --- joins -----------------------------------------------------------------------------------
@@ -754,9 +822,13 @@ def _levels(spark: SparkSession, sf_dir: str, qs: tuple[float, ...]) -> DataFram
     return p.select("target", F.explode(F.arrays_zip(lit.alias("level"), "p")).alias("x")).select("target", "x.level", F.col("x.p").alias("cut"))
 
 
-def _above(spark: SparkSession, sf_dir: str, qs: tuple[float, ...]) -> DataFrame:
-    f = L.fields(spark, sf_dir).join(F.broadcast(_levels(spark, sf_dir, qs)), "target")
-    return f.filter(F.col("v") >= F.col("cut")).select("target", "level", "i", "j", "k")
+def _tree(spark: SparkSession, sf_dir: str, qs: tuple[float, ...], connect: int = 6, tile: int = 32) -> DataFrame:
+    """The component tree of both fields at the quantiles qs, which name its levels."""
+    cuts = _levels(spark, sf_dir, qs).groupBy("target").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+    f = L.fields(spark, sf_dir).join(F.broadcast(cuts), "target")
+    f = f.select("target", "i", "j", "k", coherence.levels_of(F.col("v"), [F.col("cuts")[n] for n in range(len(qs))]).alias("level"))
+    names = F.array(*(F.lit(q) for q in qs))
+    return coherence.component_tree(f, ["target"], len(qs), connect, tile).withColumn("level", names[F.col("level") - 1])
 
 
 def _cut_sql(qs: tuple[float, ...]) -> str:
@@ -769,28 +841,30 @@ _LEVELS = (0.65, 0.9)
 
 @query("WITH RECURSIVE " + L.FIELDS + _components_sql(_cut_sql(_LEVELS), True) + f" SELECT target, level, {_STATS} FROM sizes GROUP BY 1, 2")
 def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["target", "level"]
-    return rounded(coherence.connectivity_stats(coherence.connectivity(_above(spark, sf_dir, _LEVELS), keys), keys))
+    return rounded(coherence.connectivity_stats(_tree(spark, sf_dir, _LEVELS), ["target", "level"]))
 
 
 @query(ORACLES["connectivity"])
 def connectivity_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["target", "level"]
-    return rounded(coherence.connectivity_stats(coherence.connectivity_tiled(_above(spark, sf_dir, _LEVELS), keys, tile=8), keys))
+    """The same from tiles of 8 x 8 x 8 cells, whose parts of the tree meet across their faces."""
+    return rounded(coherence.connectivity_stats(_tree(spark, sf_dir, _LEVELS, tile=8), ["target", "level"]))
 
 
 @query("WITH RECURSIVE " + L.FIELDS + _components_sql(_cut_sql((0.8, 0.9)), False) + " SELECT target, level, least, count(*) FILTER (size >= least) AS n_viable, round(coalesce(sum(size) FILTER (size < least), 0) / sum(size), 6) AS frac_in_small FROM sizes, (SELECT unnest([2, 5, 12, 20]) AS least) GROUP BY 1, 2, 3")
 def size_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["target", "level"]
-    s = coherence.connectivity(_above(spark, sf_dir, (0.8, 0.9)), keys, connect=26).withColumn("least", F.explode(F.array(*(F.lit(x) for x in (2, 5, 12, 20)))))
+    s = _tree(spark, sf_dir, (0.8, 0.9), connect=26).withColumn("least", F.explode(F.array(*(F.lit(x) for x in (2, 5, 12, 20)))))
     small = F.sum(F.when(F.col("size") < F.col("least"), F.col("size")).otherwise(0)) / F.sum("size")
     return rounded(s.groupBy(*keys, "least").agg(F.count_if(F.col("size") >= F.col("least")).alias("n_viable"), small.alias("frac_in_small")))
 
 
 @query(with_(L.FIELDS + f", lv AS ({_cut_sql((0.65, 0.9))})", "SELECT f.target, level, round(avg(CAST(v >= cut AS DOUBLE)), 6) AS share_above, round(cut, 6) AS cut FROM fields f JOIN lv ON lv.target = f.target GROUP BY f.target, level, cut"))
 def share_above(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = L.fields(spark, sf_dir).join(F.broadcast(_levels(spark, sf_dir, (0.65, 0.9))), "target")
-    return rounded(f.groupBy("target", "level", "cut").agg(F.avg((F.col("v") >= F.col("cut")).cast("double")).alias("share_above")))
+    """Read off the tree that ``connectivity`` reads: the cells above a cut-off are those of its components."""
+    above = _tree(spark, sf_dir, (0.65, 0.9)).groupBy("target", "level").agg(F.sum("size").alias("n"))
+    whole = L.fields(spark, sf_dir).groupBy("target").agg(F.count("v").alias("all"))
+    cuts = _levels(spark, sf_dir, (0.65, 0.9)).join(above, ["target", "level"], "left").join(whole, "target")
+    return rounded(cuts.select("target", "level", "cut", (F.coalesce("n", F.lit(0)) / F.col("all")).alias("share_above")))
 
 
 # --- covariance ------------------------------------------------------------------------------

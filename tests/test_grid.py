@@ -117,16 +117,6 @@ def test_greedy_folds_are_balanced():
     assert sorted(np.bincount(list(fold.values())).tolist()) == [2] * 5
 
 
-def test_search_folds_tests_each_sample_once(spark):
-    import pandas as pd
-
-    rng = np.random.default_rng(1)
-    nodes = pd.DataFrame({"block": rng.integers(0, 8, 60), "x": rng.random(60), "y": rng.random(60), "z": rng.random(60)})
-    best, scores = folds.search_folds(spark, nodes, 3, trials=20)
-    assert set(best) == set(nodes.block) and scores.count() == 20
-    assert scores.agg(F.min("score")).first()[0] == pytest.approx(scores.filter(F.col("folds") == F.array(*(F.lit(best[b]) for b in sorted(best)))).first().score)
-
-
 def test_roles_and_buffer(spark):
     n = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0), (2, 5.0, 0.0, 0.0, 1), (3, 5.1, 5.0, 0.0, 1), (4, 50.0, 0.0, 0.0, 1)], "node_id long, x double, y double, z double, fold int")
     b = folds.buffer_nodes(n, (5.0, 5.0, 2.0))
@@ -207,7 +197,7 @@ def test_components_match_a_search():
     rng = np.random.default_rng(0)
     at = np.argwhere(rng.random((9, 8, 7)) < 0.35)
     for offsets in (grid.face_offsets(), coherence.ALL):
-        label = coherence.components_of(at, offsets)
+        label = coherence._local_tree(at, np.ones(len(at), int), offsets, 1)[0]
         place = {tuple(a): x for x, a in enumerate(at)}
         seen = {}
         for start in place:
@@ -274,4 +264,4 @@ def test_tiles_give_the_same_components(spark, connect):
     at = np.argwhere(rng.random((14, 13, 12)) < (0.33 if connect == 6 else 0.1)) - 3
     df = spark.createDataFrame([("f", *map(int, a)) for a in at], "g string, i int, j int, k int")
     one = sorted(r.size for r in coherence.connectivity(df, ["g"], connect).collect())
-    assert sorted(r.size for r in coherence.connectivity_tiled(df, ["g"], connect, tile=4).collect()) == one and len(one) > 3
+    assert sorted(r.size for r in coherence.connectivity(df, ["g"], connect, tile=4).collect()) == one and len(one) > 3

@@ -29,6 +29,6 @@ def test_stencils_have_no_join(spark):
 
 def test_radius_searches_are_equi_joins(spark, sf_dir):
     c = lattice.cells(spark, sf_dir)
-    for df in (folds.buffer_nodes(c, (5.0, 5.0, 2.0)), folds.nearest(c.select("node_id", "x", "y", "z"), c.select("x", "y", "z"), "node_id", 10.0), joins.tolerance_matches(c, c.withColumnRenamed("node_id", "other_id"), "node_id", "other_id")):
+    for df in (folds.buffer_nodes(c, (5.0, 5.0, 2.0)), joins.tolerance_matches(c, c.withColumnRenamed("node_id", "other_id"), "node_id", "other_id")):
         text = plan(df)
         assert "NestedLoop" not in text and "Cartesian" not in text
