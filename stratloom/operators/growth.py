@@ -11,9 +11,10 @@ A job is one training set under one configuration; folds, configurations and boo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -25,21 +26,20 @@ DIGITS = 6  # gains equal to so many digits are ties, which the lower feature an
 NODES = "job long, tree int, node long, n double, value double, feature int, bin int, cut double, gain double"
 
 
-def binned(samples: DataFrame, features: Sequence[str], bins: int = BINS) -> tuple[DataFrame, DataFrame]:
-    """samples (sample, ...) with ``bins``, an array of a bin for each of features, and the bins as (feature,
-    bin, lo, hi), by value.  A feature with at most ``bins`` distinct values has one for each, so that every
-    midpoint is a candidate; others have ``bins`` with as many distinct values each.  A null is in no bin (-1), below all others."""
-    pairs = F.array(*(F.struct(F.lit(n).alias("feature"), F.col(c).cast("double").alias("v")) for n, c in enumerate(features)))
-    long = samples.select("sample", F.explode(pairs).alias("x")).select("sample", "x.feature", "x.v")
-    values = long.filter("v is not null").select("feature", "v").distinct().withColumn("n", F.lit(1).cast("long"))
+def binned(samples: DataFrame, bins: int = BINS) -> tuple[DataFrame, DataFrame]:
+    """samples (sample, x, ...) with ``bins``, an array of the bin of each feature of the array x, and the bins as
+    (feature, bin, lo, hi), by value.  A feature with at most ``bins`` distinct values has one for each, so that
+    every midpoint is a candidate; others have ``bins`` with as many distinct values each.  A null is in bin -1, below all others."""
+    long = samples.select(F.posexplode(F.col("x").cast("array<double>")).alias("feature", "v"))
+    values = long.filter("v is not null").distinct().withColumn("n", F.lit(1).cast("long"))
     ranked = running(values, ["feature"], "v", ["n"])
     code = F.when(F.col("all_n") <= bins, F.col("before_n")).otherwise(F.expr(f"before_n * {bins} div all_n")).cast("int")
-    ranked = settle(ranked.select("feature", "v", code.alias("bin")))
-    ends = settle(ranked.groupBy("feature", "bin").agg(F.min("v").alias("lo"), F.max("v").alias("hi")))  # features by bins rows
+    ends = settle(ranked.select("feature", "v", code.alias("bin")).groupBy("feature", "bin").agg(F.min("v").alias("lo"), F.max("v").alias("hi")))  # features by bins rows
     # a value's bin is how many bins begin at or below it, less one: no join with the distinct values
     starts = ends.groupBy("feature").agg(F.array_sort(F.collect_list("lo")).alias("s")).agg(F.map_from_entries(F.collect_list(F.struct("feature", "s"))).alias("starts"))
-    coded = F.array(*(F.when(F.col(c).isNull(), -1).otherwise(F.size(F.filter(F.coalesce(F.col("starts")[n], F.array().cast("array<double>")), lambda lo: lo <= F.col(c).cast("double"))) - 1).cast("int") for n, c in enumerate(features)))
-    return samples.crossJoin(F.broadcast(starts)).withColumn("bins", coded).drop("starts"), ends  # one row of features by bins values
+    below = lambda v, n: F.size(F.filter(F.col("starts")[n], lambda lo: lo <= v)) - 1
+    coded = F.transform(F.col("x").cast("array<double>"), lambda v, n: F.when(v.isNull(), -1).otherwise(below(v, n)).cast("int"))
+    return samples.join(F.broadcast(starts), F.lit(True), "left").withColumn("bins", coded).drop("starts", "x"), ends  # one row of features by bins values
 
 
 def splits(members: DataFrame, jobs: DataFrame, ends: DataFrame, seed: int = 0, min_gain: float = 1e-6) -> DataFrame:
@@ -52,8 +52,9 @@ def splits(members: DataFrame, jobs: DataFrame, ends: DataFrame, seed: int = 0,
     drawn = F.array_sort(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda f: F.struct(F.xxhash64(F.lit(seed), "job", "tree", "node", f).alias("h"), f.alias("f"))))
     take = F.when(F.col("mtry").isNull(), F.sequence(F.lit(0), F.col("width") - 1)).otherwise(F.transform(F.slice(drawn, F.lit(1), F.greatest(F.lit(1), F.col("mtry"))), lambda d: d["f"]))
     seen = members.join(nodes.filter(F.col("n") >= 2 * F.col("least")).select(*at, take.alias("take")), at)
-    pick = seen.select(*at, "w", "y", "bins", F.explode("take").alias("feature"))
-    hist = pick.groupBy(*at, "feature", F.col("bins")[F.col("feature")].alias("bin")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("s"))
+    # a member's bins are picked in place, so that the rows of its features don't each carry all of them
+    pick = seen.select(*at, "w", "y", F.explode(F.transform("take", lambda f: F.struct(f.alias("feature"), F.col("bins")[f].alias("bin")))).alias("x"))
+    hist = pick.select(*at, "w", "y", "x.feature", "x.bin").groupBy(*at, "feature", "bin").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("s"))
     up = W.partitionBy(*at, "feature").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)  # a row for each bin
     all_ = W.partitionBy(*at, "feature")
     cum = hist.withColumns({"lw": F.sum("w").over(up), "ls": F.sum("s").over(up), "tw": F.sum("w").over(all_), "ts": F.sum("s").over(all_)})
@@ -108,15 +109,15 @@ def predict(rows: DataFrame, nodes: DataFrame, depths: Sequence[int] = (62,)) ->
     return out.select("job", "tree", "sample", F.explode(ends).alias("e")).select("job", "tree", "sample", "e.depth", "e.value")
 
 
-def bootstrap(samples: DataFrame, trees: int, seed: int = 0) -> DataFrame:
+def bootstrap(samples: DataFrame, trees: int, seed: int = 0, share: float = 1.0) -> DataFrame:
     """samples (job, sample, ...) once for each tree that draws them, with ``tree`` and the times ``w``: a Poisson
-    count of mean one by a hash of seed, job, tree and sample.  What a tree doesn't draw is out of its bag."""
+    count of mean ``share`` by a hash of seed, job, tree and sample.  What a tree doesn't draw is out of its bag."""
     u = F.pmod(F.xxhash64(F.lit(seed), "job", "tree", "sample"), F.lit(1 << 52)) / float(1 << 52)
     # the distribution of the count: shares of at most 0, 1, ... draws
-    total, term, shares = 0.0, 2.718281828459045**-1, []
-    for k in range(12):
+    total, term, shares = 0.0, math.exp(-share), []
+    for k in range(16):
         total += term
         shares.append(total)
-        term /= k + 1
+        term *= share / (k + 1)
     w = F.size(F.filter(F.array(*map(F.lit, shares)), lambda s: s <= u))
     return samples.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("w", w.cast("long")).filter("w > 0")

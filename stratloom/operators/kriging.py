@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import settle
 from .features import continuity_frame
 
 
@@ -64,22 +65,51 @@ class Covariance:
         return F.sqrt(sum((c**2 for c in continuity_frame(np.array(self.axes), self.ranges, *d)), F.lit(0.0)))
 
 
+BLOCK = 256  # samples in a block
+SIDE = 400  # blocks that are broadcast, some 4 MB
+
+
+def in_blocks(samples: DataFrame, *cols: str) -> DataFrame:
+    """The samples as rows (block, s), s an array of about ``BLOCK`` structs of cols, dealt by a hash: what a task
+    holds of them at a time."""
+    held = settle(samples.select(*cols))
+    blocks = max(1, -(-held.count() // BLOCK))
+    return settle(held.groupBy(F.pmod(F.xxhash64(*cols), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(*cols)).alias("s")))
+
+
+def against_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every row with every block of samples.  The blocks are counted: few are broadcast; of more, each meets the rows in a join by
+    block, for which a row is sent once to each block and to no pair."""
+    n = blocks.count()
+    if n <= SIDE:
+        return rows.crossJoin(F.broadcast(blocks))
+    names = F.array(*(F.lit(b["block"]) for b in blocks.select("block").collect()))  # numbers of blocks
+    return rows.withColumn("block", F.explode(names)).join(blocks, "block")
+
+
+def _covariance(model: Covariance, s: Column) -> Column:
+    d = [F.col(c) - s[c] for c in "xyz"]
+    h = F.sqrt(sum((c**2 for c in continuity_frame(np.array(model.axes), model.ranges, *d)), F.lit(0.0)))
+    return (1 - model.nugget) * model.rho_column(h)
+
+
 def covariance_pairs(samples: DataFrame, model: Covariance, key: str = "node_id") -> DataFrame:
-    """(a, b, cov) of all pairs of the samples: the few hundred rows that a kriging system has."""
-    s = samples.select(key, "x", "y", "z")
-    pair = s.alias("a").crossJoin(F.broadcast(s).alias("b"))
-    cov = (1 - model.nugget) * model.rho_column(model.distance("a", "b")) + F.when(F.col(f"a.{key}") == F.col(f"b.{key}"), model.nugget + model.jitter).otherwise(0.0)
-    return pair.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), cov.alias("cov"))
+    """(a, b, cov) of all pairs of the samples of a kriging system, as its matrix is."""
+    met = against_blocks(samples.select(key, "x", "y", "z"), in_blocks(samples, key, "x", "y", "z"))
+    pair = met.select(F.col(key).alias("a"), "x", "y", "z", F.explode("s").alias("b"))
+    cov = _covariance(model, F.col("b")) + F.when(F.col("a") == F.col(f"b.{key}"), model.nugget + model.jitter).otherwise(0.0)
+    return pair.select("a", F.col(f"b.{key}").alias("b"), cov.alias("cov"))
 
 
 def krige(nodes: DataFrame, samples: DataFrame, model: Covariance, mean: str = "m", alpha: str = "alpha", key: str = "node_id") -> DataFrame:
-    """Nodes with ``krig`` = mean + sum of covariance times alpha over the samples, which are the
-    rows of one kriging system and go to every task."""
-    s = F.broadcast(samples.select("x", "y", "z", alpha)).alias("s")
-    cov = (1 - model.nugget) * model.rho_column(model.distance("n", "s"))
-    met = nodes.alias("n").crossJoin(s)
-    out = met.groupBy(F.col(f"n.{key}").alias(key)).agg(F.max(F.col(f"n.{mean}")).alias(mean), F.sum(cov * F.col(f"s.{alpha}")).alias("_c"))
-    return out.select(key, (F.col(mean) + F.col("_c")).alias("krig"))
+    """Nodes with ``krig`` = mean + sum of covariance times alpha over the samples of one kriging system.
+
+    A node meets the samples block by block and adds up within a block's array, so pairs are no rows; the sums of
+    its blocks are added by node."""
+    met = against_blocks(nodes.select(key, "x", "y", "z", F.col(mean).alias("_m")), in_blocks(samples, "x", "y", "z", alpha))
+    part = F.aggregate("s", F.lit(0.0), lambda acc, s: acc + F.coalesce(_covariance(model, s) * s[alpha], F.lit(0.0)))
+    out = met.withColumn("_c", part).groupBy(key).agg(F.max("_m").alias("_m"), F.sum("_c").alias("_c"))
+    return out.select(key, (F.col("_m") + F.col("_c")).alias("krig"))
 
 
 class GlsTree:

@@ -118,36 +118,6 @@ def synthetic_deposit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.count("*").alias("n"), F.count("Fe").alias("covered"), F.count("DTR").alias("sampled"), F.avg("Fe").alias("fe"))
 
 
-@query()
-def sensitivity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fold accuracy of one configuration by the number of trees, without inner tuning."""
-    s = _samples(spark, sf_dir).filter("target = 'DTR'")
-    sizes = (2, 5, 10, 20)
-    configs = [{"trees_n": n, "depth": 6, "least": 3, "mtry": "third"} for n in sizes]
-    out = None
-    for c, n in enumerate(sizes):
-        pick = spark.createDataFrame([("DTR", f, c) for f in range(L.FOLDS)], "target string, fold int, config_id int")
-        p = forest.refit_folds(s, pick, configs).withColumn("trees", F.lit(n))
-        out = p if out is None else out.unionByName(p)
-    return metrics.scored(out, ["trees"])
-
-
-@query()
-def ablation_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rotations on and off by fold, and the paired effect of having them; arms that a manifest
-    lists as done are skipped by an anti-join."""
-    s = _samples(spark, sf_dir).filter("target = 'DTR'")
-    done = spark.createDataFrame([("none",)], "arm string")
-    arms = spark.createDataFrame([("plain", 0), ("turned", 1)], "arm string, factor int").join(done, "arm", "left_anti").orderBy("factor").collect()
-    pick = spark.createDataFrame([("DTR", f, 0) for f in range(L.FOLDS)], "target string, fold int, config_id int")
-    out = None
-    for arm in arms:  # two arms
-        p = forest.refit_folds(s, pick, CONFIGS, features.feature_rotations(3) if arm["factor"] else None).withColumn("rot", F.lit(arm["factor"]))
-        out = p if out is None else out.unionByName(p)
-    per_fold = metrics.scored(out, ["rot", "fold"])
-    return reports.paired_effects(per_fold, "rot", 0, 1, ["fold"], "r2")
-
-
 @query()
 def deploy_gls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forest under correlated errors, refitted on all samples, over all cells."""

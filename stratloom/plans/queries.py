@@ -339,7 +339,20 @@ def route_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.route_to_blocks(L.cells(spark, sf_dir).select("node_id", "x", "y", "z"), centres).select("node_id", "route")
 
 
-@query()
+_MERGE = _NODES + """,
+blocks AS (SELECT block, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM nodes GROUP BY 1),
+merging(groups, roots) AS (
+  SELECT list({'n': n, 'root': block, 'x': x, 'y': y, 'z': z}), list({'block': block, 'root': block}) FROM blocks
+  UNION ALL
+  SELECT list_append(list_filter(groups, lambda g: g.root <> s.root AND g.root <> t.root), {'n': s.n + t.n, 'root': least(s.root, t.root), 'x': (s.x * s.n + t.x * t.n) / (s.n + t.n), 'y': (s.y * s.n + t.y * t.n) / (s.n + t.n), 'z': (s.z * s.n + t.z * t.n) / (s.n + t.n)}),
+    list_transform(roots, lambda r: {'block': r.block, 'root': CASE WHEN r.root = greatest(s.root, t.root) THEN least(s.root, t.root) ELSE r.root END})
+  FROM (
+    SELECT *, list_sort(list_transform(list_filter(groups, lambda g: g.root <> s.root), lambda g: {'d': power(g.x - s.x, 2) + power(g.y - s.y, 2) + power(g.z - s.z, 2), 'root': g.root, 'n': g.n, 'x': g.x, 'y': g.y, 'z': g.z}))[1] AS t
+    FROM (SELECT *, list_sort(groups)[1] AS s FROM merging WHERE len(groups) > 1) WHERE s.n < 12)),
+merged AS (SELECT unnest(roots) AS r FROM (SELECT roots FROM merging ORDER BY len(groups) LIMIT 1))"""
+
+
+@query("WITH RECURSIVE " + L.CELLS + _MERGE + " SELECT b.block, b.n, CAST(r.root AS INT) AS merged FROM blocks b JOIN merged ON r.block = b.block")
 def block_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks under 12 samples join their nearest neighbours."""
     n = _nodes(spark, sf_dir)
@@ -427,11 +440,23 @@ def alignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(joins.alignment(L.cells(spark, sf_dir), _moved(spark, sf_dir).withColumnRenamed("other_id", "node_id"), "node_id"))
 
 
-@query("SELECT 'folds' AS field, '5' AS left, '5' AS right, true AS same UNION ALL SELECT 'seed', '42', '43', false UNION ALL SELECT 'data', NULL, NULL, true UNION ALL SELECT 'kernel', '3', NULL, false")
+_RUN_SQL = "SELECT count(*) AS n, min(node_id) AS first, CASE WHEN bool_and({ok}) THEN 'whole' END AS support, count(DISTINCT fold) AS folds, {kernel} AS kernel, round(max(fe0), 6) AS top FROM cells WHERE {ok}"
+
+
+@query(
+    with_(
+        L.CELLS + f", a AS ({_RUN_SQL.format(ok='true', kernel='3')}), b AS ({_RUN_SQL.format(ok='valid', kernel='NULL')})",
+        " UNION ALL ".join(f"SELECT '{c}' AS field, CAST(a.{c} AS VARCHAR) AS left, CAST(b.{c} AS VARCHAR) AS right, a.{c} IS NOT DISTINCT FROM b.{c} AS same FROM a, b" for c in ("n", "first", "support", "folds", "kernel")),
+    )
+)
 def provenance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "folds int, seed int, data string, kernel int"
-    a, b = spark.createDataFrame([(5, 42, None, 3)], schema), spark.createDataFrame([(5, 43, None, None)], schema)
-    return joins.provenance_matches(a, b, ["folds", "seed", "data", "kernel"])
+    """What two runs say of their data: one over all cells, one over the covered ones."""
+
+    def record(c: DataFrame, kernel: int | None) -> DataFrame:
+        return c.agg(F.count("*").alias("n"), F.min("node_id").alias("first"), F.lit("whole").alias("support"), F.count_distinct("fold").alias("folds")).withColumn("kernel", F.lit(kernel).cast("int"))
+
+    c = L.cells(spark, sf_dir)
+    return joins.provenance_matches(record(c, 3), record(c.filter("valid"), None), ["n", "first", "support", "folds", "kernel"])
 
 
 @query(with_(L.LONG, "SELECT a.target, a.method AS method_a, b.method AS method_b, count(*) AS n, round(avg(abs(a.y_pred - a.y_true) - abs(b.y_pred - b.y_true)), 6) AS mean_gap, count(*) FILTER (abs(a.y_pred - a.y_true) < abs(b.y_pred - b.y_true)) AS wins_a FROM long a JOIN long b ON a.target = b.target AND a.node_id = b.node_id AND a.method < b.method GROUP BY 1, 2, 3"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import growth, reports
-from ..operators.lineage import settle
+from ..operators import features, grid, growth, metrics, reports
+from ..operators.lineage import settle, shared_dir
+from ..operators.runs import Manifest
 from . import lattice as L
 from .models import _samples
 from .queries import _NODES, COV, query, rounded, with_
@@ -16,14 +19,15 @@ LEAST = 3
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sample, fold, features, dtr, magnetic) of the sampled nodes, values settled to six digits."""
+    """(sample, fold, x, dtr, magnetic) of the sampled nodes, x their FEATURES; values settled to six digits."""
     n = L.cells(spark, sf_dir).filter("dtr is not null and valid")
-    return n.select(F.col("node_id").alias("sample"), "fold", *(L.settled(F.col(c)).alias(c) for c in (*COV, "dtr", "magnetic")), *(F.col(a).alias(a) for a in "xyz"))
+    x = F.array(*(L.settled(F.col(c)) for c in COV), *(F.col(a) for a in "xyz"))
+    return n.select(F.col("node_id").alias("sample"), "fold", x.alias("x"), *(L.settled(F.col(c)).alias(c) for c in ("dtr", "magnetic")))
 
 
 def _grown(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
     """One tree for each target and outer fold, on the samples of the other folds; job = target * 5 + fold."""
-    rows, ends = growth.binned(_places(spark, sf_dir), FEATURES)
+    rows, ends = growth.binned(_places(spark, sf_dir))
     two = F.array(F.struct(F.lit(0).alias("t"), F.col("dtr").alias("y")), F.struct(F.lit(1).alias("t"), F.col("magnetic").alias("y")))
     out = rows.select("fold", "bins", F.explode(two).alias("p"), F.lit(0).alias("tree"), F.lit(1).cast("long").alias("w"))
     out = out.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(L.FOLDS - 1)))).filter("o <> fold")
@@ -85,7 +89,7 @@ def tree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DEPTHS, LEASTS, MTRYS = (2, 4, 6), (2, 4, 8), (11, 45, 90)
-TREES = 3
+TREES = 2
 
 
 @query()
@@ -94,9 +98,7 @@ def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     together.  A pair of held-out folds has one training set, whichever of the two is the outer one, and a
     depth is read off the deepest trees, so 9 growths of 20 sets score all of them."""
     s = settle(_samples(spark, sf_dir))
-    wide = 135
-    places = s.select("node_id", "features").dropDuplicates(["node_id"]).select(F.col("node_id").alias("sample"), *(F.col("features")[n].alias(f"f{n}") for n in range(wide)))
-    rows, ends = growth.binned(places, [f"f{n}" for n in range(wide)])
+    rows, ends = growth.binned(s.select(F.col("node_id").alias("sample"), F.col("features").alias("x")).dropDuplicates(["sample"]))
     rows = settle(rows.select("sample", "bins"))
     pairs = [(a, b) for a in range(L.FOLDS) for b in range(a + 1, L.FOLDS)]
     grids = [(least, mtry) for least in LEASTS for mtry in MTRYS]
@@ -116,3 +118,111 @@ def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = 1 - F.sum((F.col("y") - F.col("p")) ** 2) / F.greatest(F.var_pop("y") * F.count("y"), F.lit(1e-300))
     out = scored.groupBy("target", F.col("outer").alias("fold"), (depth * len(grids) + F.col("g")).alias("config_id")).agg(F.count("*").alias("n"), score.alias("score"))
     return reports.rank_configs(rounded(out), ["target", "fold"])
+
+
+#: The levels of the sensitivity factorial; features that a split looks at are shares of all of them.
+SWEEP_DEPTHS, SWEEP_LEASTS = (2, 3, 4, 6, 8, 10, 14), (1, 2, 4, 8, 16, 30, 50)
+SWEEP_MTRYS, SWEEP_SHARES = (("sqrt", 0.0), ("third", 1 / 3), ("0.5", 0.5), ("0.75", 0.75), ("all", 1.0)), (0.5, 0.7, 1.0)
+
+
+def _cross_validated(spark: SparkSession, sf_dir: str, cases: list[tuple[int, int, float]], depth: int, trees: int, depths: tuple[int, ...]) -> DataFrame:
+    """(case, fold, sample, y, tree, depth, value): out-of-fold predictions for DTR of every tree of every case, a case being
+    (least, mtry as a count, share of samples drawn)."""
+    s = settle(_samples(spark, sf_dir).filter("target = 'DTR'").select(F.col("node_id").alias("sample"), "fold", "y", F.col("features").alias("x")))
+    rows, ends = growth.binned(s)
+    rows = settle(rows)
+    jobs = [(c * L.FOLDS + f, c, f, depth, least, mtry, share) for c, (least, mtry, share) in enumerate(cases) for f in range(L.FOLDS)]
+    jobs = spark.createDataFrame(jobs, "job long, c int, o int, depth int, least int, mtry int, share double")
+    drawn = None
+    for share in sorted({x[2] for x in cases}):
+        known = rows.select("sample", "fold", "y").join(F.broadcast(jobs.filter(F.col("share") == share).select("job", "o")), F.col("o") != F.col("fold"))
+        part = growth.bootstrap(known.select("job", "sample", "y"), trees, seed=42, share=share)
+        drawn = part if drawn is None else drawn.unionByName(part)
+    members = drawn.join(rows.select("sample", "bins"), "sample").select("job", "tree", "w", "y", "bins")
+    nodes = settle(growth.grow(members, jobs.select("job", "depth", "least", "mtry"), ends, seed=42))
+    asked = rows.join(F.broadcast(jobs.select("job", "o")), F.col("o") == F.col("fold")).select("job", "sample", "bins")
+    out = growth.predict(asked, nodes, depths)
+    return out.join(F.broadcast(jobs.select("job", "c")), "job").join(rows.select("sample", "fold", "y"), "sample").select(F.col("c").alias("case"), "fold", "sample", "y", "tree", "depth", "value")
+
+
+def _r2(y: str, p: str):
+    return 1 - F.sum((F.col(y) - F.col(p)) ** 2) / F.greatest(F.var_pop(y) * F.count(y), F.lit(1e-300))
+
+
+@query()
+def sensitivity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """735 configurations without inner tuning: pooled R2 over the folds and the mean of the folds' R2.  Depths are read off the
+    deepest trees, so 105 growths of five folds, one tree each, score all of them."""
+    wide = 27 * 5
+    count = {n: int(wide**0.5) if n == "sqrt" else max(1, int(wide * x)) for n, x in SWEEP_MTRYS}
+    cases = [(least, count[name], share) for least in SWEEP_LEASTS for name, _ in SWEEP_MTRYS for share in SWEEP_SHARES]
+    names = [(c, least, name, share) for c, (least, name, share) in enumerate((a, n, s) for a in SWEEP_LEASTS for n, _ in SWEEP_MTRYS for s in SWEEP_SHARES)]
+    p = _cross_validated(spark, sf_dir, cases, max(SWEEP_DEPTHS), 1, SWEEP_DEPTHS)
+    per = p.groupBy("case", "depth", "fold").agg(_r2("y", "value").alias("r2")).groupBy("case", "depth").agg(F.avg("r2").alias("r2_folds"))
+    pooled = p.groupBy("case", "depth").agg(F.count("*").alias("n"), _r2("y", "value").alias("r2"))
+    labels = spark.createDataFrame(names, "case int, least int, mtry string, share double")
+    return rounded(pooled.join(per, ["case", "depth"]).join(F.broadcast(labels), "case").select("depth", "least", "mtry", "share", "n", "r2", "r2_folds"))
+
+
+CURVE = (3, 5, 8, 10, 15, 20, 30, 50, 75)
+
+
+@query()
+def sensitivity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy over the folds by the number of trees: the first of 75 trees that grow once."""
+    p = _cross_validated(spark, sf_dir, [(3, 45, 1.0)], 6, max(CURVE), (6,))
+    first = [F.avg(F.when(F.col("tree") < n, F.col("value"))) for n in CURVE]
+    mean = p.groupBy("sample", "y").agg(F.array(*(F.struct(F.lit(n).alias("trees"), m.alias("y_pred")) for n, m in zip(CURVE, first, strict=True))).alias("m"))
+    return rounded(metrics.scored(mean.select(F.col("y").alias("y_true"), F.explode("m").alias("m")).select("y_true", "m.trees", "m.y_pred"), ["trees"]))
+
+
+#: The arms of the ablation: rotations and oriented statistics, all four at k = 3, both corners at k = 5.
+ARMS = [("local_k3", 1, 1, 3), ("local_aug_k3", 1, 0, 3), ("local_aniso_k3", 0, 1, 3), ("local_plain_k3", 0, 0, 3), ("local_k5", 1, 1, 5), ("local_plain_k5", 0, 0, 5)]
+ARM_TREES, ARM_DEPTH = 2, 2
+
+
+def arm_scores(spark: SparkSession, sf_dir: str, arm: Row) -> DataFrame:
+    """(aug, aniso, kernel, target, fold, r2) of a forest with an arm's features on every fold of both targets.  With
+    rotations each draw takes one of a pattern's four turns and a prediction is the mean over them."""
+    k = arm["kernel"]
+    p = grid.fill_idw(grid.accepted(grid.window_patterns(L.cells(spark, sf_dir), COV, L.DIMS, k), k), COV, k, L.CELL)
+    known = L.cells(spark, sf_dir).filter("dtr is not null and magnetic is not null").select("i", "j", "k", F.col("node_id").alias("sample"), "fold", "dtr", "magnetic")
+    p = settle(grid.flatten_patterns(p.join(known, ["i", "j", "k"]), COV).select("sample", "fold", "dtr", "magnetic", "filled", "features"))  # training rows only
+    static = []
+    if arm["aniso"]:
+        pack = features.decay_pack(k, L.CELL, features.rotation_matrix(30.0, 20.0), (20.0, 10.0, 5.0))
+        for c in COV:  # written one by one, as the expressions of a covariate are long
+            p = settle(features.oriented_stats(p, F.expr(f"transform(filled, v -> v.{c})"), pack, c))
+            static += [f"{c}_{part}_{m}" for part in ("all", "major", "semi", "minor") for m in ("mean", "var")]
+    p = p.withColumn("static", F.array(*map(F.col, static)).cast("array<double>")).drop("filled")
+    turned = features.rotate(p, "features", k) if arm["aug"] else p.withColumn("turn", F.lit(0))
+    turns = 4 if arm["aug"] else 1
+    rows, ends = growth.binned(turned.select("sample", "turn", "fold", "dtr", "magnetic", F.concat("features", "static").alias("x")))
+    rows = settle(rows)
+    two = F.array(F.struct(F.lit(0).alias("t"), F.col("dtr").alias("y")), F.struct(F.lit(1).alias("t"), F.col("magnetic").alias("y")))
+    cases = rows.filter("turn = 0").select("sample", "fold", F.explode(two).alias("p")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(L.FOLDS - 1))))
+    cases = cases.select("sample", "fold", "o", F.col("p.y").alias("y"), (F.col("p.t") * L.FOLDS + F.col("o")).cast("long").alias("job"))
+    drawn = growth.bootstrap(cases.filter("fold <> o"), ARM_TREES, seed=777).withColumn("turn", F.pmod(F.xxhash64("job", "tree", "sample"), F.lit(turns)).cast("int"))
+    members = drawn.join(rows.select("sample", "turn", "bins"), ["sample", "turn"]).select("job", "tree", "w", "y", "bins")
+    width = rows.agg(F.max(F.size("bins"))).first()[0]
+    jobs = spark.createDataFrame([(j, ARM_DEPTH, LEAST, width // 3) for j in range(2 * L.FOLDS)], "job long, depth int, least int, mtry int")
+    nodes = settle(growth.grow(members, jobs, ends, seed=777))
+    asked = cases.filter("fold = o").join(rows.select("sample", "bins"), "sample")
+    mean = growth.predict(asked.select("job", "sample", "bins"), nodes).groupBy("job", "sample").agg(F.avg("value").alias("y_pred"))
+    long = cases.filter("fold = o").select("job", "sample", F.col("y").alias("y_true")).join(mean, ["job", "sample"])
+    out = metrics.scored(long, ["job"])
+    factors = [F.lit(arm[c]).alias(c) for c in ("aug", "aniso", "kernel")]
+    return out.select(*factors, F.when(F.col("job") < L.FOLDS, "DTR").otherwise("MAG").alias("target"), (F.col("job") % L.FOLDS).cast("int").alias("fold"), "n", "r2")
+
+
+@query()
+def ablation_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired effects of rotations, of oriented statistics and of the window's size over six arms, which a manifest
+    keeps as they finish."""
+    runs = Manifest(spark, f"{shared_dir(spark)}/ablation-{uuid.uuid4().hex}")
+    runs.run(spark.createDataFrame(ARMS, "arm string, aug int, aniso int, kernel int"), lambda arm: arm_scores(spark, sf_dir, arm))
+    rows = runs.rows()
+    k3 = rows.filter("kernel = 3")
+    out = reports.paired_effects(k3, "aug", 0, 1, ["target", "fold", "aniso"], "r2")
+    out = out.unionByName(reports.paired_effects(k3, "aniso", 0, 1, ["target", "fold", "aug"], "r2"))
+    return rounded(out.unionByName(reports.paired_effects(rows, "kernel", 3, 5, ["target", "fold", "aug", "aniso"], "r2")))

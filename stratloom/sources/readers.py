@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.grid import missing_to_null
+from .sheets import read_sheets
 
 #: Fixed column names of a grid table.
 COORDS = ("XC", "YC", "ZC")
@@ -26,11 +27,13 @@ class SchemaError(ValueError):
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """CSV, JSON, ORC or Parquet by suffix (a folder of such files too); CSV columns stay text,
-    so nothing is read twice to guess types."""
+    """CSV, xlsx, JSON, ORC or Parquet by suffix (a folder of such files too); CSV and sheet columns stay
+    text, so nothing is read twice to guess types."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
         return spark.read.csv(path, header=True)
+    if kind == "xlsx":
+        return read_sheets(spark, path)
     if kind in ("json", "jsonl"):
         return spark.read.json(path)
     if kind == "orc":
