@@ -67,8 +67,8 @@ def test_edge_rows(name, docs, labels, benchmark):
     got = OPERATORS[name](docs, labels, benchmark).collect()
     if name == "leaks":
         assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (7, 1), (7, 1)]
-    elif name == "search":  # four of the items have terms, which are in five, one and no texts
-        assert {r.item_id for r in got} == {1, 4, None} and len(got) > 5
+    elif name == "search":  # one item has words that are in the texts
+        assert {r.item_id for r in got} == {1} and [r.doc_id for r in sorted(got, key=lambda r: r["rank"])][:3] == [1, 7, 7] and len(got) > 3
     elif name == "packing":
         assert {r.doc_id for r in got} == {r[0] for r in ROWS}
         assert sum(r.piece == 0 for r in got) == len(ROWS)
