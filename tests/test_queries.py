@@ -23,6 +23,7 @@ def rows(frame):
 
 
 GRID = ["lattice_index", "voxel_coverage", "idw_impute", "block_ids", "buffer_roles", "tolerance_join", "pooled_metrics", "brier_auc", "ks_stat", "wilcoxon_w", "config_ranking", "spike_index", "speck_bands", "connectivity", "krige_given_alpha"]
+GRID += ["tree_levels", "group_roles", "fold_search", "block_merge", "cv_nn_distance", "deploy_nn_distance", "selectivity", "quantile_errors", "ecdf", "size_sweep", "provenance_join", "voxel_coverage_k5"]
 
 
 @pytest.mark.parametrize("name", GRID)
