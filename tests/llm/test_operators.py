@@ -1090,6 +1090,30 @@ def test_every_page_is_differenced(spark):
     assert (got[10].text, got[11].text) == ("Own text", "Another text")
 
 
+def test_differencing_deletes_on_marked_pages():
+    """What neighbours share goes by alignment on a page with a mark as well, but no line of its article."""
+    F, M = html_diff.FRAME, html_diff.MARKED
+    line = lambda x, stands: html_diff._hash(x) & ~3 | stands
+    page = lambda i: [line("home", F), line(f"advert {i}", F), line(f"story {i}", M), line("passage", M), line("rights", F)]
+    assert html_diff.differenced(page(0), [page(1), page(2)]) == [0, 4]
+    assert html_diff.differenced(page(0), []) == []
+
+
+def test_frames_within_main(spark):
+    """A main part that holds more than the article; articles next to it stay whole, as do copies."""
+    page = '<div>Top</div><main><div>You are here</div>{}<p>Write to us</p></main><div>End</div>'
+    text = [[f"Story {i} tells of the day {i * 7}.", f"Its second line, {i}."] for i in range(6)]
+    rows = [(i, f"https://m.example/n/{i}", page.format("".join(f"<p>{x}</p>" for x in ls))) for i, ls in enumerate(text)]
+    rows += [(10 + i, f"https://a.example/n/{i}", page.replace("main>", "article>").format(f"<p>{ls[0]}</p>")) for i, ls in enumerate(text)]
+    rows += [(20 + i, f"https://c.example/n/{i}", page.format("".join(f"<p>Line {x}</p>" for x in range(9)) + f"<p>End {i}</p>")) for i in range(4)]
+    rows += [(30, "https://alone.example/1", page.format("<p>Alone</p>"))]
+    got = {r.page_id: r for r in html_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i].text for i in range(6)] == [" ".join(ls) for ls in text] and [got[i].n_shared for i in range(6)] == [4] * 6
+    assert [got[10 + i].text for i in range(6)] == [f"You are here {ls[0]} Write to us" for ls in text] and got[10].n_shared == 2
+    assert [got[20 + i].text for i in range(4)] == [f"You are here {' '.join(f'Line {x}' for x in range(9))} End {i} Write to us" for i in range(4)]
+    assert got[30].text == "You are here Alone Write to us"
+
+
 def test_neighbours_across_runs(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, f"http://h.example/{i:03}", ["home", *(f"line {x}" for x in rng.integers(0, 30, 6)), "end"]) for i in range(50)]
