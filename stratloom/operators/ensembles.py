@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import impute_median
+from .lineage import settle
+
+PART = 1 << 16  # rows of a partition
 
 
 def estimator(kind: str, seed: int = 42, trees: int = 30, depth: int = 8, least: int = 3):
@@ -29,12 +32,22 @@ def estimator(kind: str, seed: int = 42, trees: int = 30, depth: int = 8, least:
     raise ValueError(f"unknown ensemble {kind}")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The rows in as many partitions as their number asks for, by key and in order, kept.  A fit runs
+    hundreds of stages, each with a task and its report for every partition, and draws its samples by
+    partition and place: neither follows how the rows came about."""
+    rows = settle(rows)
+    parts = max(1, -(-rows.count() // PART))
+    order = [key, *(c for c in rows.columns if c != key)]
+    return rows.repartition(parts, key).sortWithinPartitions(*order).persist()  # read by every fit; an executor's loss costs a new scan
+
+
 def predict_folds(samples: DataFrame, features: Sequence[str], folds: int, kind: str, **options) -> DataFrame:
     """(node_id, fold, method, y_true, y_pred): every sample predicted by the model of the other
     folds.  Medians for missing values come from the training rows; ``x, north, z`` are appended for
     RF_XYZ only."""
     cols = [*features, *(("x", "north", "z") if kind == "RF_XYZ" else ())]
-    data = samples.select("node_id", "fold", "y", *cols).persist()  # read by every fit; an executor's loss costs a new scan
+    data = dealt(samples.select("node_id", "fold", "y", *cols), "node_id")
     parts = []
     for f in range(folds):
         train = F.col("fold") != f

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import boosting, ensembles, features, forest, grid, kriging, metrics, reports
+from ..operators.lineage import settle
 from ..sources import synthetic
 from . import lattice as L
 from .queries import COV, MODEL, query
@@ -91,7 +92,7 @@ def gls_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ensemble(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFrame:
-    s = _support(spark, sf_dir).withColumnRenamed("y", "north").withColumnRenamed("dtr", "y")
+    s = settle(_support(spark, sf_dir).withColumnRenamed("y", "north").withColumnRenamed("dtr", "y"))  # lines are read once
     out = None
     for kind in kinds:
         p = ensembles.predict_folds(s, COV, L.FOLDS, kind, trees=10, depth=5)

@@ -178,3 +178,28 @@ def test_spatial_forest_tunes_every_configuration(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(models.forest, "tune_folds", lambda s, configs, *more: seen.append(list(configs)) or tune(s, configs, *more))
     models.spatial_forest(spark, sf_dir)
     assert seen == [models.CONFIGS] and {c["depth"] for c in seen[0]} == {4, 8}
+
+
+@pytest.mark.parametrize("kind", ["XGB", "BAGGED"])
+def test_ensembles_dont_follow_the_layout(spark, kind):
+    """Partitions of the fits follow the number of rows; predictions are the same however these lie."""
+    from stratloom.operators import ensembles
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 2))
+    rows = [(i, i % 2, float(a + b * b), float(a), float(b)) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "node_id long, fold int, y double, a double, b double")
+    got = []
+    for one in (df.repartition(23, "y"), df.orderBy(-F.col("node_id")).coalesce(1)):
+        p = ensembles.predict_folds(one, ["a", "b"], 2, kind, trees=2, depth=2)
+        assert p.rdd.getNumPartitions() <= 2
+        got.append(sorted(map(tuple, p.collect())))
+    assert got[0] == got[1] and len(got[0]) == 90
+
+
+def test_rows_are_dealt_by_number(spark, monkeypatch):
+    from stratloom.operators import ensembles
+
+    monkeypatch.setattr(ensembles, "PART", 30)
+    d = ensembles.dealt(spark.range(100).withColumn("v", F.col("id") * 2).repartition(9), "id")
+    assert d.rdd.getNumPartitions() == 4 and sorted(map(tuple, d.collect())) == [(i, 2 * i) for i in range(100)]
